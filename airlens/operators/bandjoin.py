@@ -40,3 +40,16 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], left_cells: list
         eq = F.col(f"{left_alias}.{k}") == F.col(f"{right_alias}.{k}")
         cond = eq if cond is None else cond & eq
     return lhs.join(rhs, cond)
+
+
+def cover_cells(df: DataFrame, lamin: Column, lomin: Column, lamax: Column, lomax: Column, edge: float = 1.0) -> DataFrame:
+    """Copy each row to every grid cell its box touches (columns `cell_y`, `cell_x`): the geometry bounds the copies."""
+    df = df.withColumn("cell_y", F.explode(F.sequence(floor_cell(lamin, edge), floor_cell(lamax, edge))))
+    return df.withColumn("cell_x", F.explode(F.sequence(floor_cell(lomin, edge), floor_cell(lomax, edge))))
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt: Column, buckets: int = 16, how: str = "inner") -> DataFrame:
+    """Equi-join whose hot keys are split over `buckets` tasks: the small side is copied once per bucket."""
+    lhs = big.withColumn("_salt", F.pmod(salt, F.lit(buckets)).cast("int"))
+    rhs = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")

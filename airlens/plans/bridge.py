@@ -127,19 +127,25 @@ _SECOND = {
 }
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The primary feed."""
+def _derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", "props")
     for layer in _layers(_Spark):
         df = df.selectExpr(*layer)
-    return df.select(*STATE_NAMES)
+    return df
+
+
+def _sealed(df: DataFrame, columns: list) -> DataFrame:
+    """Filters on derived columns must not be pushed below the formulas: each reference would repeat the whole formula."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primary feed."""
+    return _sealed(_derive(spark, sf_dir), STATE_NAMES)
 
 
 def second_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", "props")
-    for layer in _layers(_Spark):
-        df = df.selectExpr(*layer)
-    return df.select(*[F.expr(_SECOND[c]).alias(c) if c in _SECOND else F.col(c) for c in STATE_NAMES])
+    return _sealed(_derive(spark, sf_dir), [F.expr(_SECOND[c]).alias(c) if c in _SECOND else F.col(c) for c in STATE_NAMES])
 
 
 def _nest(final: list[str]) -> str:
