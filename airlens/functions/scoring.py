@@ -39,7 +39,7 @@ def sev_rank(severity: Column) -> Column:
 
 
 def sev_name(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), rank + 1)
+    return F.when(rank.isNotNull(), F.get(F.array(*[F.lit(s) for s in SEVERITIES]), rank))
 
 
 def risk_score(severity: Column, category: Column, rule_id: Column, repeats: Column, position_source: Column,

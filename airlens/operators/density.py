@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from airlens.operators.ordered import with_previous
 from airlens.operators.tracks import SLAB_S
 
 CELL_DEG = 0.2
@@ -27,14 +27,10 @@ def presence(states: DataFrame, slab_s: float = SLAB_S) -> DataFrame:
 
     Partitioned by (recording, address, time slab); the last report before a slab comes from one row per slab.
     """
-    s = states.filter("not on_ground and lat is not null and lon is not null").withColumn("_slab", F.floor(F.col("batch_ts") / slab_s))
-    key = ["recording", "icao24", "_slab"]
-    last = s.groupBy(*key).agg(F.max_by("ts", F.struct("batch_seq", "pos")).alias("_last"))
-    carry = last.select(*key, F.lag("_last").over(W.partitionBy("recording", "icao24").orderBy("_slab")).alias("_carry"))
-    w = W.partitionBy(*key).orderBy("batch_seq", "pos")
-    s = s.join(carry, key).withColumn("_prev", F.coalesce(F.lag("ts").over(w), F.col("_carry")))
-    dt = F.least(F.greatest(F.col("ts") - F.col("_prev"), F.lit(0.0)), F.lit(MAX_PRESENCE_S))
-    return s.withColumn("presence_s", F.when(F.col("_prev").isNull(), 0.0).otherwise(dt)).drop("_slab", "_carry", "_prev")
+    s = states.filter("not on_ground and lat is not null and lon is not null")
+    s = with_previous(s, ["recording", "icao24"], F.floor(F.col("batch_ts") / slab_s), ["batch_seq", "pos"], ["ts"], "_prev")
+    dt = F.least(F.greatest(F.col("ts") - F.col("_prev.ts"), F.lit(0.0)), F.lit(MAX_PRESENCE_S))
+    return s.withColumn("presence_s", F.when(F.col("_prev").isNull(), 0.0).otherwise(dt)).drop("_prev")
 
 
 def density(states: DataFrame) -> DataFrame:
