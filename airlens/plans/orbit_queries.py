@@ -161,12 +161,12 @@ _W2 = "sqrt(pow((g.lat - s.lat) * 60, 2) + pow(((((g.lon - s.lon + 180) % 360) +
 
 @query("rule_corridor_aircraft", f"""WITH RECURSIVE {bridge.states_cte()}, {EL}, grid AS (SELECT n.*, t.t_idx, {_T1} + t.t_idx * 60 AS ts FROM decaying AS n, (SELECT unnest(range(0, 120)) AS t_idx) AS t), eph AS (SELECT * FROM {_eph_sql('grid', 'ts')} AS q), {_GEO},
   fs AS (SELECT *, CAST(ceil((ts - {_T1}) / 60 - 0.5) AS BIGINT) AS ti FROM st WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT on_ground),
-  x AS (SELECT g.norad, s.recording, s.icao24, s.ts, {_W2} AS nm FROM fs AS s JOIN geo AS g ON g.t_idx = s.ti AND g.lat BETWEEN s.lat - 1 AND s.lat + 1)
-  SELECT norad, recording, icao24, round(nm, 2) AS min_nm, ts FROM x WHERE nm <= 50 QUALIFY row_number() OVER (PARTITION BY norad, recording, icao24 ORDER BY nm, ts) = 1""")
+  x AS (SELECT g.norad, s.recording, s.icao24, s.ts, {_W2} AS nm FROM fs AS s JOIN geo AS g ON g.t_idx = s.ti AND g.lat BETWEEN s.lat - 7 AND s.lat + 7)
+  SELECT norad, recording, icao24, round(nm, 2) AS min_nm, ts FROM x WHERE nm <= 400 QUALIFY row_number() OVER (PARTITION BY norad, recording, icao24 ORDER BY nm, ts) = 1""")
 def rule_corridor_aircraft(spark: SparkSession, sf: str) -> DataFrame:
     """JON-07: aircraft under the tracks of decaying objects at the nearest sample."""
     g = el.geodetic(el.ephemeris(el.decaying(sets(spark, sf), _T1), _T1, 120, 60.0))
-    return el.corridor_aircraft(g, bridge.states(spark, sf), _T1, 60.0).select("norad", "recording", "icao24", F.round("min_nm", 2).alias("min_nm"), "ts")
+    return el.corridor_aircraft(g, bridge.states(spark, sf), _T1, 60.0, 400.0).select("norad", "recording", "icao24", F.round("min_nm", 2).alias("min_nm"), "ts")
 
 
 _D = "sqrt(pow(a.x_km - b.x_km, 2) + pow(a.y_km - b.y_km, 2) + pow(a.z_km - b.z_km, 2))"
