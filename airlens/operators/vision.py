@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from airlens.functions.geo import point_in_polygon
 
@@ -34,42 +32,25 @@ def zone_findings(occ: DataFrame) -> DataFrame:
 
 
 def suppress(dets: DataFrame, limit: float = IOU_LIMIT) -> DataFrame:
-    """Greedy suppression: an image's detections are one small group, kept by falling confidence."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["conf", "det_id"], ascending=[False, True])
-        kept: list = []
-        for r in pdf.itertuples():
-            clash = False
-            for k in kept:
-                w = min(r.cx + r.w / 2, k.cx + k.w / 2) - max(r.cx - r.w / 2, k.cx - k.w / 2)
-                h = min(r.cy + r.h / 2, k.cy + k.h / 2) - max(r.cy - r.h / 2, k.cy - k.h / 2)
-                inter = max(w, 0.0) * max(h, 0.0)
-                if inter > 0 and inter / (r.w * r.h + k.w * k.h - inter) >= limit:
-                    clash = True
-                    break
-            if not clash:
-                kept.append(r)
-        return pdf[pdf.det_id.isin([k.det_id for k in kept])]
-
-    return dets.groupBy("image").applyInPandas(run, dets.schema)
+    """Greedy suppression per image, by falling confidence: a fold over the boxes of one image, inside the JVM."""
+    order = F.struct((-c("conf")).alias("_c"), "det_id")
+    box = F.struct(order.alias("o"), *dets.columns)
+    g = dets.groupBy("image").agg(F.array_sort(F.collect_list(box)).alias("_b"))
+    empty = F.slice("_b", 1, 0)
+    kept = F.aggregate("_b", empty, lambda s, x: F.when(F.exists(s, lambda k: iou(k, x) >= limit), s).otherwise(F.concat(s, F.array(x))))
+    return g.select(F.explode(kept).alias("_k")).select(*[c(f"_k.{n}").alias(n) for n in dets.columns])
 
 
 def match(dets: DataFrame, truth: DataFrame, max_dist: float = MATCH_DIST) -> DataFrame:
     """Greedy one-to-one matching per image, by falling confidence: true and false positives and misses."""
-    d = dets.select("image", "conf", "cx", "cy", "det_id", F.lit(True).alias("is_det"))
-    t = truth.select("image", F.lit(0.0).alias("conf"), "cx", "cy", "det_id", F.lit(False).alias("is_det"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = pdf[pdf.is_det].sort_values(["conf", "det_id"], ascending=[False, True])
-        open_ = {r.det_id: (r.cx, r.cy) for r in pdf[~pdf.is_det].itertuples()}
-        total, tp = len(open_), 0
-        for r in found.itertuples():
-            best = min(((((x - r.cx) ** 2 + (y - r.cy) ** 2) ** 0.5, k) for k, (x, y) in open_.items()), default=None)
-            if best and best[0] <= max_dist:
-                del open_[best[1]]
-                tp += 1
-        return pd.DataFrame({"image": [pdf.image.iloc[0]], "tp": [tp], "fp": [len(found) - tp], "fn": [total - tp]})
-
-    schema = T.StructType([T.StructField("image", dets.schema["image"].dataType), *[T.StructField(n, T.LongType()) for n in ("tp", "fp", "fn")]])
-    return d.unionByName(t).groupBy("image").applyInPandas(run, schema)
+    d = dets.groupBy("image").agg(F.array_sort(F.collect_list(F.struct((-c("conf")).alias("o"), "det_id", "cx", "cy"))).alias("d"))
+    t = truth.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("det_id", "cx", "cy"))).alias("t"))
+    j = d.join(t, "image", "full_outer").withColumn("t", F.coalesce("t", F.array().cast("array<struct<det_id:bigint,cx:double,cy:double>>"))).withColumn("_n", F.size(F.coalesce("d", F.array().cast(d.schema["d"].dataType))))
+
+    def step(s, x):
+        near = F.array_min(F.transform(s, lambda k: F.struct(F.sqrt(F.pow(k["cx"] - x["cx"], 2) + F.pow(k["cy"] - x["cy"], 2)).alias("m"), k["det_id"].alias("id"))))
+        return F.when(near["m"] <= max_dist, F.filter(s, lambda k: k["det_id"] != near["id"])).otherwise(s)
+
+    left = F.when(c("d").isNull(), F.size("t")).otherwise(F.aggregate("d", c("t"), step, lambda s: F.size(s)))
+    j = j.withColumn("_left", left)
+    return j.select("image", (F.size("t") - c("_left")).cast("long").alias("tp"), (c("_n") - F.size("t") + c("_left")).cast("long").alias("fp"), c("_left").cast("long").alias("fn"))
