@@ -1,0 +1,66 @@
+"""JSON messages against a contract: flat and nested object paths as JSON-path predicates, one row per problem."""
+
+from __future__ import annotations
+
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_SHAPE = {"string": None, "number": r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$", "integer": r"^-?[0-9]+$", "boolean": "^(true|false)$", "object": r"^\{", "array": r"^\["}
+_FORMAT = {"date-time": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "uri": r"^[a-z][a-z0-9+.-]*:"}
+
+
+def _resolve(schema: dict[str, Any], root: dict[str, Any]) -> dict[str, Any]:
+    while "$ref" in schema:
+        node: Any = root
+        for part in schema["$ref"].lstrip("#/").split("/"):
+            node = node[part]
+        schema = node
+    return schema
+
+
+def _checks(col: str, schema: dict[str, Any], root: dict[str, Any], path: str, required: bool) -> list[Column]:
+    """Struct(path, problem) columns, null where the message conforms. Branches of oneOf are told apart by their type."""
+    schema = _resolve(schema, root)
+    value = F.get_json_object(col, path)
+    raw = F.get_json_object(col, path)
+    hit = lambda cond, text: F.when(cond, F.struct(F.lit(path).alias("path"), F.lit(text).alias("problem")))
+    out: list[Column] = []
+    if required:
+        out.append(hit(value.isNull(), "missing"))
+    kinds = [s.get("type") for s in (_resolve(x, root) for x in schema.get("oneOf", schema.get("anyOf", [schema])))]
+    shapes = [_SHAPE.get(k) for k in kinds if k]
+    typed = F.lit(True)
+    if shapes and all(shapes):
+        typed = F.lit(False)
+        for s in shapes:
+            typed = typed | raw.rlike(s)
+        out.append(hit(value.isNotNull() & ~typed, "wrong type"))
+    good = value.isNotNull() & typed
+    if "enum" in schema:
+        out.append(hit(good & ~value.isin([str(v) for v in schema["enum"]]), "not in enum"))
+    number = value.try_cast("double")
+    if "minimum" in schema:
+        out.append(hit(good & (number < schema["minimum"]), "below minimum"))
+    if "maximum" in schema:
+        out.append(hit(good & (number > schema["maximum"]), "above maximum"))
+    if "minLength" in schema:
+        out.append(hit(good & (F.length(value) < schema["minLength"]), "too short"))
+    if "maxLength" in schema:
+        out.append(hit(good & (F.length(value) > schema["maxLength"]), "too long"))
+    if "pattern" in schema:
+        out.append(hit(good & ~value.rlike(schema["pattern"]), "does not match pattern"))
+    if schema.get("format") in _FORMAT:
+        out.append(hit(good & ~value.rlike(_FORMAT[schema["format"]]), f"not a {schema['format']}"))
+    need = set(schema.get("required", []))
+    for name, sub in schema.get("properties", {}).items():
+        deeper = _checks(col, sub, root, f"{path}.{name}", name in need)
+        out += deeper if path == "$" else [F.when(value.isNotNull(), d) for d in deeper]
+    return out
+
+
+def check(messages: DataFrame, col: str, contract: dict[str, Any], schema: dict[str, Any] | None = None) -> DataFrame:
+    """Rows of `messages` with `path` and `problem`, one per violation; the contract becomes one projection."""
+    checks = _checks(col, schema or contract, contract, "$", False)
+    return messages.withColumn("_p", F.explode(F.array_compact(F.array(*checks)))).select(*messages.columns, "_p.path", "_p.problem")
