@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from airlens.operators.ordered import sealed, with_previous
+from airlens.operators.ordered import sealed, with_lags, with_previous
 
 c = F.col
 # fixed values
@@ -20,14 +20,19 @@ MAX_AGE_DAYS = 7.0
 N_REENTRY = 86400.0 / (2 * math.pi * math.sqrt((RE_KM + 100.0) ** 3 / MU_KM3_S2))
 
 
+def digit_sum(text: Column) -> Column:
+    """Sum of the digits, a minus counts one: characters counted once per binary place of their digit."""
+    places = [("13579-", 1), ("2367", 2), ("4567", 4), ("89", 8)]
+    size, total = F.length(text), F.lit(0)
+    for chars, weight in places:
+        total = total + weight * (size - F.length(F.translate(text, chars, "")))
+    return total
+
+
 def checksum_ok(line: Column) -> Column:
-    """Digits add up, a minus counts one; the 69th character is the sum modulo ten."""
-    body = F.substring(line, 1, 68)
-    digits = F.length(F.regexp_replace(body, "[^-]", ""))
-    for d in range(1, 10):
-        digits = digits + d * F.length(F.regexp_replace(body, f"[^{d}]", ""))
+    """The 69th character is the digit sum of the first 68 modulo ten."""
     last = F.substring(line, 69, 1)
-    return (F.length(line) >= 69) & last.rlike("^[0-9]$") & F.coalesce((digits % 10).cast("string") == last, F.lit(False))
+    return (F.length(line) >= 69) & last.rlike("^[0-9]$") & F.coalesce((digit_sum(F.substring(line, 1, 68)) % 10).cast("string") == last, F.lit(False))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -36,11 +41,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     Files are cut into slabs of lines whose ends are carried over, so one huge file is not one task.
     """
     t = lines.withColumn("text", F.rtrim("text")).filter("text <> ''")
-    slab = F.floor(c("line_no") / 100000)
-    t = with_previous(t, ["file"], slab, ["line_no"], ["text"], "p1")
-    t = t.withColumn("p1", c("p1.text"))
-    t = with_previous(t, ["file"], slab, ["line_no"], ["p1"], "p2").withColumn("p2", c("p2.p1"))
-    t = with_previous(t, ["file"], slab, ["line_no"], ["p2"], "p3").withColumn("p3", c("p3.p2"))
+    t = with_lags(t, ["file"], F.floor(c("line_no") / 100000), ["line_no"], "text", 3)
+    t = t.select("file", "line_no", "text", c("lag1").alias("p1"), c("lag2").alias("p2"), c("lag3").alias("p3"))
     pair = c("text").startswith("2 ") & c("p1").startswith("1 ")
     taken = F.coalesce(c("p2").startswith("2 ") & c("p3").startswith("1 "), F.lit(False))
     s = t.filter(pair & checksum_ok(c("p1")) & checksum_ok(c("text")))

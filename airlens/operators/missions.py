@@ -11,19 +11,12 @@ c = F.col
 LEAD_S, TAIL_S = 1800.0, 3600.0  # fixed values
 
 
-def find_launches(keys: DataFrame, launches: DataFrame) -> DataFrame:
-    """Launch of every key: the exact id, else the earliest whose name, pad or place contains it.
-
-    Ids are an equi-join. Text needs a scan of the launches per key and is only tried for keys without an id match; the
-    planner broadcasts the smaller side within its size threshold.
-    """
-    exact = keys.join(launches.withColumn("key", c("launch_id")), "key")
-    rest = keys.join(launches.select(c("launch_id").alias("key")), "key", "left_anti")
+def find_launch(launches: DataFrame, key: str) -> DataFrame:
+    """The launch with this id, else the earliest whose name, pad or place contains the text: one filter, one row."""
     hay = F.lower(F.concat_ws(" ", "name", "pad", "location"))
-    text = rest.join(launches.withColumn("_hay", hay), c("_hay").contains(F.lower(c("key"))))
-    cols = [x for x in launches.columns]
-    best = text.groupBy(*keys.columns).agg(F.min_by(F.struct(*cols), F.struct(c("window_start").isNull(), "window_start", "launch_id")).alias("_l")).select(*keys.columns, "_l.*")
-    return exact.select(*keys.columns, *cols).unionByName(best)
+    exact = c("launch_id") == key
+    hits = launches.filter(exact | hay.contains(key.lower())).withColumn("_rank", F.when(exact, 0).otherwise(1))
+    return hits.orderBy("_rank", c("window_start").asc_nulls_last(), "launch_id").limit(1).drop("_rank")
 
 
 def capture_due(launches: DataFrame, finished: DataFrame, now: float, lead_s: float = LEAD_S, tail_s: float = TAIL_S) -> DataFrame:

@@ -31,6 +31,21 @@ def with_running_max(df: DataFrame, keys: list[str], slab: Column, order: list[s
     return d.join(carry, part).withColumn(name, F.greatest(within, F.col("_carry"))).drop("_slab", "_carry", "_v")
 
 
+def with_lags(df: DataFrame, keys: list[str], slab: Column, order: list[str], col: str, n: int) -> DataFrame:
+    """Add `lag1` .. `lagn` of a column. The last n values before a slab are copied into it, whatever slabs they are in."""
+    d = df.withColumn("_slab", slab)
+    part = [*keys, "_slab"]
+    newest = W.partitionBy(*part).orderBy(*[F.desc(o) for o in order])
+    tails = d.select(*part, *order, col).withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= n)
+    tails = tails.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(*order, col))).alias("_t"))
+    before = F.flatten(F.collect_list("_t").over(W.partitionBy(*keys).orderBy("_slab").rowsBetween(-n, -1)))
+    halo = tails.withColumn("_b", before).select(*part, F.explode(F.expr(f"slice(_b, greatest(size(_b) - {n - 1}, 1), {n})")).alias("_h")).select(*part, "_h.*", F.lit(True).alias("_halo"))
+    w = W.partitionBy(*part).orderBy(*order)
+    u = d.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    u = u.select("*", *[F.lag(col, i).over(w).alias(f"lag{i}") for i in range(1, n + 1)])
+    return u.filter(~F.col("_halo")).drop("_halo", "_slab")
+
+
 def sealed(df: DataFrame) -> DataFrame:
     """Stop filters and inferred null checks from being pushed below long formulas, which would repeat them."""
     return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -18,6 +18,20 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(inter, a["w"] * a["h"] + b["w"] * b["h"] - inter), F.lit(0.0))
 
 
+def overlaps(dets: DataFrame, edge: float = 0.1) -> DataFrame:
+    """Overlapping boxes of an image: boxes are copied to the grid cells they touch and meet there.
+
+    A pair shares several cells; it is kept in the one that holds the corner of the overlap, so nothing is distinct-ed.
+    """
+    x0, y0 = F.floor((c("cx") - c("w") / 2) / edge), F.floor((c("cy") - c("h") / 2) / edge)
+    d = dets.select("image", "det_id", F.struct("cx", "cy", "w", "h").alias("box"), x0.alias("x0"), y0.alias("y0"), F.floor((c("cx") + c("w") / 2) / edge).alias("x1"), F.floor((c("cy") + c("h") / 2) / edge).alias("y1"))
+    d = d.withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1"))).drop("x1", "y1")
+    a, b = d.alias("a"), d.alias("b")
+    j = a.join(b, (c("a.image") == c("b.image")) & (c("a.gx") == c("b.gx")) & (c("a.gy") == c("b.gy")) & (c("a.det_id") < c("b.det_id")))
+    j = j.filter((c("a.gx") == F.greatest("a.x0", "b.x0")) & (c("a.gy") == F.greatest("a.y0", "b.y0")))
+    return j.select("a.image", c("a.det_id").alias("a"), c("b.det_id").alias("b"), iou(c("a.box"), c("b.box")).alias("iou")).filter("iou > 0")
+
+
 def occupancy(dets: DataFrame, zones: DataFrame) -> DataFrame:
     """Detections per image and zone, zeros included; zones (zone, polygon [[x, y]], capacity) are joined by image set."""
     pairs = dets.join(zones, "site").filter(point_in_polygon(c("cx"), c("cy"), c("polygon")))

@@ -39,14 +39,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     body2 = f"concat('2 ', lpad(cast(norad as string), 5, '0'), ' ', {_dec('inc4', 4, 8)}, ' ', {_dec('raan4', 4, 8)}, ' ', lpad(cast(ecc7 as string), 7, '0'), ' ', {_dec('argp4', 4, 8)}, ' ', {_dec('m4', 4, 8)}, ' ', {_dec('n8', 8, 11)}, '00001')"
     o = o.selectExpr("k", "file", "norad", f"{body1} as b1", f"{body2} as b2")
 
-    def total(b: str):
-        x = F.length(F.regexp_replace(b, "[^-]", ""))
-        for d in range(1, 10):
-            x = x + d * F.length(F.regexp_replace(b, f"[^{d}]", ""))
-        return x
-
     bad = F.when(c("k") % 97 == 0, 1).otherwise(0)
-    o = o.withColumn("l1", F.concat("b1", ((total("b1") + bad) % 10).cast("string"))).withColumn("l2", F.concat("b2", (total("b2") % 10).cast("string")))
+    o = o.withColumn("l1", F.concat("b1", ((el.digit_sum(c("b1")) + bad) % 10).cast("string"))).withColumn("l2", F.concat("b2", (el.digit_sum(c("b2")) % 10).cast("string")))
     name = F.when(c("k") % 4 != 3, F.concat(F.lit("OBJ-"), c("norad").cast("string")))
     rows = F.array_compact(F.array(F.when(name.isNotNull(), F.struct(F.lit(0).alias("i"), name.alias("text"))), F.struct(F.lit(1).alias("i"), c("l1").alias("text")), F.struct(F.lit(2).alias("i"), c("l2").alias("text"))))
     return o.select("file", "k", F.inline(rows)).select(c("file").cast("string").alias("file"), (c("k") * 3 + c("i")).alias("line_no"), "text")

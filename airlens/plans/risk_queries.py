@@ -122,25 +122,24 @@ def mission_dossier(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("launch_id", "name", "status", "aircraft", "volumes", (c("aircraft") > 0).cast("int").alias("lch_001"))
 
 
-_KEYW = "supplier#0000000"
-
-
-@query("launch_lookup", f"""WITH k AS (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN concat('L', n_nationkey) ELSE concat('#00000000', n_nationkey % 10) END AS key FROM nation), l AS (SELECT launch_id, name, lower(concat_ws(' ', name, pad, location)) AS hay, window_start FROM (SELECT {', '.join(places._LCH)} FROM supplier) AS q)
-  SELECT n_nationkey, key, launch_id FROM k JOIN l ON l.launch_id = k.key OR contains(hay, lower(k.key)) QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY CASE WHEN launch_id = key THEN 0 ELSE 1 END, window_start NULLS LAST, launch_id) = 1""")
+@query("launch_lookup", f"""WITH l AS (SELECT launch_id, name, lower(concat_ws(' ', name, pad, location)) AS hay, window_start FROM (SELECT {', '.join(places._LCH)} FROM supplier) AS q)
+  (SELECT 'L7' AS key, launch_id, name FROM l WHERE launch_id = 'L7' OR contains(hay, 'l7') ORDER BY launch_id <> 'L7', window_start NULLS LAST, launch_id LIMIT 1)
+  UNION ALL (SELECT 'Pad 3', launch_id, name FROM l WHERE launch_id = 'Pad 3' OR contains(hay, 'pad 3') ORDER BY launch_id <> 'Pad 3', window_start NULLS LAST, launch_id LIMIT 1)""")
 def launch_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """PRJ-14: exact id first, else text, earliest window; every key is one filter over the launches."""
-    from airlens.operators.missions import find_launches
+    """PRJ-14: by id and by text."""
+    from airlens.operators.missions import find_launch
 
-    k = spark.read.parquet(f"{sf}/nation.parquet").selectExpr("n_nationkey", "case when n_nationkey % 2 = 0 then concat('L', cast(n_nationkey as string)) else concat('#00000000', cast(n_nationkey % 10 as string)) end as key")
-    return find_launches(k, places.launches(spark, sf)).select("n_nationkey", "key", "launch_id")
+    l = places.launches(spark, sf)
+    pick = lambda k: find_launch(l, k).select(F.lit(k).alias("key"), "launch_id", "name")
+    return pick("L7").unionByName(pick("Pad 3"))
 
 
-@query("capture_due", f"""WITH {places.LCH_CTE} SELECT launch_id, w0 - {places.NOW} AS starts_in_s, row_number() OVER (ORDER BY w0, launch_id) = 1 AS picked FROM lch WHERE {places.NOW} BETWEEN w0 - 1800 AND w1 - 1 + 3600 AND launch_id NOT IN (SELECT concat('L', s_suppkey) FROM supplier WHERE s_suppkey % 5 = 0)""")
+@query("capture_due", f"""WITH {places.LCH_CTE} SELECT launch_id, w0 - {places.NOW} AS starts_in_s, row_number() OVER (ORDER BY w0, launch_id) = 1 AS picked FROM lch WHERE {places.NOW} BETWEEN w0 - 1800 AND w1 - 1 + 3600 AND launch_id NOT IN (SELECT concat('L', s_suppkey) FROM supplier WHERE s_acctbal < 2000)""")
 def capture_due(spark: SparkSession, sf: str) -> DataFrame:
     """SCL-23: launches whose window is near, finished ones left out, the earliest picked."""
     from airlens.operators.missions import capture_due as due
 
-    done = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_suppkey % 5 = 0").select(F.concat(F.lit("L"), c("s_suppkey").cast("string")).alias("launch_id"))
+    done = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_acctbal < 2000").select(F.concat(F.lit("L"), c("s_suppkey").cast("string")).alias("launch_id"))
     return due(places.launches(spark, sf), done, places.NOW)
 
 

@@ -198,14 +198,15 @@ def conjunction_events(spark: SparkSession, sf: str) -> DataFrame:
     return cj.events(_ledger(spark, sf)).select("pair", "bucket", "messages", F.round(c("max_pc") * 1e6, 7).alias("max_pc_e6"), "latest_message_id", F.round(c("latest_pc") * 1e6, 7).alias("latest_pc_e6"), "trend")
 
 
-@query("ledger_new_messages", """WITH inbox AS (SELECT concat('M', o_custkey % 600) AS message_id, o_orderstatus AS sha256 FROM orders), led AS (SELECT concat('M', o_custkey % 600) AS message_id, o_orderstatus AS sha256 FROM orders WHERE o_custkey % 600 < 300)
+@query("ledger_new_messages", """WITH inbox AS (SELECT concat('M', o_custkey) AS message_id, o_orderstatus AS sha256 FROM orders), led AS (SELECT concat('M', c_custkey) AS message_id, CASE WHEN c_acctbal > 3000 THEN 'F' ELSE 'O' END AS sha256 FROM customer)
   SELECT DISTINCT message_id, sha256 FROM inbox WHERE (message_id, sha256) NOT IN (SELECT (message_id, sha256) FROM led)""")
 def ledger_new_messages(spark: SparkSession, sf: str) -> DataFrame:
     """SNK-05 and SET-05: messages not yet in the ledger."""
     from airlens.sources.sinks import new_messages
 
-    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat(F.lit("M"), (c("o_custkey") % 600).cast("string")).alias("message_id"), c("o_orderstatus").alias("sha256"), (c("o_custkey") % 600).alias("n"))
-    return new_messages(o, o.filter("n < 300")).select("message_id", "sha256")
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat(F.lit("M"), c("o_custkey").cast("string")).alias("message_id"), c("o_orderstatus").alias("sha256"))
+    led = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("M"), c("c_custkey").cast("string")).alias("message_id"), F.when(c("c_acctbal") > 3000, "F").otherwise("O").alias("sha256"))
+    return new_messages(o, led).select("message_id", "sha256")
 
 
 @query("ledger_restricted_share", f"SELECT count(*) AS rows, count(restricted) AS restricted_rows, round(avg(CAST(restricted IS NOT NULL AS INT)), 4) AS restricted_share FROM (SELECT {', '.join(_LED)} FROM orders) AS q")

@@ -91,25 +91,28 @@ def notice_headlines(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", tx.headline(c("text")).alias("headline"))
 
 
-# ---- log chains: a conversation is a log, built link by link and then damaged in some logs
+# ---- log chains: a conversation is a log; some logs are damaged
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.concat_ws("|", "role", F.sha2("text", 256)).alias("core"))
-    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "core"))).alias("ts"))
-    step = ("aggregate(ts, named_struct('prev', repeat('0', 64), 'n', 0, 'out', cast(array() as array<struct<line:int,seq:int,prev:string,hash:string,body:string>>)), (s, x) -> named_struct("
-            "'prev', sha2(concat_ws('|', s.n + 1, x.core, s.prev), 256), 'n', s.n + 1, 'out', concat(s.out, array(named_struct('line', s.n + 1, 'seq', s.n + 1, 'prev', s.prev, 'hash', sha2(concat_ws('|', s.n + 1, x.core, s.prev), 256), 'body', concat_ws('|', s.n + 1, x.core, s.prev))))), s -> s.out)")
-    e = g.select(c("conv_id").alias("log"), F.inline(F.expr(step)))
-    e = e.withColumn("body", F.when((c("log") % 5 == 1) & (c("line") == 2), F.concat("body", F.lit("x"))).otherwise(c("body")))  # edited
-    return e.filter("not (log % 5 = 2 and line = 2)").withColumn("hash", F.when((c("log") % 5 == 3) & (c("line") == 1), None).otherwise(c("hash")))  # deleted; unchained
+    from airlens.operators.ordered import with_previous
 
+    t = spark.read.parquet(f"{sf}/conversations.parquet").select(c("conv_id").alias("log"), (c("turn") + 1).alias("line"), (c("turn") + 1).alias("seq"), F.concat_ws("|", c("turn") + 1, "role", F.sha2("text", 256)).alias("body"))
+    t = with_previous(t.withColumn("hash", F.sha2("body", 256)), ["log"], F.floor(c("line") / 1000), ["line"], ["hash"], "p")
+    t = t.withColumn("prev", F.coalesce("p.hash", F.lit(tx.GENESIS))).drop("p")
+    t = t.withColumn("body", F.when((c("log") % 5 == 1) & (c("line") == 2), F.concat("body", F.lit("x"))).otherwise(c("body")))  # edited
+    t = t.withColumn("prev", F.when((c("log") % 5 == 2) & (c("line") == 3), F.lit("0")).otherwise(c("prev")))  # reordered
+    return t.withColumn("hash", F.when((c("log") % 5 == 3) & (c("line") == 1), None).otherwise(c("hash")))  # from before chaining
 
-_LOGS = """cv AS (SELECT conv_id AS log, count(*) AS n FROM conversations GROUP BY ALL)"""
 
+_LOGS = """l0 AS (SELECT conv_id AS log, turn + 1 AS line, turn + 1 AS seq, concat_ws('|', turn + 1, role, sha256(text)) AS body FROM conversations), l1 AS (SELECT *, sha256(body) AS h, coalesce(lag(sha256(body)) OVER (PARTITION BY log ORDER BY line), repeat('0', 64)) AS pv FROM l0),
+l2 AS (SELECT log, line, seq, CASE WHEN log % 5 = 1 AND line = 2 THEN body || 'x' ELSE body END AS body, CASE WHEN log % 5 = 2 AND line = 3 THEN '0' ELSE pv END AS prev, CASE WHEN log % 5 = 3 AND line = 1 THEN NULL ELSE h END AS hash FROM l1),
+l3 AS (SELECT *, coalesce(lag(hash) OVER w, repeat('0', 64)) AS want, coalesce(lag(seq) OVER w, 0) AS ps FROM l2 WHERE hash IS NOT NULL WINDOW w AS (PARTITION BY log ORDER BY line)),
+bad AS (SELECT log, line, CASE WHEN prev <> want THEN 'previous-hash link broken' WHEN seq <> ps + 1 THEN 'sequence gap' WHEN sha256(body) <> hash THEN 'content does not match its hash' END AS reason FROM l3)"""
 
-@query("log_chain_verification", f"""WITH {_LOGS} SELECT log, n - CASE WHEN log % 5 = 2 AND n >= 2 THEN 1 ELSE 0 END AS entries, CASE WHEN log % 5 = 3 THEN 1 ELSE 0 END AS legacy,
-  NOT ((log % 5 = 1 AND n >= 2) OR (log % 5 = 2 AND n >= 3) OR (log % 5 = 3 AND n >= 2)) AS ok, CAST(CASE WHEN log % 5 = 1 AND n >= 2 THEN 2 WHEN log % 5 = 2 AND n >= 3 THEN 3 WHEN log % 5 = 3 AND n >= 2 THEN 2 END AS INTEGER) AS first_bad,
-  CASE WHEN log % 5 = 1 AND n >= 2 THEN 'content does not match its hash' WHEN (log % 5 = 2 AND n >= 3) OR (log % 5 = 3 AND n >= 2) THEN 'previous-hash link broken' END AS reason FROM cv""")
+
+@query("log_chain_verification", f"""WITH {_LOGS} SELECT log, entries, legacy, first_bad IS NULL AS ok, first_bad, reason FROM (SELECT log, count(*) AS entries, count(*) - count(hash) AS legacy FROM l2 GROUP BY ALL) AS n
+  LEFT JOIN (SELECT log, min(line) AS first_bad, arg_min(reason, line) AS reason FROM bad WHERE reason IS NOT NULL GROUP BY ALL) AS b USING (log)""")
 def log_chain_verification(spark: SparkSession, sf: str) -> DataFrame:
-    """FLD-06 and WIN-20: damage is planted, the verdict is known."""
+    """FLD-06 and WIN-20."""
     return tx.verify_chain(_logs(spark, sf))
 
 
@@ -124,14 +127,12 @@ def log_entries_filtered(spark: SparkSession, sf: str) -> DataFrame:
 _ITEM = "doc_id AS id, {sha} AS sha256, substr(text, 1, 80) AS title, source AS collection, CAST(doc_id AS DOUBLE) * 60 AS modified_ts"
 
 
-@query("catalogue_reconcile", """WITH o AS (SELECT doc_id AS id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 5 <> 0)
+@query("catalogue_reconcile", """WITH o AS (SELECT doc_id AS id, sha256(lang || source) AS h FROM documents), n AS (SELECT doc_id + 100 AS id, sha256(lang || source) AS h FROM documents)
   SELECT * FROM (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' END AS change FROM o FULL OUTER JOIN n ON o.id = n.id) AS q WHERE change IS NOT NULL""")
 def catalogue_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    """SET-03: two states of one catalogue (files come and go, some change)."""
-    d = _docs(spark, sf)
-    old = d.filter("doc_id % 7 <> 0").select(c("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"))
-    new = d.filter("doc_id % 5 <> 0").select(c("doc_id").alias("id"), F.sha2(F.when(c("doc_id") % 11 == 0, F.concat("text", F.lit("x"))).otherwise(c("text")), 256).alias("sha256"))
-    return cat.reconcile(old, new)
+    """SET-03: two states of one catalogue, the second shifted by a hundred ids."""
+    d = _docs(spark, sf).select(c("doc_id").alias("id"), F.sha2(F.concat("lang", "source"), 256).alias("sha256"))
+    return cat.reconcile(d, d.withColumn("id", c("id") + 100))
 
 
 @query("catalogue_search", "SELECT page_id AS id FROM pages WHERE contains(lower(concat_ws(' ', CAST(page_id AS VARCHAR), url)), 'example.com') AND page_id * 60 >= 600")

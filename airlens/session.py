@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +32,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names; a scratch folder only where none is set (tests)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "airlens-checkpoints"))
+    """Reliable checkpoint in the shared folder the cluster names; a scratch folder only in local runs that name none."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="airlens-checkpoints-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

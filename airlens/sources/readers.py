@@ -111,7 +111,7 @@ def airport_programmes_xml(docs: DataFrame) -> DataFrame:
     for section, item in kinds.items():
         body = F.regexp_extract("xml", f"(?s)<{section}>(.*?)</{section}>", 1)
         items = F.regexp_extract_all(body, F.lit(f"(?s)<{item}>(.*?)</{item}>"), 1)
-        rows.append(F.transform(items, lambda x, s=section: F.struct(F.regexp_extract(x, "<ARPT>([^<]*)</ARPT>", 1).alias("airport"), F.lit(s).alias("kind"), F.regexp_extract(x, "<Reason>([^<]*)</Reason>", 1).alias("reason"))))
+        rows.append(F.transform(items, lambda x: F.struct(F.regexp_extract(x, "<ARPT>([^<]*)</ARPT>", 1).alias("airport"), F.lit(section).alias("kind"), F.regexp_extract(x, "<Reason>([^<]*)</Reason>", 1).alias("reason"))))
     return docs.select(F.inline(F.concat(*rows)))
 
 
