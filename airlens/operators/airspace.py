@@ -176,3 +176,10 @@ def launches_covered(launches: DataFrame, features: DataFrame, now: float, looka
     soon = (c("w1") >= now) & (c("w0") - now <= lookahead_s)
     gap = is_us() & soon & (c("volumes") == 0) & ~F.lower(F.coalesce("status", F.lit(""))).isin(IDLE_STATUS)
     return lw.select("launch_id", "volumes", is_us().alias("us_airspace"), soon.alias("within_lookahead"), gap.alias("uncovered"))
+
+
+def stale_products(features: DataFrame, products: DataFrame, now: float) -> DataFrame:
+    """TFR-003: products (product, fetched_ts) older than six hours with volumes in effect."""
+    live = features.filter(active(F.lit(now))).groupBy("product").agg(F.count(F.lit(1)).alias("active"))
+    old = products.filter(now - c("fetched_ts") > TFR_STALE_S)
+    return old.join(live, "product").select("product", "active", F.round((now - c("fetched_ts")) / 3600.0, 1).alias("age_h"), F.lit("TFR-003").alias("rule_id"), F.lit("low").alias("severity"))

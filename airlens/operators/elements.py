@@ -114,6 +114,12 @@ def stale(sets: DataFrame, now: float) -> DataFrame:
     return sets.withColumn("age_days", (now - c("epoch")) / 86400.0).filter(c("age_days") > MAX_AGE_DAYS)
 
 
+def unusable(sets: DataFrame) -> DataFrame:
+    """ORB-003: sets that cannot be propagated (open orbit, no motion, path below the surface, missing numbers)."""
+    why = F.when(c("n_rev_day").isNull() | c("e").isNull() | c("inc_deg").isNull(), "missing numbers").when(c("e") >= 1, "open orbit").when(c("n_rev_day") <= 0, "no motion").when(c("perigee_km") < 0, "below the surface")
+    return sets.select("norad", "name", why.alias("reason"), F.lit("ORB-003").alias("rule_id")).filter("reason is not null")
+
+
 # ---- positions -----------------------------------------------------------------------------------------------
 J2 = 1.08262668e-3
 WGS84_A = 6378.137

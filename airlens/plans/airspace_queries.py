@@ -61,6 +61,15 @@ def restriction_summary(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy("type").agg(F.count(F.lit(1)).alias("features"), F.count_if(c("circle").isNotNull()).alias("circles"), F.count_if(c("polygon").isNotNull()).alias("polygons"), F.count_if(asp.active(F.lit(places.NOW))).alias("active_now"))
 
 
+@query("rule_restriction_stale", f"""WITH {places.VOL_CTE}, sv AS (SELECT concat('R', s_suppkey) AS notam_id, s_nationkey AS product FROM supplier) SELECT product, count(*) AS active, round(any_value(age) / 3600, 1) AS age_h, 'TFR-003' AS rule_id, 'low' AS severity
+  FROM (SELECT sv.product, sv.product * 1800.0 AS age FROM vol AS v JOIN sv USING (notam_id) WHERE {places.ACTIVE.format(ts=places.NOW)}) AS q WHERE age > 21600 GROUP BY ALL""")
+def rule_restriction_stale(spark: SparkSession, sf: str) -> DataFrame:
+    """RUL-34 (stale product): a nation's volumes are a product."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("R"), c("s_suppkey").cast("string")).alias("notam_id"), c("s_nationkey").alias("product"))
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(c("n_nationkey").alias("product"), (places.NOW - c("n_nationkey") * 1800.0).alias("fetched_ts"))
+    return asp.stale_products(places.volumes(spark, sf).join(s, "notam_id"), n, places.NOW)
+
+
 _NEAR = f"""near AS (SELECT f.*, l.launch_id, {S.planar('f.lat', 'f.lon', 'l.pad_lat', 'l.pad_lon')} AS nm, f.ts BETWEEN l.w0 AND l.w1 AS in_window FROM fly AS f JOIN lch AS l
   ON abs(f.lat - l.pad_lat) <= 1 WHERE {S.planar('f.lat', 'f.lon', 'l.pad_lat', 'l.pad_lon')} <= 50)"""
 _LB = f"WITH RECURSIVE {bridge.states_cte()}, {_FLY}, {places.LCH_CTE}, {_NEAR}"

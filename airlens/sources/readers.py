@@ -14,7 +14,7 @@ SOURCE_CODES = {0: "adsb", 1: "asterix", 2: "mlat", 3: "flarm"}
 ZONE_HOURS = {"UTC": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AKST": -9, "AKDT": -8, "HST": -10}
 
 
-def recordings(spark: SparkSession, path: str) -> DataFrame:
+def recordings(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """JSON-lines recordings (gzip too): one poll per line to state rows with the recording, poll number and place.
 
     Bad lines are kept apart in `_corrupt_record` by the caller's choice of mode; here they are dropped with a count
@@ -22,7 +22,9 @@ def recordings(spark: SparkSession, path: str) -> DataFrame:
     """
     from pyspark.sql.window import Window as W
 
-    b = spark.read.schema(BATCH).option("mode", "DROPMALFORMED").json(path).withColumn("recording", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    reader = spark.read.schema(BATCH).option("mode", "DROPMALFORMED")
+    reader = reader if pattern is None else reader.option("pathGlobFilter", pattern)
+    b = reader.json(path).withColumn("recording", F.element_at(F.split(F.input_file_name(), "/"), -1))
     clock = b.select("recording", "ts", "region").distinct()
     w = W.partitionBy("recording").orderBy("ts", "region")
     clock = clock.select("recording", "ts", "region", (F.row_number().over(w) - 1).alias("batch_seq"), F.lag("ts").over(w).alias("prev_batch_ts"))

@@ -173,3 +173,9 @@ def test_queries_match_their_sql(spark, sf, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     status, note, *_ = tool.compare(spark, con, sf, name, registry.QUERIES[name], registry.SQL[name])
     assert status in ("ok", "EMPTY"), note
+
+
+def test_unusable_elements(spark):
+    rows = [(1, "ok", 15.0, 0.001, 51.6, 400.0), (2, "low", 16.9, 0.1, 51.6, -300.0), (3, "none", None, 0.1, 51.6, None)]
+    r = elements.unusable(spark.createDataFrame(rows, "norad int, name string, n_rev_day double, e double, inc_deg double, perigee_km double")).collect()
+    assert {(x.norad, x.reason) for x in r} == {(2, "below the surface"), (3, "missing numbers")}
