@@ -137,7 +137,6 @@ def ground_track(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _W = "sqrt(pow((lat - a_lat) * 60, 2) + pow(((((lon - a_lon + 180) % 360) + 360) % 360 - 180) * 60 * cos(radians(a_lat)), 2))"
-_CANDGEO = _GEO.replace("geo AS", "geo AS")
 
 
 @query("rule_corridor_airports", f"""WITH {EL}, {S.dim('airports')}, grid AS (SELECT n.*, t.t_idx, {START} + t.t_idx * 60 AS ts FROM decaying AS n, (SELECT unnest(range(0, 180)) AS t_idx) AS t), eph AS (SELECT * FROM {_eph_sql('grid', 'ts')} AS q), {_GEO},

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from airlens import dims
 from airlens.operators import audit, risk
 from airlens.plans import bridge, places
 from airlens.plans import sqlbase as S
@@ -142,5 +140,3 @@ def capture_due(spark: SparkSession, sf: str) -> DataFrame:
     done = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_acctbal < 2000").select(F.concat(F.lit("L"), c("s_suppkey").cast("string")).alias("launch_id"))
     return due(places.launches(spark, sf), done, places.NOW)
 
-
-del W, dims

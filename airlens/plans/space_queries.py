@@ -118,7 +118,6 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(c("k").cast("string").alias("file"), F.concat_ws("\n", *lines).alias("text"))
 
 
-_CR = "crr, ctr, ctt, cnn"
 _CDS = f"""cd AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) * 1000 AS miss FROM (SELECT {', '.join(_CD)} FROM customer) AS q),
 cd1 AS (SELECT *, x + dx AS x2, dy AS y2, dz AS z2, CASE WHEN k % 6 = 0 THEN miss * 2 ELSE miss END AS stated FROM cd)"""
 
@@ -309,5 +308,5 @@ _LD = "launch_id, concat('2024-0', cast(1 + s_suppkey % 9 as varchar(2)), '-10')
 @query("objects_of_launch", f"WITH {_CAT}, l AS (SELECT {_LD} FROM (SELECT *, concat('L', s_suppkey) AS launch_id FROM supplier) AS q) SELECT launch_id, norad FROM l JOIN cat USING (launch_date) WHERE site IS NULL OR launch_site IS NULL OR site = launch_site")
 def objects_of_launch(spark: SparkSession, sf: str) -> DataFrame:
     """JON-14."""
-    l = spark.read.parquet(f"{sf}/supplier.parquet").withColumn("launch_id", F.concat(F.lit("L"), c("s_suppkey").cast("string"))).selectExpr(*["launch_id", "concat('2024-0', cast(1 + s_suppkey % 9 as varchar(2)), '-10') as launch_date", "case s_suppkey % 4 when 0 then 'AFETR' when 1 then 'FRGUI' else null end as site"])
+    l = spark.read.parquet(f"{sf}/supplier.parquet").withColumn("launch_id", F.concat(F.lit("L"), c("s_suppkey").cast("string"))).selectExpr("launch_id", "concat('2024-0', cast(1 + s_suppkey % 9 as varchar(2)), '-10') as launch_date", "case s_suppkey % 4 when 0 then 'AFETR' when 1 then 'FRGUI' else null end as site")
     return cat.objects_of_launch(l, _catalogue(spark, sf)).select("launch_id", "norad")
