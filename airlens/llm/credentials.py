@@ -28,7 +28,7 @@ WEAK = [
     ("endpoint", "endpoint", r"\b(?:https?|s3|ftp|sftp|ssh|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~%:@/-]+", 0, 8),
 ]
 # What a quick search must find before the pattern is matched piece by piece
-QUICK = {"assign": STRONG[0][2][:-2] + "{8,}", "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32}"}
+QUICK = {"assign": STRONG[0][2][:-2] + "{8,})", "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32}"}
 ORDER = [k[0] for k in STRONG + WEAK]
 #: roles of which one must be near, for each weak kind: all of the outer list, any of the inner
 NEEDS = {"weak_id": [["secret"]], "weak_key": [["id"]], "endpoint": [["id"], ["secret"]]}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from airlens.llm import credentials, preferences, sharding, url_rules
+from airlens.llm import compression_quality, credentials, preferences, sharding, suffix_matches, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +88,29 @@ SELECT conv_id AS pair_id, CAST(any_value(k) AS INTEGER) AS prompt_turns,
   coalesce(string_agg(loss, '' ORDER BY pos) FILTER (side = 'rejected' AND pos > k), '') AS rejected_loss
 FROM r GROUP BY conv_id"""
 
+# op3 ------------------------------------------------------------------------------------------------------------------
+
+ACCEPT = 0.7
+
+
+def fold(key: str, n: int):
+    return F.pmod(F.crc32(c(key).cast("string").cast("binary")), F.lit(n))
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> compression_quality.Model:
+    """Fitted on the labels outside the held-out quarter."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return compression_quality.fit(docs, labels.filter(fold("doc_id", 4) != 2))
+
+
+@query
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    s = compression_quality.scored(docs, quality_model(spark, sf_dir, docs), keep=["doc_id"])
+    return s.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (c("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
 # op4 ------------------------------------------------------------------------------------------------------------------
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -109,6 +132,18 @@ m AS (SELECT h.*, r_host || r_path AS rule, r_verdict, row_number() OVER (PARTIT
   FROM h LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m WHERE n = 1"""
 
+# op9 ------------------------------------------------------------------------------------------------------------------
+
+
+@query
+def op9_suffix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    found = suffix_matches.leaks(spark, table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), keep=["doc_id"])
+    ids = c("leak.item_ids")
+    longest = F.coalesce(F.array_max(c("leak.matches")["words"]), F.lit(0).cast("long"))
+    return found.select("doc_id", c("leak.words").alias("n_words"), c("leak.hit").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (c("leak.hit") > 0).alias("contaminated"), longest.alias("longest_match"))
+
+
 # op10 -----------------------------------------------------------------------------------------------------------------
 
 

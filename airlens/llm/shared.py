@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,3 +43,23 @@ def unpacked(df: DataFrame, names: list[str], *added: str) -> list[Column]:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def computed(df: DataFrame, text: str, keep: list[str], added: str, setup: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """The `keep` columns and the `added` ones (DDL), which setup()(text column of a batch) returns; nothing is shuffled.
+
+    Kept columns with an added name are replaced.
+    """
+    new = T.StructType.fromDDL(added)
+    taken = {f.name.lower() for f in new}
+    names = [k for k in keep if k.lower() not in taken]
+    schema = T.StructType([df.schema[k] for k in names] + list(new))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = setup()
+        for b in batches:
+            if b.num_rows:
+                values = compute(b.column(len(names)))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *values], [*names, *new.names])
+
+    return df.select(*[F.col(f"`{k}`") for k in names], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
