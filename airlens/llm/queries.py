@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from airlens.llm import compression_quality, credentials, preferences, sharding, suffix_matches, url_rules
+from airlens.llm import compression_quality, credentials, preferences, sharding, suffix_matches, tile_products, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,6 +132,28 @@ m AS (SELECT h.*, r_host || r_path AS rule, r_verdict, row_number() OVER (PARTIT
   FROM h LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m WHERE n = 1"""
 
+# op8 ------------------------------------------------------------------------------------------------------------------
+
+
+@query
+def op8_tile_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with a cosine of 0.95 or more, all against all."""
+    v = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return tile_products.near_duplicates(v).select("vec_id", "n_links", "component_id", "kept")
+
+
+SQL["op8_tile_products"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN m ON m.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
+
 # op9 ------------------------------------------------------------------------------------------------------------------
 
 
