@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from airlens.llm import compression_quality, credentials, preferences, sharding, suffix_matches, tile_products, url_rules
+from airlens.llm import compression_quality, credentials, lsh_forest, preferences, sharding, suffix_matches, tile_products, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,6 +132,15 @@ m AS (SELECT h.*, r_host || r_path AS rule, r_verdict, row_number() OVER (PARTIT
   FROM h LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m WHERE n = 1"""
 
+# op5 ------------------------------------------------------------------------------------------------------------------
+
+
+@query
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share four fifths of their five-word shingles."""
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 # op8 ------------------------------------------------------------------------------------------------------------------
 
 

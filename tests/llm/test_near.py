@@ -1,11 +1,18 @@
-"""Components and near-duplicate vectors against brute force."""
+"""Components, near-duplicate vectors and near-duplicate texts against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 
-from airlens.llm import graph, tile_products
+from airlens.llm import graph, lsh_forest, queries, tile_products
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def low(s):
+    return "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in s or "")
 
 
 def reach(n, pairs):
@@ -63,3 +70,64 @@ def test_near_vectors(spark, monkeypatch, rows, least_tiles):
     links = [sum(i in p for p in pairs) for i in range(len(keys))]
     assert sorted(map(str, ((r.vec_id, r.n_links, r.component_id, r.kept) for r in out.collect()))) == sorted(map(str, ((keys[i], links[i], low[i], keys[i] == low[i]) for i in range(len(keys)))))
     assert tile_products.near_duplicates(df.limit(0)).count() == 0
+
+
+def jaccard_links(texts, least=0.8):
+    sets = []
+    for t in texts:
+        w = ALNUM.findall(low(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    index = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            index.setdefault(g, []).append(i)
+    near = {(i, j) for v in index.values() if len(v) < 2000 for i in v for j in v if i < j}
+    return sets, [(i, j) for i, j in near if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+
+
+def check_near_texts(keys, texts, out, missed=0):
+    sets, pairs = jaccard_links(texts)
+    label = reach(len(texts), pairs)
+    order = lambda k: (k is not None, k)
+    for i, r in enumerate(out):
+        same = [keys[j] for j in range(len(texts)) if sets[j] == sets[i] and (sets[i] or j == i)]
+        assert r.class_id == min(same, key=order)
+        group = [keys[j] for j in range(len(texts)) if label[j] == label[i]]
+        if not missed:
+            assert r.n_links == sum(i in p for p in pairs) and r.component_id == min(group, key=order), (i, r)
+        assert r.kept == (r.component_id == keys[i])
+    return sum(r.n_links for r in out) / max(2 * len(pairs), 1)
+
+
+@pytest.mark.parametrize("rows, height", [(512, 6), (3, 12)])
+def test_near_texts(spark, monkeypatch, rows, height):
+    monkeypatch.setattr(lsh_forest, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(lsh_forest, "PAIRS", 50)
+    monkeypatch.setattr(lsh_forest, "HEIGHT", height)
+    monkeypatch.setattr(lsh_forest, "_MULTIPLIERS", np.random.default_rng(1).integers(1, 1 << 63, lsh_forest.TREES * height, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    r = random.Random(8)
+    base = [[r.choice("abcdefghij") * r.randint(1, 4) for _ in range(120)] for _ in range(4)]
+    texts = [None, "", "...", "one two", "One, two!", "one two three four five", "x " * 9000, "x " * 9000]
+    for i in range(60):
+        w = list(base[i % 4])
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = f"new{i}"
+        texts.append(" ".join(w))
+    texts += [texts[10], texts[11].upper(), texts[12].replace(" ", ", ")]
+    keys = [None if i == 14 else i for i in range(len(texts))]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(zip(keys, texts))], "doc_id long, text string, kept long").repartition(3)
+    out = lsh_forest.near_duplicates(df)
+    assert out.columns == ["doc_id", "class_id", "n_links", "component_id", "kept"]
+    got = {x.doc_id: x for x in out.collect()}
+    assert check_near_texts(keys, texts, [got[k] for k in keys]) == 1
+    assert lsh_forest.near_duplicates(df.limit(0)).count() == 0
+    stay = lsh_forest.deduplicated(df.unionByName(df.filter("doc_id = 5")))
+    assert stay.columns == df.columns
+    assert sorted(x.kept for x in stay.collect()) == sorted(i for i, k in enumerate(keys) if got[k].kept)
+
+
+def test_near_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    keys, texts = [d.doc_id for d in docs], [d.text for d in docs]
+    got = {x.doc_id: x for x in queries.QUERIES["op5_lsh_forest"](spark, "/root/testdata/sf0.01").collect()}
+    assert 0.995 <= check_near_texts(keys, texts, [got[k] for k in keys], missed=1) <= 1
