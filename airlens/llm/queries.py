@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from airlens.llm import compression_quality, credentials, lsh_forest, preferences, sharding, suffix_matches, tile_products, url_rules
+from airlens.llm import compression_quality, credentials, kneser_ney, lsh_forest, preferences, sharding, suffix_matches, tile_products, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,6 +141,18 @@ def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+# op7 ------------------------------------------------------------------------------------------------------------------
+
+
+@query
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document under a model of nine tenths of them."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", F.coalesce(fold("doc_id", 10) == 0, F.lit(False)))
+    model = kneser_ney.fit(spark, docs.filter("not held_out"))
+    s = kneser_ney.scored(docs, model, keep=["doc_id", "held_out"])
+    return s.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 # op8 ------------------------------------------------------------------------------------------------------------------
 
 
