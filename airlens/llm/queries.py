@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from airlens.llm import compression_quality, credentials, kneser_ney, lsh_forest, preferences, sharding, suffix_matches, tile_products, url_rules
+from airlens.llm import compression_quality, credentials, kneser_ney, lsh_forest, preferences, raking, sharding, suffix_matches, tile_products, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,6 +141,30 @@ def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+# op6 ------------------------------------------------------------------------------------------------------------------
+
+#: shares of sources, languages and topics are taken to these powers: the largest source weighs less
+POWERS = {"source": 0.7, "lang": 0.9, "topic": 0.9}
+
+
+def topic(text: str = "text"):
+    """What a text is about by its marks: license terms, contacts, secrets, or prose by length."""
+    t = F.coalesce(c(text), F.lit(""))
+    n = raking.token_count(t)
+    return F.when(t.contains("License"), "license").when(t.contains("@"), "contact").when(n < 50, "note").when(n < 1000, "prose").otherwise("long")
+
+
+def mix(docs: DataFrame, text: str = "text") -> DataFrame:
+    return raking.mixed(docs, {"source": c("source"), "lang": c("lang"), "topic": topic(text)}, raking.token_count(c(text)), POWERS)
+
+
+@query
+def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and fate when tokens are raked to source, language and topic."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    return mix(docs).select("doc_id", "source", "lang", topic().alias("topic"), "tokens", "weight", "probability", "drawn")
+
+
 # op7 ------------------------------------------------------------------------------------------------------------------
 
 
