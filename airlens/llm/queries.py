@@ -30,6 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 SHARDS = 8
 #: size starts at 64 bytes, so that the 32 steps of half an octave reach 4 MB
 DIMENSIONS = [sharding.Dimension("source"), sharding.Dimension("lang"), sharding.Dimension("size", "log", 2, 64.0)]
+TEXT_DIMENSIONS = [*DIMENSIONS[:2], sharding.Dimension("size", "log", 2, 64.0, "octet_length(row.text)")]
 
 
 @query

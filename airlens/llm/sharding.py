@@ -24,16 +24,18 @@ c = F.col
 
 @dataclass(frozen=True)
 class Dimension:
-    """One axis. kind: `hash` spreads the values of a category, `log` takes the binary logarithm of a number above zero
-    (`per_octave` steps an octave, `origin` is step 0). Null is step 0."""
+    """One axis: a column, or an expression over the struct `row` of all columns. kind: `hash` spreads the values of a
+    category, `log` takes the binary logarithm of a number (`per_octave` steps an octave, up to `origin` is step 0).
+    Null is step 0."""
 
     column: str
     kind: str = "hash"
     per_octave: int = 2
     origin: float = 1.0
+    expression: str | None = None
 
     def step(self, bits: int) -> Column:
-        v = c(f"row.`{self.column}`")
+        v = F.expr(self.expression) if self.expression else c(f"row.`{self.column}`")
         top = (1 << bits) - 1
         if self.kind == "hash":
             code = F.pmod(F.xxhash64(v), F.lit(1 << bits))
