@@ -178,7 +178,8 @@ def geodetic(eph: DataFrame) -> DataFrame:
 
 
 def screen(sets: DataFrame, start: float, steps: int, step_s: float, threshold_km: float, min_rel_kms: float = 0.05, fine_step_s: float = 1.0) -> DataFrame:
-    """Closest approach of every pair that comes within five thresholds on the coarse grid.
+    """Closest approach of every pair that comes within five thresholds on the coarse grid; co-moving pairs are listed
+    without a rule and a severity.
 
     Coarse pass: equi-join on (time index, cell of five thresholds), 27 neighbours on one side. Fine pass: only the
     candidate pairs, one second apart around their coarse minimum.
@@ -202,7 +203,8 @@ def screen(sets: DataFrame, start: float, steps: int, step_s: float, threshold_k
     rel = F.sqrt(sum((F.pow(c(f"pa.v{x}_kms") - c(f"pb.v{x}_kms"), 2) for x in "xyz"), F.lit(0.0)))
     fine = both.select("a", "b", "coarse_km", "ts", dist.alias("d"), rel.alias("v")).groupBy("a", "b").agg(F.first("coarse_km").alias("coarse_km"), F.min_by(F.struct("ts", "d", "v"), F.struct("d", "ts")).alias("m"))
     out = fine.select("a", "b", "coarse_km", c("m.ts").alias("tca"), c("m.d").alias("min_km"), c("m.v").alias("rel_speed_kms")).filter(c("min_km") <= threshold_km)
-    return out.withColumn("co_moving", c("rel_speed_kms") < min_rel_kms).withColumn("severity", F.when(c("min_km") < threshold_km / 2, "high").otherwise("medium"))
+    out = out.withColumn("co_moving", c("rel_speed_kms") < min_rel_kms)
+    return out.withColumn("severity", F.when(~c("co_moving"), F.when(c("min_km") < threshold_km / 2, "high").otherwise("medium"))).withColumn("rule_id", F.when(~c("co_moving"), "ORB-002"))
 
 
 def corridor_airports(track: DataFrame, width_nm: float = 50.0) -> DataFrame:

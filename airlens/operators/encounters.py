@@ -115,5 +115,5 @@ def trend(rows: DataFrame, rise: float = 1.5, at_least: int = 3) -> DataFrame:
     y = F.coalesce("violations_per_flight_hour", F.lit(0.0))
     out = rows.filter("first_ts is not null").agg(
         F.count(F.lit(1)).alias("recordings"), F.regr_slope(y, c("first_ts") / 86400.0).alias("slope"), F.min_by(y, "first_ts").alias("first_rate"), F.max_by(y, "first_ts").alias("last_rate"))
-    rising = (c("recordings") >= at_least) & (c("slope") > 0) & (c("first_rate") > 0) & (c("last_rate") >= rise * c("first_rate"))
+    rising = (c("recordings") >= at_least) & (c("slope") > 0) & ((c("first_rate") == 0) | (c("last_rate") >= rise * c("first_rate"))) & (c("last_rate") > 0)
     return out.withColumn("rising", F.coalesce(rising, F.lit(False)))

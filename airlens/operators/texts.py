@@ -25,7 +25,13 @@ MILESTONES = [
     ("abort", r"\b(abort|anomaly|hold hold hold)\b"),
 ]
 GENESIS = "0" * 64
-ASSET_KINDS = {"model": ["3ds", "obj", "stl", "glb", "gltf", "fbx", "blend", "lwo"], "image": ["png", "jpg", "jpeg", "gif", "tif", "tiff"], "archive": ["zip"], "document": ["pdf", "txt", "md"]}
+# fixed values: kind -> file extensions
+ASSET_KINDS = {
+    "model": ["glb", "gltf", "stl", "obj", "fbx", "blend", "3ds", "lwo", "lws", "dae", "usdz", "ma", "mb", "max"],
+    "image": ["png", "jpg", "jpeg", "webp", "tif", "tiff", "bmp", "exr", "hdr", "gif"],
+    "archive": ["7z", "zip", "rar", "gz", "tgz", "tar"],
+    "doc": ["pdf", "txt", "md", "json", "csv"],
+}
 
 
 def _clock(t: Column) -> Column:
@@ -76,10 +82,11 @@ def git_blob_sha1(content: Column) -> Column:
 
 
 def asset_kind(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    out = None
+    """Kind by the extension of the last path part; three digits are a part of a split archive."""
+    ext = F.lower(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"\.([^.]*)$", 1))
+    out = F.when(ext.rlike("^[0-9]{3}$"), "archive")
     for kind, exts in ASSET_KINDS.items():
-        out = F.when(ext.isin(exts), kind) if out is None else out.when(ext.isin(exts), kind)
+        out = out.when(ext.isin(exts), kind)
     return out.otherwise("other")
 
 

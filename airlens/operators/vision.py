@@ -59,7 +59,7 @@ def match(dets: DataFrame, truth: DataFrame, max_dist: float = MATCH_DIST) -> Da
     """Greedy one-to-one matching per image, by falling confidence: true and false positives and misses."""
     d = dets.groupBy("image").agg(F.array_sort(F.collect_list(F.struct((-c("conf")).alias("o"), "det_id", "cx", "cy"))).alias("d"))
     t = truth.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("det_id", "cx", "cy"))).alias("t"))
-    j = d.join(t, "image", "full_outer").withColumn("t", F.coalesce("t", F.array().cast("array<struct<det_id:bigint,cx:double,cy:double>>"))).withColumn("_n", F.size(F.coalesce("d", F.array().cast(d.schema["d"].dataType))))
+    j = d.join(t, "image", "full_outer").withColumn("t", F.coalesce("t", F.array().cast(t.schema["t"].dataType))).withColumn("_n", F.size(F.coalesce("d", F.array().cast(d.schema["d"].dataType))))
 
     def step(s, x):
         near = F.array_min(F.transform(s, lambda k: F.struct(F.sqrt(F.pow(k["cx"] - x["cx"], 2) + F.pow(k["cy"] - x["cy"], 2)).alias("m"), k["det_id"].alias("id"))))

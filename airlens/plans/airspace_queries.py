@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from airlens.operators import airspace as asp
 from airlens.operators import corroborate as cor
 from airlens.operators import watchlist as wl
+from airlens.operators import spaceweather as swx
 from airlens.plans import bridge, places
 from airlens.plans import sqlbase as S
 from airlens.plans.registry import query
@@ -170,10 +171,21 @@ def rule_watchlist(spark: SparkSession, sf: str) -> DataFrame:
     return wl.matches(bridge.states(spark, sf), places.watch_entries(spark, sf), places.PREFIX_LENGTHS)
 
 
-@query("high_latitude_exposure", S.states() + """ SELECT recording, icao24, max(abs(lat)) AS max_abs_lat, max(coalesce(baro_alt_ft, 0)) AS max_alt_ft, count(*) AS samples, 'SWX-005' AS rule_id
-  FROM st WHERE NOT on_ground AND abs(lat) >= 33 GROUP BY ALL""")
-def high_latitude_exposure(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-15 and RUL-32 (the latitude limit lowered to where the derived traffic flies)."""
-    from airlens.operators.spaceweather import exposed_flights
+_HL = "hl AS (SELECT recording, icao24, max(abs(lat)) AS max_abs_lat, max(coalesce(baro_alt_ft, 0)) AS max_alt_ft, count(*) AS samples FROM st WHERE NOT on_ground AND abs(lat) >= 33 GROUP BY ALL)"
+
 
-    return exposed_flights(bridge.states(spark, sf), lat_min=33.0).withColumn("rule_id", F.lit("SWX-005"))
+@query("high_latitude_exposure", f"{S.states()}, {_HL} SELECT * FROM hl")
+def high_latitude_exposure(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-15 (the latitude limit lowered to where the derived traffic flies)."""
+    return swx.exposed_flights(bridge.states(spark, sf), lat_min=33.0)
+
+
+@query("rule_exposed_flights", f"""{S.states()}, {_HL}, rc AS (SELECT recording, CAST(substr(recording, 4) AS INTEGER) % 25 AS k FROM hl GROUP BY ALL),
+  cu AS (SELECT recording, concat_ws('/', CASE WHEN (k * 7) % 6 >= 4 THEN 'G' END, CASE WHEN k % 5 >= 3 THEN 'S' END) AS conditions FROM rc)
+  SELECT recording, 'SWX-005' AS rule_id, 'medium' AS severity, count(*) AS aircraft, max(max_abs_lat) AS max_abs_lat, conditions FROM hl JOIN cu USING (recording) WHERE conditions <> '' GROUP BY ALL""")
+def rule_exposed_flights(spark: SparkSession, sf: str) -> DataFrame:
+    """RUL-32: the scales of each recording's product, which is the nation of its number."""
+    hl = swx.exposed_flights(bridge.states(spark, sf), lat_min=33.0)
+    k = F.substring("recording", 4, 20).cast("int") % 25
+    scales = hl.select("recording").distinct().withColumn("g", ((k * 7) % 6).cast("int")).withColumn("s", (k % 5).cast("int"))
+    return swx.exposure_findings(hl, swx.conditions(scales).select("recording", "conditions"))

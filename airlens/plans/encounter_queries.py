@@ -109,7 +109,7 @@ def observed_risk_ratio(spark: SparkSession, sf: str) -> DataFrame:
      JOIN (SELECT recording, min(batch_ts) AS bts FROM st GROUP BY ALL) AS p USING (recording)),
   tv AS (SELECT coalesce(violations_per_flight_hour, 0) AS y, first_ts FROM tr)
   SELECT count(*) AS recordings, round(regr_slope(y, first_ts / 86400), 4) AS slope, round(arg_min(y, first_ts), 4) AS first_rate, round(arg_max(y, first_ts), 4) AS last_rate,
-   coalesce(count(*) >= 3 AND regr_slope(y, first_ts / 86400) > 0 AND arg_min(y, first_ts) > 0 AND arg_max(y, first_ts) >= 1.5 * arg_min(y, first_ts), FALSE) AS rising FROM tv""")
+   coalesce(count(*) >= 3 AND regr_slope(y, first_ts / 86400) > 0 AND (arg_min(y, first_ts) = 0 OR arg_max(y, first_ts) >= 1.5 * arg_min(y, first_ts)) AND arg_max(y, first_ts) > 0, FALSE) AS rising FROM tv""")
 def encounter_trend(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-12 and RUL-30."""
     st = bridge.states(spark, sf)
@@ -159,25 +159,28 @@ def density_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("encounter_model_marginals", f"""{_BASE}, f AS (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY recording, a, b ORDER BY batch_seq, pos_a, pos_b) = 1)
   SELECT count(*) AS encounters, round(quantile_cont(range_ft, 0.1), 2) AS range_p10, round(quantile_cont(range_ft, 0.5), 2) AS range_p50, round(quantile_cont(range_ft, 0.9), 2) AS range_p90,
-   round(quantile_cont(abs(dz_ft), 0.5), 2) AS dz_p50, round(quantile_cont(closure_ftps, 0.5), 3) AS closure_p50, round(avg(CAST(closure_ftps > 0 AS INT)), 4) AS converging_share FROM f""")
+   round(quantile_cont(abs(dz_ft), 0.1), 2) AS dz_p10, round(quantile_cont(abs(dz_ft), 0.5), 2) AS dz_p50, round(quantile_cont(abs(dz_ft), 0.9), 2) AS dz_p90, round(quantile_cont(abs(coalesce(closure_ftps, 0)), 0.5), 3) AS speed_p50, round(avg(CAST(tau_mod_s IS NOT NULL AS INT)), 4) AS converging_share FROM f HAVING count(*) >= 5""")
 def encounter_model_marginals(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-12: marginals of the first sample of every pair."""
+    """ML-12: marginals of the first sample of every pair, from five pairs on; converging: the modified tau is known."""
     s = enc.samples(bridge.states(spark, sf))
-    first = s.groupBy("recording", "a", "b").agg(F.min_by(F.struct("range_ft", "dz_ft", "closure_ftps"), F.struct("batch_seq", "pos_a", "pos_b")).alias("f")).select("f.*")
+    first = s.groupBy("recording", "a", "b").agg(F.min_by(F.struct("range_ft", "dz_ft", "closure_ftps", "tau_mod_s"), F.struct("batch_seq", "pos_a", "pos_b")).alias("f")).select("f.*")
     q = lambda col, p, d: F.round(F.percentile(col, F.lit(p)), d)
     return first.agg(
         F.count(F.lit(1)).alias("encounters"), q(c("range_ft"), 0.1, 2).alias("range_p10"), q(c("range_ft"), 0.5, 2).alias("range_p50"), q(c("range_ft"), 0.9, 2).alias("range_p90"),
-        q(F.abs("dz_ft"), 0.5, 2).alias("dz_p50"), q(c("closure_ftps"), 0.5, 3).alias("closure_p50"), F.round(F.avg((c("closure_ftps") > 0).cast("int")), 4).alias("converging_share"))
+        *[q(F.abs("dz_ft"), p, 2).alias(f"dz_p{p * 100:.0f}") for p in (0.1, 0.5, 0.9)], q(F.abs(F.coalesce("closure_ftps", F.lit(0.0))), 0.5, 3).alias("speed_p50"), F.round(F.avg(c("tau_mod_s").isNotNull().cast("int")), 4).alias("converging_share"),
+    ).filter("encounters >= 5")
 
 
 _PROP = f"list_min(list_filter(range(0, 301), lambda t: {_viol('t', 450)}))"
 _NMACT = f"list_min(list_filter(range(0, 301), lambda t: {_R2.format(t='t')} <= 250000 AND abs(dz + vz * t) <= 100))"
 
 
-@query("encounter_outcomes", f"""{_BASE}, f AS (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY recording, a, b ORDER BY batch_seq, pos_a, pos_b) = 1)
-  SELECT recording, a, b, {_PROP} AS violation_t, {_NMACT} AS nmac_t, coalesce({_NMACT} < 25, FALSE) AS nmac_unresolved FROM f""")
-def encounter_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-13: straight-line outcome of every encounter within five minutes, resolved when seen 25 s ahead."""
+_OC = f"""{_BASE}, f AS (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY recording, a, b ORDER BY batch_seq, pos_a, pos_b) = 1),
+o0 AS (SELECT recording, a, b, {_PROP} AS violation_t, {_NMACT} AS nmac_t, -(sx * vx + sy * vy) / nullif(vx * vx + vy * vy, 0) AS closest_t FROM f),
+oc AS (SELECT recording, a, b, violation_t, nmac_t, round(closest_t, 3) AS closest_t, nmac_t IS NOT NULL AND (violation_t IS NULL OR coalesce(closest_t, 0) - violation_t < 25) AS nmac_unresolved FROM o0)"""
+
+
+def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
     from airlens.functions import wellclear as wc
 
     s = enc.samples(bridge.states(spark, sf))
@@ -185,4 +188,20 @@ def encounter_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     v = [c(n) for n in ("sx", "sy", "vx", "vy")]
     near = F.filter(F.sequence(F.lit(0), F.lit(300)), lambda t: (F.pow(c("sx") + c("vx") * t, 2) + F.pow(c("sy") + c("vy") * t, 2) <= enc.NMAC_H_FT**2) & (F.abs(c("dz") + c("vz") * t) <= enc.NMAC_V_FT))
     f = f.withColumn("violation_t", wc.first_violation(*v, c("dz"), c("vz"), wc.ZTHR_FT, 300).cast("long")).withColumn("nmac_t", F.get(near, 0).cast("long"))
-    return f.select("recording", "a", "b", "violation_t", "nmac_t", F.coalesce(c("nmac_t") < 25, F.lit(False)).alias("nmac_unresolved"))
+    f = f.withColumn("closest_t", F.try_divide(-(c("sx") * c("vx") + c("sy") * c("vy")), F.nullif(c("vx") * c("vx") + c("vy") * c("vy"), F.lit(0.0))))
+    late = c("violation_t").isNull() | (F.coalesce("closest_t", F.lit(0.0)) - c("violation_t") < 25)
+    return f.select("recording", "a", "b", "violation_t", "nmac_t", F.round("closest_t", 3).alias("closest_t"), (c("nmac_t").isNotNull() & late).alias("nmac_unresolved"))
+
+
+@query("encounter_outcomes", f"{_OC} SELECT * FROM oc")
+def encounter_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-13: straight-line outcome of every encounter within five minutes; a close one is resolved when its violation
+    is projected 25 s or more before the closest point."""
+    return _outcomes(spark, sf)
+
+
+@query("encounter_risk_ratio", f"{_OC} SELECT recording, count(*) AS encounters, count(violation_t) AS violations, count(nmac_t) AS nmac_unmitigated, count(*) FILTER (nmac_unresolved) AS nmac_mitigated, round(count(*) FILTER (nmac_unresolved) / nullif(count(nmac_t), 0), 3) AS risk_ratio FROM oc GROUP BY ALL")
+def encounter_risk_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-13: close encounters left over by a manoeuvre in time, over all of them."""
+    o = _outcomes(spark, sf).groupBy("recording").agg(F.count(F.lit(1)).alias("encounters"), F.count("violation_t").alias("violations"), F.count("nmac_t").alias("nmac_unmitigated"), F.count_if("nmac_unresolved").alias("nmac_mitigated"))
+    return o.withColumn("risk_ratio", F.round(F.try_divide("nmac_mitigated", "nmac_unmitigated"), 3))

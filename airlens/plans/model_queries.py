@@ -38,7 +38,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     f = cut_lineage(model.holdout(_frame(spark, sf)))
     train = f.filter("not is_holdout")
     scale = cut_lineage(model.scaling(train))
-    nodes = model.fit(train, scale, trees=100)
+    nodes = model.fit(train, scale)
     scored = cut_lineage(model.score(f, scale, nodes))
     return model.flag(scored, model.thresholds(scored.filter("not is_holdout")))
 

@@ -13,12 +13,12 @@ _K = "cast(regexp_extract(props, '([0-9]+)', 1) as int)"
 
 
 @query("readsb_payloads", f"""WITH e AS (SELECT *, {_K} AS k FROM events) SELECT lpad(lower(to_hex(10485760 + event_id)), 6, '0') AS icao24, 1.7e9 + event_id - k / 10.0 AS ts, CASE WHEN k % 7 = 0 THEN NULL ELSE CAST(k * 400 AS DOUBLE) END AS baro_alt_ft, k % 7 = 0 AS on_ground,
-  CASE WHEN k % 5 = 0 THEN 64.0 ELSE CAST(k * 10 AS DOUBLE) END AS vrate_fpm, CASE k % 3 WHEN 0 THEN 'adsb' WHEN 1 THEN 'mlat' ELSE 'tisb' END AS position_source, round(value, 2) AS gs_kt FROM e""")
+  CASE WHEN k % 5 = 0 THEN 64.0 ELSE CAST(k * 10 AS DOUBLE) END AS vrate_fpm, CASE k % 4 WHEN 0 THEN 'adsb' WHEN 1 THEN 'mlat' WHEN 2 THEN 'tisb_other' END AS position_source, round(value, 2) AS gs_kt FROM e""")
 def readsb_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-02."""
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("k", F.expr(_K))
     ac = F.struct(F.lpad(F.lower(F.hex(10485760 + c("event_id"))), 6, "0").alias("hex"), F.when(c("k") % 7 == 0, "ground").otherwise((c("k") * 400).cast("string")).alias("alt_baro"), c("value").alias("gs"),
-                  F.when(c("k") % 5 == 0, 0).otherwise(c("k") * 10).alias("baro_rate"), F.lit(64).alias("geom_rate"), (c("k") / 10).alias("seen_pos"), F.when(c("k") % 3 == 0, "adsb_icao").when(c("k") % 3 == 1, "mlat").otherwise("tisb_other").alias("type"))
+                  F.when(c("k") % 5 == 0, 0).otherwise(c("k") * 10).alias("baro_rate"), F.lit(64).alias("geom_rate"), (c("k") / 10).alias("seen_pos"), F.when(c("k") % 4 == 0, "adsb_icao").when(c("k") % 4 == 1, "mlat").when(c("k") % 4 == 2, "tisb_other").alias("type"))
     p = e.select(F.to_json(F.struct((1.7e9 + c("event_id")).alias("now"), F.array(ac).alias("ac"))).alias("json"))
     return rd.readsb(p).select("icao24", F.round("ts", 3).alias("ts"), "baro_alt_ft", "on_ground", "vrate_fpm", "position_source", F.round("gs_kt", 2).alias("gs_kt"))
 
@@ -36,12 +36,16 @@ def array_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return rd.array_rows(p).select("icao24", "ts", F.round("baro_alt_ft", 3).alias("baro_alt_ft"), F.round("gs_kt", 3).alias("gs_kt"), F.round("vrate_fpm", 3).alias("vrate_fpm"), "on_ground", "position_source")
 
 
-@query("station_weather", """SELECT n_nationkey, concat_ws(' ', n_name, 'wind ' || coalesce(CAST(CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey * 10 END AS VARCHAR), '?') || '/' || n_regionkey || 'kt', 'vis 10', n_nationkey || 'C', CASE WHEN n_nationkey % 2 = 0 THEN 'VFR' END) AS line FROM nation""")
+@query("station_weather", """WITH r AS (SELECT s_suppkey AS k FROM supplier)
+  SELECT 'K' || k AS station, 'K' || k || ': ' || CASE WHEN k % 5 = 0 THEN 'None' ELSE CAST(k % 40 AS VARCHAR) END || 'C wind ' || CASE WHEN k % 4 = 0 THEN '?' ELSE CAST(k % 36 * 10 AS VARCHAR) END || '/' || k % 30 || 'kt' || CASE WHEN k % 3 = 0 AND k % 60 <> 0 THEN 'G' || k % 60 ELSE '' END
+   || ' vis 10+sm cover ' || CASE WHEN k % 2 = 0 THEN 'OVC' ELSE 'None' END || ' QNH ' || (1000 + k % 30) || ' | ' || CASE WHEN k % 7 = 0 THEN '' ELSE 'METAR K' || k END AS line FROM r""")
 def station_weather(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-22."""
-    n = spark.read.parquet(f"{sf}/nation.parquet")
-    k = c("n_nationkey")
-    return n.select("n_nationkey", rd.weather_line(c("n_name"), k, F.when(k % 4 == 0, None).otherwise(k * 10), c("n_regionkey"), F.lit(10), F.when(k % 2 == 0, "VFR")).alias("line"))
+    """SRC-22: station reports as JSON, several in a payload, each as one line."""
+    k = c("s_suppkey")
+    report = F.struct(F.concat(F.lit("K"), k.cast("string")).alias("icaoId"), F.when(k % 5 != 0, k % 40).alias("temp"), F.when(k % 4 != 0, k % 36 * 10).alias("wdir"), (k % 30).alias("wspd"), F.when(k % 3 == 0, k % 60).alias("wgst"),
+                      F.lit("10+").alias("visib"), F.when(k % 2 == 0, "OVC").alias("cover"), (1000 + k % 30).alias("altim"), F.when(k % 7 != 0, F.concat(F.lit("METAR K"), k.cast("string"))).alias("rawOb"))
+    p = spark.read.parquet(f"{sf}/supplier.parquet").groupBy((k - k % 10).alias("g")).agg(F.to_json(F.collect_list(report)).alias("json"))
+    return rd.weather_reports(p)
 
 
 @query("iso_times", "SELECT o_orderkey, epoch(o_orderdate) + o_orderkey % 86400 AS ts FROM orders")

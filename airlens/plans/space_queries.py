@@ -82,11 +82,11 @@ def packet_authentication(spark: SparkSession, sf: str) -> DataFrame:
     return _authenticated(spark, sf).select("event_id", "stream", "spi", "seq", "mac", "status", "replay")
 
 
-@query("rule_packets", f"""WITH {_PKS} SELECT stream, 'SPC-006' AS rule_id, 'high' AS severity, seq AS measure FROM (SELECT * FROM pk WHERE status = 'failed' QUALIFY row_number() OVER (PARTITION BY stream ORDER BY event_id) <= 20) AS a
-  UNION ALL SELECT stream, 'SPC-008', 'medium', seq FROM (SELECT * FROM pk WHERE replay QUALIFY row_number() OVER (PARTITION BY stream ORDER BY event_id) <= 20) AS b UNION ALL SELECT stream, 'SPC-007', 'low', count(*) FROM pk WHERE status IN ('unauthenticated', 'no-key') GROUP BY ALL""")
+@query("rule_packets", f"""WITH {_PKS} SELECT stream, 'SPC-006' AS rule_id, 'high' AS severity, seq AS measure FROM pk WHERE status = 'failed'
+  UNION ALL SELECT stream, 'SPC-008', 'medium', seq FROM pk WHERE replay UNION ALL SELECT stream, 'SPC-007', 'low', count(*) FROM pk WHERE status IN ('unauthenticated', 'no-key') GROUP BY ALL""")
 def rule_packets(spark: SparkSession, sf: str) -> DataFrame:
     """RUL-22."""
-    return tel.auth_findings(_authenticated(spark, sf), ["event_id"])
+    return tel.auth_findings(_authenticated(spark, sf))
 
 
 @query("packet_summary", f"WITH {_PKS} SELECT stream, count(*) AS packets, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'unauthenticated') AS unauthenticated, count(*) FILTER (status = 'no-key') AS no_key, count(*) FILTER (replay) AS replays, round(count(*) FILTER (status = 'verified') / count(*), 4) AS trusted_share FROM pk GROUP BY ALL")
@@ -255,7 +255,7 @@ def rule_debris_disposal(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- space weather: nations as products, orders as notices
 _SW = ["n_name as product_id", "cast(n_nationkey % 6 as int) as r", "cast(n_nationkey % 5 as int) as s", "cast((n_nationkey * 7) % 6 as int) as g", f"{NOW} - n_nationkey * 900 as fetched_ts"]
-_NT = ["case o_orderkey % 9 when 0 then 'GST' when 1 then 'FLR' when 2 then 'CME' else 'RBE' end as type", f"{NOW} - (o_orderkey % 400) * 1800 as issued_ts"]
+_NT = ["case o_orderkey % 9 when 0 then 'GST' when 1 then 'FLR' when 2 then 'CME' when 3 then 'SEP' when 4 then 'RBE' else 'IPS' end as type", f"{NOW} - (o_orderkey % 400) * 1800 as issued_ts"]
 
 
 @query("rule_space_weather", f"""WITH p AS (SELECT {', '.join(_SW)} FROM nation), x AS (SELECT product_id, 'SWX-001' AS rule_id, g AS l, 4 AS m, 5 AS v FROM p UNION ALL SELECT product_id, 'SWX-002', r, 3, 4 FROM p UNION ALL SELECT product_id, 'SWX-003', s, 3, 4 FROM p)
@@ -265,9 +265,9 @@ def rule_space_weather(spark: SparkSession, sf: str) -> DataFrame:
     return swx.findings(spark.read.parquet(f"{sf}/nation.parquet").selectExpr(*_SW), F.lit(NOW))
 
 
-@query("space_weather_agreement", f"""WITH p AS (SELECT {', '.join(_SW)} FROM nation), nt AS (SELECT CASE type WHEN 'GST' THEN 'G' WHEN 'FLR' THEN 'R' WHEN 'SEP' THEN 'S' END AS scale, count(*) AS n FROM (SELECT {', '.join(_NT)} FROM orders) AS q WHERE {NOW} - issued_ts BETWEEN 0 AND 172800 GROUP BY ALL),
-  x AS (SELECT product_id, 'G' AS scale, g > 0 AS o FROM p UNION ALL SELECT product_id, 'R', r > 0 FROM p UNION ALL SELECT product_id, 'S', s > 0 FROM p)
-  SELECT product_id, x.scale, coalesce(n, 0) AS notices, CASE WHEN o AND coalesce(n, 0) > 0 THEN 'both' WHEN o THEN 'swpc-only' WHEN coalesce(n, 0) > 0 THEN 'donki-only' ELSE 'quiet' END AS agreement FROM x LEFT JOIN nt ON nt.scale = x.scale""")
+@query("space_weather_agreement", f"""WITH p AS (SELECT {', '.join(_SW)} FROM nation), nt AS (SELECT CASE WHEN type IN ('GST', 'CME') THEN 'G' WHEN type = 'FLR' THEN 'R' WHEN type IN ('SEP', 'RBE') THEN 'S' END AS scale, count(*) AS n, string_agg(DISTINCT type, ',' ORDER BY type) AS types, max(issued_ts) AS latest_ts FROM (SELECT {', '.join(_NT)} FROM orders) AS q WHERE {NOW} - issued_ts <= 172800 GROUP BY ALL),
+  x AS (SELECT product_id, 'G' AS scale, CASE WHEN g >= 5 THEN 'severe' WHEN g = 4 THEN 'moderate' END AS condition FROM p UNION ALL SELECT product_id, 'R', CASE WHEN r >= 4 THEN 'severe' WHEN r = 3 THEN 'moderate' END FROM p UNION ALL SELECT product_id, 'S', CASE WHEN s >= 4 THEN 'severe' WHEN s = 3 THEN 'moderate' END FROM p)
+  SELECT product_id, x.scale, condition, coalesce(n, 0) AS notices, coalesce(types, '') AS types, latest_ts, CASE WHEN condition IS NOT NULL AND n > 0 THEN 'both' WHEN condition IS NOT NULL THEN 'swpc-only' WHEN n > 0 THEN 'donki-only' ELSE 'quiet' END AS agreement FROM x LEFT JOIN nt ON nt.scale = x.scale""")
 def space_weather_agreement(spark: SparkSession, sf: str) -> DataFrame:
     """JON-17."""
     return swx.agreement(spark.read.parquet(f"{sf}/nation.parquet").selectExpr(*_SW), spark.read.parquet(f"{sf}/orders.parquet").selectExpr(*_NT), F.lit(NOW))

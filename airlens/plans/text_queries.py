@@ -142,14 +142,14 @@ def catalogue_search(spark: SparkSession, sf: str) -> DataFrame:
     return cat.search(p, text="example.com", since_ts=600).select("id")
 
 
-_PATH = "concat(p_name, '/', p_type, '/file', p_partkey % 50, CASE p_size % 6 WHEN 0 THEN '.glb' WHEN 1 THEN '.PNG' WHEN 2 THEN '.zip' WHEN 3 THEN '.pdf' WHEN 4 THEN '.stl' ELSE '.bin' END)"
-_KIND = "CASE WHEN e IN ('3ds', 'obj', 'stl', 'glb', 'gltf', 'fbx', 'blend', 'lwo') THEN 'model' WHEN e IN ('png', 'jpg', 'jpeg', 'gif', 'tif', 'tiff') THEN 'image' WHEN e = 'zip' THEN 'archive' WHEN e IN ('pdf', 'txt', 'md') THEN 'document' ELSE 'other' END"
-_AS = f"ast AS (SELECT *, {_KIND} AS kind FROM (SELECT p_name AS subject, p_type AS category, p_size * 1000 AS bytes, {_PATH} AS path, lower(regexp_extract({_PATH}, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM part) AS q)"
+_PATH = "concat(p_name, '/', p_type, '/file', p_partkey % 50, CASE p_size % 13 WHEN 0 THEN '.glb' WHEN 1 THEN '.PNG' WHEN 2 THEN '.zip' WHEN 3 THEN '.pdf' WHEN 4 THEN '.stl' WHEN 5 THEN '.7z.001' WHEN 6 THEN '.max' WHEN 7 THEN '.exr' WHEN 8 THEN '.tgz' WHEN 9 THEN '.json' WHEN 10 THEN '' WHEN 11 THEN '.lws' ELSE '.bin' END)"
+_KIND = "CASE WHEN regexp_full_match(e, '[0-9]{3}') THEN 'archive' WHEN e IN ('glb', 'gltf', 'stl', 'obj', 'fbx', 'blend', '3ds', 'lwo', 'lws', 'dae', 'usdz', 'ma', 'mb', 'max') THEN 'model' WHEN e IN ('png', 'jpg', 'jpeg', 'webp', 'tif', 'tiff', 'bmp', 'exr', 'hdr', 'gif') THEN 'image' WHEN e IN ('7z', 'zip', 'rar', 'gz', 'tgz', 'tar') THEN 'archive' WHEN e IN ('pdf', 'txt', 'md', 'json', 'csv') THEN 'doc' ELSE 'other' END"
+_AS = f"ast AS (SELECT *, {_KIND} AS kind FROM (SELECT p_name AS subject, p_type AS category, p_size * 1000 AS bytes, {_PATH} AS path, lower(regexp_extract({_PATH}, '\\.([^./]*)$', 1)) AS e FROM part) AS q)"
 
 
 def _assets(spark: SparkSession, sf: str) -> DataFrame:
     p = spark.read.parquet(f"{sf}/part.parquet")
-    path = F.expr("concat(p_name, '/', p_type, '/file', p_partkey % 50, CASE p_size % 6 WHEN 0 THEN '.glb' WHEN 1 THEN '.PNG' WHEN 2 THEN '.zip' WHEN 3 THEN '.pdf' WHEN 4 THEN '.stl' ELSE '.bin' END)")
+    path = F.expr("concat(p_name, '/', p_type, '/file', p_partkey % 50, CASE p_size % 13 WHEN 0 THEN '.glb' WHEN 1 THEN '.PNG' WHEN 2 THEN '.zip' WHEN 3 THEN '.pdf' WHEN 4 THEN '.stl' WHEN 5 THEN '.7z.001' WHEN 6 THEN '.max' WHEN 7 THEN '.exr' WHEN 8 THEN '.tgz' WHEN 9 THEN '.json' WHEN 10 THEN '' WHEN 11 THEN '.lws' ELSE '.bin' END)")
     return p.select(c("p_name").alias("subject"), c("p_type").alias("category"), (c("p_size") * 1000).alias("bytes"), path.alias("path")).withColumn("kind", tx.asset_kind(c("path")))
 
 

@@ -9,12 +9,12 @@ from airlens.operators import vision as vi
 from airlens.plans.registry import query
 
 c = F.col
-_D = ["l_orderkey as image", "l_orderkey % 4 as site", "l_linenumber * 1000000 + l_partkey as det_id", "round(1 - l_discount * 5, 3) as conf", "(l_partkey % 20) / 20e0 + 0.02e0 as cx", "(l_suppkey % 10) / 10e0 + 0.05e0 as cy", "0.05e0 + l_tax as w", "0.08e0 as h"]
+_D = ["l_orderkey as image", "l_orderkey % 4 as site", "concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate) as det_id", "l_partkey % 2 = 1 as odd", "round(1 - l_discount * 5, 3) as conf", "(l_partkey % 20) / 20e0 + 0.02e0 as cx", "(l_suppkey % 10) / 10e0 + 0.05e0 as cy", "0.05e0 + l_tax as w", "0.08e0 as h"]
 _Z = "z AS (SELECT s AS site, 'Z' || i AS zone, i * 0.25 AS x0, i * 0.25 + 0.25 AS x1, 1 + i % 2 AS capacity FROM range(4) AS a(s), range(4) AS b(i))"
 
 
 def dets(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(*_D).dropDuplicates(["image", "det_id"])
+    return spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(*_D)
 
 
 def zones(spark: SparkSession) -> DataFrame:
@@ -23,7 +23,7 @@ def zones(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "site long, zone string, polygon array<array<double>>, capacity int")
 
 
-_DS = f"dd AS (SELECT DISTINCT ON (image, det_id) * FROM (SELECT {', '.join(_D)} FROM lineitem) AS q), {_Z}, oc AS (SELECT g.site, g.image, z.zone, z.capacity, count(dd.det_id) AS n FROM (SELECT DISTINCT site, image FROM dd) AS g JOIN z USING (site) LEFT JOIN dd ON dd.image = g.image AND dd.cx >= z.x0 AND dd.cx < z.x1 AND dd.cy < 1 GROUP BY ALL)"
+_DS = f"dd AS (SELECT {', '.join(_D)} FROM lineitem), {_Z}, oc AS (SELECT g.site, g.image, z.zone, z.capacity, count(dd.det_id) AS n FROM (SELECT DISTINCT site, image FROM dd) AS g JOIN z USING (site) LEFT JOIN dd ON dd.image = g.image AND dd.cx >= z.x0 AND dd.cx < z.x1 AND dd.cy < 1 GROUP BY ALL)"
 
 
 @query("zone_occupancy", f"WITH {_DS} SELECT site, image, zone, n AS count FROM oc")
@@ -57,5 +57,5 @@ def suppressed_detections(spark: SparkSession, sf: str) -> DataFrame:
 def detection_matching(spark: SparkSession, sf: str) -> DataFrame:
     """FLD-05: truth is the same boxes, half of them moved too far to match."""
     d = dets(spark, sf)
-    truth = d.withColumn("cx", c("cx") + F.when(c("det_id") % 2 == 1, 0.01).otherwise(0.4))
+    truth = d.withColumn("cx", c("cx") + F.when(c("odd"), 0.01).otherwise(0.4))
     return vi.match(d, truth)

@@ -47,9 +47,9 @@ def from_readsb(rows: DataFrame, now: Column) -> DataFrame:
 
     "ground" as altitude means on the ground and no altitude; a zero barometric rate falls through to the geometric one.
     """
-    ground = F.lower(c("alt_baro")) == "ground"
-    kind = F.lower(F.coalesce("type", F.lit("")))
-    source = F.when(kind.startswith("adsb"), "adsb").when(kind.startswith("mlat"), "mlat").when(kind.startswith("tisb"), "tisb").when(kind.startswith("adsc"), "adsc").when(kind != "", kind)
+    ground = c("alt_baro") == "ground"
+    kind = F.coalesce("type", F.lit(""))
+    source = F.when(kind.startswith("adsb"), "adsb").when(kind != "", kind)
     return rows.select(
         F.lower(F.trim("hex")).alias("icao24"), c("flight").alias("callsign"), c("r").alias("registration"), c("t").alias("aircraft_type"), (now - F.coalesce("seen_pos", F.lit(0.0))).alias("ts"), "lat", "lon",
         F.when(~F.coalesce(ground, F.lit(False)), c("alt_baro").try_cast("double")).alias("baro_alt_ft"), c("alt_geom").alias("geo_alt_ft"), c("gs").alias("gs_kt"), c("track").alias("track_deg"),
@@ -237,7 +237,21 @@ def detections_json(spark: SparkSession, path: str) -> DataFrame:
     return d.select("image", F.posexplode("detections").alias("det_id", "d")).select("image", "det_id", "d.*")
 
 
-def weather_line(station: Column, temp_c: Column, wind_dir: Column, wind_kt: Column, visibility: Column, category: Column) -> Column:
-    """One-line station weather."""
-    return F.concat_ws(" ", station, F.concat(F.lit("wind "), F.coalesce(wind_dir.cast("string"), F.lit("?")), F.lit("/"), F.coalesce(wind_kt.cast("string"), F.lit("?")), F.lit("kt")), F.concat(F.lit("vis "), F.coalesce(visibility.cast("string"), F.lit("?"))),
-                       F.concat(F.coalesce(temp_c.cast("string"), F.lit("?")), F.lit("C")), category)
+WEATHER = "icaoId string, temp string, wdir string, wspd string, wgst string, visib string, cover string, altim string, rawOb string"
+
+
+def weather_line(report: Column) -> Column:
+    """One line for a station report (a struct with the fields of WEATHER); what is not known reads None, wind `?`."""
+    def shown(name: str, missing: str = "None") -> Column:
+        return F.coalesce(report[name], F.lit(missing))
+
+    gust = F.when(~F.coalesce(report["wgst"], F.lit("")).isin("", "0"), F.concat(F.lit("G"), report["wgst"])).otherwise("")
+    wind = F.concat(shown("wdir", "?"), F.lit("/"), shown("wspd", "?"), F.lit("kt"), gust)
+    return F.concat(shown("icaoId"), F.lit(": "), shown("temp"), F.lit("C wind "), wind, F.lit(" vis "), shown("visib"), F.lit("sm cover "), shown("cover"), F.lit(" QNH "), shown("altim"), F.lit(" | "), F.coalesce(report["rawOb"], F.lit("")))
+
+
+def weather_reports(payloads: DataFrame) -> DataFrame:
+    """`json` with an array of station reports: station and line."""
+    fields = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in WEATHER.split(", "))
+    p = payloads.select(F.explode(F.from_json("json", f"array<struct<{fields}>>")).alias("r"))
+    return p.select(c("r.icaoId").alias("station"), weather_line(c("r")).alias("line"))
