@@ -11,31 +11,47 @@ c = F.col
 # fixed values
 FT_PER_M, KT_PER_MPS, FPM_PER_MPS = 3.28084, 1.943844, 196.8504
 SOURCE_CODES = {0: "adsb", 1: "asterix", 2: "mlat", 3: "flarm"}
-ZONE_HOURS = {"UTC": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AKST": -9, "AKDT": -8, "HST": -10}
+ZONE_HOURS = {"UTC": 0, "GMT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AKST": -9, "AKDT": -8, "HST": -10, "AST": -4, "ChST": 10}
+SPACE_REGULATION, SPACE_TYPE = "91.143", "SPACE OPERATIONS"
+PROGRAMME_KINDS = {"Ground_Delay": "ground delay program", "Ground_Stop": "ground stop", "Program": "ground stop", "Airport": "closure", "Airport_Closure": "closure", "Delay": "arrival/departure delay"}
+
+
+def _lines(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
+    """Lines of recordings with the recording and the line's place in it.
+
+    A recording is the value of a `recording=` folder if the path has one (its files follow each other by name), else
+    the file's path without its suffix, so files of equal names in two folders are two recordings.
+    """
+    reader = spark.read.schema(BATCH + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    reader = reader if pattern is None else reader.option("pathGlobFilter", pattern)
+    b = reader.json(path)
+    b = b.select(*[f"`{n}`" for n in b.columns if n != "recording"], c("_metadata.file_path").alias("_file"), c("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    folder = F.regexp_extract("_file", "/recording=([^/]+)/", 1)
+    plain = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))  # noqa: E731  (once for the address, once for the folder's name)
+    return b.withColumn("recording", F.when(folder != "", plain(plain(folder))).otherwise(F.regexp_replace("_file", r"\.(jsonl|json)(\.gz)?$", "")))
 
 
 def recordings(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """JSON-lines recordings (gzip too): one poll per line to state rows with the recording, poll number and place.
+    """JSON-lines recordings (gzip too): a line is a poll, polls count in the order of the lines.
 
-    Bad lines are kept apart in `_corrupt_record` by the caller's choice of mode; here they are dropped with a count
-    available through `corrupt_lines`.
+    One state row per reported aircraft with the recording, poll number and place. Lines that are no polls are left to
+    `corrupt_lines`; between them the two return every line.
     """
     from pyspark.sql.window import Window as W
 
-    reader = spark.read.schema(BATCH).option("mode", "DROPMALFORMED")
-    reader = reader if pattern is None else reader.option("pathGlobFilter", pattern)
-    b = reader.json(path).withColumn("recording", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    clock = b.select("recording", "ts", "region").distinct()
-    w = W.partitionBy("recording").orderBy("ts", "region")
-    clock = clock.select("recording", "ts", "region", (F.row_number().over(w) - 1).alias("batch_seq"), F.lag("ts").over(w).alias("prev_batch_ts"))
-    j = b.join(clock, ["recording", "ts", "region"]).withColumnRenamed("ts", "batch_ts")
+    b = _lines(spark, path, pattern).filter("_corrupt_record is null and states is not null")
+    place = ["_file", "_block", "_line"]
+    w = W.partitionBy("recording").orderBy(*place)
+    # the clock has a few bytes a poll; the polls' rows are joined by it, not sorted
+    clock = b.select("recording", *place, "ts").select("recording", *place, (F.row_number().over(w) - 1).alias("batch_seq"), F.lag("ts").over(w).alias("prev_batch_ts"))
+    j = b.join(clock, ["recording", *place]).withColumnRenamed("ts", "batch_ts")
     s = j.select("recording", "batch_seq", "batch_ts", "prev_batch_ts", "region", "provider", F.posexplode("states").alias("pos", "_s"))
     return s.select("recording", "batch_seq", "pos", "batch_ts", "prev_batch_ts", "region", "provider", *[c(f"_s.{n}").alias(n) for n in STATE_COLUMNS])
 
 
-def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
-    b = spark.read.schema(BATCH + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return b.filter("_corrupt_record is not null").select("_corrupt_record")
+def corrupt_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Lines that are no polls: recording, and the text where it was not JSON at all."""
+    return _lines(spark, path, pattern).filter("_corrupt_record is not null or states is null").select("recording", "_corrupt_record")
 
 
 READSB = ("hex string, flight string, r string, t string, alt_baro string, alt_geom double, gs double, track double, baro_rate double, geom_rate double, squawk string, emergency string, "
@@ -79,42 +95,74 @@ def array_rows(payloads: DataFrame) -> DataFrame:
 
 
 def _coordinate(text: Column) -> Column:
-    """'41.1N' or '72.5W' to signed degrees."""
-    v = F.regexp_extract(text, r"^([0-9.]+)", 1).try_cast("double")
-    return F.when(F.upper(text).rlike("[SW]$"), -v).otherwise(v)
+    """'41.1N' or '72.5W' to signed degrees; null for anything else."""
+    form = r"^\s*([0-9.]+)\s*([NSEW])\s*$"
+    v = F.regexp_extract(text, form, 1).try_cast("double")
+    return F.when(F.regexp_extract(text, form, 2).isin("S", "W"), -v).otherwise(v)
+
+
+def _tag(text: Column, name: str) -> Column:
+    """Text of the first such element, trimmed; null where there is none or it is empty."""
+    return F.nullif(F.trim(F.regexp_extract(text, f"<{name}(?: [^>]*)?>([^<]*)</{name}>", 1)), F.lit(""))
+
+
+def _part(text: Column, name: str) -> Column:
+    return F.regexp_extract(text, f"(?s)<{name}(?: [^>]*)?>(.*?)</{name}>", 1)
 
 
 def restrictions_xml(docs: DataFrame) -> DataFrame:
-    """`xml` column with restriction notices: id, times in UTC, limits in feet, outline or circle, centroid."""
+    """`xml` column with one restriction notice each: identity, times in UTC, limits in feet, outline and circle.
+
+    The outline has the vertices of the merged area (or else of the first area) that are no circle; fewer than three
+    are none. A vertex of kind CIR is the centre of the circle, the last one if there are several. The regulation is
+    the kind that stands directly under the notice's body, not a shape's.
+    """
     x = c("xml")
-    tag = lambda n: F.nullif(F.trim(F.regexp_extract(x, f"<{n}>([^<]*)</{n}>", 1)), F.lit(""))
+    head, body = _part(x, "Not"), _part(x, "TfrNot")
+    start_zone = F.coalesce(_tag(head, "codeTimeZone"), F.lit("UTC"))
+    end_zone = F.coalesce(_tag(head, "codeExpirationTimeZone"), start_zone)
     zones = F.create_map(*[F.lit(v) for kv in ZONE_HOURS.items() for v in kv])
-    shift = F.coalesce(F.try_element_at(zones, F.upper(F.coalesce(tag("codeTimeZone"), F.lit("UTC")))), F.lit(0))
-    when = lambda n: F.unix_timestamp(F.try_to_timestamp(F.substring(tag(n), 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))).cast("double") - shift * 3600.0
 
-    def feet(side: str) -> Column:
-        v = tag(f"valDistVer{side}").try_cast("double")
-        return F.when(F.upper(F.coalesce(tag(f"uomDistVer{side}"), F.lit("FT"))) == "FL", v * 100.0).otherwise(v)
+    def when(name: str, zone: Column) -> Column:
+        t = F.unix_timestamp(F.try_to_timestamp(F.substring(_tag(head, name), 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))).cast("double")
+        return t - F.coalesce(F.try_element_at(zones, zone), F.lit(0)) * 3600.0
 
-    vertex = F.regexp_extract_all(x, F.lit(r"(?s)<Avx>(.*?)</Avx>"), 1)
-    part = lambda v, n: F.regexp_extract(v, f"<{n}>([^<]*)</{n}>", 1)
-    points = F.transform(vertex, lambda v: F.array(_coordinate(part(v, "geoLat")), _coordinate(part(v, "geoLong"))))
-    radius = F.get(F.filter(F.transform(vertex, lambda v: part(v, "valRadiusArc").try_cast("double")), lambda r: r.isNotNull()), 0)
-    d = docs.select("*", tag("txtLocalName").alias("notam_id"), tag("codeType").alias("type"), when("dateEffective").alias("effective_ts"), when("dateExpire").alias("expire_ts"), feet("Lower").alias("lower_ft"), feet("Upper").alias("upper_ft"), points.alias("_p"), radius.alias("_r"))
-    mid = lambda i: F.aggregate("_p", F.lit(0.0), lambda s, p: s + F.get(p, i)) / F.size("_p")
-    d = d.withColumn("polygon", F.when(F.size("_p") >= 3, c("_p"))).withColumn("circle", F.when((F.size("_p") < 3) & c("_r").isNotNull(), F.struct(F.get(F.get("_p", 0), 0).alias("lat"), F.get(F.get("_p", 0), 1).alias("lon"), c("_r").alias("radius_nm"))))
-    return d.withColumn("centroid_lat", F.when(F.size("_p") > 0, mid(0))).withColumn("centroid_lon", F.when(F.size("_p") > 0, mid(1))).drop("_p", "_r", "xml")
+    def feet(side: str) -> Column:
+        v = _tag(body, f"valDistVer{side}").try_cast("double")
+        return F.when(F.upper(F.coalesce(_tag(body, f"uomDistVer{side}"), F.lit("FT"))) == "FL", v * 100.0).otherwise(v)
+
+    merged = _part(x, "abdMergedArea")
+    area = F.when(merged != "", merged).otherwise(_part(x, "Abd"))
+    each = F.transform(F.regexp_extract_all(area, F.lit(r"(?s)<Avx(?: [^>]*)?>(.*?)</Avx>"), 1), lambda v: F.struct(
+        _coordinate(_tag(v, "geoLat")).alias("lat"), _coordinate(_tag(v, "geoLong")).alias("lon"), (F.upper(F.coalesce(_tag(v, "codeType"), F.lit(""))) == "CIR").alias("round"), _tag(v, "valRadiusArc").try_cast("double").alias("r")))
+    known = F.filter(each, lambda v: v["lat"].isNotNull() & v["lon"].isNotNull())
+    # shapes nest their own kinds deeper: they are taken out before the regulation is looked for
+    regulation = _tag(F.regexp_replace(body, r"(?s)<(TFRAreaGroup|aseTFRArea|abdMergedArea|Abd)(?: [^>]*)?>.*</\1>", ""), "codeType")
+    d = docs.select("*", known.alias("_v"), start_zone.alias("time_zone"), _tag(head, "txtLocalName").alias("notam_id"), regulation.alias("regulation"), _tag(head, "codeFacility").alias("facility"), _tag(head, "txtNameUSState").alias("state"), _tag(head, "txtNameCity").alias("place"),
+                    _tag(head, "txtDescrPurpose").alias("purpose"), _tag(head, "dateIssued").alias("issued"), _tag(head, "dateEffective").alias("effective"), _tag(head, "dateExpire").alias("expire"), when("dateEffective", start_zone).alias("effective_ts"), when("dateExpire", end_zone).alias("expire_ts"),
+                    (~(F.map_contains_key(zones, start_zone) & F.map_contains_key(zones, end_zone))).alias("time_zone_assumed_utc"), feet("Lower").alias("lower_ft"), feet("Upper").alias("upper_ft"))
+    d = d.withColumn("type", F.when(c("regulation") == SPACE_REGULATION, SPACE_TYPE).otherwise(c("regulation")))
+    d = d.withColumn("_p", F.transform(F.filter("_v", lambda v: ~v["round"]), lambda v: F.array(v["lat"], v["lon"]))).withColumn("_c", F.try_element_at(F.filter("_v", lambda v: v["round"]), F.lit(-1)))
+    d = d.withColumn("polygon", F.when(F.size("_p") >= 3, c("_p"))).withColumn("vertices", F.when(F.size("_p") >= 3, F.size("_p")).otherwise(0))
+    d = d.withColumn("circle", F.when(c("_c").isNotNull(), F.struct(c("_c.lat").alias("lat"), c("_c.lon").alias("lon"), F.coalesce("_c.r", F.lit(0.0)).alias("radius_nm"))))
+    mid = lambda i: F.round(F.aggregate("polygon", F.lit(0.0), lambda s, p: s + F.get(p, i)) / F.size("polygon"), 4)
+    return d.withColumn("centroid_lat", F.coalesce(mid(0), c("circle.lat"))).withColumn("centroid_lon", F.coalesce(mid(1), c("circle.lon"))).drop("_p", "_c", "_v", "xml")
 
 
 def airport_programmes_xml(docs: DataFrame) -> DataFrame:
-    """`xml` column with an airport status page: one row per airport and section."""
-    kinds = {"Ground_Stop_List": "Program", "Ground_Delay_List": "Ground_Delay", "Arrival_Departure_Delay_List": "Delay", "Airport_Closure_List": "Airport"}
-    rows = []
-    for section, item in kinds.items():
-        body = F.regexp_extract("xml", f"(?s)<{section}>(.*?)</{section}>", 1)
-        items = F.regexp_extract_all(body, F.lit(f"(?s)<{item}>(.*?)</{item}>"), 1)
-        rows.append(F.transform(items, lambda x: F.struct(F.regexp_extract(x, "<ARPT>([^<]*)</ARPT>", 1).alias("airport"), F.lit(section).alias("kind"), F.regexp_extract(x, "<Reason>([^<]*)</Reason>", 1).alias("reason"))))
-    return docs.select(F.inline(F.concat(*rows)))
+    """`xml` column with an airport status page: one row per entry with its kind, direction, reason, delays and times."""
+    fields = ["Reason", "Avg", "Max", "Min", "Trend", "End_Time", "Start", "Reopen"]
+
+    def entry(kind: str):
+        def row(x: Column) -> Column:
+            direction = F.nullif(F.lower(F.regexp_extract(x, '<Arrival_Departure[^>]* Type="([^"]*)"', 1)), F.lit(""))
+            return F.struct(F.upper(_tag(x, "ARPT")).alias("airport"), F.lit(kind).alias("kind"), direction.alias("direction"), *[_tag(x, n).alias(n.lower()) for n in fields])
+
+        return row
+
+    items = {t: F.filter(F.regexp_extract_all("xml", F.lit(f"(?s)<{t}>(.*?)</{t}>"), 1), lambda x: _tag(x, "ARPT").isNotNull()) for t in PROGRAMME_KINDS}
+    found = [F.transform(items[t], entry(kind)) for t, kind in PROGRAMME_KINDS.items()]
+    return docs.select(F.inline(F.concat(*found)))
 
 
 LAUNCH = ("id: string, name: string, net: string, window_start: string, window_end: string, last_updated: string, url: string, status: struct<abbrev: string, name: string>, launch_service_provider: struct<name: string>, "
@@ -143,9 +191,11 @@ def satcat_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def element_files(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as (file, line_no, text) for the element parser."""
-    t = spark.read.option("wholetext", True).text(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return t.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
+    """Text files as (file, line_no, text) for the element parser, line by line; line numbers grow within a file."""
+    t = spark.read.text(path).select(c("_metadata.file_path").alias("_file"), c("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.rtrim("value").alias("text"))
+    # a block's lines are numbered in one task: the block's first byte keeps later blocks behind
+    first = t.groupBy("_file", "_block").agg(F.min("_line").alias("_first"))
+    return t.join(F.broadcast(first), ["_file", "_block"]).select(F.element_at(F.split("_file", "/"), -1).alias("file"), (c("_block") + c("_line") - c("_first")).alias("line_no"), "text")
 
 
 def message_files(spark: SparkSession, path: str) -> DataFrame:

@@ -18,19 +18,24 @@ def write_alerts(findings: DataFrame, path: str, threshold: str = "high") -> Non
     alerts(findings, threshold).write.mode("append").json(path)
 
 
-def to_batches(states: DataFrame) -> DataFrame:
+def to_batches(states: DataFrame, *more: str) -> DataFrame:
     """Back to one row per poll; the array is as long as the poll."""
     return (
         states.groupBy("recording", "batch_seq", F.col("batch_ts").alias("ts"), "provider", "region")
         .agg(F.array_sort(F.collect_list(F.struct("pos", *STATE_COLUMNS))).alias("_s"))
-        .select("recording", "ts", "provider", "region", F.lit(1).alias("schema_version"),
+        .select("recording", *more, "ts", "provider", "region", F.lit(1).alias("schema_version"),
                 F.transform("_s", lambda s: F.struct(*[s[n].alias(n) for n in STATE_COLUMNS])).alias("states"))
     )
 
 
 def write_recording(states: DataFrame, path: str) -> None:
-    """JSON lines, one poll per line, one folder per recording."""
-    to_batches(states).write.mode("append").partitionBy("recording").json(path)
+    """JSON lines, one poll per line, one folder per recording, polls in order over the files of a folder.
+
+    Ranges of (recording, poll) are written side by side, so a long recording is several files; the reader takes the
+    files of a folder by name.
+    """
+    ordered = to_batches(states, "batch_seq").repartitionByRange("recording", "batch_seq").sortWithinPartitions("recording", "batch_seq")
+    ordered.drop("batch_seq").write.mode("append").partitionBy("recording").json(path)
 
 
 def write_report(findings: DataFrame, summary: DataFrame, path: str) -> None:

@@ -19,15 +19,31 @@ def one(spark, **cols):
 
 
 def test_restriction_xml(spark):
-    xml = ("<Not><txtLocalName>4/1234</txtLocalName><dateEffective>2024-01-01T10:00:00</dateEffective><dateExpire>2024-01-01T12:00:00</dateExpire><codeTimeZone>EST</codeTimeZone></Not><codeType>SPACE</codeType>"
-           "<Avx><geoLat>41.0N</geoLat><geoLong>72.5W</geoLong></Avx><Avx><geoLat>42.0N</geoLat><geoLong>72.5W</geoLong></Avx><Avx><geoLat>42.0N</geoLat><geoLong>71.5W</geoLong></Avx><valDistVerUpper>180</valDistVerUpper><uomDistVerUpper>FL</uomDistVerUpper>")
-    r = rd.restrictions_xml(one(spark, xml=xml)).first()
-    assert r.notam_id == "4/1234" and r.upper_ft == 18000 and len(r.polygon) == 3 and r.polygon[0] == [41.0, -72.5] and r.effective_ts == 1704121200.0 and r.lower_ft is None
+    shape = "<aseTFRArea><codeType>AREA</codeType></aseTFRArea>"
+    point = lambda a, o, more="": f"<Avx><geoLat>{a}</geoLat><geoLong>{o}</geoLong>{more}</Avx>"
+    other = f"<Abd>{point('1N', '1E')}{point('2N', '1E')}{point('2N', '2E')}</Abd>"
+    ring = point("41.0N", "72.5W") + point("42.0N", "72.5W") + point("42.0N", "71.5W") + point("bad", "71.5W")
+    circle = point("40.0S", "70.0E", "<codeType>CIR</codeType><valRadiusArc>5</valRadiusArc>")
+
+    def notice(area, zone="<codeTimeZone>EST</codeTimeZone><codeExpirationTimeZone>AST</codeExpirationTimeZone>"):
+        return (f"<Not><txtLocalName>4/1234</txtLocalName><dateEffective>2024-01-01T10:00:00</dateEffective><dateExpire>2024-01-01T12:00:00</dateExpire>{zone}"
+                f"<TfrNot><TFRAreaGroup>{shape}{other}<abdMergedArea>{area}</abdMergedArea><valDistVerUpper>180</valDistVerUpper><uomDistVerUpper>FL</uomDistVerUpper></TFRAreaGroup><codeType>91.143</codeType></TfrNot></Not>")
+
+    both, lone, unknown = [rd.restrictions_xml(one(spark, xml=x)).first() for x in (notice(ring + circle), notice(circle), notice(ring, "<codeTimeZone>XYZ</codeTimeZone>"))]
+    assert (both.notam_id, both.type, both.regulation, both.upper_ft, both.lower_ft) == ("4/1234", "SPACE OPERATIONS", "91.143", 18000, None)
+    assert (both.effective_ts, both.expire_ts, both.time_zone_assumed_utc) == (1704121200.0, 1704124800.0, False)
+    assert len(both.polygon) == both.vertices == 3 and both.polygon[0] == [41.0, -72.5] and tuple(both.circle) == (-40.0, 70.0, 5.0) and both.centroid_lat == 41.6667
+    assert lone.polygon is None and lone.vertices == 0 and (lone.centroid_lat, lone.centroid_lon) == (-40.0, 70.0)
+    assert unknown.circle is None and unknown.time_zone_assumed_utc and unknown.effective_ts == 1704103200.0
 
 
 def test_status_launches_scales_and_extents(spark):
-    xml = "<Ground_Stop_List><Program><ARPT>EWR</ARPT><Reason>wind</Reason></Program></Ground_Stop_List><Airport_Closure_List><Airport><ARPT>SAN</ARPT><Reason>runway</Reason></Airport></Airport_Closure_List>"
-    assert {(r.airport, r.kind) for r in rd.airport_programmes_xml(one(spark, xml=xml)).collect()} == {("EWR", "Ground_Stop_List"), ("SAN", "Airport_Closure_List")}
+    xml = ("<Ground_Stop_List><Program><ARPT>EWR</ARPT><Reason>wind</Reason><End_Time>5 pm</End_Time></Program></Ground_Stop_List><Airport_Closure_List><Airport><ARPT>san</ARPT><Reason>runway</Reason><Start>1</Start><Reopen>2</Reopen></Airport></Airport_Closure_List>"
+           "<Ground_Delay_List><Ground_Delay><ARPT>JFK</ARPT><Reason>rain</Reason><Avg>30 minutes</Avg><Max>1 hour</Max></Ground_Delay></Ground_Delay_List><Arrival_Departure_Delay_List><Delay><ARPT>BOS</ARPT><Reason>volume</Reason><Arrival_Departure Type=\"Departure\"><Min>15</Min><Max>30</Max><Trend>Increasing</Trend></Arrival_Departure></Delay></Arrival_Departure_Delay_List>")
+    rows = {r.airport: r for r in rd.airport_programmes_xml(one(spark, xml=xml)).collect()}
+    assert {k: r.kind for k, r in rows.items()} == {"EWR": "ground stop", "SAN": "closure", "JFK": "ground delay program", "BOS": "arrival/departure delay"}
+    assert (rows["BOS"].direction, rows["BOS"].min, rows["BOS"].max, rows["BOS"].trend) == ("departure", "15", "30", "Increasing") and (rows["JFK"].avg, rows["JFK"].direction) == ("30 minutes", None)
+    assert rows["EWR"].end_time == "5 pm" and (rows["SAN"].start, rows["SAN"].reopen) == ("1", "2")
     pay = {"results": [{"id": "1", "name": "A", "net": "2024-01-01T00:00:00Z", "status": {"abbrev": "Go"}, "pad": {"name": "P", "latitude": "28.5", "longitude": "-80.5", "location": {"name": "Cape", "country_code": "USA"}}}, {"id": "2", "name": "B", "net": "2024-01-02T00:00:00Z"}]}
     rows = {r.id: r for r in rd.launches_json(one(spark, json=json.dumps(pay))).collect()}
     assert rows["1"].pad_lat == 28.5 and rows["1"].net == 1704067200.0 and rows["2"].pad_lat is None

@@ -74,11 +74,20 @@ def test_recording_round_trip_and_batch_stream(spark, sf):
 
     st = bridge.states(spark, sf)
     folder = tempfile.mkdtemp(prefix="rec-") + "/out"
-    sinks.to_batches(st).drop("recording").coalesce(1).write.json(folder)
+    two = st.unionByName(st.withColumn("recording", F.lit("copy/2")))
+    sinks.write_recording(two, folder)
     back = readers.recordings(spark, folder)
-    cols = ["batch_seq", "pos", "prev_batch_ts", "icao24", "ts", "lat", "squawk", "nic"]
-    assert back.drop("pos").count() == st.count()
-    first = st.filter("batch_seq < 40").select(*[c for c in cols if c != "pos"])
-    assert back.select(*[c for c in cols if c != "pos"]).filter("batch_seq < 40").exceptAll(first).count() == 0
+    cols = ["recording", "batch_seq", "pos", "prev_batch_ts", "icao24", "ts", "lat", "squawk", "nic"]
+    assert back.count() == two.count()
+    assert back.select(*cols).exceptAll(two.select(*cols)).count() == 0
+    # equal times are two polls, and lines that are no polls are kept apart
+    lines = tempfile.mkdtemp(prefix="rec-")
+    with open(f"{lines}/a.jsonl", "w") as f:
+        f.write('{"ts": 1, "region": "x", "states": [{"icao24": "a"}, {"icao24": "b"}]}\n{"ts": 1, "region": "x", "states": [{"icao24": "c"}]}\nbroken\n{"ts": 0, "region": "y", "states": [{"icao24": "d"}]}\n')
+    got = sorted((r.batch_seq, r.pos, r.icao24, r.prev_batch_ts) for r in readers.recordings(spark, lines).collect())
+    assert got == [(0, 0, "a", None), (0, 1, "b", None), (1, 0, "c", 1.0), (2, 0, "d", 1.0)]
+    assert [r._corrupt_record for r in readers.corrupt_lines(spark, lines).collect()] == ["broken"]
+    folder = tempfile.mkdtemp(prefix="rec-") + "/out"
+    sinks.to_batches(st).drop("recording").coalesce(1).write.json(folder)
     run(p.explode_batches(p.read_batches(spark, folder)).select("batch_ts", "icao24"), "polls")
     assert spark.table("polls").count() == st.count()
