@@ -14,7 +14,8 @@ from airlens.thresholds import DEFAULT, Thresholds
 
 
 def candidates(states: DataFrame, t: Thresholds = DEFAULT, featured: DataFrame | None = None, extra: list[DataFrame] | None = None) -> DataFrame:
-    """All candidate findings; `extra` takes watchlist or model findings in the same columns."""
+    """All candidate findings. `extra` takes findings of further phases in the same columns, such as those of
+    `watchlist.findings` and `model.findings`; their phase and rule order put them in their place within the poll."""
     featured = tracks.with_features(states, t=t) if featured is None else featured
     parts = [rules.state_findings(featured, t)]
     parts += [fn(states, t) for fn in rules.BATCH_RULES.values()]
@@ -22,9 +23,13 @@ def candidates(states: DataFrame, t: Thresholds = DEFAULT, featured: DataFrame |
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def audit(states: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Accepted, scored findings."""
-    return folds.cooldown(candidates(states, t), t)
+def audit(states: DataFrame, t: Thresholds = DEFAULT, extra: list[DataFrame] | None = None) -> DataFrame:
+    """Accepted, scored findings; extra findings go through cool-down and score like any other."""
+    return folds.cooldown(candidates(states, t, extra=extra), t)
+
+
+def by_category(accepted: DataFrame) -> DataFrame:
+    return accepted.groupBy("recording", "category").agg(F.count(F.lit(1)).alias("findings"))
 
 
 def by_severity(accepted: DataFrame) -> DataFrame:

@@ -168,7 +168,8 @@ def addresses_in_one_feed(spark: SparkSession, sf: str) -> DataFrame:
   ON lower(s.icao24) = lower(w.icao24) OR (w.callsign_prefix <> '' AND starts_with(upper(trim(coalesce(s.callsign, ''))), upper(w.callsign_prefix))) OR (w.registration <> '' AND upper(s.registration) = upper(w.registration))""")
 def rule_watchlist(spark: SparkSession, sf: str) -> DataFrame:
     """JON-10 and RUL-12."""
-    return wl.matches(bridge.states(spark, sf), places.watch_entries(spark, sf), places.PREFIX_LENGTHS)
+    m = wl.matches(bridge.states(spark, sf), places.watch_entries(spark, sf), places.PREFIX_LENGTHS)
+    return m.select("recording", "batch_seq", "pos", "icao24", "ts", "entry_id", "severity", "mode")
 
 
 _HL = "hl AS (SELECT recording, icao24, max(abs(lat)) AS max_abs_lat, max(coalesce(baro_alt_ft, 0)) AS max_alt_ft, count(*) AS samples FROM st WHERE NOT on_ground AND abs(lat) >= 33 GROUP BY ALL)"

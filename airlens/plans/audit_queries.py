@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlens.functions.scoring import SEVERITIES
-from airlens.operators import audit, folds, proximity, rules, tracks
-from airlens.plans import bridge
+from airlens.operators import audit, folds, proximity, rules, tracks, watchlist
+from airlens.plans import bridge, places
 from airlens.plans import sqlbase as S
 from airlens.plans.registry import query
 from airlens.session import cut_lineage
@@ -68,16 +68,21 @@ def rule_stream_checks(spark: SparkSession, sf: str) -> DataFrame:
     return rules.stream_findings(bridge.states(spark, sf)).select(*COLS)
 
 
-@query("finding_candidates", f"{S.candidates()} SELECT {SEL} FROM cand")
+def watched(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The watchlist's findings, for an audit that has one."""
+    return [watchlist.findings(bridge.states(spark, sf), places.watch_entries(spark, sf), places.PREFIX_LENGTHS)]
+
+
+@query("finding_candidates", f"{S.candidates(True)} SELECT {SEL} FROM cand")
 def finding_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """FLD-03 and SET-04: all candidates with their total order."""
-    return audit.candidates(bridge.states(spark, sf)).select(*COLS)
+    """FLD-03, SET-04 and RUL-12: all candidates, the watchlist's among them, with their total order."""
+    return audit.candidates(bridge.states(spark, sf), extra=watched(spark, sf)).select(*COLS)
 
 
-@query("audit_findings", f"{S.accepted()} SELECT {SEL}, occurrences, round(risk_score, 4) AS risk_score FROM accf")
+@query("audit_findings", f"{S.accepted(True)} SELECT {SEL}, occurrences, round(risk_score, 4) AS risk_score FROM accf")
 def audit_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """FLD-01 and SCL-11: the audit end to end."""
-    return audit.audit(bridge.states(spark, sf)).select(*COLS, "occurrences", F.round("risk_score", 4).alias("risk_score"))
+    """FLD-01, SCL-11 and RUL-12: the audit end to end, with a watchlist."""
+    return audit.audit(bridge.states(spark, sf), extra=watched(spark, sf)).select(*COLS, "occurrences", F.round("risk_score", 4).alias("risk_score"))
 
 
 @query("findings_by_rule", f"{S.accepted()} SELECT rule_id, count(*) AS findings, count(DISTINCT icao24) AS aircraft, CAST(sum(occurrences) AS BIGINT) AS occurrences, round(max(risk_score), 4) AS max_risk FROM accf GROUP BY ALL")
@@ -93,6 +98,12 @@ def findings_by_severity(spark: SparkSession, sf: str) -> DataFrame:
     return audit.by_severity(audit.audit(bridge.states(spark, sf))).select("recording", "severity", "findings")
 
 
+@query("findings_by_category", f"{S.accepted()} SELECT recording, category, count(*) AS findings FROM accf GROUP BY ALL")
+def findings_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-01: counts by category."""
+    return audit.by_category(audit.audit(bridge.states(spark, sf)))
+
+
 _ADSB = "NOT on_ground AND position_source LIKE 'adsb%' AND nic IS NOT NULL"
 _OK = "nic >= 7 AND coalesce(nac_p, 0) >= 8 AND coalesce(sil, 0) >= 3"
 _SUMMARY = f"""sm AS (SELECT t.*, coalesce(f.total, 0) AS findings_total, {', '.join(f'coalesce(f.{s}, 0) AS {s}' for s in SEVERITIES)} FROM (
@@ -123,11 +134,11 @@ def top_aircraft_by_risk(spark: SparkSession, sf: str) -> DataFrame:
     return audit.top_aircraft(audit.audit(bridge.states(spark, sf)))
 
 
-@query("trust_ledger", f"{S.trusted()} SELECT recording, icao24, round(trust, 4) AS trust, CAST(hits AS BIGINT) AS hits FROM trust")
+@query("trust_ledger", f"{S.trusted(True)} SELECT recording, icao24, round(trust, 4) AS trust, CAST(hits AS BIGINT) AS hits FROM trust")
 def trust_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """FLD-02."""
+    """FLD-02: trust after all findings, the watchlist's among them."""
     st = bridge.states(spark, sf)
-    cand = cut_lineage(audit.candidates(st))  # used twice: by the cool-down and for the clean rows
+    cand = cut_lineage(audit.candidates(st, extra=watched(spark, sf)))  # used twice: by the cool-down and for the clean rows
     return folds.trust_scores(st, cand, folds.cooldown(cand)).select("recording", "icao24", F.round("trust", 4).alias("trust"), "hits")
 
 

@@ -54,12 +54,7 @@ def model_persistent_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     """WIN-13: at least two flags of an aircraft within ten minutes, among its last eight flags."""
     from airlens.thresholds import DEFAULT
 
-    flags = _scored(spark, sf).filter("flag")
-    # flags are about one row in a hundred, and the window holds eight of them
-    w = W.partitionBy("recording", "icao24").orderBy("batch_seq", "pos").rowsBetween(-7, 0)
-    f = flags.withColumn("_ts", F.collect_list("ts").over(w))
-    n = F.size(F.filter("_ts", lambda t: c("ts") - t <= DEFAULT.ml_flag_window_s))
-    return f.withColumn("flagged", n).filter(c("flagged") >= DEFAULT.ml_min_flags).select("recording", "icao24", "batch_seq", "pos", F.lit("ML-001").alias("rule_id"), "severity", "flagged")
+    return model.persistent(_scored(spark, sf).filter("flag"), DEFAULT.ml_flag_window_s, DEFAULT.ml_min_flags).select("recording", "icao24", "batch_seq", "pos", F.lit("ML-001").alias("rule_id"), "severity", "flagged")
 
 
 @query("model_flag_rates")

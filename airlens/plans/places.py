@@ -28,12 +28,12 @@ _LCH = [
 _WATCH = [
     "concat('W', cast(s_suppkey as varchar(12))) as entry_id",
     "case when s_suppkey % 3 = 0 then {hex} else null end as icao24",
-    "case when s_suppkey % 3 = 1 then concat(case s_suppkey % 4 when 0 then 'ual' when 1 then 'FDX1' when 2 then 'RCH' else 'ZZT11' end, '') else null end as callsign_prefix",
-    "case when s_suppkey % 3 = 2 then concat('n', cast(100 + s_suppkey % 75 as varchar(8)), 'ab') else null end as registration",
-    "case s_suppkey % 2 when 0 then 'high' else 'critical' end as severity", "case s_suppkey % 5 when 0 then 'protect' else 'detect' end as mode",
+    "case when s_suppkey % 3 = 1 then case when s_suppkey > 12 then concat('ZZT', cast(s_suppkey as varchar(8))) when s_suppkey = 1 then 'ual' when s_suppkey = 4 then 'FDX1' when s_suppkey = 7 then 'RCH' else 'ZZT11' end else null end as callsign_prefix",
+    "case when s_suppkey % 3 = 2 then concat('n', cast(100 + s_suppkey as varchar(8)), 'ab') else null end as registration",
+    "case s_suppkey % 2 when 0 then 'high' else 'critical' end as severity", "case s_suppkey % 5 when 0 then 'protect' else 'detect' end as mode", "cast(s_suppkey as int) as ord",
 ]
 NOW = 1.7e9 + 7200 + 400
-PREFIX_LENGTHS = [3, 4, 5]
+PREFIX_LENGTHS = [3, 4, 5, 6, 7, 8]
 
 
 def _supplier(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,13 +55,13 @@ def launches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def watch_entries(spark: SparkSession, sf: str) -> DataFrame:
-    return _supplier(spark, sf).selectExpr(*[x.replace("{hex}", "lpad(lower(hex(10485760 + (s_suppkey % 75) * 37)), 6, '0')") for x in _WATCH])
+    return _supplier(spark, sf).selectExpr(*[x.replace("{hex}", "lpad(lower(hex(10485760 + s_suppkey * 37)), 6, '0')") for x in _WATCH])
 
 
 VOL_CTE = ("vol AS (SELECT *, [[clat - half, clon - half], [clat - half, clon + half], [clat, clon + half], [clat, clon], [clat + half, clon], [clat + half, clon - half]] AS poly FROM (SELECT "
            + ", ".join(_VOL) + " FROM supplier) AS q)")
 LCH_CTE = "lch AS (SELECT * FROM (SELECT *, coalesce(window_start, net) AS w0, coalesce(window_end, net) + 1 AS w1 FROM (SELECT " + ", ".join(_LCH) + " FROM supplier) AS q) AS r WHERE pad_lat IS NOT NULL)"
-WATCH_CTE = "watch AS (SELECT " + ", ".join(x.replace("{hex}", "lpad(lower(to_hex(10485760 + (s_suppkey % 75) * 37)), 6, '0')") for x in _WATCH) + " FROM supplier)"
+WATCH_CTE = "watch AS (SELECT " + ", ".join(x.replace("{hex}", "lpad(lower(to_hex(10485760 + s_suppkey * 37)), 6, '0')") for x in _WATCH) + " FROM supplier)"
 
 
 def inside_sql(lat: str, lon: str) -> str:

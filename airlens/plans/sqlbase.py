@@ -103,7 +103,7 @@ _HIGH = "(coalesce(baro_alt_ft, 0) >= 3000 AND coalesce(gs_kt, 0) >= 150)"
 _ID = f"recording, batch_seq, {{phase}} AS phase, pos, {{ord}} AS rule_ord, {{rule}} AS rule_id, {{sev}} AS severity, {{cat}} AS category, icao24, {_CS} AS callsign, ts, batch_ts, position_source, CAST({{measure}} AS DOUBLE) AS measure"
 
 
-def _r(ord_: int, rule: str, sev: str, cat: str, measure: str, where: str, src: str = "sf", phase: int = 0) -> str:
+def _r(ord_: int | str, rule: str, sev: str, cat: str, measure: str, where: str, src: str = "sf", phase: int = 0) -> str:
     q = lambda s: s if s.startswith(("CASE", "(")) else f"'{s}'"
     return "SELECT " + _ID.format(phase=phase, ord=ord_, rule=q(rule), sev=q(sev), cat=q(cat), measure=measure) + f" FROM {src} WHERE {where}"
 
@@ -166,10 +166,19 @@ DUP = _r(0, "SEC-014", "high", "security", "round(sep, 1)", "sep >= 5", "dup", 1
 PROX = _r(1, "SAF-004", "CASE WHEN sep < 1.5 AND dalt < 600 THEN 'medium' ELSE 'info' END", "safety", "round(sep, 2)", "TRUE", "prox", 1)
 
 
-def candidates() -> str:
-    """CTEs up to `cand`: every candidate finding, with its order inside the poll."""
-    union = " UNION ALL ".join([*state_rules().values(), DUP, PROX, BURST, COLLAPSE])
-    return featured() + "," + BATCH + "," + POLLS + f", cand AS ({union})"
+def _watched() -> tuple[str, str]:
+    from airlens.plans import places
+
+    join = ("wl AS (SELECT s.*, w.ord, w.severity AS wsev FROM st AS s JOIN watch AS w ON lower(s.icao24) = lower(w.icao24) OR (w.callsign_prefix <> '' AND starts_with(upper(trim(coalesce(s.callsign, ''))), upper(w.callsign_prefix)))"
+            " OR (w.registration <> '' AND upper(s.registration) = upper(w.registration)))")
+    return f"{places.WATCH_CTE}, {join}", _r("13 + ord", "SEC-020", "(wsev)", "security", "NULL", "TRUE", "wl")
+
+
+def candidates(watch: bool = False) -> str:
+    """CTEs up to `cand`: every candidate finding, with its order inside the poll; with the watchlist's if asked for."""
+    ctes, rows = _watched() if watch else ("", "")
+    union = " UNION ALL ".join([*state_rules().values(), DUP, PROX, BURST, COLLAPSE, *([rows] if watch else [])])
+    return featured() + "," + BATCH + "," + POLLS + (f", {ctes}" if watch else "") + f", cand AS ({union})"
 
 
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
@@ -200,9 +209,9 @@ tr2 AS (SELECT recording, icao24, sum(hits) AS hits, list(CAST(CASE WHEN flagged
 trust AS (SELECT recording, icao24, hits, list_reduce(list_prepend(CAST(1.0 AS DOUBLE), d), lambda s, x: least(1.0, greatest(0.0, s + x))) AS trust FROM tr2)"""
 
 
-def accepted() -> str:
-    return candidates() + "," + COOLDOWN
+def accepted(watch: bool = False) -> str:
+    return candidates(watch) + "," + COOLDOWN
 
 
-def trusted() -> str:
-    return accepted() + "," + TRUST
+def trusted(watch: bool = False) -> str:
+    return accepted(watch) + "," + TRUST
