@@ -163,3 +163,47 @@ def holding_impact(holds: DataFrame, by: list[str]) -> DataFrame:
     return holds.groupBy(*by).agg(
         F.count(F.lit(1)).alias("holds"), F.countDistinct("icao24").alias("aircraft"), F.round(m, 1).alias("observed_minutes"), F.bround(m * FUEL_KG_PER_MIN, 0).alias("fuel_kg"),
         F.bround(m * FUEL_KG_PER_MIN * CO2_PER_KG_FUEL, 0).alias("co2_kg"), F.bround(m * FUEL_KG_PER_MIN * FUEL_PRICE_PER_KG, 0).alias("fuel_cost"), F.bround(m * DELAY_COST_PER_MIN, 0).alias("delay_cost"))
+
+
+def recent_findings(states: DataFrame, accepted: DataFrame, window_s: float = 600.0) -> DataFrame:
+    """Per poll and aircraft in it: accepted findings of the last `window_s` seconds, holds among them, worst severity.
+
+    Findings are counted per poll first and meet the polls in slots of the window's length, two of which reach any poll.
+    """
+    f = accepted.filter("icao24 is not null").groupBy("recording", "icao24", c("batch_ts").alias("_at")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(c("rule_id") == "OPS-002").alias("_h"), F.min("sev_rank").alias("_s"))
+    slot = F.floor(c("_at") / window_s)
+    f = f.withColumn("_slot", F.explode(F.array(slot, slot + 1)))
+    s = states.select("recording", "icao24", "batch_seq", "batch_ts").distinct().withColumn("_slot", F.floor(c("batch_ts") / window_s))
+    j = s.join(f, ["recording", "icao24", "_slot"]).filter(c("_at").between(c("batch_ts") - window_s, c("batch_ts")))
+    return j.groupBy("recording", "icao24", "batch_seq").agg(F.sum("_n").alias("_findings"), F.sum("_h").alias("_holds"), F.min("_s").alias("_worst"))
+
+
+def with_findings(enriched: DataFrame, recent: DataFrame) -> DataFrame:
+    j = enriched.join(recent, ["recording", "icao24", "batch_seq"], "left")
+    return j.withColumn("_findings", F.coalesce("_findings", F.lit(0))).withColumn("_holds", F.coalesce("_holds", F.lit(0)))
+
+
+def _found() -> list[Column]:
+    from airlens.functions.scoring import sev_name
+
+    return [F.sum("_findings").alias("findings"), sev_name(F.min("_worst")).alias("worst")]
+
+
+def airport_findings(noted: DataFrame, programmes: DataFrame) -> DataFrame:
+    """Airports of a poll with holds, findings, worst severity and the traffic programmes (airport as IATA code, kind)."""
+    b = noted.filter("airport is not null").groupBy("recording", "batch_seq", "airport").agg(F.count(F.lit(1)).alias("nearby"), F.sum("_holds").alias("holds"), *_found())
+    p = programmes.groupBy(c("airport").alias("iata")).agg(F.concat_ws(",", F.array_sort(F.collect_list("kind"))).alias("programmes"))
+    a = dims.table(noted.sparkSession, "airports").select(c("icao").alias("airport"), "iata", "name", "city", "country")
+    return b.join(F.broadcast(a), "airport").join(p, "iata", "left").withColumn("programmes", F.coalesce("programmes", F.lit("")))
+
+
+def operator_findings(noted: DataFrame) -> DataFrame:
+    """Operators of a poll with country, phases (`phase:flights`), findings and worst severity."""
+    key = ["recording", "batch_seq", "operator_code"]
+    phases = noted.groupBy(*key, "phase").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "phase", c("n").cast("string")))), ",").alias("phases"))
+    return noted.groupBy(*key).agg(F.first("operator_country").alias("country"), F.count(F.lit(1)).alias("aircraft"), *_found()).join(phases, key)
+
+
+def type_findings(noted: DataFrame) -> DataFrame:
+    e = noted.filter("aircraft_type is not null and aircraft_type <> ''").withColumn("type_code", F.upper("aircraft_type"))
+    return e.groupBy("recording", "batch_seq", "type_code").agg(F.count(F.lit(1)).alias("aircraft"), *_found())

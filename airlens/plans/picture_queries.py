@@ -111,6 +111,42 @@ def phase_and_category_totals(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("recording", "facet", "value").agg(F.count(F.lit(1)).alias("flights"))
 
 
+_WORST = "CASE min(w) WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'info' END"
+_NOTED = f"""{S.accepted()}, {_ENRICH}, rf AS (SELECT s.recording, s.icao24, s.batch_seq, count(*) AS n, count(*) FILTER (a.rule_id = 'OPS-002') AS h, min(CASE a.severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END) AS w
+   FROM (SELECT DISTINCT recording, icao24, batch_seq, batch_ts FROM st) AS s JOIN accf AS a ON a.recording = s.recording AND a.icao24 = s.icao24 AND a.batch_ts BETWEEN s.batch_ts - 600 AND s.batch_ts GROUP BY ALL),
+  nt AS (SELECT en.*, coalesce(n, 0) AS n, coalesce(h, 0) AS h, w FROM en LEFT JOIN rf USING (recording, icao24, batch_seq))"""
+_FOUND = f"CAST(sum(n) AS BIGINT) AS findings, {_WORST} AS worst"
+
+
+def _noted(spark: SparkSession, sf: str) -> DataFrame:
+    st = bridge.states(spark, sf)
+    return eco.with_findings(eco.enrich(st), eco.recent_findings(st, audit.audit(st)))
+
+
+@query("airport_board_findings", f"""{_NOTED}, pg AS (SELECT iata, string_agg(kind, ',' ORDER BY kind) AS programmes FROM (SELECT CASE n_nationkey % 5 WHEN 0 THEN 'DFW' WHEN 1 THEN 'DAL' WHEN 2 THEN 'IAH' WHEN 3 THEN 'ATL' ELSE 'ORD' END AS iata,
+   CASE n_nationkey % 3 WHEN 0 THEN 'ground stop' WHEN 1 THEN 'closure' ELSE 'arrival/departure delay' END AS kind FROM nation) AS q GROUP BY ALL),
+  b AS (SELECT recording, batch_seq, airport, count(*) AS nearby, CAST(sum(h) AS BIGINT) AS holds, {_FOUND} FROM nt WHERE airport IS NOT NULL GROUP BY ALL)
+  SELECT b.*, a.iata, a.name, a.city, a.country, coalesce(programmes, '') AS programmes FROM b JOIN airports AS a ON a.icao = b.airport LEFT JOIN pg ON pg.iata = a.iata""")
+def airport_board_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-04: holds, findings and worst severity of the last ten minutes, and traffic programmes."""
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    pg = n.selectExpr("case n_nationkey % 5 when 0 then 'DFW' when 1 then 'DAL' when 2 then 'IAH' when 3 then 'ATL' else 'ORD' end as airport", "case n_nationkey % 3 when 0 then 'ground stop' when 1 then 'closure' else 'arrival/departure delay' end as kind")
+    return eco.airport_findings(_noted(spark, sf), pg)
+
+
+@query("operator_board_findings", f"""{_NOTED}, ph AS (SELECT recording, batch_seq, operator_code, string_agg(phase || ':' || k, ',' ORDER BY phase || ':' || k) AS phases FROM (SELECT recording, batch_seq, operator_code, phase, count(*) AS k FROM nt GROUP BY ALL) AS q GROUP BY ALL)
+  SELECT * FROM (SELECT recording, batch_seq, operator_code, any_value(operator_country) AS country, count(*) AS aircraft, {_FOUND} FROM nt GROUP BY ALL) AS b JOIN ph USING (recording, batch_seq, operator_code)""")
+def operator_board_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-05: phases, country, findings and worst severity."""
+    return eco.operator_findings(_noted(spark, sf))
+
+
+@query("type_board_findings", f"{_NOTED} SELECT recording, batch_seq, tcode AS type_code, count(*) AS aircraft, {_FOUND} FROM nt WHERE tcode IS NOT NULL GROUP BY ALL")
+def type_board_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-06: findings and worst severity."""
+    return eco.type_findings(_noted(spark, sf))
+
+
 _IBO = """ibo AS (SELECT operator_code, count(*) AS fixes, count(DISTINCT icao24) AS aircraft, round(avg(CAST(nic >= 7 AND nac_p >= 8 AND sil = 3 AS INT)), 4) AS compliance FROM en
   WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT on_ground AND coalesce(nullif(position_source, ''), 'adsb') = 'adsb' AND nic IS NOT NULL AND nac_p IS NOT NULL AND sil IS NOT NULL GROUP BY ALL HAVING count(*) >= 20)"""
 
