@@ -23,6 +23,8 @@ from airlens.llm.shared import computed, stored
 
 #: words of a benchmark block (8 bytes each) that every executor gets at once
 BLOCK_WORDS = 4_000_000
+#: bytes of text in a shard: every benchmark suffix is searched once in each
+SHARD_BYTES = 4 << 20
 #: pairs of benchmark suffix and place that are looked at together
 PAIRS = 1_000_000
 FOUND = "_found struct<words: bigint, hit: bigint, item_ids: array<string>, matches: array<struct<item_id: string, item_at: bigint, at: bigint, words: bigint>>, spans: array<struct<first: bigint, end: bigint>>>"
@@ -136,7 +138,7 @@ def _searcher(block: Block, item_ids: list[str | None], window: int):
 
     def found(texts: pa.Array) -> list[pa.Array]:
         out = []
-        for _, _, h, bounds in words.hashed(texts):
+        for _, _, h, bounds in words.hashed(texts, block=SHARD_BYTES):
             n = len(bounds) - 1
             covered, pairs, longest = _shard(h, bounds, block, window)
             # covered runs end at document borders

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _R = 0x9E3779B97F4A7C15
 _R_INVERSE = pow(_R, -1, 1 << 64)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
