@@ -242,17 +242,20 @@ def packet_stream(payloads: DataFrame) -> DataFrame:
 def geojson_extents(payloads: DataFrame) -> DataFrame:
     """Polygons and multi-polygons of a feature collection as outer rings [[lat, lon]], in file order."""
     feat = "type string, features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
-    p = payloads.select(F.from_json("json", feat).alias("p")).select(F.posexplode("p.features").alias("ordinal", "f"))
+    named = ["payload"] if "payload" in payloads.columns else []
+    p = payloads.select(*named, F.from_json("json", feat).alias("p")).select(*named, F.posexplode("p.features").alias("ordinal", "f"))
     kind, text = c("f.geometry.type"), c("f.geometry.coordinates")
     one = F.array(F.from_json(text, "array<array<array<double>>>"))
     many = F.from_json(text, "array<array<array<array<double>>>>")
     p = p.withColumn("_r", F.explode(F.when(kind == "MultiPolygon", many).otherwise(one)))
     ring = F.transform(F.get("_r", 0), lambda q: F.array(F.get(q, 1), F.get(q, 0)))
-    return p.select("ordinal", c("f.properties")["event"].alias("event"), c("f.properties")["severity"].alias("severity"), ring.alias("polygon"))
+    return p.select(*named, "ordinal", c("f.properties")["event"].alias("event"), c("f.properties")["severity"].alias("severity"), ring.alias("polygon"))
 
 
 def alert_summary(extents: DataFrame) -> DataFrame:
-    return extents.groupBy("event").agg(F.countDistinct("ordinal").alias("alerts"))
+    """Alerts by event: rings of one alert share its payload (if the rows name one) and its place in it."""
+    key = [n for n in ("payload", "ordinal") if n in extents.columns]
+    return extents.groupBy("event").agg(F.countDistinct(*key).alias("alerts"))
 
 
 def scales_json(payloads: DataFrame) -> DataFrame:
@@ -264,27 +267,63 @@ def scales_json(payloads: DataFrame) -> DataFrame:
     return p.select(*[level("0", k).alias(k.lower()) for k in "RSG"], *[level("-1", k).alias(f"{k.lower()}_24h") for k in "RSG"], F.when(F.size("kp") > 0, kp).alias("kp"), iso_seconds(c("fetched_at")).alias("fetched_ts"))
 
 
+def json_files(spark: SparkSession, path: str) -> DataFrame:
+    """Small JSON files as the `json` column of the payload readers."""
+    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "json")
+
+
+def _objects(payloads: DataFrame, schema: str) -> DataFrame:
+    """Objects of `json`, which holds one or an array of them."""
+    fields = ", ".join(f"{x.split(' ', 1)[0]}: {x.split(' ', 1)[1]}" for x in schema.split(", "))
+    return payloads.select(F.inline(F.from_json("json", f"array<struct<{fields}>>")))
+
+
+MISSION = ("name string, perigee_km double, apogee_km double, inclination_deg double, mass_kg double, area_m2 double, cd double, mission_years double, propulsion boolean, maneuverable boolean, passivation_plan boolean, disposal_plan string, "
+           "disposal_perigee_raise_km double, planned_releases int, trackable boolean, casualty_risk double, demisable boolean, constellation_size int, disposal_reliability double, us_licensed boolean")
+# fixed values
+MISSION_DEFAULTS = {"cd": 2.2, "mission_years": 5.0, "propulsion": False, "maneuverable": False, "passivation_plan": False, "disposal_plan": "none", "disposal_perigee_raise_km": 0.0, "planned_releases": 0, "trackable": True, "constellation_size": 1, "us_licensed": True}
+
+
+def missions(payloads: DataFrame) -> DataFrame:
+    """`json` with a mission: its fields, the defaults of missing ones, and `extra`: all other fields by name."""
+    known = F.array(*[F.lit(x.split()[0]) for x in MISSION.split(", ")])
+    rest = F.map_filter(F.from_json("json", "map<string, string>"), lambda k, v: ~F.array_contains(known, k))
+    fields = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in MISSION.split(", "))
+    return payloads.select(F.from_json("json", f"struct<{fields}>").alias("m"), rest.alias("extra")).select("m.*", "extra").fillna(MISSION_DEFAULTS)
+
+
 def missions_json(spark: SparkSession, path: str) -> DataFrame:
-    """Mission files with the defaults of missing fields."""
-    schema = ("name string, perigee_km double, apogee_km double, inclination_deg double, mass_kg double, area_m2 double, cd double, mission_years double, propulsion boolean, maneuverable boolean, passivation_plan boolean, disposal_plan string, "
-              "disposal_perigee_raise_km double, planned_releases int, trackable boolean, casualty_risk double, demisable boolean, constellation_size int, disposal_reliability double, us_licensed boolean")
-    d = spark.read.schema(schema).option("multiLine", True).json(path)
-    # fixed values
-    return d.fillna({"cd": 2.2, "mission_years": 5.0, "propulsion": False, "maneuverable": False, "passivation_plan": False, "disposal_plan": "none", "disposal_perigee_raise_km": 0.0, "planned_releases": 0, "trackable": True, "constellation_size": 1, "us_licensed": True})
+    """Mission files, one mission each."""
+    return missions(json_files(spark, path))
 
 
-def watchlist_json(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.schema("label string, reason string, icao24 string, callsign_prefix string, registration string, severity string, mode string").option("multiLine", True).json(path)
+def watch_entries(payloads: DataFrame) -> DataFrame:
+    """`json` with a watchlist: entries with the defaults of missing severities and modes."""
+    d = _objects(payloads, "label string, reason string, icao24 string, callsign_prefix string, registration string, severity string, mode string")
     return d.fillna({"severity": "high", "mode": "detect"})
 
 
+def watchlist_json(spark: SparkSession, path: str) -> DataFrame:
+    return watch_entries(json_files(spark, path))
+
+
+def zones(payloads: DataFrame) -> DataFrame:
+    return _objects(payloads, "name string, polygon array<array<double>>, capacity int")
+
+
 def zones_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("name string, polygon array<array<double>>, capacity int").option("multiLine", True).json(path)
+    return zones(json_files(spark, path))
+
+
+def detections(payloads: DataFrame) -> DataFrame:
+    """`json` with the detections of an image: one row each, numbered in their order."""
+    box = "struct<label: string, conf: double, cx: double, cy: double, w: double, h: double>"
+    d = payloads.select(F.from_json("json", f"struct<image: string, width: int, height: int, detections: array<{box}>>").alias("m"))
+    return d.select("m.image", F.posexplode("m.detections").alias("det_id", "d")).select("image", "det_id", "d.*")
 
 
 def detections_json(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.schema("image string, width int, height int, detections array<struct<label: string, conf: double, cx: double, cy: double, w: double, h: double>>").option("multiLine", True).json(path)
-    return d.select("image", F.posexplode("detections").alias("det_id", "d")).select("image", "det_id", "d.*")
+    return detections(json_files(spark, path))
 
 
 WEATHER = "icaoId string, temp string, wdir string, wspd string, wgst string, visib string, cover string, altim string, rawOb string"
