@@ -117,7 +117,17 @@ def stale(sets: DataFrame, now: float) -> DataFrame:
 def unusable(sets: DataFrame) -> DataFrame:
     """ORB-003: sets that cannot be propagated (open orbit, no motion, path below the surface, missing numbers)."""
     why = F.when(c("n_rev_day").isNull() | c("e").isNull() | c("inc_deg").isNull(), "missing numbers").when(c("e") >= 1, "open orbit").when(c("n_rev_day") <= 0, "no motion").when(c("perigee_km") < 0, "below the surface")
-    return sets.select("norad", "name", why.alias("reason"), F.lit("ORB-003").alias("rule_id")).filter("reason is not null")
+    return sets.select("norad", "name", why.alias("reason"), F.lit("ORB-003").alias("rule_id"), F.lit("low").alias("severity")).filter("reason is not null")
+
+
+def reentry_findings(decaying_sets: DataFrame, aircraft: DataFrame, airports: DataFrame, fresh_h: float = 48.0) -> DataFrame:
+    """Per decaying object: aircraft under its track (REN-001, per recording), airports (REN-002), a set too old (REN-003)."""
+    row = lambda rule, category, measure, recording: ["norad", recording.alias("recording"), F.lit(rule).alias("rule_id"), F.lit("low").alias("severity"), F.lit(category).alias("category"), measure.cast("double").alias("measure")]
+    none = F.lit(None).cast("string")
+    a = aircraft.groupBy("norad", "recording").agg(F.count(F.lit(1)).alias("n")).select(*row("REN-001", "safety", c("n"), c("recording")))
+    b = airports.groupBy("norad").agg(F.count(F.lit(1)).alias("n")).select(*row("REN-002", "operations", c("n"), none))
+    old = decaying_sets.filter(c("age_h") > fresh_h).select(*row("REN-003", "data-quality", c("age_h"), none))
+    return a.unionByName(b).unionByName(old)
 
 
 # ---- positions -----------------------------------------------------------------------------------------------

@@ -68,7 +68,9 @@ def milestone_gaps(events: DataFrame) -> DataFrame:
 
 
 def slug(text: Column, n: int = 60) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, n)
+    """Name for a file: at most n characters (0: all), which keeps paths short and is no part of a key."""
+    whole = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return whole if not n else F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, n)
 
 
 def split_for(sha256: Column, val_fraction: float = 0.2) -> Column:
@@ -90,9 +92,11 @@ def asset_kind(path: Column) -> Column:
     return out.otherwise("other")
 
 
-def headline(body: Column) -> Column:
-    """First line that is neither empty nor a heading."""
-    return F.substring(F.trim(F.get(F.filter(F.split(body, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#")), 0)), 1, 160)
+def headline(body: Column, n: int = 160) -> Column:
+    """First line that is neither empty nor a heading: at most n characters of it (0: all)."""
+    lines = F.filter(F.split(body, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
+    first = F.trim(F.get(lines, 0))
+    return first if not n else F.substring(first, 1, n)
 
 
 def chain_errors(log: DataFrame) -> DataFrame:
@@ -125,6 +129,14 @@ def classifier_report(pairs: DataFrame) -> DataFrame:
     return s.select("label", "support", "predicted", "correct", F.round(F.try_divide("correct", "predicted"), 4).alias("precision"), F.round(F.try_divide("correct", "support"), 4).alias("recall"))
 
 
+def confusion(pairs: DataFrame) -> DataFrame:
+    """Rows (truth, pred) counted by pair, each with its share and the accuracy over all; nulls are not judged."""
+    n = pairs.filter("truth is not null and pred is not null").groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum("n").alias("_all"), F.sum(F.when(c("truth") == c("pred"), c("n")).otherwise(0)).alias("_right")).withColumn("_k", F.lit(1))
+    j = n.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")  # one row
+    return j.select(F.concat_ws("->", c("truth").cast("string"), c("pred").cast("string")).alias("pair"), "n", F.round(c("n") / c("_all"), 4).alias("share"), (c("truth") == c("pred")).alias("correct"), F.round(c("_right") / c("_all"), 4).alias("accuracy"))
+
+
 def round_robin(items: DataFrame, group: str, item_id: str, n: int, seed: int = 0) -> DataFrame:
     """n items taken in turns from the groups, each group in the order of a seeded hash.
 

@@ -14,6 +14,7 @@ from airlens.plans.registry import query
 
 c = F.col
 START = 1735689600.0  # 2025-01-01
+STEPS, STEP_S = 720, 30.0  # corridors: six hours
 
 
 def _sheet(d: str) -> list[str]:
@@ -139,12 +140,12 @@ def ground_track(spark: SparkSession, sf: str) -> DataFrame:
 _W = "sqrt(pow((lat - a_lat) * 60, 2) + pow(((((lon - a_lon + 180) % 360) + 360) % 360 - 180) * 60 * cos(radians(a_lat)), 2))"
 
 
-@query("rule_corridor_airports", f"""WITH {EL}, {S.dim('airports')}, grid AS (SELECT n.*, t.t_idx, {START} + t.t_idx * 60 AS ts FROM decaying AS n, (SELECT unnest(range(0, 180)) AS t_idx) AS t), eph AS (SELECT * FROM {_eph_sql('grid', 'ts')} AS q), {_GEO},
+@query("rule_corridor_airports", f"""WITH {EL}, {S.dim('airports')}, grid AS (SELECT n.*, t.t_idx, {START} + t.t_idx * 30 AS ts FROM decaying AS n, (SELECT unnest(range(0, 720)) AS t_idx) AS t), eph AS (SELECT * FROM {_eph_sql('grid', 'ts')} AS q), {_GEO},
   x AS (SELECT g.norad, a.icao, g.ts, g.height_km, {_W.replace('a_lat', 'a.lat').replace('a_lon', 'a.lon').replace('(lat -', '(g.lat -').replace('(lon -', '(g.lon -').replace('((((lon', '((((g.lon')} AS nm FROM geo AS g, airports AS a)
   SELECT norad, icao, round(nm, 2) AS min_nm, ts FROM x WHERE nm <= 50 QUALIFY row_number() OVER (PARTITION BY norad, icao ORDER BY nm, ts) = 1""")
 def rule_corridor_airports(spark: SparkSession, sf: str) -> DataFrame:
-    """JON-07 and RUL-35: airports under three hours of the tracks of decaying objects."""
-    g = el.geodetic(el.ephemeris(el.decaying(sets(spark, sf), START), START, 180, 60.0))
+    """JON-07 and RUL-35: airports under six hours of the tracks of decaying objects."""
+    g = el.geodetic(el.ephemeris(el.decaying(sets(spark, sf), START), START, STEPS, STEP_S))
     return el.corridor_airports(g).select("norad", "icao", F.round("min_nm", 2).alias("min_nm"), "ts")
 
 
@@ -152,14 +153,37 @@ _T1 = 1.7e9
 _W2 = "sqrt(pow((g.lat - s.lat) * 60, 2) + pow(((((g.lon - s.lon + 180) % 360) + 360) % 360 - 180) * 60 * cos(radians(s.lat)), 2))"
 
 
-@query("rule_corridor_aircraft", f"""WITH RECURSIVE {bridge.states_cte()}, {EL}, grid AS (SELECT n.*, t.t_idx, {_T1} + t.t_idx * 60 AS ts FROM decaying AS n, (SELECT unnest(range(0, 120)) AS t_idx) AS t), eph AS (SELECT * FROM {_eph_sql('grid', 'ts')} AS q), {_GEO},
-  fs AS (SELECT *, CAST(ceil((ts - {_T1}) / 60 - 0.5) AS BIGINT) AS ti FROM st WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT on_ground),
+@query("rule_corridor_aircraft", f"""WITH RECURSIVE {bridge.states_cte()}, {EL}, grid AS (SELECT n.*, t.t_idx, {_T1} + t.t_idx * 30 AS ts FROM decaying AS n, (SELECT unnest(range(0, 720)) AS t_idx) AS t), eph AS (SELECT * FROM {_eph_sql('grid', 'ts')} AS q), {_GEO},
+  fs AS (SELECT *, CAST(ceil((ts - {_T1}) / 30 - 0.5) AS BIGINT) AS ti FROM st WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT on_ground),
   x AS (SELECT g.norad, s.recording, s.icao24, s.ts, {_W2} AS nm FROM fs AS s JOIN geo AS g ON g.t_idx = s.ti AND g.lat BETWEEN s.lat - 7 AND s.lat + 7)
   SELECT norad, recording, icao24, round(nm, 2) AS min_nm, ts FROM x WHERE nm <= 400 QUALIFY row_number() OVER (PARTITION BY norad, recording, icao24 ORDER BY nm, ts) = 1""")
 def rule_corridor_aircraft(spark: SparkSession, sf: str) -> DataFrame:
     """JON-07: aircraft under the tracks of decaying objects at the nearest sample."""
-    g = el.geodetic(el.ephemeris(el.decaying(sets(spark, sf), _T1), _T1, 120, 60.0))
-    return el.corridor_aircraft(g, bridge.states(spark, sf), _T1, 60.0, 400.0).select("norad", "recording", "icao24", F.round("min_nm", 2).alias("min_nm"), "ts")
+    g = el.geodetic(el.ephemeris(el.decaying(sets(spark, sf), _T1), _T1, STEPS, STEP_S))
+    return el.corridor_aircraft(g, bridge.states(spark, sf), _T1, STEP_S, 400.0).select("norad", "recording", "icao24", F.round("min_nm", 2).alias("min_nm"), "ts")
+
+
+@query("rule_unusable_elements", f"""WITH {EL}, bad AS (SELECT norad, name, CASE WHEN norad % 7 = 0 THEN NULL ELSE n_rev_day END AS n, CASE WHEN norad % 11 = 0 THEN 1.2 ELSE e END AS e, CASE WHEN norad % 13 = 0 THEN -50.0 ELSE perigee_km END AS perigee_km FROM newest)
+  SELECT norad, name, CASE WHEN n IS NULL THEN 'missing numbers' WHEN e >= 1 THEN 'open orbit' ELSE 'below the surface' END AS reason, 'ORB-003' AS rule_id, 'low' AS severity FROM bad WHERE n IS NULL OR e >= 1 OR perigee_km < 0""")
+def rule_unusable_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """RUL-23 (sets that cannot be propagated): some numbers spoiled."""
+    n = el.newest(sets(spark, sf)).withColumn("n_rev_day", F.when(c("norad") % 7 != 0, c("n_rev_day"))).withColumn("e", F.when(c("norad") % 11 == 0, 1.2).otherwise(c("e"))).withColumn("perigee_km", F.when(c("norad") % 13 == 0, -50.0).otherwise(c("perigee_km")))
+    return el.unusable(n)
+
+
+_COR = f"""WITH RECURSIVE {bridge.states_cte()}, {EL}, {S.dim('airports')}, grid AS (SELECT n.*, t.t_idx, {_T1} + t.t_idx * 30 AS ts FROM decaying AS n, (SELECT unnest(range(0, 720)) AS t_idx) AS t), eph AS (SELECT * FROM {_eph_sql('grid', 'ts')} AS q), {_GEO},
+  fs AS (SELECT *, CAST(ceil((ts - {_T1}) / 30 - 0.5) AS BIGINT) AS ti FROM st WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT on_ground),
+  un AS (SELECT DISTINCT g.norad, s.recording, s.icao24 FROM fs AS s JOIN geo AS g ON g.t_idx = s.ti AND g.lat BETWEEN s.lat - 7 AND s.lat + 7 WHERE {_W2} <= 400),
+  ua AS (SELECT DISTINCT g.norad, a.icao FROM geo AS g JOIN airports AS a ON g.lat BETWEEN a.lat - 1 AND a.lat + 1 WHERE {_W.replace('a_lat', 'a.lat').replace('a_lon', 'a.lon').replace('(lat -', '(g.lat -').replace('(lon -', '(g.lon -').replace('((((lon', '((((g.lon')} <= 50)"""
+
+
+@query("rule_reentry", f"""{_COR} SELECT norad, recording, 'REN-001' AS rule_id, 'low' AS severity, 'safety' AS category, CAST(count(*) AS DOUBLE) AS measure FROM un GROUP BY ALL
+  UNION ALL SELECT norad, NULL, 'REN-002', 'low', 'operations', CAST(count(*) AS DOUBLE) FROM ua GROUP BY ALL UNION ALL SELECT norad, NULL, 'REN-003', 'low', 'data-quality', round(({_T1} - epoch) / 3600, 1) FROM decaying WHERE {_T1} - epoch > 172800""")
+def rule_reentry(spark: SparkSession, sf: str) -> DataFrame:
+    """RUL-35: aircraft and airports under the corridors of decaying objects, and sets too old for them."""
+    d = el.decaying(sets(spark, sf), _T1)
+    g = el.geodetic(el.ephemeris(d, _T1, STEPS, STEP_S))
+    return el.reentry_findings(d, el.corridor_aircraft(g, bridge.states(spark, sf), _T1, STEP_S, 400.0), el.corridor_airports(g)).withColumn("measure", F.round("measure", 1))
 
 
 _D = "sqrt(pow(a.x_km - b.x_km, 2) + pow(a.y_km - b.y_km, 2) + pow(a.z_km - b.z_km, 2))"

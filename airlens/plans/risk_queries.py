@@ -50,6 +50,31 @@ def register_by_domain(spark: SparkSession, sf: str) -> DataFrame:
     return _register(spark, sf).groupBy("domain", "residual_rating").agg(F.count(F.lit(1)).alias("risks"))
 
 
+_DOM = "SELECT 'S' || s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'space-launch' WHEN 1 THEN 'uas-utm' ELSE 'earth-crisis' END AS domain, CAST(1 + s_suppkey % 5 AS INT) AS l, CAST(1 + s_suppkey % 4 AS INT) AS i, CAST(s_suppkey % 3 AS INT) AS k FROM supplier WHERE s_suppkey <= 40"
+
+
+@query("unified_register", f"""{_RB}, dm AS (SELECT id, domain, l * i AS score, greatest(1, CAST(round_even(l * i * (1 - least(0.8, 0.2 * k)), 0) AS INT)) AS residual FROM ({_DOM}) AS q), un AS (SELECT id, domain, score, residual FROM rg3 UNION ALL SELECT * FROM dm)
+  SELECT id, domain, score, {_RATE('score')} AS rating, residual, {_RATE('residual')} AS residual_rating, CAST(row_number() OVER (ORDER BY CASE WHEN residual >= 15 THEN 0 WHEN residual >= 10 THEN 1 WHEN residual >= 5 THEN 2 ELSE 3 END, residual DESC, id) AS INT) AS place FROM un""")
+def unified_register(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-31 and SRT-07: the evidence-weighted register and the risks of other domains on one scale, in order of residual risk."""
+    own = _register(spark, sf).select("id", "domain", "score", "rating", "residual", "residual_rating")
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_suppkey <= 40").selectExpr("concat('S', cast(s_suppkey as string)) as id", "case s_suppkey % 3 when 0 then 'space-launch' when 1 then 'uas-utm' else 'earth-crisis' end as domain", "cast(1 + s_suppkey % 5 as int) as likelihood", "cast(1 + s_suppkey % 4 as int) as impact", "cast(s_suppkey % 3 as int) as controls")
+    return risk.unified(own, risk.domain_risks(rows))
+
+
+@query("executive_posture", f"""{S.trusted()}, td AS (SELECT recording, rule_id, icao24, round(risk_score, 4) AS risk, row_number() OVER (PARTITION BY recording ORDER BY round(risk_score, 4) DESC, batch_seq, phase, pos, rule_ord) AS r FROM accf)
+  SELECT recording, {', '.join(f"(SELECT count(*) FROM accf AS a WHERE a.recording = g.recording AND a.severity = '{s}') AS {s}" for s in ('critical', 'high', 'medium', 'low', 'info'))}, (SELECT count(*) FROM trust AS t WHERE t.recording = g.recording AND round(t.trust, 6) < 0.5) AS low_trust,
+   (SELECT string_agg(rule_id || ' ' || coalesce(icao24, '-'), '; ' ORDER BY r) FROM td WHERE td.recording = g.recording AND r <= 3) AS do_first FROM (SELECT DISTINCT recording FROM accf) AS g""")
+def executive_posture(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-38: counts by severity, aircraft of low trust and the three findings to do first, per recording."""
+    from airlens.operators import folds
+
+    st = bridge.states(spark, sf)
+    cand = cut_lineage(audit.candidates(st))
+    acc = cut_lineage(folds.cooldown(cand))
+    return risk.posture(acc, folds.trust_scores(st, cand, acc))
+
+
 @query("executive_summary", f"""{_RB}, kp AS (SELECT count(DISTINCT recording) AS recordings, count(*) AS states, round(count(*) FILTER (NOT on_ground AND position_source LIKE 'adsb%' AND nic >= 7 AND coalesce(nac_p, 0) >= 8 AND coalesce(sil, 0) >= 3) / count(*) FILTER (NOT on_ground AND position_source LIKE 'adsb%' AND nic IS NOT NULL), 4) AS compliance FROM st)
   SELECT kp.*, (SELECT count(*) FROM accf) AS findings, (SELECT count(*) FROM accf WHERE severity IN ('critical', 'high')) AS urgent, (SELECT string_agg(id, ',' ORDER BY score DESC, id) FROM (SELECT * FROM rg3 ORDER BY score DESC, id LIMIT 3) AS q) AS top_risks FROM kp""")
 def executive_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,13 +100,35 @@ def threat_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return risk.coverage(spark, s.groupBy(scen.alias("scenario")).agg(F.avg((c("s_suppkey") % 3 > 0).cast("int")).alias("recall")))
 
 
-_DIG = "SELECT rule_id AS kind, severity, count(*) AS findings, count(DISTINCT recording) AS reports FROM accf GROUP BY ALL"
+_DIG = """rp AS (SELECT DISTINCT recording, CASE CAST(substr(recording, 4) AS INTEGER) % 3 WHEN 0 THEN 'wellclear_' WHEN 1 THEN 'live_check_' ELSE recording || '_telemetry_' END || recording AS stem, CAST(substr(recording, 4) AS INTEGER) % 4 > 0 AS manifest, CAST(substr(recording, 4) AS INTEGER) % 5 = 4 AS degraded FROM st),
+  rk AS (SELECT *, CASE WHEN starts_with(stem, 'wellclear') THEN 'wellclear' WHEN starts_with(stem, 'live_check') THEN 'live_check' ELSE 'telemetry' END AS kind FROM rp)"""
+_STEM = "concat(case cast(substr(recording, 4) as int) % 3 when 0 then 'wellclear_' when 1 then 'live_check_' else concat(recording, '_telemetry_') end, recording)"
+
 
+def _reports(spark: SparkSession, sf: str) -> DataFrame:
+    """A report per recording with a name, and whether it has a manifest and is degraded."""
+    k = "cast(substr(recording, 4) as int)"
+    return bridge.states(spark, sf).select("recording").distinct().selectExpr("recording", f"{_STEM} as stem", f"{k} % 4 > 0 as manifest", f"{k} % 5 = 4 as degraded")
 
-@query("report_digest", f"{S.accepted()} {_DIG}")
+
+@query("report_digest", f"""{S.accepted()}, {_DIG} SELECT kind, count(*) AS reports, CAST(sum(n) AS BIGINT) AS findings, count(*) FILTER (manifest) AS with_manifest, count(*) FILTER (degraded) AS degraded, string_agg(stem, ',' ORDER BY stem) FILTER (NOT manifest) AS without_manifest
+  FROM (SELECT rk.*, (SELECT count(*) FROM accf WHERE accf.recording = rk.recording) AS n FROM rk) AS q GROUP BY ALL""")
 def report_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-25: findings of all recordings by rule and severity."""
-    return audit.audit(bridge.states(spark, sf)).groupBy(c("rule_id").alias("kind"), "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("recording").alias("reports"))
+    """AGG-25: reports of a kind, their findings, manifests and degraded ones."""
+    return risk.digest(_reports(spark, sf), audit.audit(bridge.states(spark, sf)))
+
+
+@query("digest_worst", f"""{S.accepted()}, {_DIG} SELECT stem, rule_id, severity, icao24, ts FROM (SELECT rk.stem, accf.*, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, rule_id, stem, batch_seq, phase, pos, rule_ord) AS r FROM accf JOIN rk USING (recording)) AS q WHERE r <= 20""")
+def digest_worst(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-25: the twenty worst findings of all reports."""
+    a = audit.audit(bridge.states(spark, sf)).join(F.broadcast(_reports(spark, sf)), "recording")
+    return a.orderBy("sev_rank", "rule_id", "stem", "batch_seq", "phase", "pos", "rule_ord").limit(20).select("stem", "rule_id", "severity", "icao24", "ts")
+
+
+@query("digest_severities", f"{S.accepted()} SELECT severity, rule_id, count(*) AS findings, count(DISTINCT recording) AS reports FROM accf GROUP BY ALL")
+def digest_severities(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-25: findings of all reports by rule and severity."""
+    return audit.audit(bridge.states(spark, sf)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("recording").alias("reports"))
 
 
 @query("operations_board", f"""WITH {places.VOL_CTE}, {places.LCH_CTE}

@@ -116,6 +116,12 @@ def log_chain_verification(spark: SparkSession, sf: str) -> DataFrame:
     return tx.verify_chain(_logs(spark, sf))
 
 
+@query("log_entries_matching", "SELECT conv_id, turn, role FROM conversations WHERE role = 'user' AND contains(lower(text), 'th')")
+def log_entries_matching(spark: SparkSession, sf: str) -> DataFrame:
+    """PRJ-04: all entries of one actor containing a text."""
+    return spark.read.parquet(f"{sf}/conversations.parquet").filter((c("role") == "user") & F.lower("text").contains("th")).select("conv_id", "turn", "role")
+
+
 @query("log_entries_filtered", "SELECT conv_id, turn, role FROM conversations WHERE role = 'user' AND contains(lower(text), 'th') ORDER BY turn DESC, conv_id LIMIT 500")
 def log_entries_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """PRJ-04 and PRJ-07: entries of one actor containing a text, newest first."""
@@ -124,7 +130,6 @@ def log_entries_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- catalogues
-_ITEM = "doc_id AS id, {sha} AS sha256, substr(text, 1, 80) AS title, source AS collection, CAST(doc_id AS DOUBLE) * 60 AS modified_ts"
 
 
 @query("catalogue_reconcile", """WITH o AS (SELECT doc_id AS id, sha256(lang || source) AS h FROM documents), n AS (SELECT doc_id + 100 AS id, sha256(lang || source) AS h FROM documents)
@@ -183,6 +188,14 @@ def classifier_report(spark: SparkSession, sf: str) -> DataFrame:
     return tx.classifier_report(l.select(c("quality").alias("truth"), F.when(c("n_chars") % 3 == 0, 1 - c("quality")).otherwise(c("quality")).alias("pred")))
 
 
+@query("classifier_confusion", f"""WITH pr AS (SELECT l.quality AS truth, {_PRED} AS pred FROM labels AS l JOIN documents AS d USING (doc_id))
+  SELECT truth || '->' || pred AS pair, count(*) AS n, round(count(*) / (SELECT count(*) FROM pr WHERE truth IS NOT NULL AND pred IS NOT NULL), 4) AS share, truth = pred AS correct, (SELECT round(avg(CAST(truth = pred AS INT)), 4) FROM pr) AS accuracy FROM pr WHERE truth IS NOT NULL AND pred IS NOT NULL GROUP BY truth, pred""")
+def classifier_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-29: confusion rows and accuracy."""
+    l = spark.read.parquet(f"{sf}/labels.parquet").join(_docs(spark, sf).select("doc_id", "n_chars"), "doc_id")
+    return tx.confusion(l.select(c("quality").alias("truth"), F.when(c("n_chars") % 3 == 0, 1 - c("quality")).otherwise(c("quality")).alias("pred")))
+
+
 @query("round_robin_sample", """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || doc_id), doc_id) AS t FROM documents) AS q ORDER BY t, lang LIMIT 60""")
 def round_robin_sample(spark: SparkSession, sf: str) -> DataFrame:
     """ML-14."""
