@@ -13,7 +13,6 @@ from airlens.plans.registry import query
 from airlens.session import cut_lineage
 
 c = F.col
-ONSET = 25
 _FR = ("fr AS (SELECT *, CASE WHEN baro_alt_ft < 10000 THEN 'terminal' ELSE 'enroute' END AS band, CAST('0x' || substr(sha256(icao24), 1, 4) AS INTEGER) / 65536.0 < 0.2 AS is_holdout FROM fx WHERE NOT on_ground AND baro_alt_ft >= 1000 AND dt_s <= 120)")
 
 
@@ -75,32 +74,39 @@ def flag_persistence_window(spark: SparkSession, sf: str) -> DataFrame:
 
 _TG = f"""fly AS (SELECT *, lag(ts) OVER (PARTITION BY recording, icao24 ORDER BY batch_seq, pos) AS p FROM st WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT on_ground),
 pr AS (SELECT recording, icao24, max(n / polls) AS presence FROM (SELECT recording, icao24, region, count(*) AS n FROM fly GROUP BY ALL) AS a JOIN (SELECT recording, region, count(DISTINCT batch_seq) AS polls FROM st GROUP BY ALL) AS b USING (recording, region) GROUP BY ALL),
-wh AS (SELECT recording, icao24, count(*) FILTER (batch_seq >= {ONSET} AND (p IS NULL OR ts > p + 0.5)) AS aft, bool_or(coalesce(baro_alt_ft, 0) >= 3000 AND coalesce(gs_kt, 0) >= 150 AND coalesce(nullif(position_source, ''), 'adsb') LIKE 'adsb%') AS ok FROM fly GROUP BY ALL),
-tg AS (SELECT recording, icao24 FROM wh JOIN pr USING (recording, icao24) WHERE ok AND presence >= 0.6 AND aft >= 3 QUALIFY row_number() OVER (PARTITION BY recording ORDER BY sha256(icao24)) <= 5)"""
+onst AS (SELECT recording, greatest(3, CAST(floor(count(DISTINCT batch_seq) * 0.4) AS INT)) AS onset FROM st GROUP BY ALL),
+wh AS (SELECT recording, icao24, count(*) FILTER (batch_seq >= onset AND (p IS NULL OR ts > p + 0.5)) AS aft, bool_or(coalesce(baro_alt_ft, 0) >= 3000 AND coalesce(gs_kt, 0) >= 150 AND coalesce(nullif(position_source, ''), 'adsb') LIKE 'adsb%' AND coalesce(nic, 0) >= 7 AND coalesce(nac_p, 0) >= 8 AND coalesce(sil, 0) >= 3) AS okc, bool_or(coalesce(baro_alt_ft, 0) >= 3000 AND coalesce(gs_kt, 0) >= 150 AND coalesce(nullif(position_source, ''), 'adsb') LIKE 'adsb%') AS ok FROM fly JOIN onst USING (recording) GROUP BY ALL),
+tg AS (SELECT recording, icao24 FROM wh JOIN pr USING (recording, icao24) WHERE ok AND presence >= 0.6 AND aft >= 3 QUALIFY row_number() OVER (PARTITION BY recording ORDER BY sha256(icao24)) <= 25),
+tc AS (SELECT recording, icao24 FROM wh JOIN pr USING (recording, icao24) WHERE okc AND presence >= 0.6 AND aft >= 3 QUALIFY row_number() OVER (PARTITION BY recording ORDER BY sha256(icao24)) <= 25),
+ts AS (SELECT recording, icao24, scenario FROM tg, (SELECT unnest(['teleport', 'velocity_forge', 'altitude_forge', 'replay', 'squawk_hijack', 'slow_drift']) AS scenario) AS s
+   UNION ALL SELECT recording, icao24, 'integrity_degrade' FROM tc UNION ALL SELECT recording, icao24, 'integrity_degrade' FROM tg WHERE recording NOT IN (SELECT recording FROM tc))"""
 
 
-@query("scenario_targets", f"{S.states()}, {_TG} SELECT * FROM tg")
+@query("scenario_targets", f"{S.states()}, {_TG} SELECT * FROM ts")
 def scenario_targets(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-07."""
-    return model.select_targets(bridge.states(spark, sf), 5, ONSET)
+    """ML-07: up to 25 targets a recording and scenario, compliant ones where integrity is degraded."""
+    st = bridge.states(spark, sf)
+    return model.scenario_targets(st, model.onsets(st)).select("recording", "icao24", "scenario")
 
 
-@query("scenario_rows", f"""{S.states()}, {_TG}, sc AS (SELECT unnest(['teleport', 'velocity_forge', 'altitude_forge', 'squawk_hijack', 'integrity_degrade', 'slow_drift']) AS scenario), x AS (SELECT st.*, sc.scenario, tg.icao24 IS NOT NULL AND batch_seq >= {ONSET} AS h FROM st LEFT JOIN tg USING (recording, icao24), sc)
-  SELECT recording || '@' || scenario AS recording, batch_seq, pos, icao24, round(CASE WHEN h AND scenario = 'teleport' THEN lat + 0.5 ELSE lat END, 5) AS lat, round(CASE WHEN h AND scenario = 'slow_drift' THEN lon + 0.004 * (batch_seq - {ONSET} + 1) ELSE lon END, 5) AS lon,
+@query("scenario_rows", f"""{S.states()}, {_TG}, sc AS (SELECT unnest(['teleport', 'velocity_forge', 'altitude_forge', 'squawk_hijack', 'integrity_degrade', 'slow_drift']) AS scenario), y AS (SELECT st.*, sc.scenario, onset FROM st JOIN onst USING (recording), sc), x AS (SELECT y.*, ts.icao24 IS NOT NULL AND batch_seq >= onset AS h FROM y LEFT JOIN ts ON ts.recording = y.recording AND ts.icao24 = y.icao24 AND ts.scenario = y.scenario)
+  SELECT recording || '@' || scenario AS recording, batch_seq, pos, icao24, round(CASE WHEN h AND scenario = 'teleport' THEN lat + 0.5 ELSE lat END, 5) AS lat, round(CASE WHEN h AND scenario = 'slow_drift' THEN lon + 0.004 * (batch_seq - onset + 1) ELSE lon END, 5) AS lon,
    CASE WHEN h AND scenario = 'velocity_forge' THEN coalesce(gs_kt, 0) * 0.5 ELSE gs_kt END AS gs_kt, CASE WHEN h AND scenario = 'altitude_forge' THEN coalesce(baro_alt_ft, 0) + 6000 ELSE baro_alt_ft END AS baro_alt_ft, CASE WHEN h AND scenario = 'squawk_hijack' THEN '7500' ELSE squawk END AS squawk,
    CASE WHEN h AND scenario = 'integrity_degrade' THEN 4 ELSE nic END AS nic FROM x""")
 def scenario_rows(spark: SparkSession, sf: str) -> DataFrame:
     """ML-08."""
     st = bridge.states(spark, sf)
-    return model.perturb(st, model.select_targets(st, 5, ONSET), ONSET).select("recording", "batch_seq", "pos", "icao24", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "gs_kt", "baro_alt_ft", "squawk", "nic")
+    on = model.onsets(st)
+    return model.perturb(st, model.scenario_targets(st, on), on).select("recording", "batch_seq", "pos", "icao24", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "gs_kt", "baro_alt_ft", "squawk", "nic")
 
 
 @query("replayed_fixes", f"""{S.states()}, {_TG}, q AS (SELECT n.recording, n.icao24, n.batch_seq, n.pos, o.ts AS old_ts, o.lat AS lat, row_number() OVER (PARTITION BY n.recording, n.icao24, n.batch_seq, n.pos ORDER BY o.batch_seq DESC, o.ts DESC, o.pos DESC) AS r
-   FROM st AS n JOIN tg USING (recording, icao24) JOIN st AS o ON o.recording = n.recording AND o.icao24 = n.icao24 AND o.batch_seq < n.batch_seq AND n.ts - o.ts >= 120 AND o.lat IS NOT NULL WHERE n.lat IS NOT NULL AND n.batch_seq >= {ONSET}) SELECT recording || '@replay' AS recording, icao24, count(*) AS replayed FROM q WHERE r = 1 GROUP BY ALL""")
+   FROM st AS n JOIN tg USING (recording, icao24) JOIN onst ON onst.recording = n.recording JOIN st AS o ON o.recording = n.recording AND o.icao24 = n.icao24 AND o.batch_seq < n.batch_seq AND n.ts - o.ts >= 120 AND o.lat IS NOT NULL WHERE n.lat IS NOT NULL AND n.lon IS NOT NULL AND o.lon IS NOT NULL AND n.batch_seq >= onset) SELECT recording || '@replay' AS recording, icao24, count(*) AS replayed FROM q WHERE r = 1 GROUP BY ALL""")
 def replayed_fixes(spark: SparkSession, sf: str) -> DataFrame:
     """ML-08 (replay) as an as-of self join."""
     st = bridge.states(spark, sf)
-    r = model.replay(st, model.select_targets(st, 5, ONSET), ONSET)
+    on = model.onsets(st)
+    r = model.replay(st, model.select_targets(st, on), on)
     return r.filter("pos >= 100000").groupBy("recording", "icao24").agg(F.count(F.lit(1)).alias("replayed"))
 
 
@@ -123,16 +129,46 @@ def target_revisit(spark: SparkSession, sf: str) -> DataFrame:
     from airlens.operators.ordered import with_previous
 
     st = bridge.states(spark, sf)
-    s = st.filter("lat is not null and lon is not null").join(model.select_targets(st, 5, ONSET), ["recording", "icao24"])
+    s = st.filter("lat is not null and lon is not null").join(model.select_targets(st, model.onsets(st)), ["recording", "icao24"])
     s = with_previous(s, ["recording", "icao24"], F.floor(c("batch_ts") / 3600), ["batch_seq", "pos"], ["ts"], "_p").withColumn("d", c("ts") - c("_p.ts")).filter("d > 0.5")
     return s.groupBy("recording").agg(F.round(F.percentile("d", F.lit(0.5)), 3).alias("median_revisit_s"))
 
 
+def _evaluation(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The scenarios through the whole audit in one plan, with the anomaly model's findings on them and without."""
+    st = bridge.states(spark, sf)
+    on = cut_lineage(model.onsets(st))
+    tg = cut_lineage(model.scenario_targets(st, on))
+    replayed = tg.filter("scenario = 'replay'")
+    rows = cut_lineage(model.perturb(st, tg, on).select(*st.columns).unionByName(model.replay(st, replayed, on).select(*st.columns)))
+    frame = cut_lineage(model.holdout(_frame(spark, sf)))
+    train = frame.filter("not is_holdout")
+    scale = cut_lineage(model.scaling(train))
+    nodes = cut_lineage(model.fit(train, scale))
+    limits = cut_lineage(model.thresholds(model.score(train, scale, nodes)))
+
+    def found(states: DataFrame, scored_frame: DataFrame) -> DataFrame:
+        flags = model.persistent(model.flag(model.score(scored_frame, scale, nodes), limits).filter("flag"))
+        return audit.audit(states, extra=[model.findings(flags, states)])
+
+    return model.evaluate(cut_lineage(found(rows, model.training_frame(tracks.track_fixes(rows)))), found(st, frame), tg, on)
+
+
 @query("scenario_recall")
 def scenario_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-10 and AGG-37: every scenario through the whole audit in one plan."""
+    """ML-10: recall per scenario, with the model in the loop."""
+    return _evaluation(spark, sf)[0]
+
+
+@query("detection_study")
+def detection_study(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-37: recall per scenario beside the revisit time of its targets, precision per rule below."""
+    from airlens.operators.ordered import with_previous
+
+    recall, precision = _evaluation(spark, sf)
     st = bridge.states(spark, sf)
-    tg = cut_lineage(model.select_targets(st, 5, ONSET))
-    rows = model.perturb(st, tg, ONSET).select(*st.columns).unionByName(model.replay(st, tg, ONSET).select(*st.columns))
-    onset = st.filter(c("batch_seq") == ONSET).groupBy("recording").agg(F.min("batch_ts").alias("onset_ts"))
-    return model.evaluate(audit.audit(cut_lineage(rows)), tg, onset)
+    s = st.filter("lat is not null and lon is not null").join(model.select_targets(st, model.onsets(st)), ["recording", "icao24"])
+    gaps = with_previous(s, ["recording", "icao24"], F.floor(c("batch_ts") / 3600), ["batch_seq", "pos"], ["ts"], "_p").withColumn("d", c("ts") - c("_p.ts")).filter("d > 0.5")
+    revisit = gaps.agg(F.round(F.median("d"), 3).alias("median_revisit_s")).withColumn("_k", F.lit(1))
+    a = recall.withColumn("_k", F.lit(1)).join(F.broadcast(revisit), "_k").select(F.lit("scenario").alias("kind"), c("scenario").alias("name"), c("recall").alias("value"), "median_ttd_s", "median_revisit_s", "known_gap")
+    return a.unionByName(precision.select(F.lit("precision").alias("kind"), c("rule_id").alias("name"), c("precision").alias("value")), allowMissingColumns=True)
