@@ -51,6 +51,23 @@ def with_bbox(features: DataFrame) -> DataFrame:
     return f.select("*", F.array_min("_lat").alias("lamin"), F.array_max("_lat").alias("lamax"), F.array_min("_lon").alias("lomin"), F.array_max("_lon").alias("lomax")).drop("_lat", "_lon")
 
 
+# fixed values: the types that traffic and launches are joined with unless others are asked for
+SPACE_TYPES = ("SPACE OPERATIONS",)
+
+
+def of_types(features: DataFrame, types: tuple[str, ...] | None = SPACE_TYPES) -> DataFrame:
+    """Volumes of the given types; None: all."""
+    return features if types is None else features.filter(c("type").isin(*types))
+
+
+def volume_rows(features: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row per volume with a shape, entered or not: recordings with traffic in it, aircraft inside while it was in
+    effect and outside its times."""
+    seen = hits.groupBy("notam_id").agg(F.countDistinct("recording").alias("recordings"), F.countDistinct(F.when(c("is_active"), F.struct("recording", "icao24"))).alias("aircraft_active"), F.countDistinct(F.when(~c("is_active"), F.struct("recording", "icao24"))).alias("aircraft_outside"))
+    rows = with_bbox(features).select("notam_id", "type", "effective_ts", "expire_ts")
+    return rows.join(seen, "notam_id", "left").fillna(0, ["recordings", "aircraft_active", "aircraft_outside"])
+
+
 def traffic_inside(states: DataFrame, features: DataFrame) -> DataFrame:
     """State rows inside a volume, with `is_active` for the volume's times.
 

@@ -45,6 +45,23 @@ def rule_restricted_volume(spark: SparkSession, sf: str) -> DataFrame:
     return asp.volume_summary(_hits(spark, sf)).withColumn("rule_id", F.when(c("aircraft_active") > 0, "TFR-001"))
 
 
+@query("space_restrictions", f"""{_BASE} SELECT v.notam_id, v.type, v.effective_ts, v.expire_ts, count(DISTINCT h.recording) AS recordings, count(DISTINCT CASE WHEN is_active THEN (h.recording, h.icao24) END) AS aircraft_active, count(DISTINCT CASE WHEN NOT is_active THEN (h.recording, h.icao24) END) AS aircraft_outside
+  FROM vol AS v LEFT JOIN hit AS h ON h.notam_id = v.notam_id WHERE v.type = 'SPACE OPERATIONS' GROUP BY ALL""")
+def space_restrictions(spark: SparkSession, sf: str) -> DataFrame:
+    """JON-04: the volumes of space operations, those that nobody entered too."""
+    v = asp.of_types(places.volumes(spark, sf))
+    return asp.volume_rows(v, asp.traffic_inside(bridge.states(spark, sf), v))
+
+
+@query("space_covered_windows", f"""WITH {places.LCH_CTE}, {places.VOL_CTE} SELECT l.launch_id, count(v.notam_id) AS volumes FROM lch AS l LEFT JOIN vol AS v ON v.type = 'SPACE OPERATIONS' AND (v.effective_ts IS NULL OR v.effective_ts <= l.w1) AND (v.expire_ts IS NULL OR v.expire_ts >= l.w0)
+  AND ({places.inside_sql('l.pad_lat', 'l.pad_lon')} OR {S.planar('l.pad_lat', 'l.pad_lon', 'v.clat', 'v.clon')} <= 30) GROUP BY ALL""")
+def space_covered_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """JON-06: launches with the restrictions of space operations that cover their windows, none included."""
+    l = places.launches(spark, sf)
+    cov = asp.covering(l, asp.of_types(places.volumes(spark, sf))).groupBy("launch_id").agg(F.count(F.lit(1)).alias("volumes"))
+    return asp.launch_windows(l).select("launch_id").join(cov, "launch_id", "left").fillna(0, ["volumes"])
+
+
 @query("restricted_displacement", f"""{_BASE}, per AS (SELECT recording, notam_id, effective_ts, expire_ts, count(DISTINCT icao24) FILTER (is_active) AS inside_during, count(DISTINCT icao24) FILTER (NOT is_active) AS inside_outside FROM hit GROUP BY ALL),
   mins AS (SELECT v.recording, v.notam_id, v.inside_during, v.inside_outside, count(DISTINCT CASE WHEN {places.ACTIVE.format(ts='f.ts')} THEN floor(f.ts / 60) END) AS minutes_during,
     count(DISTINCT CASE WHEN NOT {places.ACTIVE.format(ts='f.ts')} THEN floor(f.ts / 60) END) AS minutes_outside FROM per AS v JOIN fly AS f USING (recording) GROUP BY ALL)

@@ -110,16 +110,16 @@ def replayed_fixes(spark: SparkSession, sf: str) -> DataFrame:
     return r.filter("pos >= 100000").groupBy("recording", "icao24").agg(F.count(F.lit(1)).alias("replayed"))
 
 
-_PART = lambda i: f"CAST('0x' || substr(sha256(recording || ':' || n), {1 + 4 * i}, 4) AS INTEGER) / 65536.0"
+_CLAIM = ["concat('rec', lpad(cast(s_suppkey % 10 as varchar(8)), 8, '0')) as recording", "cast(s_suppkey as int) as n", "32.5e0 + (s_suppkey % 7) * 0.1e0 as lat", "-97.5e0 + (s_suppkey % 11) * 0.1e0 as lon", "(s_suppkey * 37 % 360) * 1.0e0 as track_deg", "450.0e0 as gs_kt", "35000.0e0 as alt_ft"]
 
 
-@query("ghost_tracks", f"""{S.states()}, bx AS (SELECT recording, min(lat) AS a0, max(lat) AS a1, min(lon) AS o0, max(lon) AS o1 FROM st WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY ALL), pl AS (SELECT recording, batch_seq, min(batch_ts) AS bts FROM st GROUP BY ALL),
-  g0 AS (SELECT *, round({_PART(2)} * 360, 3) AS trk, a0 + {_PART(0)} * (a1 - a0) AS sa, o0 + {_PART(1)} * (o1 - o0) AS so FROM pl JOIN bx USING (recording), (SELECT unnest([1, 2, 3]) AS n) AS k),
-  g1 AS (SELECT *, 450 * coalesce(bts - lag(bts) OVER (PARTITION BY recording, n ORDER BY batch_seq), 0) / 3600 AS d FROM g0), g2 AS (SELECT *, sa + sum(d * cos(radians(trk)) / 60) OVER (PARTITION BY recording, n ORDER BY batch_seq) AS lat FROM g1)
-  SELECT recording, batch_seq, printf('feed%02x', n) AS icao24, trk AS track_deg, round(lat, 5) AS lat, round(so + sum(d * sin(radians(trk)) / (60 * greatest(cos(radians(lat)), 0.1))) OVER (PARTITION BY recording, n ORDER BY batch_seq), 5) AS lon FROM g2""")
+@query("ghost_tracks", f"""{S.states()}, pl AS (SELECT recording, batch_seq, min(batch_ts) AS bts FROM st GROUP BY ALL), g0 AS (SELECT pl.*, k.* EXCLUDE (recording) FROM pl JOIN (SELECT {', '.join(_CLAIM)} FROM supplier) AS k USING (recording)),
+  g1 AS (SELECT *, gs_kt * coalesce(bts - lag(bts) OVER (PARTITION BY recording, n ORDER BY batch_seq), 0) / 3600 AS d FROM g0), g2 AS (SELECT * EXCLUDE (lat), lat + sum(d * cos(radians(track_deg)) / 60) OVER (PARTITION BY recording, n ORDER BY batch_seq) AS lat FROM g1)
+  SELECT recording, batch_seq, printf('feed%02x', n) AS icao24, track_deg, round(lat, 5) AS lat, round(lon + sum(d * sin(radians(track_deg)) / (60 * greatest(cos(radians(lat)), 0.1))) OVER (PARTITION BY recording, n ORDER BY batch_seq), 5) AS lon FROM g2""")
 def ghost_tracks(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-09."""
-    return model.ghosts(bridge.states(spark, sf)).select("recording", "batch_seq", "icao24", "track_deg", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
+    """ML-09: claimed tracks of a given table at the polls of their recordings."""
+    claims = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr(*_CLAIM)
+    return model.ghosts(bridge.states(spark, sf), claims).select("recording", "batch_seq", "icao24", "track_deg", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
 
 
 @query("target_revisit", f"""{S.states()}, {_TG}, g AS (SELECT st.recording, ts - lag(ts) OVER (PARTITION BY st.recording, st.icao24 ORDER BY batch_seq, pos) AS d FROM st JOIN tg USING (recording, icao24) WHERE lat IS NOT NULL AND lon IS NOT NULL)
