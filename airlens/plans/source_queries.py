@@ -69,3 +69,26 @@ def contract_problems(spark: SparkSession, sf: str) -> DataFrame:
     msg = F.regexp_replace(msg, '"speed_text"', '"speed"')
     contract = {"type": "object", "required": ["id", "kind", "speed"], "properties": {"id": {"type": "string", "pattern": "^m[0-9]+$"}, "kind": {"type": "string", "enum": ["view", "purchase", "error", "click"]}, "speed": {"type": "number", "minimum": 0, "maximum": 200}}}
     return check(e.select("event_id", msg.alias("json")), "json", contract).select("event_id", "path", "problem")
+
+
+_NESTED = {
+    "type": "object", "required": ["id"], "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string", "maxLength": 3}, "minItems": 1, "maxItems": 2}, "who": {"oneOf": [{"type": "string"}, {"type": "object", "required": ["name"]}]},
+        "speed": {"allOf": [{"type": "number"}, {"maximum": 300}]}, "note": {"type": ["string", "null"]}, "ext": {"type": "object", "additionalProperties": {"type": "number"}},
+    },
+}
+
+
+@query("contract_problems_nested", """WITH e AS (SELECT event_id AS k, value FROM events) SELECT k AS event_id, '$.tags' AS path, CASE WHEN k % 4 = 0 THEN 'too few items' ELSE 'too many items' END AS problem FROM e WHERE k % 4 IN (0, 3) UNION ALL SELECT k, '$.tags[0]', 'too long' FROM e WHERE k % 3 = 0 AND k % 4 > 0
+  UNION ALL SELECT k, '$.zz', 'unexpected property' FROM e WHERE k % 7 = 0 UNION ALL SELECT k, '$.who', 'matches 0 of oneOf' FROM e WHERE k % 5 IN (0, 2) UNION ALL SELECT k, '$.speed', 'above maximum' FROM e WHERE value > 300 UNION ALL SELECT k, '$.note', 'wrong type' FROM e WHERE k % 6 = 1
+  UNION ALL SELECT k, '$.ext.b', 'wrong type' FROM e WHERE k % 8 = 5 UNION ALL SELECT k, '$.id', 'missing' FROM e WHERE k % 11 = 0""")
+def contract_problems_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """SCL-24: arrays, composition, null, and properties that are unexpected or of any name."""
+    from airlens.operators.contracts import check
+
+    e, k = spark.read.parquet(f"{sf}/events.parquet"), c("event_id")
+    tags = F.array_join(F.transform(F.sequence(F.lit(1), (k % 4).cast("int")), lambda i: F.when((i == 1) & (k % 3 == 0), '"longer"').otherwise('"abc"')), ",")
+    parts = [F.when(k % 11 != 0, F.concat(F.lit('"id":'), k.cast("string"))), F.concat(F.lit('"tags":['), F.when(k % 4 > 0, tags).otherwise(""), F.lit("]")), F.concat(F.lit('"who":'), F.when(k % 5 == 0, "3").when(k % 5 == 1, '"me"').when(k % 5 == 2, "{}").otherwise('{"name":1}')),
+             F.concat(F.lit('"speed":'), c("value").cast("string")), F.concat(F.lit('"note":'), F.when(k % 6 == 1, "5").when(k % 6 == 2, "null").otherwise('"x"')), F.concat(F.lit('"ext":{"a":1,"b":'), F.when(k % 8 == 5, '"x"').otherwise("2.5"), F.lit("}")), F.when(k % 7 == 0, '"zz":1')]
+    return check(e.select("event_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json")), "json", _NESTED).select("event_id", "path", "problem")
