@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from airlens.operators import audit, model, tracks
+from airlens.operators.quantiles import quantiles
 from airlens.plans import bridge
 from airlens.plans import sqlbase as S
 from airlens.plans.registry import query
@@ -28,9 +29,23 @@ def model_training_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("model_training_statistics", f"{S.fixes()}, {_FR} SELECT band, count(*) AS rows, count(*) FILTER (is_holdout) AS holdout_rows, round(avg(implied_gs_kt), 3) AS gs_mean, round(quantile_cont(baro_alt_ft, 0.05), 2) AS alt_p05, round(quantile_cont(baro_alt_ft, 0.5), 2) AS alt_p50, round(quantile_cont(baro_alt_ft, 0.95), 2) AS alt_p95 FROM fr GROUP BY ALL")
 def model_training_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-05: altitudes repeat, so exact percentiles keep one counter per value."""
+    """ML-05."""
     f = model.holdout(_frame(spark, sf))
-    return f.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_holdout").alias("holdout_rows"), F.round(F.avg("implied_gs_kt"), 3).alias("gs_mean"), *[F.round(F.percentile("baro_alt_ft", F.lit(p)), 2).alias(n) for n, p in (("alt_p05", 0.05), ("alt_p50", 0.5), ("alt_p95", 0.95))])
+    return f.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_holdout").alias("holdout_rows"), F.round(F.avg("implied_gs_kt"), 3).alias("gs_mean")).join(_altitudes(f), "band")
+
+
+@query("model_feature_quantiles", f"{S.fixes()}, {_FR} SELECT band, feature, count(x) AS n, round(quantile_cont(x, 0.05), 4) AS p05, round(quantile_cont(x, 0.5), 4) AS p50, round(quantile_cont(x, 0.95), 4) AS p95 FROM (SELECT band, unnest(['implied_gs_kt', 'turn_rate_dps', 'window_gs_std_kt', 'dt_s']) AS feature, unnest([implied_gs_kt, turn_rate_dps, window_gs_std_kt, dt_s]) AS x FROM fr) AS q WHERE x IS NOT NULL GROUP BY ALL")
+def model_feature_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-05: quantiles of features by band, interpolated."""
+    names = ["implied_gs_kt", "turn_rate_dps", "window_gs_std_kt", "dt_s"]
+    long = _frame(spark, sf).select("band", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), c(n).cast("double").alias("x")) for n in names])))
+    q = quantiles(long, ["band", "feature"], "x", [0.05, 0.5, 0.95])
+    return q.select("band", "feature", "n", *[F.round(F.get("quantiles", F.lit(i)), 4).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+
+
+def _altitudes(frame: DataFrame) -> DataFrame:
+    q = quantiles(frame, ["band"], "baro_alt_ft", [0.05, 0.5, 0.95])
+    return q.select("band", *[F.round(F.get("quantiles", F.lit(i)), 2).alias(n) for i, n in enumerate(("alt_p05", "alt_p50", "alt_p95"))])
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:

@@ -71,3 +71,19 @@ def test_new_rules_can_be_registered(spark, sf):
         assert n.count() == st.filter("baro_alt_ft > 30000").count() > 0
     finally:
         rules.STATE_RULES.pop("TEST-1")
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    from airlens.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(4)
+    groups = {"ties": [5.0] * 40 + [1.0, 9.0], "one": [3.0], "wide": (rng.normal(size=500) ** 7).tolist(), "even": [1.0, 2.0, 3.0, 4.0]}
+    rows = [(k, v) for k, x in groups.items() for v in x] + [("ties", None), ("none", None), ("even", float("nan"))]
+    points = [0.0, 0.05, 0.5, 0.77, 1.0]
+    for buckets in (4096, 3):
+        got = {r.k: r for r in quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", points, buckets).collect()}
+        assert set(got) == set(groups)
+        for k, x in groups.items():
+            assert got[k].n == len(x) and np.allclose(got[k].quantiles, np.quantile(x, points))
