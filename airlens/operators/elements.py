@@ -132,6 +132,7 @@ def reentry_findings(decaying_sets: DataFrame, aircraft: DataFrame, airports: Da
 
 # ---- positions -----------------------------------------------------------------------------------------------
 J2 = 1.08262668e-3
+GRADIENT = 4.5e-6  # 1/s2: three times the gravity parameter over the cube of the smallest radius
 WGS84_A = 6378.137
 WGS84_F = 1 / 298.257223563
 E2 = WGS84_F * (2 - WGS84_F)
@@ -187,22 +188,43 @@ def geodetic(eph: DataFrame) -> DataFrame:
     return sealed(s.drop("_t", "_th", "_p", "_nn", "_h", "_l4"))
 
 
+def close_positions(eph: DataFrame, reach_km: float, cells: int = 5) -> DataFrame:
+    """Pairs a < b of an ephemeris table within reach at a time: a, b, ts, d, and the difference of positions and velocities.
+
+    Equi-join on (time index, cell), cells some reaches wide. A position is copied to the cells that its box of one
+    reach touches, 1.7 on average, and a pair is kept in the first cell that both boxes touch.
+    """
+    width = cells * reach_km
+    e = eph
+    for x in "xyz":
+        e = e.withColumn(f"_{x}0", F.floor((c(f"{x}_km") - reach_km / 2) / width)).withColumn(f"_{x}", F.explode(F.sequence(f"_{x}0", F.floor((c(f"{x}_km") + reach_km / 2) / width))))
+    a, b = e.alias("a"), e.alias("b")
+    on = (c("a.t_idx") == c("b.t_idx")) & (c("a.norad") < c("b.norad"))
+    for x in "xyz":
+        on = on & (c(f"a._{x}") == c(f"b._{x}")) & (F.abs(c(f"a.{x}_km") - c(f"b.{x}_km")) <= reach_km) & (c(f"a._{x}") == F.greatest(f"a._{x}0", f"b._{x}0"))
+    d = F.sqrt(sum(((c(f"a.{x}_km") - c(f"b.{x}_km")) * (c(f"a.{x}_km") - c(f"b.{x}_km")) for x in "xyz"), F.lit(0.0)))
+    rel = [F.array(*[c(f"a.{n.format(x)}") - c(f"b.{n.format(x)}") for x in "xyz"]).alias(k) for k, n in (("r", "{}_km"), ("v", "v{}_kms"))]
+    return a.join(b, on).select(c("a.norad").alias("a"), c("b.norad").alias("b"), c("a.ts").alias("ts"), d.alias("d"), *rel).filter(c("d") <= reach_km)
+
+
 def screen(sets: DataFrame, start: float, steps: int, step_s: float, threshold_km: float, min_rel_kms: float = 0.05, fine_step_s: float = 1.0) -> DataFrame:
     """Closest approach of every pair that comes within five thresholds on the coarse grid; co-moving pairs are listed
     without a rule and a severity.
 
-    Coarse pass: equi-join on (time index, cell of five thresholds), 27 neighbours on one side. Fine pass: only the
-    candidate pairs, one second apart around their coarse minimum.
+    Coarse pass: `close_positions`. Fine pass: only the candidate pairs, one second apart around their coarse minimum.
     """
-    from airlens.operators.bandjoin import band_join, floor_cell
-
     edge = 5 * threshold_km
-    eph = ephemeris(sets, start, steps, step_s).select("norad", "t_idx", "ts", "x_km", "y_km", "z_km")
-    cells = [floor_cell(c(f"{a}_km"), edge) for a in "xyz"]
-    p = band_join(eph, eph, ["t_idx"], cells, cells).filter("a.norad < b.norad")
-    d = F.sqrt(sum(((c(f"a.{x}_km") - c(f"b.{x}_km")) * (c(f"a.{x}_km") - c(f"b.{x}_km")) for x in "xyz"), F.lit(0.0)))
-    p = p.select(c("a.norad").alias("a"), c("b.norad").alias("b"), c("a.ts").alias("ts"), d.alias("d")).filter(c("d") <= edge)
-    best = p.groupBy("a", "b").agg(F.min_by(F.struct("ts", "d"), F.struct("d", "ts")).alias("m")).select("a", "b", c("m.ts").alias("t0"), c("m.d").alias("coarse_km"))
+    eph = ephemeris(sets, start, steps, step_s).select("norad", "t_idx", "ts", *[f"{x}_km" for x in "xyz"], *[f"v{x}_kms" for x in "xyz"])
+    p = close_positions(eph, edge)
+    best = p.groupBy("a", "b").agg(F.min_by(F.struct("ts", "d", "r", "v"), F.struct("d", "ts")).alias("m")).select("a", "b", c("m.ts").alias("t0"), c("m.d").alias("coarse_km"), "m.r", "m.v")
+    # straight on from the coarse minimum, and what the difference of gravity can bend it within a step, decide who needs
+    # the fine pass; the gradient of gravity is below GRADIENT above 100 km
+    dot = lambda x, y: sum((F.get(x, i) * F.get(y, i) for i in range(3)), F.lit(0.0))
+    vv = dot(c("v"), c("v"))
+    t = F.greatest(F.lit(-step_s), F.least(F.lit(step_s), F.when(vv > 0, -dot(c("r"), c("v")) / vv).otherwise(0.0)))
+    nearest = F.sqrt(sum((F.pow(F.get("r", i) + F.get("v", i) * t, 2) for i in range(3)), F.lit(0.0)))
+    bend = 0.5 * GRADIENT * (c("coarse_km") + F.sqrt(vv) * step_s) * step_s**2
+    best = best.filter(nearest - bend <= threshold_km).drop("r", "v")
     span = F.sequence(F.lit(0), F.lit(int(2 * step_s / fine_step_s)))
     grid = best.withColumn("_i", F.explode(span)).withColumn("ts", c("t0") - step_s + c("_i") * fine_step_s).filter((c("ts") >= start) & (c("ts") <= start + steps * step_s))
     el = sets.select("norad", "epoch", "n_rev_day", "a_km", "e", "inc_deg", "raan_deg", "argp_deg", "m_deg")

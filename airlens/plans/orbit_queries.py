@@ -109,14 +109,14 @@ def _eph_sql(src: str, t: str) -> str:
     return f"(SELECT *, {pos}, {vel} FROM {q} AS z5)"
 
 
-_GRID = f"grid AS (SELECT n.*, t.t_idx, {START} + t.t_idx * 60 AS ts FROM newest AS n, (SELECT unnest(range(0, 20)) AS t_idx) AS t)"
+_GRID = f"grid AS (SELECT n.*, t.t_idx, {START} + t.t_idx * 60 AS ts FROM newest AS n, (SELECT unnest(range(0, 360)) AS t_idx) AS t)"
 _EPH = f"{_GRID}, eph AS (SELECT * FROM {_eph_sql('grid', 'ts')} AS q)"
 
 
 @query("ephemeris_table", f"WITH {EL}, {_EPH} SELECT norad, CAST(t_idx AS INTEGER) AS t_idx, ts, {', '.join(f'round({a}_km, 3) AS {a}_km' for a in 'xyz')}, {', '.join(f'round(v{a}_kms, 5) AS v{a}_kms' for a in 'xyz')} FROM eph")
 def ephemeris_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The ephemeris contract, twenty minutes at 60 s."""
-    e = el.ephemeris(el.newest(sets(spark, sf)), START, 20, 60.0)
+    """The ephemeris contract, six hours at 60 s."""
+    e = el.ephemeris(el.newest(sets(spark, sf)), START, 360, 60.0)
     return e.select("norad", "t_idx", "ts", *[F.round(f"{a}_km", 3).alias(f"{a}_km") for a in "xyz"], *[F.round(f"v{a}_kms", 5).alias(f"v{a}_kms") for a in "xyz"])
 
 
@@ -133,7 +133,7 @@ _GEO = f"geo AS (SELECT *, degrees(l4) AS lat, ((({_LON}) % 360) + 360) % 360 -
 @query("ground_track", f"WITH {EL}, {_EPH}, {_GEO} SELECT norad, CAST(t_idx AS INTEGER) AS t_idx, round(lat, 4) AS lat, round(lon, 4) AS lon, round(height_km, 2) AS height_km FROM geo")
 def ground_track(spark: SparkSession, sf: str) -> DataFrame:
     """SCL-16."""
-    g = el.geodetic(el.ephemeris(el.newest(sets(spark, sf)), START, 20, 60.0))
+    g = el.geodetic(el.ephemeris(el.newest(sets(spark, sf)), START, 360, 60.0))
     return g.select("norad", "t_idx", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("height_km", 2).alias("height_km"))
 
 
@@ -189,14 +189,14 @@ def rule_reentry(spark: SparkSession, sf: str) -> DataFrame:
 _D = "sqrt(pow(a.x_km - b.x_km, 2) + pow(a.y_km - b.y_km, 2) + pow(a.z_km - b.z_km, 2))"
 _FINE = f"""cp AS (SELECT a.norad AS a, b.norad AS b, a.ts AS t0, {_D} AS d FROM eph AS a JOIN eph AS b ON a.t_idx = b.t_idx AND a.norad < b.norad AND abs(a.x_km - b.x_km) <= 100 AND abs(a.y_km - b.y_km) <= 100 AND abs(a.z_km - b.z_km) <= 100 WHERE {_D} <= 100),
 bp AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY d, t0) = 1),
-fg AS (SELECT bp.*, bp.t0 - 60 + i.i AS ft FROM bp, (SELECT unnest(range(0, 121)) AS i) AS i WHERE bp.t0 - 60 + i.i BETWEEN {START} AND {START} + 1200),
+fg AS (SELECT bp.*, bp.t0 - 60 + i.i AS ft FROM bp, (SELECT unnest(range(0, 121)) AS i) AS i WHERE bp.t0 - 60 + i.i BETWEEN {START} AND {START} + 21600),
 fa AS (SELECT fg.a, fg.b, fg.ft AS ts, n.* EXCLUDE (norad) FROM fg JOIN newest AS n ON n.norad = fg.a), ea AS (SELECT * FROM {_eph_sql('fa', 'ts')} AS q),
 fb AS (SELECT fg.a, fg.b, fg.ft AS ts, n.* EXCLUDE (norad) FROM fg JOIN newest AS n ON n.norad = fg.b), eb AS (SELECT * FROM {_eph_sql('fb', 'ts')} AS q),
 ff AS (SELECT a.a, a.b, a.ts, {_D} AS d, sqrt(pow(a.vx_kms - b.vx_kms, 2) + pow(a.vy_kms - b.vy_kms, 2) + pow(a.vz_kms - b.vz_kms, 2)) AS v FROM ea AS a JOIN eb AS b ON a.a = b.a AND a.b = b.b AND a.ts = b.ts)"""
 
 
-@query("rule_close_approach", f"""WITH {EL}, {_EPH}, {_FINE} SELECT a, b, ts AS tca, round(d, 3) AS min_km, round(v, 4) AS rel_speed_kms, v < 0.05 AS co_moving, CASE WHEN d < 10 THEN 'high' ELSE 'medium' END AS severity
+@query("rule_close_approach", f"""WITH {EL}, {_EPH}, {_FINE} SELECT a, b, ts AS tca, round(d, 3) AS min_km, round(v, 4) AS rel_speed_kms, v < 0.05 AS co_moving, CASE WHEN v >= 0.05 THEN CASE WHEN d < 10 THEN 'high' ELSE 'medium' END END AS severity, CASE WHEN v >= 0.05 THEN 'ORB-002' END AS rule_id
   FROM (SELECT * FROM ff QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY d, ts) = 1) AS q WHERE d <= 20""")
 def rule_close_approach(spark: SparkSession, sf: str) -> DataFrame:
-    """JON-18 and RUL-23: pairwise screen, threshold 20 km."""
-    return el.screen(el.newest(sets(spark, sf)), START, 20, 60.0, 20.0).select("a", "b", "tca", F.round("min_km", 3).alias("min_km"), F.round("rel_speed_kms", 4).alias("rel_speed_kms"), "co_moving", "severity")
+    """JON-18 and RUL-23: pairwise screen over six hours, threshold 20 km; co-moving pairs raise nothing."""
+    return el.screen(el.newest(sets(spark, sf)), START, 360, 60.0, 20.0).select("a", "b", "tca", F.round("min_km", 3).alias("min_km"), F.round("rel_speed_kms", 4).alias("rel_speed_kms"), "co_moving", "severity", "rule_id")
