@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from airlens.llm import words
 from airlens.llm.graph import whole_groups
-from airlens.llm.shared import shared_folder
+from airlens.llm.shared import shared_folder, small_batches
 
 c = F.col
 #: tokens of a block at least; a text is never divided
@@ -235,6 +235,7 @@ def _collected(df: DataFrame, shards: int, kinds: list[type], folder: str, finis
 def fit(spark: SparkSession, docs: DataFrame, text: str = "text") -> Model:
     """A model of all whole texts. Tokens are maximal runs of anything but blanks and line ends, A-Z taken as a-z, and
     the end of each text; null counts as the empty text. Without texts every word has probability 1 / (V + 1) = 1."""
+    small_batches(spark)
     texts = docs.select(c(f"`{text}`").alias("t"))
     size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
@@ -293,6 +294,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     score: log10 probability of the text in the model. Null counts as the empty text, which has one token; every row is
     scored on its own; columns with the added names are replaced; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     added = T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double")
     names = [k for k in (docs.columns if keep is None else keep) if k.lower() not in added.names]
     schema = T.StructType([docs.schema[k] for k in names] + list(added))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from airlens.llm import words
 from airlens.llm.graph import components, forest, pairs_in_groups, whole_groups
-from airlens.llm.shared import computed, stored
+from airlens.llm.shared import computed, small_batches, stored
 
 c = F.col
 WORDS = 5
@@ -230,6 +230,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     fewer than five words is one shingle of all its words; null and empty texts have no links and stay. Nulls sort
     before other keys; repeated rows are documents of their own with equal results; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = stored(computed(docs, text, [key], "k1 long, k2 long, sig binary", _sign)).withColumnRenamed(key, "key")
     classes = rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key"))["key"].alias("low"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()))

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,21 +46,41 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: rows of an Arrow batch at most, whatever the session allows: a batch of texts is held several times over
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from here on; a smaller limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def computed(df: DataFrame, text: str, keep: list[str], added: str, setup: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """The `keep` columns and the `added` ones (DDL), which setup()(text column of a batch) returns; nothing is shuffled.
 
-    Kept columns with an added name are replaced.
+    text: a column, or `struct.field` of a kept struct column, so that a text travels once. Kept columns with an added
+    name are replaced.
     """
+    small_batches(df.sparkSession)
     new = T.StructType.fromDDL(added)
     taken = {f.name.lower() for f in new}
     names = [k for k in keep if k.lower() not in taken]
     schema = T.StructType([df.schema[k] for k in names] + list(new))
+    struct, _, field = text.partition(".")
+    inside = bool(field) and text not in df.columns
+    at = names.index(struct if inside else text) if (struct if inside else text) in names else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = setup()
         for b in batches:
             if b.num_rows:
-                values = compute(b.column(len(names)))
+                values = compute(pc.struct_field(b.column(at), field) if inside else b.column(at))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *values], [*names, *new.names])
+                del b, values
+                pa.default_memory_pool().release_unused()
 
-    return df.select(*[F.col(f"`{k}`") for k in names], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    own = [] if at < len(names) else [F.col(f"{struct}.`{field}`" if inside else f"`{text}`").alias("_text")]
+    return df.select(*[F.col(f"`{k}`") for k in names], *own).mapInArrow(run, schema)

@@ -133,12 +133,23 @@ def _lists(rows: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
 
 
+def _shards(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes and text bounds of consecutive blocks that make up a shard."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for _, end, h, bounds in words.hashed(texts):
+        parts.append((h, bounds))
+        if len(parts) * words.BLOCK >= SHARD_BYTES or end == len(texts):
+            counts = np.concatenate([np.diff(b) for _, b in parts])
+            yield np.concatenate([x for x, _ in parts]), np.concatenate([[0], np.cumsum(counts)])
+            parts = []
+
+
 def _searcher(block: Block, item_ids: list[str | None], window: int):
     named = pa.array(item_ids, pa.string())
 
     def found(texts: pa.Array) -> list[pa.Array]:
         out = []
-        for _, _, h, bounds in words.hashed(texts, block=SHARD_BYTES):
+        for h, bounds in _shards(texts):
             n = len(bounds) - 1
             covered, pairs, longest = _shard(h, bounds, block, window)
             # covered runs end at document borders
@@ -180,7 +191,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator
         yield block_of([r.t for r in held], window), [r.i for r in held]
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = 10, keep: list[str] | None = None) -> DataFrame:
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", item_text: str = "text", window: int = 10, keep: list[str] | None = None) -> DataFrame:
     """The kept columns of all documents (default: all) with `leak`.
 
     leak.words: words of the document; hit: words inside any occurrence of a window (`window` consecutive words of an
@@ -193,9 +204,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, item: str
     names = [k for k in (docs.columns if keep is None else keep) if k.lower() != "leak"]
     out = docs
     result = None
-    for block in _blocks(benchmark, item, text, window):
+    for block in _blocks(benchmark, item, item_text, window):
         shared = spark.sparkContext.broadcast(block)
-        carried = names if text in names else [*names, text]
+        carried = names if text in names or text.partition(".")[0] in names else [*names, text]
         if result is not None:
             out = stored(result)
             carried = [*carried, "_leak"]
