@@ -15,9 +15,9 @@ from airlens.llm.shared import stored
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts; it is fitted on the labels outside the held-out quarter."""
     columns = docs.columns
-    kept = docs.select(F.struct(*[F.col(f"`{n}`") for n in columns]).alias("row"), F.col("text").alias("_body"))
+    kept = docs.select(F.struct(*[F.col(f"`{n}`") for n in columns]).alias("row"))
     model = queries.quality_model(spark, sf_dir, docs)
-    scored = compression_quality.scored(kept, model, "_body", ["row"])
+    scored = compression_quality.scored(kept, model, "row.text")
     return scored.filter(F.col("score") >= queries.ACCEPT).select(*[F.col(f"row.`{n}`").alias(n) for n in columns])
 
 
@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item, or a whole shorter item."""
     columns = docs.columns
-    kept = docs.select(F.struct(*[F.col(f"`{n}`") for n in columns]).alias("row"), F.col("text").alias("text"))
-    clean = suffix_matches.decontaminated(spark, kept, queries.table(spark, sf_dir, "benchmark", "item_id", "text"), keep=["row"])
+    kept = docs.select(F.struct(*[F.col(f"`{n}`") for n in columns]).alias("row"))
+    clean = suffix_matches.decontaminated(spark, kept, queries.table(spark, sf_dir, "benchmark", "item_id", "text"), text="row.text")
     return clean.select(*[F.col(f"row.`{n}`").alias(n) for n in columns])
 
 
