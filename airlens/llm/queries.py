@@ -212,6 +212,20 @@ def op9_suffix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", c("leak.words").alias("n_words"), c("leak.hit").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (c("leak.hit") > 0).alias("contaminated"), longest.alias("longest_match"))
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+SQL["op9_suffix_matches"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (SELECT i, item_id, q, least(len(w), 10) AS n, list_slice(w, q, q + least(len(w), 10) - 1) AS k FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(q) WHERE len(w) > 0),
+dw AS (SELECT r, p, n, list_slice(w, p, p + n - 1) AS k FROM d, (SELECT DISTINCT n FROM bw) AS ns, unnest(range(1, len(w) - n + 2)) AS t(p) WHERE len(w) >= n),
+m AS (SELECT r, p, n, i, item_id, q FROM dw JOIN bw USING (n, k)),
+hit AS (SELECT r, count(DISTINCT p + o) AS n_hit FROM (SELECT DISTINCT r, p, n FROM m) AS x, unnest(range(n)) AS t(o) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM m WHERE item_id IS NOT NULL) AS x GROUP BY r),
+runs AS (SELECT r, count(*) + n - 1 AS l FROM (SELECT r, i, n, p - q AS dg, p - row_number() OVER (PARTITION BY r, i, n, p - q ORDER BY p) AS g FROM m) AS x GROUP BY r, i, n, dg, g),
+lo AS (SELECT r, max(l) AS longest FROM runs GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest_match
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN lo USING (r)"""
+
 # op10 -----------------------------------------------------------------------------------------------------------------
 
 

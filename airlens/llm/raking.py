@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlens.llm.shared import packed, stored, unpacked
+from airlens.llm.shared import stored, unpacked
 
 c = F.col
 #: cells up to this count (about 100 bytes each) are sent to every executor, more are joined by a shuffle
