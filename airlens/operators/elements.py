@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from airlens.operators.ordered import sealed, with_lags, with_previous
 

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from airlens.operators import density as dens
 from airlens.operators import encounters as enc
 from airlens.plans import bridge
-from airlens.plans import sqlbase as S
 from airlens.plans.registry import query
 
 c = F.col
