@@ -146,6 +146,8 @@ def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: shares of sources, languages and topics are taken to these powers: the largest source weighs less
 POWERS = {"source": 0.7, "lang": 0.9, "topic": 0.9}
+#: share of the tokens that the draw keeps, whatever the size and the rarest cell
+KEEP = 0.5
 
 
 def topic(text: str = "text"):
@@ -155,8 +157,8 @@ def topic(text: str = "text"):
     return F.when(t.contains("License"), "license").when(t.contains("@"), "contact").when(n < 50, "note").when(n < 1000, "prose").otherwise("long")
 
 
-def mix(docs: DataFrame, text: str = "text") -> DataFrame:
-    return raking.mixed(docs, {"source": c("source"), "lang": c("lang"), "topic": topic(text)}, raking.token_count(c(text)), POWERS)
+def mix(docs: DataFrame, text: str = "text", report: dict[str, float] | None = None) -> DataFrame:
+    return raking.mixed(docs, {"source": c("source"), "lang": c("lang"), "topic": topic(text)}, raking.token_count(c(text)), POWERS, keep=KEEP, report=report)
 
 
 @query

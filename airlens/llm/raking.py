@@ -2,8 +2,9 @@
 
 Documents are counted into cells of all dimensions (one aggregation with partial sums). The cells' token weights are
 raked to one margin after the other until no margin asks for a change; a document is then drawn with a probability in
-proportion to its cell's weight, by the hash of its columns. Margins are aggregated and joined as tables, so neither
-cells nor margins have to be few.
+proportion to its cell's weight, by the hash of its columns. A stated share of the tokens is kept: cells whose
+probability would pass 1 are held at 1 and the others are raked again. Margins are aggregated and joined as tables, so
+neither cells nor margins have to be few.
 """
 
 from __future__ import annotations
@@ -40,6 +41,17 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return sums.select("value", (c("p") / total).alias("share"))
 
 
+def _goals(cells: DataFrame, dimensions: list[str], targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """For each dimension the values with tokens and a target: (value, its tokens t, its share of these targets)."""
+    goal = {}
+    for d in dimensions:
+        present = cells.groupBy(c(d).alias("value")).agg(F.sum("tokens").alias("t")).filter("t > 0")
+        t = targets[d].groupBy("value").agg(F.sum("share").alias("share")).filter("share > 0").join(present, "value")
+        whole = t.agg(F.sum("share")).first()[0] or 1.0
+        goal[d] = stored(t.select("value", "t", (c("share") / whole).alias("share")))
+    return goal
+
+
 def raked(cells: DataFrame, dimensions: list[str], targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells (dimensions, tokens) with `weight`, by which the shares of weighted tokens fit the targets (value, share).
 
@@ -48,12 +60,7 @@ def raked(cells: DataFrame, dimensions: list[str], targets: dict[str, DataFrame]
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     w = cells.withColumn("weight", F.lit(1.0))
-    goal = {}
-    for d in dimensions:
-        present = cells.groupBy(c(d).alias("value")).agg(F.sum("tokens").alias("t")).filter("t > 0").select("value")
-        t = targets[d].groupBy("value").agg(F.sum("share").alias("share")).filter("share > 0").join(present, "value")
-        whole = t.agg(F.sum("share")).first()[0] or 1.0
-        goal[d] = stored(t.select("value", (c("share") / whole * float(total)).alias("asked")))
+    goal = {d: g.select("value", (c("share") * float(total)).alias("asked")) for d, g in _goals(cells, dimensions, targets).items()}
     for _ in range(sweeps):
         w = w.withColumn("moved", F.lit(0.0))
         for d in dimensions:
@@ -66,14 +73,72 @@ def raked(cells: DataFrame, dimensions: list[str], targets: dict[str, DataFrame]
     return w.drop("moved")
 
 
-def mixed(docs: DataFrame, dimensions: dict[str, Column], tokens: Column, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 0) -> DataFrame:
+def _reachable(goal: DataFrame, budget: float) -> DataFrame:
+    """A dimension's (value, asked tokens) that sum to the budget: in proportion to the shares, no value beyond its tokens."""
+    k, full = budget, -1
+    while True:
+        held = c("share") * k >= c("t")
+        n, tokens, left = goal.agg(F.count(F.when(held, 1)), F.sum(F.when(held, c("t"))), F.sum(F.when(~held, c("share")))).first()
+        if n == full or not left:
+            return goal.select("value", F.least(c("t").cast("double"), c("share") * k).alias("asked"))
+        k, full = (budget - (tokens or 0)) / left, n
+
+
+def margin_errors(w: DataFrame, dimensions: list[str], targets: dict[str, DataFrame], by: str) -> dict[str, float]:
+    """For each dimension the largest distance between a value's share of the tokens times `by` and its target."""
+    errors = {}
+    for d, g in _goals(w.filter("weight > 0"), dimensions, targets).items():
+        has = w.groupBy(c(d).alias("value")).agg(F.sum(c("tokens") * c(by)).alias("has"))
+        whole = has.agg(F.sum("has")).first()[0] or 1.0
+        errors[d] = has.join(g, "value", "full").agg(F.max(F.abs(F.coalesce("has", F.lit(0.0)) / whole - F.coalesce("share", F.lit(0.0))))).first()[0] or 0.0
+    return errors
+
+
+def budgeted(w: DataFrame, dimensions: list[str], targets: dict[str, DataFrame], keep: float, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, float]]:
+    """The cells of raked() with `probability`, by which `keep` of all tokens are expected to stay; the margin errors left.
+
+    The probability is one factor for all cells times the weight, if that fits. Else it is the smaller of 1 and a
+    product of factors of the cell's values: what cells at 1 give is taken off their margins' targets and the others are
+    raked to the rest. A value with fewer tokens than it is asked for is asked for all of them, and the other values of
+    its dimension share what is missing. Cells that weigh nothing are never kept: if the others have fewer tokens than
+    asked for, all of them stay.
+    """
+    total, able, whole, top = w.agg(F.sum("tokens"), F.sum(F.when(c("weight") > 0, c("tokens"))), F.sum(c("tokens") * c("weight")), F.max(F.when(c("tokens") > 0, c("weight")))).first()
+    budget = min(keep * (total or 0), float(able or 0))
+    if able and budget >= able:
+        out = w.withColumn("probability", F.when(c("weight") > 0, 1.0).otherwise(0.0))
+        return out, margin_errors(out, dimensions, targets, "probability")
+    scale = budget / whole if whole else keep
+    u = w.withColumn("odds", c("weight") * scale)
+    if (top or 0.0) * scale > 1:
+        goal = {d: stored(_reachable(g, budget)) for d, g in _goals(w.filter("weight > 0"), dimensions, targets).items()}
+        for _ in range(sweeps):
+            u = u.withColumn("was", F.least(F.lit(1.0), c("odds")))
+            for d in dimensions:
+                at1 = c("odds") >= 1
+                margin = u.groupBy(c(d).alias("value")).agg(F.sum(F.when(at1, c("tokens")).otherwise(0)).alias("held"), F.sum(F.when(~at1, c("tokens") * c("odds")).otherwise(0.0)).alias("free"), F.sum(c("tokens") * c("odds")).alias("all"))
+                # a Newton step for the factor; where cells at 1 alone give too much, one that brings the margin below its target
+                step = F.when((c("free") > 0) & (c("asked") > c("held")), (c("asked") - c("held")) / c("free")).when((c("free") > 0) | (c("asked") < c("held")), c("asked") / c("all")).otherwise(1.0)
+                factor = margin.join(goal[d], "value", "left").select(c("value").alias(d), F.when(c("asked").isNull(), 1.0).otherwise(step).alias("factor"))
+                u = u.join(factor, d).withColumn("odds", c("odds") * c("factor")).drop("factor")
+            u = stored(u)
+            moved = u.agg(F.max(F.when(c("tokens") > 0, F.abs(F.least(F.lit(1.0), c("odds")) - c("was"))))).first()[0]
+            u = u.drop("was")
+            if (moved or 0.0) <= tolerance:
+                break
+    out = u.withColumn("probability", F.least(F.lit(1.0), c("odds"))).drop("odds")
+    return out, margin_errors(out, dimensions, targets, "probability")
+
+
+def mixed(docs: DataFrame, dimensions: dict[str, Column], tokens: Column, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 0, keep: float | None = None, report: dict[str, float] | None = None) -> DataFrame:
     """All documents with `tokens`, `weight`, `probability` and `drawn`.
 
     dimensions: name -> value of a document. Targets (value, share) are given, or for dimensions in `powers` made from
-    the documents. Values are written `=value`, null is the empty string. The probability is the cell's weight over the
-    largest weight of a cell with tokens, so it is never cut off and the expected margins are the targets. Rows are drawn
-    by a hash of all their columns; equal rows share their fate; input columns with the added names are replaced; an
-    empty table gives an empty result.
+    the documents. Values are written `=value`, null is the empty string. `keep` is the share of all tokens that is expected to stay, by
+    budgeted(); the margin errors that it leaves are put into `report`. Without it the probability is the cell's weight
+    over the largest weight of a cell with tokens: the expected margins are the targets, but the rarest cell decides how
+    much stays. Rows are drawn by a hash of all their columns; equal rows share their fate; input columns with the added
+    names are replaced; an empty table gives an empty result.
     """
     names = docs.columns
     dims = list(dimensions)
@@ -85,7 +150,13 @@ def mixed(docs: DataFrame, dimensions: dict[str, Column], tokens: Column, powers
     asked = {own[d]: (targets or {})[d] if d in (targets or {}) else tempered(cells, own[d], (powers or {})[d]) for d in dims}
     w = raked(cells, list(own.values()), asked)
     n, top = w.agg(F.count(F.lit(1)), F.max(F.when(c("tokens") > 0, c("weight")))).first()
-    w = w.select(*own.values(), "weight", F.least(F.lit(1.0), c("weight") / (top or 1.0)).alias("probability"))
+    if keep is None:
+        w = w.withColumn("probability", F.least(F.lit(1.0), c("weight") / (top or 1.0)))
+    else:
+        w, errors = budgeted(w, list(own.values()), asked, keep)
+        if report is not None:
+            report.update({d: errors[own[d]] for d in dims})
+    w = w.select(*own.values(), "weight", "probability")
     out = valued.join(F.broadcast(w) if n <= BROADCAST_CELLS else w, list(own.values()))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "row"), 11) / float(1 << 53)
     out = out.withColumn("drawn", draw < c("probability"))

@@ -63,3 +63,41 @@ def test_margins_of_documents(spark, sf):
         a = np.array([had[k] ** power for k in had])
         b = np.array([has[k] for k in had])
         assert np.allclose(a / a.sum(), b / b.sum(), rtol=1e-3, atol=1e-6)
+
+
+def test_kept_share(spark):
+    """One document of its own source takes no other document away, at two sizes."""
+    rows = [(f"s{i % 3}", "en" if i % 4 else "de", "w " * (20 + i % 50)) for i in range(600)]
+    for copies in (1, 20):
+        df = spark.createDataFrame([(k, *r) for k in range(copies) for r in rows] + [(0, "alone", "en", "w " * 100)], "k long, source string, lang string, text string")
+        report = {}
+        got = queries.mix(df, report=report).collect()
+        whole = sum(r.tokens for r in got)
+        assert abs(sum(r.tokens * r.probability for r in got) / whole - queries.KEEP) < 1e-3
+        assert all(r.probability > 0.999 for r in got if r.source == "alone")
+        # the others share what the one document cannot give as their targets do
+        had, has = defaultdict(float), defaultdict(float)
+        for r in got:
+            had[r.source] += r.tokens
+            has[r.source] += r.tokens * r.probability
+        goal = {k: n**0.7 for k, n in had.items() if k != "alone"}
+        share = {k: n / sum(goal.values()) for k, n in goal.items()}
+        assert all(abs(has[k] / (queries.KEEP * whole - had["alone"]) - share[k]) < 2e-3 for k in share)
+        short = had["alone"] ** 0.7 / sum(n**0.7 for n in had.values()) - had["alone"] / (queries.KEEP * whole)
+        assert abs(report["source"] - short) < 2e-3 and report["lang"] < 2e-3
+
+
+def test_bounded_raking(spark):
+    """Sparse cells with many at 1: kept tokens and the margins that can be met."""
+    rng = np.random.default_rng(0)
+    cells = [(f"={a}", f"={b}", int(10 ** rng.uniform(0, 5))) for a in range(6) for b in range(5) if rng.random() < 0.8]
+    df = spark.createDataFrame(cells, "a string, b string, tokens long")
+    targets = {d: raking.tempered(df, d, 0.3) for d in ("a", "b")}
+    w = raking.raked(df, ["a", "b"], targets)
+    out, errors = raking.budgeted(w, ["a", "b"], targets, 0.6, sweeps=20)
+    got = out.collect()
+    whole = sum(r.tokens for r in got)
+    assert abs(sum(r.tokens * r.probability for r in got) / whole - 0.6) < 5e-3
+    assert all(0 <= r.probability <= 1 for r in got) and sum(r.probability == 1 for r in got) > 1 and set(errors) == {"a", "b"}
+    everything, _ = raking.budgeted(w, ["a", "b"], targets, 1.0)
+    assert all(r.probability > 0.99 for r in everything.collect())
