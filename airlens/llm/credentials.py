@@ -24,7 +24,7 @@ STRONG = [
 # Weak kinds: reported only when complementary parts are near
 WEAK = [
     ("weak_id", "id", r"\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}", 0, 16),
-    ("weak_key", "secret", r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_.=-])", 0, 40),
+    ("weak_key", "secret", r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])", 0, 40),
     ("endpoint", "endpoint", r"\b(?:https?|s3|ftp|sftp|ssh|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~%:@/-]+", 0, 8),
 ]
 # What a quick search must find before the pattern is matched piece by piece

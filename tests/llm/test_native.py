@@ -117,3 +117,12 @@ def test_secrets(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = queries.QUERIES["op10_credentials"](spark, sf).collect()
     assert len(rows) == len(docs) and all((hashlib.sha256(spans(docs[r.doc_id])[0].encode()).hexdigest(), spans(docs[r.doc_id])[1]) == (r.base_sha256, r.spans) for r in rows)
+
+
+def test_secret_borders(spark):
+    """A key right after '=' or before a full stop counts, one inside a longer run of its alphabet does not."""
+    head = "AWS_ACCESS_KEY_ID=AKIAABCDEFGH1234\n"
+    texts = [f"{head}AWS_SECRET_ACCESS_KEY={KEY}\n", f"{head}https://h.example.com/a?key={KEY}", f"{head}The key is {KEY}.", f"{head}k_{KEY}-x", f"{head}KEY={KEY}0", f"{head}KEY=/{KEY}"]
+    out = credentials.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == "weak_key"] for r in out.collect()}
+    assert got == {i: [(t.index(KEY), t.index(KEY) + 40)] if i < 4 else [] for i, t in enumerate(texts)}
