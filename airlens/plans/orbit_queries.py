@@ -186,17 +186,19 @@ def rule_reentry(spark: SparkSession, sf: str) -> DataFrame:
     return el.reentry_findings(d, el.corridor_aircraft(g, bridge.states(spark, sf), _T1, STEP_S, 400.0), el.corridor_airports(g)).withColumn("measure", F.round("measure", 1))
 
 
+SCREEN_STEPS = 1440  # close approaches: 24 hours at 60 s
+_DAY = _EPH.replace("range(0, 360)", f"range(0, {SCREEN_STEPS})")
 _D = "sqrt(pow(a.x_km - b.x_km, 2) + pow(a.y_km - b.y_km, 2) + pow(a.z_km - b.z_km, 2))"
 _FINE = f"""cp AS (SELECT a.norad AS a, b.norad AS b, a.ts AS t0, {_D} AS d FROM eph AS a JOIN eph AS b ON a.t_idx = b.t_idx AND a.norad < b.norad AND abs(a.x_km - b.x_km) <= 100 AND abs(a.y_km - b.y_km) <= 100 AND abs(a.z_km - b.z_km) <= 100 WHERE {_D} <= 100),
 bp AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY d, t0) = 1),
-fg AS (SELECT bp.*, bp.t0 - 60 + i.i AS ft FROM bp, (SELECT unnest(range(0, 121)) AS i) AS i WHERE bp.t0 - 60 + i.i BETWEEN {START} AND {START} + 21600),
+fg AS (SELECT bp.*, bp.t0 - 60 + i.i AS ft FROM bp, (SELECT unnest(range(0, 121)) AS i) AS i WHERE bp.t0 - 60 + i.i BETWEEN {START} AND {START} + {SCREEN_STEPS * 60}),
 fa AS (SELECT fg.a, fg.b, fg.ft AS ts, n.* EXCLUDE (norad) FROM fg JOIN newest AS n ON n.norad = fg.a), ea AS (SELECT * FROM {_eph_sql('fa', 'ts')} AS q),
 fb AS (SELECT fg.a, fg.b, fg.ft AS ts, n.* EXCLUDE (norad) FROM fg JOIN newest AS n ON n.norad = fg.b), eb AS (SELECT * FROM {_eph_sql('fb', 'ts')} AS q),
 ff AS (SELECT a.a, a.b, a.ts, {_D} AS d, sqrt(pow(a.vx_kms - b.vx_kms, 2) + pow(a.vy_kms - b.vy_kms, 2) + pow(a.vz_kms - b.vz_kms, 2)) AS v FROM ea AS a JOIN eb AS b ON a.a = b.a AND a.b = b.b AND a.ts = b.ts)"""
 
 
-@query("rule_close_approach", f"""WITH {EL}, {_EPH}, {_FINE} SELECT a, b, ts AS tca, round(d, 3) AS min_km, round(v, 4) AS rel_speed_kms, v < 0.05 AS co_moving, CASE WHEN v >= 0.05 THEN CASE WHEN d < 10 THEN 'high' ELSE 'medium' END END AS severity, CASE WHEN v >= 0.05 THEN 'ORB-002' END AS rule_id
+@query("rule_close_approach", f"""WITH {EL}, {_DAY}, {_FINE} SELECT a, b, ts AS tca, round(d, 3) AS min_km, round(v, 4) AS rel_speed_kms, v < 0.05 AS co_moving, CASE WHEN v >= 0.05 THEN CASE WHEN d < 10 THEN 'high' ELSE 'medium' END END AS severity, CASE WHEN v >= 0.05 THEN 'ORB-002' END AS rule_id
   FROM (SELECT * FROM ff QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY d, ts) = 1) AS q WHERE d <= 20""")
 def rule_close_approach(spark: SparkSession, sf: str) -> DataFrame:
-    """JON-18 and RUL-23: pairwise screen over six hours, threshold 20 km; co-moving pairs raise nothing."""
-    return el.screen(el.newest(sets(spark, sf)), START, 360, 60.0, 20.0).select("a", "b", "tca", F.round("min_km", 3).alias("min_km"), F.round("rel_speed_kms", 4).alias("rel_speed_kms"), "co_moving", "severity", "rule_id")
+    """JON-18 and RUL-23: pairwise screen over 24 hours, threshold 20 km; co-moving pairs raise nothing."""
+    return el.screen(el.newest(sets(spark, sf)), START, SCREEN_STEPS, 60.0, 20.0).select("a", "b", "tca", F.round("min_km", 3).alias("min_km"), F.round("rel_speed_kms", 4).alias("rel_speed_kms"), "co_moving", "severity", "rule_id")

@@ -216,3 +216,10 @@ def test_unusable_elements(spark):
     rows = [(1, "ok", 15.0, 0.001, 51.6, 400.0), (2, "low", 16.9, 0.1, 51.6, -300.0), (3, "none", None, 0.1, 51.6, None)]
     r = elements.unusable(spark.createDataFrame(rows, "norad int, name string, n_rev_day double, e double, inc_deg double, perigee_km double")).collect()
     assert {(x.norad, x.reason) for x in r} == {(2, "below the surface"), (3, "missing numbers")}
+
+
+def test_close_approaches_of_a_day(spark, sf):
+    from airlens.plans import orbit_queries, registry
+
+    tca = [r.tca for r in registry.QUERIES["rule_close_approach"](spark, sf).collect()]
+    assert min(tca) < orbit_queries.START + 6 * 3600 < orbit_queries.START + 18 * 3600 < max(tca) <= orbit_queries.START + 24 * 3600
