@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from airlens.llm import compression_quality, credentials, kneser_ney, lsh_forest, preferences, raking, sharding, suffix_matches, tile_products, url_rules
+from airlens.llm import compression_quality, credentials, kneser_ney, lsh_forest, preferences, raking, sharding, spelling, suffix_matches, tile_products, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,3 +240,12 @@ def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return s.select("doc_id", *[count(k[0]) for k in credentials.STRONG], F.sha2(credentials.span_list(c("secrets"), True), 256).alias("base_sha256"), credentials.span_list(c("secrets")).alias("spans"))
+
+# op11 -----------------------------------------------------------------------------------------------------------------
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of five letters and three occurrences or more, their near words and the form that each belongs to."""
+    counted = spelling.word_counts(table(spark, sf_dir, "documents", "doc_id", "text"), noise=97)
+    return spelling.variants(counted.filter((F.char_length("word") >= 5) & (c("n") >= 3)))
