@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from airlens.llm import compression_quality, credentials, kneser_ney, lsh_forest, preferences, raking, sharding, spelling, suffix_matches, tile_products, url_rules
+from airlens.llm import compression_quality, credentials, kneser_ney, lsh_forest, preferences, raking, rans, sharding, spelling, suffix_matches, tile_products, url_rules
+from airlens.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -249,3 +251,24 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of five letters and three occurrences or more, their near words and the form that each belongs to."""
     counted = spelling.word_counts(table(spark, sf_dir, "documents", "doc_id", "text"), noise=97)
     return spelling.variants(counted.filter((F.char_length("word") >= 5) & (c("n") >= 3)))
+
+# op13 -----------------------------------------------------------------------------------------------------------------
+
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 1
+
+
+def tokenizer_json(name: str = TOKENIZER) -> str:
+    """A tokenizer file of the machine as text, so that it reaches workers that have no such file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+@query
+def op13_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to range-coded files and read back."""
+    folder = f"{shared_folder(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    rans.write(table(spark, sf_dir, "documents", "doc_id", "text"), folder, tokenizer_json(), END_ID, by_words=True)
+    return rans.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
