@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from airlens.llm import compression_quality, credentials, kneser_ney, lsh_forest, preferences, raking, rans, sharding, spelling, suffix_matches, tile_products, url_rules
+from airlens.llm import compression_quality, credentials, kneser_ney, lsh_forest, preferences, raking, rans, sharding, spanning_tree, spelling, suffix_matches, tile_products, url_rules
 from airlens.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,6 +252,28 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = spelling.word_counts(table(spark, sf_dir, "documents", "doc_id", "text"), noise=97)
     return spelling.variants(counted.filter((F.char_length("word") >= 5) & (c("n") >= 3)))
 
+# op12 -----------------------------------------------------------------------------------------------------------------
+
+
+@query
+def op12_spanning_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh vector is given the next label."""
+    v = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    v = v.withColumn("label", F.when(c("vec_id") % 7 == 0, (c("label").cast("long") + 1) % 10).otherwise(c("label")))
+    return spanning_tree.hard_negatives(v, c("vec_id") % 100 == 0, scale=256)
+
+
+SQL["op12_spanning_tree_negatives"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id, b) AS k FROM s WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.a, k ORDER BY s.score DESC, s.id, s.b) AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
 # op13 -----------------------------------------------------------------------------------------------------------------
 
 TOKENIZER = "word_bpe_49k.json"
