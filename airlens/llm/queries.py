@@ -159,15 +159,15 @@ def topic(text: str = "text"):
     return F.when(t.contains("License"), "license").when(t.contains("@"), "contact").when(n < 50, "note").when(n < 1000, "prose").otherwise("long")
 
 
-def mix(docs: DataFrame, text: str = "text", report: dict[str, float] | None = None) -> DataFrame:
-    return raking.mixed(docs, {"source": c("source"), "lang": c("lang"), "topic": topic(text)}, raking.token_count(c(text)), POWERS, keep=KEEP, report=report)
+def mix(docs: DataFrame, text: str = "text", report: dict[str, float] | None = None, error: str | None = None) -> DataFrame:
+    return raking.mixed(docs, {"source": c("source"), "lang": c("lang"), "topic": topic(text)}, raking.token_count(c(text)), POWERS, keep=KEEP, report=report, error=error)
 
 
 @query
 def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's weight and fate when tokens are raked to source, language and topic."""
+    """Every document's weight and fate when tokens are raked to source, language and topic; the largest margin error left."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
-    return mix(docs).select("doc_id", "source", "lang", topic().alias("topic"), "tokens", "weight", "probability", "drawn")
+    return mix(docs, error="margin_error").select("doc_id", "source", "lang", topic().alias("topic"), "tokens", "weight", "probability", "drawn", "margin_error")
 
 
 # op7 ------------------------------------------------------------------------------------------------------------------

@@ -3,12 +3,17 @@
 Documents are counted into cells of all dimensions (one aggregation with partial sums). The cells' token weights are
 raked to one margin after the other until no margin asks for a change; a document is then drawn with a probability in
 proportion to its cell's weight, by the hash of its columns. A stated share of the tokens is kept: cells whose
-probability would pass 1 are held at 1 and the others are raked again. Margins are aggregated and joined as tables, so
-neither cells nor margins have to be few.
+probability would pass 1 are held at 1 and the others are raked again. A cell table of a counted, bounded size is raked
+in one task; of a larger one the margins are aggregated and joined as tables, so neither cells nor margins have to be
+few. Both ways take the same steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +22,11 @@ from airlens.llm.shared import stored, unpacked
 c = F.col
 #: cells up to this count (about 100 bytes each) are sent to every executor, more are joined by a shuffle
 BROADCAST_CELLS = 50_000
+#: cells up to this count (about 100 bytes each) are raked in one task, more sweep by sweep as tables
+TOGETHER_CELLS = 50_000
 SWEEPS = 50
+#: sweeps in one task, where they cost next to nothing
+TOGETHER_SWEEPS = 2000
 #: a sweep that changes no weight by more than this share ends the raking
 TOLERANCE = 1e-4
 
@@ -130,12 +139,120 @@ def budgeted(w: DataFrame, dimensions: list[str], targets: dict[str, DataFrame],
     return out, margin_errors(out, dimensions, targets, "probability")
 
 
-def mixed(docs: DataFrame, dimensions: dict[str, Column], tokens: Column, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 0, keep: float | None = None, report: dict[str, float] | None = None) -> DataFrame:
+class _Cells:
+    """The same for a bounded cell table in one task: values as numbers, sums by bincount."""
+
+    def __init__(self, values: list[np.ndarray], tokens: np.ndarray, shares: list[dict[str, float]], powers: list[float | None]):
+        self.tokens, self.total = tokens.astype(float), float(tokens.sum())
+        self.codes, self.sizes, self.shares = [], [], []
+        for v, given, power in zip(values, shares, powers):
+            names, code = np.unique(v, return_inverse=True)
+            self.codes.append(code)
+            self.sizes.append(len(names))
+            t = self.by_value(len(self.codes) - 1, self.tokens)
+            self.shares.append(np.where(t > 0, t, 0.0) ** power * (t > 0) if power is not None else np.array([max(given.get(n, 0.0), 0.0) for n in names]))
+
+    def by_value(self, d: int, amount: np.ndarray) -> np.ndarray:
+        return np.bincount(self.codes[d], amount, self.sizes[d])
+
+    def goals(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each dimension the tokens of its values in some cells, and its shares among values with tokens."""
+        for d, share in enumerate(self.shares):
+            t = self.by_value(d, self.tokens * some)
+            share = np.where(t > 0, share, 0.0)
+            yield t, share / (share.sum() or 1.0)
+
+    def raked(self, sweeps: int, tolerance: float) -> np.ndarray:
+        weight = np.ones(len(self.tokens))
+        asked = [share * self.total for _, share in self.goals(np.ones(len(self.tokens)))]
+        for _ in range(sweeps):
+            moved = 0.0
+            for d, goal in enumerate(asked):
+                has = self.by_value(d, self.tokens * weight)
+                factor = np.where(has > 0, goal / np.where(has > 0, has, 1.0), goal > 0)[self.codes[d]]
+                moved = max(moved, np.abs(factor - 1)[self.tokens * weight > 0].max(initial=0.0))
+                weight = weight * factor
+            if moved <= tolerance:
+                break
+        return weight
+
+    def budgeted(self, weight: np.ndarray, keep: float, sweeps: int, tolerance: float) -> np.ndarray:
+        some = weight > 0
+        able, whole = self.tokens[some].sum(), float((self.tokens * weight).sum())
+        budget = min(keep * self.total, able)
+        if able and budget >= able:
+            return some.astype(float)
+        odds = weight * (budget / whole if whole else keep)
+        if odds[self.tokens > 0].max(initial=0.0) > 1:
+            asked = [self.reachable(t, share, budget) for t, share in self.goals(some)]
+            for _ in range(sweeps):
+                was = np.minimum(1.0, odds)
+                for d, goal in enumerate(asked):
+                    full = odds >= 1
+                    held, free, given = (self.by_value(d, x) for x in (self.tokens * full, self.tokens * odds * ~full, self.tokens * odds))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        step = np.where((free > 0) & (goal > held), (goal - held) / free, np.where((free > 0) | (goal < held), goal / given, 1.0))
+                    odds = odds * np.where(goal > 0, step, 1.0)[self.codes[d]]
+                if np.abs(np.minimum(1.0, odds) - was)[self.tokens > 0].max(initial=0.0) <= tolerance:
+                    break
+        return np.minimum(1.0, odds)
+
+    @staticmethod
+    def reachable(t: np.ndarray, share: np.ndarray, budget: float) -> np.ndarray:
+        k, full = budget, -1
+        while True:
+            held = (share * k >= t) & (share > 0)
+            left = share[~held].sum()
+            if held.sum() == full or not left:
+                return np.minimum(t, share * k)
+            k, full = (budget - t[held].sum()) / left, held.sum()
+
+    def errors(self, weight: np.ndarray, by: np.ndarray) -> list[float]:
+        out = []
+        for d, (_, share) in enumerate(self.goals(weight > 0)):
+            has = self.by_value(d, self.tokens * by)
+            out.append(float(np.abs(has / (has.sum() or 1.0) - share).max(initial=0.0)))
+        return out
+
+
+def _together(cells: DataFrame, dimensions: list[str], powers: dict[str, float], targets: dict[str, DataFrame], keep: float | None) -> DataFrame:
+    """Cells with weight, probability and `errors`, one for each dimension, from one task."""
+    target = None
+    for d, t in targets.items():
+        present = t.join(cells.select(c(d).alias("value")).distinct(), "value").groupBy("value").agg(F.sum("share").alias("share"))
+        rows = present.select(F.lit(d).alias("dimension"), "value", c("share").cast("double").alias("share"))
+        target = rows if target is None else target.unionByName(rows)
+    both = cells if target is None else cells.unionByName(target, allowMissingColumns=True)
+    power = [None if d in targets else powers[d] for d in dimensions]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = list(parts)
+        if not found:
+            return
+        rows = pd.concat(found)
+        shares: dict[str, dict[str, float]] = {d: {} for d in dimensions}
+        if "share" in rows:
+            for r in rows[rows["share"].notna()].itertuples():
+                shares[r.dimension][r.value] = r.share
+            rows = rows[rows["share"].isna()]
+        if not len(rows):
+            return
+        w = _Cells([rows[d].to_numpy(str) for d in dimensions], rows["tokens"].to_numpy(float), [shares[d] for d in dimensions], power)
+        weight = w.raked(TOGETHER_SWEEPS, TOLERANCE)
+        top = weight[w.tokens > 0].max(initial=0.0)
+        probability = np.minimum(1.0, weight / (top or 1.0)) if keep is None else w.budgeted(weight, keep, TOGETHER_SWEEPS, TOLERANCE)
+        yield rows[dimensions].assign(weight=weight, probability=probability, errors=[w.errors(weight, probability)] * len(rows))
+
+    return both.repartition(1).mapInPandas(run, ", ".join(f"{d} string" for d in dimensions) + ", weight double, probability double, errors array<double>")
+
+
+def mixed(docs: DataFrame, dimensions: dict[str, Column], tokens: Column, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 0, keep: float | None = None, report: dict[str, float] | None = None, error: str | None = None) -> DataFrame:
     """All documents with `tokens`, `weight`, `probability` and `drawn`.
 
     dimensions: name -> value of a document. Targets (value, share) are given, or for dimensions in `powers` made from
     the documents. Values are written `=value`, null is the empty string. `keep` is the share of all tokens that is expected to stay, by
-    budgeted(); the margin errors that it leaves are put into `report`. Without it the probability is the cell's weight
+    budgeted(); the margin errors that it leaves are put into `report`, the largest of them into a column `error` if one
+    is named. Without it the probability is the cell's weight
     over the largest weight of a cell with tokens: the expected margins are the targets, but the rarest cell decides how
     much stays. Rows are drawn by a hash of all their columns; equal rows share their fate; input columns with the added
     names are replaced; an empty table gives an empty result.
@@ -147,17 +264,30 @@ def mixed(docs: DataFrame, dimensions: dict[str, Column], tokens: Column, powers
     valued = docs.select(F.struct(*[c(f"`{n}`") for n in names]).alias("row"), tokens.alias("tokens"), *[dimensions[d].alias(own[d]) for d in dims])
     valued = valued.select("row", "tokens", *[_value(own[d]).alias(own[d]) for d in dims])
     cells = stored(valued.groupBy(*own.values()).agg(F.sum("tokens").alias("tokens")))
-    asked = {own[d]: (targets or {})[d] if d in (targets or {}) else tempered(cells, own[d], (powers or {})[d]) for d in dims}
-    w = raked(cells, list(own.values()), asked)
-    n, top = w.agg(F.count(F.lit(1)), F.max(F.when(c("tokens") > 0, c("weight")))).first()
-    if keep is None:
-        w = w.withColumn("probability", F.least(F.lit(1.0), c("weight") / (top or 1.0)))
+    given = {own[d]: t for d, t in (targets or {}).items() if d in own}
+    n = cells.count()
+    if n <= TOGETHER_CELLS:
+        w = stored(_together(cells, list(own.values()), {own[d]: p for d, p in (powers or {}).items()}, given, keep))
+        found = w.select("errors").first() if report is not None else None
+        errors = dict(zip(own.values(), found[0] if found else [0.0] * len(own)))
+        w = w.withColumn("worst", F.array_max("errors"))
     else:
-        w, errors = budgeted(w, list(own.values()), asked, keep)
-        if report is not None:
-            report.update({d: errors[own[d]] for d in dims})
-    w = w.select(*own.values(), "weight", "probability")
+        asked = {d: given[d] if d in given else tempered(cells, d, (powers or {})[k]) for k, d in own.items()}
+        w = raked(cells, list(own.values()), asked)
+        if keep is None:
+            top = w.agg(F.max(F.when(c("tokens") > 0, c("weight")))).first()[0]
+            w = w.withColumn("probability", F.least(F.lit(1.0), c("weight") / (top or 1.0)))
+            errors = margin_errors(w, list(own.values()), asked, "probability") if report is not None or error else dict.fromkeys(own.values(), 0.0)
+        else:
+            w, errors = budgeted(w, list(own.values()), asked, keep)
+        w = w.withColumn("worst", F.lit(max(errors.values(), default=0.0)))
+    if report is not None:
+        report.update({d: errors[own[d]] for d in dims})
+    w = w.select(*own.values(), "weight", "probability", "worst")
     out = valued.join(F.broadcast(w) if n <= BROADCAST_CELLS else w, list(own.values()))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "row"), 11) / float(1 << 53)
     out = out.withColumn("drawn", draw < c("probability"))
-    return out.select(*unpacked(out, names, "tokens", "weight", "probability", "drawn"))
+    added = ["tokens", "weight", "probability", "drawn"]
+    if error:
+        out, added = out.withColumnRenamed("worst", error), [*added, error]
+    return out.select(*unpacked(out, names, *added))

@@ -101,3 +101,23 @@ def test_bounded_raking(spark):
     assert all(0 <= r.probability <= 1 for r in got) and sum(r.probability == 1 for r in got) > 1 and set(errors) == {"a", "b"}
     everything, _ = raking.budgeted(w, ["a", "b"], targets, 1.0)
     assert all(r.probability > 0.99 for r in everything.collect())
+
+
+@pytest.mark.parametrize("keep", [None, 0.5, 0.9])
+def test_both_ways(spark, monkeypatch, keep):
+    """One task and tables give the same weights, probabilities and errors, with targets given and made."""
+    r = np.random.default_rng(1)
+    rows = [(f"s{int(x)}", f"l{int(y)}", "w " * int(10 ** r.uniform(0, 2.5))) for x, y in zip(r.zipf(1.6, 400) % 9, r.integers(0, 4, 400))] + [("none", "l1", ""), ("s1", None, None)]
+    df = spark.createDataFrame(rows, "source string, lang string, text string")
+    shares = spark.createDataFrame([("=l0", 0.2), ("=l1", 0.5), ("=l1", 0.1), ("=l2", 0.0), ("=gone", 1.0)], "value string, share double")
+    out = []
+    for cells in (10_000, 0):
+        monkeypatch.setattr(raking, "TOGETHER_CELLS", cells)
+        monkeypatch.setattr(raking, "SWEEPS", 60)
+        report = {}
+        got = raking.mixed(df, {"source": F.col("source"), "lang": F.col("lang")}, raking.token_count(F.col("text")), {"source": 0.6}, {"lang": shares}, keep=keep, report=report, error="worst")
+        out.append((sorted(((x.source, x.lang or "", x.text or ""), x.weight, x.probability, x.worst) for x in got.collect()), report))
+    (a, ra), (b, rb) = out
+    assert [x[0] for x in a] == [x[0] for x in b] and ra.keys() == rb.keys() == {"source", "lang"}
+    assert np.allclose([x[1:] for x in a], [x[1:] for x in b], rtol=5e-3, atol=1e-3)
+    assert all(abs(ra[k] - rb[k]) < 1e-3 for k in ra) and abs(a[0][3] - max(ra.values())) < 1e-9
