@@ -16,12 +16,13 @@ the symbols and their frequencies (32 bits each), crc32.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.llm.shared import small_batches, stored
+from airlens.llm.shared import kept_by_worker, small_batches, stored
 
 c = F.col
 #: ids of a block at least (a document is never divided), lanes at most and ids of a lane at least, steps of a stretch
@@ -43,8 +44,8 @@ CHECKPOINT = 256
 #: ids of a file, and of the smaller files that make several tasks of a small input
 FILE_IDS = 64 << 20
 LEAST_FILE_IDS = 4 << 20
-#: bytes of pieces whose ids a worker remembers, bytes of ids in a batch that a reader returns
-REMEMBERED = 64 << 20
+#: bytes of pieces of words whose ids a worker remembers, bytes of ids in a batch that a reader returns
+REMEMBERED = 128 << 20
 BATCH_BYTES = 4 << 20
 LOW = np.uint64(1 << 32)
 
@@ -178,50 +179,81 @@ class Coder:
 # Tokens ---------------------------------------------------------------------------------------------------------------
 
 
-def _pieces(text: bytes) -> list[bytes]:
-    """A text cut at ASCII white space. Letters of pure ASCII texts are lower-cased, as the tokenizer would do; marks of
-    special tokens are told by their case."""
-    return (text.lower() if text.isascii() and b"<|" not in text else text).split()
+#: how the tokenizer of words cuts lower-cased ASCII text
+ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+PRINTABLE = re.compile(rb"[!-~]+")
 
 
-def encoder(tokenizer: str, end: int, by_words: bool) -> Callable[[list[str]], list[np.ndarray]]:
+class Encoder:
     """Texts -> their ids, each followed by `end`. tokenizer: JSON as the tokenizers library reads it.
 
-    by_words: only for tokenizers that lower-case, drop white space and never join across it; the ids of pieces are
-    then remembered. Else whole texts are encoded.
+    by_words: only for tokenizers that lower-case, drop white space, never join across it and cut ASCII text as
+    ASCII_PIECES says. Texts are then cut at ASCII white space, and the ids of words and pieces are remembered, up to
+    REMEMBERED bytes of pieces and half as many of words; marks of special tokens are told by their case, so nothing with `<|` is cut or lower-cased. Else
+    whole texts are encoded.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_str(tokenizer)
-    kind = np.uint16 if max(t.get_vocab_size(), end + 1) <= 1 << 16 else np.uint32
-    tail = np.array([end], kind).tobytes()
-    known: dict[bytes, bytes] = {}
-    held = 0
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        nonlocal held
-        if not by_words:
-            return [np.array(e.ids + [end], kind) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-        if held > REMEMBERED:
-            known.clear()
-            held = 0
-        cut = [_pieces(x.encode()) for x in texts]
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for p, e in zip(new, t.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            known[p] = np.array(e.ids, kind).tobytes()
-            held += 150 + len(p) + len(known[p])
-        return [np.frombuffer(b"".join([known[p] for p in pieces] + [tail]), kind) for pieces in cut]
-
-    return encode
+
+    def __init__(self, tokenizer: str, end: int, by_words: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.end, self.by_words = Tokenizer.from_str(tokenizer), end, by_words
+        self.kind = np.uint16 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else np.uint32
+        self.words: dict[bytes, bytes] = {}  # between white space, and pieces of them
+        self.pieces: dict[bytes, bytes] = {}
+        self.held = [0, 0]
+
+    def pieces_of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not remembered, from those of their pieces."""
+        parts = {w: ASCII_PIECES.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in words}
+        new = {x for p in parts.values() for x in p if x not in self.pieces}
+        # printable ASCII is what the tokenizer's model sees it as; everything else takes the whole way
+        plain = [x for x in new if PRINTABLE.fullmatch(x)]
+        ids = {x: np.array([y.id for y in self.tokenizer.model.tokenize(x.decode())], self.kind).tobytes() for x in plain}
+        rest = [x for x in new if x not in ids]
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)):
+            ids[x] = np.array(e.ids, self.kind).tobytes()
+        if sum(map(len, ids)) + sum(map(len, ids.values())) + 150 * len(ids) + self.held[1] < REMEMBERED:
+            self.held[1] += self.keep(self.pieces, ids)
+            ids = self.pieces
+        else:
+            ids = ids | {x: self.pieces[x] for p in parts.values() for x in p if x in self.pieces}
+        return {w: b"".join([ids[x] for x in p]) for w, p in parts.items()}
+
+    @staticmethod
+    def keep(memory: dict[bytes, bytes], found: dict[bytes, bytes]) -> int:
+        memory.update(found)
+        return sum(150 + len(w) + len(i) for w, i in found.items())
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_words:
+            return [np.array(e.ids + [self.end], self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        tail, get, missing = np.array([self.end], self.kind).tobytes(), self.words.get, set()
+        cut, out = [], []
+        for text in texts:
+            raw = text.encode()
+            words = (raw.lower() if raw.isascii() and b"<|" not in raw else raw).split()
+            ids = list(map(get, words))
+            if None in ids:
+                missing.update(w for w, i in zip(words, ids) if i is None)
+            cut.append(words)
+            out.append(ids)
+        if missing:
+            found = self.pieces_of(missing)
+            out = [[found[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids for words, ids in zip(cut, out)]
+            if self.held[0] < REMEMBERED // 2:
+                self.held[0] += self.keep(self.words, found)
+        return [np.frombuffer(b"".join([*ids, tail]), self.kind) for ids in out]
 
 
 def tokens(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", by_words: bool = False) -> DataFrame:
     """(key, row, n, width, ids) of all rows: ids as bytes of `width` each. row tells rows of one key apart."""
     small_batches(docs.sparkSession)
+    name = f"encoder_{zlib.crc32(tokenizer.encode())}_{end}_{by_words}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, end, by_words)
+        encode = kept_by_worker(name, lambda: Encoder(tokenizer, end, by_words))
+        gc.disable()  # millions of small objects without a cycle: looking for cycles takes a fifth of the time
         for b in batches:
             lo = 0
             sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -231,6 +263,7 @@ def tokens(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text:
                 n = pa.array([len(x) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), n, pa.array([x.itemsize for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())], ["key", "row", "n", "width", "ids"])
                 lo = hi
+        gc.enable()
 
     rows = docs.select(c(f"`{key}`").cast("long").alias("key"), F.monotonically_increasing_id().alias("row"), c(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, "key long, row long, n long, width int, ids binary")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -46,6 +48,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def kept_by_worker(name: str, make: Callable):
+    """What make() gives, made once in a Python worker and kept for its later tasks: functions travel by value, so the
+    globals of their own module do not last."""
+    home = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
+    if not hasattr(home, name):
+        setattr(home, name, make())
+    return getattr(home, name)
+
+
 #: rows of an Arrow batch at most, whatever the session allows: a batch of texts is held several times over
 BATCH_ROWS = 1000
 
