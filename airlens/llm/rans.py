@@ -207,8 +207,8 @@ class Encoder:
         """The ids of words that are not remembered, from those of their pieces."""
         parts = {w: ASCII_PIECES.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in words}
         new = {x for p in parts.values() for x in p if x not in self.pieces}
-        # printable ASCII is what the tokenizer's model sees it as; everything else takes the whole way
-        plain = [x for x in new if PRINTABLE.fullmatch(x)]
+        # a printable, lower-cased ASCII piece is as the tokenizer's model sees it; everything else takes the whole way
+        plain = [x for x in new if PRINTABLE.fullmatch(x) and ASCII_PIECES.fullmatch(x) and x == x.lower()]
         ids = {x: np.array([y.id for y in self.tokenizer.model.tokenize(x.decode())], self.kind).tobytes() for x in plain}
         rest = [x for x in new if x not in ids]
         for x, e in zip(rest, self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)):
