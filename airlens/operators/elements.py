@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlens.operators.ordered import sealed, with_lags, with_previous
+from airlens.session import cut_lineage
 
 c = F.col
 # fixed values
@@ -147,8 +148,8 @@ def ephemeris(sets: DataFrame, start: float, steps: int, step_s: float) -> DataF
     return propagate(s)
 
 
-def propagate(s: DataFrame) -> DataFrame:
-    """Add x_km .. vz_kms for rows that carry elements and the time `ts`."""
+def propagate(s: DataFrame, outside: tuple[str, ...] = ()) -> DataFrame:
+    """Add x_km .. vz_kms for rows that carry elements and the time `ts`; a partitioning by columns `outside` is kept."""
     n0 = c("n_rev_day") * (2 * math.pi / 86400.0)
     s = s.withColumn("_dt", c("ts") - c("epoch")).withColumn("_n", n0).withColumn("_p", c("a_km") * (1 - c("e") * c("e")))
     s = s.withColumn("_k", 1.5 * J2 * F.pow(F.lit(RE_KM) / c("_p"), 2) * c("_n")).withColumn("_ci", F.cos(F.radians("inc_deg")))
@@ -168,7 +169,7 @@ def propagate(s: DataFrame) -> DataFrame:
          [c("_sw") * c("_si"), c("_cw") * c("_si")]]
     keep = [x for x in s.columns if not x.startswith("_")]
     return sealed(s.select(*keep, *[(q[i][0] * c("_xp") + q[i][1] * c("_yp")).alias(f"{ax}_km") for i, ax in enumerate("xyz")],
-                    *[(q[i][0] * c("_vxp") + q[i][1] * c("_vyp")).alias(f"v{ax}_kms") for i, ax in enumerate("xyz")]))
+                    *[(q[i][0] * c("_vxp") + q[i][1] * c("_vyp")).alias(f"v{ax}_kms") for i, ax in enumerate("xyz")]), outside)
 
 
 def geodetic(eph: DataFrame) -> DataFrame:
@@ -187,23 +188,53 @@ def geodetic(eph: DataFrame) -> DataFrame:
     return sealed(s.drop("_t", "_th", "_p", "_nn", "_h", "_l4"))
 
 
-def close_positions(eph: DataFrame, reach_km: float, cells: int = 5) -> DataFrame:
-    """Pairs a < b of an ephemeris table within reach at a time: a, b, ts, d, and the difference of positions and velocities.
+def touching_shells(sets: DataFrame, reach_km: float) -> DataFrame:
+    """The sets whose shell, from perigee to apogee and half a reach wider on both sides, may touch another's: those that
+    share a band of heights with another object. Bands are counted, so no pair of shells is ever formed."""
+    low, high = c("a_km") * (1 - c("e")) - reach_km / 2, c("a_km") * (1 + c("e")) + reach_km / 2
+    bands = sets.select("norad", F.explode(F.sequence(F.floor(low / reach_km), F.floor(high / reach_km))).alias("band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    return sets.join(bands.join(shared, "band").select("norad").distinct(), "norad", "left_semi")
 
-    Equi-join on (time index, cell), cells some reaches wide. A position is copied to the cells that its box of one
+
+#: positions of a time slab, about 100 bytes each; slabs at least, so that a small catalogue makes several tasks too
+SLAB_POSITIONS = 2_000_000
+LEAST_SLABS = 32
+_ELEMENTS = ["norad", "epoch", "n_rev_day", "a_km", "e", "inc_deg", "raan_deg", "argp_deg", "m_deg"]
+
+
+def close_positions(sets: DataFrame, start: float, steps: int, step_s: float, reach_km: float, cells: int = 5) -> DataFrame:
+    """Pairs a < b of objects within reach at a time of the grid: a, b, ts, d.
+
+    Only elements are shuffled, a copy for each slab of time; positions are computed and meet inside their slab, in
+    groups by (time index, cell), cells some reaches wide. A position is copied to the cells that its box of one
     reach touches, 1.7 on average, and a pair is kept in the first cell that both boxes touch.
     """
     width = cells * reach_km
-    e = eph
+    e = touching_shells(sets.select(*_ELEMENTS), reach_km)
+    slabs = min(steps, max(LEAST_SLABS, -(-sets.count() * steps // SLAB_POSITIONS)))
+    per = -(-steps // slabs)
+    e = e.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(-(-steps // per) - 1)))).repartitionByRange(-(-steps // per), "slab")
+    e = e.withColumn("t_idx", F.explode(F.sequence(c("slab") * per, F.least((c("slab") + 1) * per, F.lit(steps)) - 1))).withColumn("ts", start + c("t_idx") * step_s)
+    e = propagate(e, ("slab", "t_idx"))
     for x in "xyz":
-        e = e.withColumn(f"_{x}0", F.floor((c(f"{x}_km") - reach_km / 2) / width)).withColumn(f"_{x}", F.explode(F.sequence(f"_{x}0", F.floor((c(f"{x}_km") + reach_km / 2) / width))))
-    a, b = e.alias("a"), e.alias("b")
-    on = (c("a.t_idx") == c("b.t_idx")) & (c("a.norad") < c("b.norad"))
-    for x in "xyz":
-        on = on & (c(f"a._{x}") == c(f"b._{x}")) & (F.abs(c(f"a.{x}_km") - c(f"b.{x}_km")) <= reach_km) & (c(f"a._{x}") == F.greatest(f"a._{x}0", f"b._{x}0"))
-    d = F.sqrt(sum(((c(f"a.{x}_km") - c(f"b.{x}_km")) * (c(f"a.{x}_km") - c(f"b.{x}_km")) for x in "xyz"), F.lit(0.0)))
-    rel = [F.array(*[c(f"a.{n.format(x)}") - c(f"b.{n.format(x)}") for x in "xyz"]).alias(k) for k, n in (("r", "{}_km"), ("v", "v{}_kms"))]
-    return a.join(b, on).select(c("a.norad").alias("a"), c("b.norad").alias("b"), c("a.ts").alias("ts"), d.alias("d"), *rel).filter(c("d") <= reach_km)
+        e = e.withColumn(f"{x}0", F.floor((c(f"{x}_km") - reach_km / 2) / width)).withColumn(f"{x}c", F.explode(F.sequence(f"{x}0", F.floor((c(f"{x}_km") + reach_km / 2) / width))))
+    at = F.struct("norad", *[f"{x}_km" for x in "xyz"], *[f"{x}0" for x in "xyz"])
+    # the hash comes first: rows are then sorted by one number
+    met = e.groupBy(F.xxhash64("t_idx", "xc", "yc", "zc").alias("h"), "slab", "t_idx", "ts", "xc", "yc", "zc").agg(F.collect_list(at).alias("m")).filter(F.size("m") > 1)
+
+    def near(p: Column, q: Column) -> Column:
+        out = p["norad"] != q["norad"]
+        for x in "xyz":
+            out = out & (F.abs(p[f"{x}_km"] - q[f"{x}_km"]) <= reach_km) & (c(f"{x}c") == F.greatest(p[f"{x}0"], q[f"{x}0"]))
+        return out
+
+    def pair(p: Column, q: Column) -> Column:
+        d = F.sqrt(sum(((p[f"{x}_km"] - q[f"{x}_km"]) * (p[f"{x}_km"] - q[f"{x}_km"]) for x in "xyz"), F.lit(0.0)))
+        return F.struct(F.least(p["norad"], q["norad"]).alias("a"), F.greatest(p["norad"], q["norad"]).alias("b"), d.alias("d"))
+
+    pairs = F.transform("m", lambda p, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda q: near(p, q)), lambda q: pair(p, q)))
+    return met.select("ts", F.inline(F.flatten(pairs))).select("a", "b", "ts", "d").filter(c("d") <= reach_km)
 
 
 def screen(sets: DataFrame, start: float, steps: int, step_s: float, threshold_km: float, min_rel_kms: float = 0.05, fine_step_s: float = 1.0) -> DataFrame:
@@ -212,10 +243,22 @@ def screen(sets: DataFrame, start: float, steps: int, step_s: float, threshold_k
 
     Coarse pass: `close_positions`. Fine pass: only the candidate pairs, one second apart around their coarse minimum.
     """
-    edge = 5 * threshold_km
-    eph = ephemeris(sets, start, steps, step_s).select("norad", "t_idx", "ts", *[f"{x}_km" for x in "xyz"], *[f"v{x}_kms" for x in "xyz"])
-    p = close_positions(eph, edge)
-    best = p.groupBy("a", "b").agg(F.min_by(F.struct("ts", "d", "r", "v"), F.struct("d", "ts")).alias("m")).select("a", "b", c("m.ts").alias("t0"), c("m.d").alias("coarse_km"), "m.r", "m.v")
+    sets = cut_lineage(sets.select(*_ELEMENTS))
+    p = close_positions(sets, start, steps, step_s, 5 * threshold_km)
+    best = p.groupBy("a", "b").agg(F.min_by(F.struct("ts", "d"), F.struct("d", "ts")).alias("m")).select("a", "b", c("m.ts").alias("t0"), c("m.d").alias("coarse_km"))
+    # elements are joined while there is one row a pair
+    for k in ("a", "b"):
+        best = best.join(sets.select(c("norad").alias(k), F.struct(*_ELEMENTS[1:]).alias(f"e{k}")), k)
+
+    def both_at(rows: DataFrame, kept: list[str]) -> DataFrame:
+        """Positions pa and pb of the two objects of a row at its time."""
+        fixed, pos = [*kept, "ea", "eb"], ["x_km", "y_km", "z_km", "vx_kms", "vy_kms", "vz_kms"]
+        one = propagate(rows.select(*fixed, "ts", "ea.*")).select(*fixed, "ts", F.struct(*pos).alias("pa"))
+        return propagate(one.select(*fixed, "ts", "pa", "eb.*")).select(*fixed, "ts", "pa", F.struct(*pos).alias("pb"))
+
+    best = both_at(best.withColumn("ts", c("t0")), ["a", "b", "t0", "coarse_km"])
+    rel = [F.array(*[c(f"pa.{n.format(x)}") - c(f"pb.{n.format(x)}") for x in "xyz"]).alias(k) for k, n in (("r", "{}_km"), ("v", "v{}_kms"))]
+    best = best.select("a", "b", "t0", "coarse_km", "ea", "eb", *rel)
     # straight on from the coarse minimum, and what the difference of gravity can bend it within a step, decide who needs
     # the fine pass; the gradient of gravity is below GRADIENT above 100 km
     dot = lambda x, y: sum((F.get(x, i) * F.get(y, i) for i in range(3)), F.lit(0.0))
@@ -226,10 +269,7 @@ def screen(sets: DataFrame, start: float, steps: int, step_s: float, threshold_k
     best = best.filter(nearest - bend <= threshold_km).drop("r", "v")
     span = F.sequence(F.lit(0), F.lit(int(2 * step_s / fine_step_s)))
     grid = best.withColumn("_i", F.explode(span)).withColumn("ts", c("t0") - step_s + c("_i") * fine_step_s).filter((c("ts") >= start) & (c("ts") <= start + steps * step_s))
-    el = sets.select("norad", "epoch", "n_rev_day", "a_km", "e", "inc_deg", "raan_deg", "argp_deg", "m_deg")
-    pos = ["x_km", "y_km", "z_km", "vx_kms", "vy_kms", "vz_kms"]
-    pa = propagate(grid.join(el.withColumnRenamed("norad", "a"), "a")).select("a", "b", "t0", "coarse_km", "ts", F.struct(*pos).alias("pa"))
-    both = propagate(pa.join(el.withColumnRenamed("norad", "b"), "b")).select("a", "b", "t0", "coarse_km", "ts", "pa", F.struct(*pos).alias("pb"))
+    both = both_at(grid, ["a", "b", "t0", "coarse_km"])
     dist = F.sqrt(sum((F.pow(c(f"pa.{x}_km") - c(f"pb.{x}_km"), 2) for x in "xyz"), F.lit(0.0)))
     rel = F.sqrt(sum((F.pow(c(f"pa.v{x}_kms") - c(f"pb.v{x}_kms"), 2) for x in "xyz"), F.lit(0.0)))
     fine = both.select("a", "b", "coarse_km", "ts", dist.alias("d"), rel.alias("v")).groupBy("a", "b").agg(F.first("coarse_km").alias("coarse_km"), F.min_by(F.struct("ts", "d", "v"), F.struct("d", "ts")).alias("m"))

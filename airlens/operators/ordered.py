@@ -46,6 +46,7 @@ def with_lags(df: DataFrame, keys: list[str], slab: Column, order: list[str], co
     return u.filter(~F.col("_halo")).drop("_halo", "_slab")
 
 
-def sealed(df: DataFrame) -> DataFrame:
-    """Stop filters and inferred null checks from being pushed below long formulas, which would repeat them."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+def sealed(df: DataFrame, outside: tuple[str, ...] = ()) -> DataFrame:
+    """Stop filters and inferred null checks from being pushed below long formulas, which would repeat them. Columns
+    `outside` stay as they are, so that a partitioning by them is still known."""
+    return df.select(*outside, F.inline(F.array(F.struct(*[n for n in df.columns if n not in outside]))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from airlens.plans import registry
@@ -19,12 +20,20 @@ def main() -> None:
     registry.load()
     registry.tune(spark)
     registry.QUERIES["traffic_states"](spark, sf).write.format("noop").mode("overwrite").save()  # starts the JVM
-    times = {}
+    times, failed = {}, []
     for name in QUERIES:
         t = time.time()
-        registry.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+        try:
+            registry.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001 - the other figures still count
+            failed.append(name)
+            print(f"{name}: {str(e)[:300]}", file=sys.stderr, flush=True)
+            continue
         times[name] = round(time.time() - t, 3)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
+        print(f"{name}: {times[name]} s", file=sys.stderr, flush=True)
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/")), **({"failed": failed} if failed else {})}))
+    if failed:
+        sys.exit(1)
 
 
 if __name__ == "__main__":
