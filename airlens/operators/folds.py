@@ -1,71 +1,169 @@
 """Order-sensitive folds over findings: cool-down and trust.
 
-Both fold over polls, never over raw rows: candidates are first reduced inside a poll (at most one entry per severity),
-so the array a task folds is bounded by the number of polls of a recording, whatever share of the rows one key holds.
+Both fold over polls, never over raw rows: candidates are first reduced inside a poll (at most one entry per severity).
+What a fold does to its state is either carried through sorted rows (cool-down: a time, a severity and a count for the
+key at hand, so no key's entries are ever collected) or written as a function that can be composed (trust: shifts with
+two bounds), which is folded for each slab of polls and then over the slabs. Either takes the state an earlier part of
+the input has left, and returns its own, so the streaming audit folds with the same code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from airlens.functions.scoring import lookup, risk_score, trust_penalty
 from airlens.thresholds import COOLDOWN_S, DEFAULT, Thresholds
 
 IN_POLL = ["phase", "pos", "rule_ord"]
+KEY = ["recording", "rule_id", "icao24"]
+#: polls of a slab of the trust fold
+SLAB_POLLS = 4096
 
 
-def cooldown(candidates: DataFrame, t: Thresholds = DEFAULT, precision: dict[str, float] | None = None) -> DataFrame:
-    """Accepted findings with `occurrences` (candidates so far) and `risk_score`.
-
-    A candidate fires when its (rule, address) never fired, is more severe than the last fired one, or the cool-down on
-    the poll clock has passed. Within one poll only the first candidate and each new most severe one can fire.
-    """
-    poll = W.partitionBy("recording", "rule_id", "icao24", "batch_seq").orderBy(*IN_POLL)
-    ranked = (
-        candidates.withColumn("_n", F.row_number().over(poll))
+def _reduced(candidates: DataFrame) -> DataFrame:
+    """Within one poll only the first candidate and each new most severe one can fire; `_n` is its number in the poll."""
+    poll = W.partitionBy(*KEY, "batch_seq").orderBy(*IN_POLL)
+    return (
+        candidates.withColumn("_n", F.row_number().over(poll).cast("long"))
         .withColumn("_best", F.min("sev_rank").over(poll.rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("_total", F.count(F.lit(1)).over(W.partitionBy("recording", "rule_id", "icao24", "batch_seq")))
+        .withColumn("_total", F.count(F.lit(1)).over(W.partitionBy(*KEY, "batch_seq")))
         .filter(F.col("_best").isNull() | (F.col("sev_rank") < F.col("_best")))
         .drop("_best")
     )
+
+
+def _scan(batches: Iterator[pa.RecordBatch], names: list[str], state: bool) -> Iterator[pa.RecordBatch]:
+    """Fired rows of sorted entries with their occurrence number, and, if asked for, a last row of each key with its state."""
+    last: float | None = None
+    sev = base = poll = total = 0
+    at_end: pa.RecordBatch | None = None
+
+    def rows(b: pa.RecordBatch, places: list[int], occurrences: list[int]) -> pa.RecordBatch:
+        out = b.take(pa.array(places, pa.int64())) if len(places) < b.num_rows else b
+        return pa.RecordBatch.from_arrays([*[out.column(n) for n in names], pa.array(occurrences, pa.int64())], [*names, "occurrences"])
+
+    def left() -> pa.RecordBatch:
+        values = dict(zip(names, at_end.columns))
+        values |= {"batch_ts": pa.array([last], pa.float64()), "sev_rank": pa.array([sev], pa.int32()), "_state": pa.array([True])}
+        return pa.RecordBatch.from_arrays([*[values[n] for n in names], pa.array([base + total], pa.int64())], [*names, "occurrences"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column("_key")
+        new = np.ones(b.num_rows, bool)
+        new[1:] = pc.not_equal(key.slice(1), key.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        new[0] = at_end is None or at_end.column("_key")[0] != key[0]
+        places, occurrences = [], []
+        for i, (fresh, seq, ts, rank, n, count, limit, known) in enumerate(zip(new.tolist(), *[b.column(k).to_pylist() for k in ("batch_seq", "batch_ts", "sev_rank", "_n", "_total", "_limit", "_state")])):
+            if fresh:
+                if state and (i or at_end is not None):
+                    if places:
+                        yield rows(b, places, occurrences)
+                        places, occurrences = [], []
+                    at_end = b.slice(i - 1, 1).select(names) if i else at_end
+                    yield left()
+                last, sev, base, poll, total = None, 0, 0, None, 0
+            if known:
+                last, sev, base = ts, rank, n
+                continue
+            if seq != poll:
+                base, poll, total = base + total, seq, count
+            if last is None or rank < sev or ts - last >= limit:
+                last, sev = ts, rank
+                places.append(i)
+                occurrences.append(base + n)
+        if places:
+            yield rows(b, places, occurrences)
+        at_end = b.slice(b.num_rows - 1, 1).select(names)
+    if state and at_end is not None:
+        yield left()
+
+
+def _fired(candidates: DataFrame, t: Thresholds, before: DataFrame | None, state: bool) -> DataFrame:
     lead = ["batch_seq", *IN_POLL]
-    payload = [c for c in ranked.columns if c not in (*lead, "recording", "rule_id", "icao24")]
-    limit = lookup(F.col("rule_id"), COOLDOWN_S, t.cooldown_s)
-    per_key = ranked.groupBy("recording", "rule_id", "icao24").agg(F.array_sort(F.collect_list(F.struct(*lead, *payload))).alias("_c"))
-    per_key = per_key.withColumn("_limit", limit)
-    init = "named_struct('last', cast(null as double), 'sev', 9, 'b', -1, 'before', 0L, 'intotal', 0L, 'out', cast(array() as array<bigint>))"
-    # `before` counts candidates of earlier polls; 0 marks an entry that did not fire, else its occurrence number
-    step = (
-        "named_struct("
-        "'last', if({fire}, x.batch_ts, s.last), 'sev', if({fire}, x.sev_rank, s.sev), 'b', x.batch_seq,"
-        " 'before', {before}, 'intotal', x._total, 'out', concat(s.out, array(if({fire}, {before} + x._n, 0L))))"
-    )
-    before = "if(x.batch_seq = s.b, s.before, s.before + s.intotal)"
-    fire = "(s.last is null or x.sev_rank < s.sev or x.batch_ts - s.last >= _limit)"
-    fold = F.expr(f"aggregate(_c, {init}, (s, x) -> {step.format(fire=fire, before=before)}, s -> s.out)")
-    rows = per_key.select("recording", "rule_id", "icao24", F.explode(F.arrays_zip("_c", fold.alias("_o"))).alias("_z")).filter("_z._o > 0")
-    rows = rows.select("recording", "rule_id", "icao24", "_z._c.*", F.col("_z._o").alias("occurrences")).drop("_n", "_total")
-    return rows.withColumn(
-        "risk_score",
-        risk_score(F.col("severity"), F.col("category"), F.col("rule_id"), F.col("occurrences"), F.col("position_source"), precision),
-    )
+    ranked = _reduced(candidates)
+    payload = [n for n in ranked.columns if n not in (*KEY, *lead, "batch_ts", "sev_rank", "_n", "_total")]
+    rows = ranked.select(*KEY, *lead, "batch_ts", "sev_rank", "_n", "_total", F.struct(*payload).alias("_p"), F.lit(False).alias("_state"))
+    if before is not None:
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name in (*IN_POLL, "_p")]
+        known = before.select(*KEY, F.lit(-1).alias("batch_seq"), *nothing, F.col("last_ts").alias("batch_ts"), F.col("last_rank").cast("int").alias("sev_rank"), F.col("count").alias("_n"), F.lit(0).cast("long").alias("_total"), F.lit(True).alias("_state"))
+        rows = rows.unionByName(known)
+    key = F.concat_ws("\x1f", F.coalesce("recording", F.lit("\x00")), F.coalesce("rule_id", F.lit("\x00")), F.coalesce("icao24", F.lit("\x00")))
+    rows = rows.withColumn("_key", key).withColumn("_limit", lookup(F.col("rule_id"), COOLDOWN_S, t.cooldown_s))
+    rows = rows.repartition(*KEY).sortWithinPartitions("_key", "batch_seq", *IN_POLL)
+    names = [n for n in rows.columns if n not in ("_n", "_total", "_limit")]
+    schema = T.StructType([*[rows.schema[n] for n in names], T.StructField("occurrences", T.LongType())])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    return rows.mapInArrow(lambda batches: _scan(batches, names, state), schema)
+
 
+def _scored(fired: DataFrame, precision: dict[str, float] | None) -> DataFrame:
+    rows = fired.filter("not _state").select(*KEY, "batch_seq", *IN_POLL, "batch_ts", "sev_rank", "_p.*", "occurrences")
+    score = risk_score(F.col("severity"), F.col("category"), F.col("rule_id"), F.col("occurrences"), F.col("position_source"), precision)
+    return rows.withColumn("risk_score", score)
 
-def trust_scores(states: DataFrame, candidates: DataFrame, accepted: DataFrame) -> DataFrame:
+
+def cooldown(candidates: DataFrame, t: Thresholds = DEFAULT, precision: dict[str, float] | None = None) -> DataFrame:
+    """Accepted findings with `occurrences` (candidates so far) and `risk_score`.
+
+    A candidate fires when its (rule, address) never fired, is more severe than the last fired one, or the cool-down on
+    the poll clock has passed.
+    """
+    return _scored(_fired(candidates, t, None, False), precision)
+
+
+def cooldown_from(candidates: DataFrame, before: DataFrame, t: Thresholds = DEFAULT, precision: dict[str, float] | None = None, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """The same on top of a state (recording, rule_id, icao24, last_ts, last_rank, count); the findings and the new state.
+
+    `keep` stores what both are read from.
+    """
+    fired = keep(_fired(candidates, t, before, True))
+    state = fired.filter("_state").select(*KEY, F.col("batch_ts").alias("last_ts"), F.col("sev_rank").alias("last_rank"), F.col("occurrences").alias("count"))
+    return _scored(fired, precision), state
+
+
+def _composed(events: str) -> str:
+    """SQL of one shift with bounds (d, lo, hi), x -> least(hi, greatest(lo, x + d)), for an ordered array of them."""
+    start = "named_struct('d', 0.0D, 'lo', double('-infinity'), 'hi', double('infinity'))"
+    bound = "least(e.hi, greatest(e.lo, {} + e.d))"
+    return f"aggregate({events}, {start}, (s, e) -> named_struct('d', s.d + e.d, 'lo', {bound.format('s.lo')}, 'hi', {bound.format('s.hi')}))"
+
+
+def trust_scores(states: DataFrame, candidates: DataFrame, accepted: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Trust per aircraft at the end of the recording, with the number of accepted findings.
 
-    Per poll an aircraft is either clean (each of its rows restores 0.02) or flagged (accepted findings subtract).
+    Per poll an aircraft is either clean (each of its rows restores 0.02) or flagged (accepted findings subtract); trust
+    begins at 1 and stays from 0 to 1. `before` (recording, icao24, trust, hits) is where it stood; its aircraft are
+    returned too.
     """
     rows = states.groupBy("recording", "icao24", "batch_seq").agg(F.count(F.lit(1)).alias("_rows"))
     flagged = candidates.filter("icao24 is not null").select("recording", "icao24", "batch_seq").distinct().withColumn("_flag", F.lit(True))
     hits = accepted.filter("icao24 is not null").groupBy("recording", "icao24", "batch_seq").agg(
         F.sum(trust_penalty(F.col("severity"), F.col("category"))).alias("_pen"), F.count(F.lit(1)).alias("_hits"))
     key = ["recording", "icao24", "batch_seq"]
+    shift = F.when(F.col("_flag").isNull(), F.col("_rows") * 0.02).otherwise(-F.coalesce("_pen", F.lit(0.0)))
     events = rows.join(flagged, key, "left").join(hits, key, "left").select(
-        "recording", "icao24", "batch_seq", F.coalesce("_hits", F.lit(0)).alias("_hits"),
-        F.when(F.col("_flag").isNull(), F.col("_rows") * 0.02).otherwise(-F.coalesce("_pen", F.lit(0.0))).alias("_d"))
-    return events.groupBy("recording", "icao24").agg(
-        F.array_sort(F.collect_list(F.struct("batch_seq", "_d"))).alias("_e"), F.sum("_hits").alias("hits"),
-    ).select("recording", "icao24", F.expr("aggregate(_e, 1.0D, (s, x) -> least(1.0D, greatest(0.0D, s + x._d)))").alias("trust"), "hits")
+        "recording", "icao24", "batch_seq", F.coalesce("_hits", F.lit(0)).alias("_hits"), F.struct(shift.alias("d"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")).alias("_f"))
+
+    def folded(df: DataFrame, slab: Column, *by: str) -> DataFrame:
+        """One function a slab, or one an aircraft where slabs are the order already."""
+        g = df.withColumn("_slab", slab).groupBy("recording", "icao24", *by)
+        g = g.agg(F.array_sort(F.collect_list(F.struct(F.col("batch_seq"), "_f"))).alias("_e"), F.sum("_hits").alias("_hits"))
+        return g.select("recording", "icao24", *[F.col(n).alias("batch_seq") for n in by], "_hits", F.expr(_composed("transform(_e, x -> x._f)")).alias("_f"))
+
+    f = folded(folded(events, F.floor(F.col("batch_seq") / SLAB_POLLS), "_slab"), F.lit(0))
+    trust = lambda start: F.least("_f.hi", F.greatest("_f.lo", start + F.col("_f.d")))
+    if before is None:
+        return f.select("recording", "icao24", trust(F.lit(1.0)).alias("trust"), F.col("_hits").alias("hits"))
+    j = f.join(before.select("recording", "icao24", F.col("trust").alias("_was"), F.col("hits").alias("_had")), ["recording", "icao24"], "full")
+    now = F.when(F.col("_f").isNull(), F.col("_was")).otherwise(trust(F.coalesce("_was", F.lit(1.0))))
+    return j.select("recording", "icao24", now.alias("trust"), (F.coalesce("_hits", F.lit(0)) + F.coalesce("_had", F.lit(0))).alias("hits"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airlens.operators import audit, folds, rules
 from airlens.plans import bridge
+from airlens.session import cut_lineage
 from airlens.thresholds import COOLDOWN_S, DEFAULT
 
 COLS = "recording string, batch_seq int, phase int, pos int, rule_ord int, rule_id string, severity string, sev_rank int, category string, icao24 string, batch_ts double, position_source string"
@@ -87,3 +88,55 @@ def test_quantiles(spark):
         assert set(got) == set(groups)
         for k, x in groups.items():
             assert got[k].n == len(x) and np.allclose(got[k].quantiles, np.quantile(x, points))
+
+
+@pytest.mark.parametrize("records", ["3", "10000"])
+def test_folds_continue_from_their_state(spark, records):
+    """Cut between any two polls, findings, occurrences and trust are those of one pass."""
+    rows = candidates(7, 300)
+    states = [("r", r[1], r[9]) for r in rows if r[9]] + [("r", b, "quiet") for b in range(0, 60, 3)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, records)
+    try:
+        cut_lineage(spark.range(1))  # sets the checkpoint folder
+        cand, st = spark.createDataFrame(rows, COLS), spark.createDataFrame(states, "recording string, batch_seq int, icao24 string")
+        whole = folds.cooldown(cand)
+        want = sorted((r.batch_seq, r.pos, r.occurrences, round(r.risk_score, 9)) for r in whole.collect())
+        assert {(b, p): n for b, p, n, _ in want} == fold(rows)
+        trust = sorted((r.icao24, round(r.trust, 9), r.hits) for r in folds.trust_scores(st, cand, whole).collect())
+        got, known, stood = [], spark.createDataFrame([], "recording string, rule_id string, icao24 string, last_ts double, last_rank int, count long"), spark.createDataFrame([], "recording string, icao24 string, trust double, hits long")
+        for lo, hi in ((0, 1), (1, 20), (20, 21), (21, 60)):
+            part, some = cand.filter((F.col("batch_seq") >= lo) & (F.col("batch_seq") < hi)), st.filter((F.col("batch_seq") >= lo) & (F.col("batch_seq") < hi))
+            accepted, known = folds.cooldown_from(part, known, keep=cut_lineage)
+            stood = folds.trust_scores(some, part, accepted, stood)
+            stood = cut_lineage(stood)
+            got += [(r.batch_seq, r.pos, r.occurrences, round(r.risk_score, 9)) for r in accepted.collect()]
+        assert sorted(got) == want
+        assert sorted((r.icao24, round(r.trust, 9), r.hits) for r in stood.collect()) == trust
+    finally:
+        spark.conf.unset(name)
+
+
+def test_one_address_in_a_hundred_thousand_polls(spark):
+    """A condition that lasts through the recording: no array grows with it, and the folds stay exact."""
+    n = 100_000
+    p = spark.range(n).select(F.lit("r").alias("recording"), F.col("id").cast("int").alias("batch_seq"), F.lit(0).alias("phase"), F.lit(0).alias("pos"), F.lit(0).alias("rule_ord"), F.lit("SEC-010").alias("rule_id"), F.when(F.col("id") % 5000 == 4999, "critical").otherwise("high").alias("severity"),
+                              F.when(F.col("id") % 5000 == 4999, 0).otherwise(1).alias("sev_rank"), F.lit("operations").alias("category"), F.lit("a").alias("icao24"), (F.lit(1.7e9) + F.col("id") * 5).alias("batch_ts"), F.lit("adsb").alias("position_source"))
+    fired = folds.cooldown(p).cache()
+    rows, last, sev = [], None, 9
+    for i in range(n):
+        rank = 0 if i % 5000 == 4999 else 1
+        if last is None or rank < sev or 5 * (i - last) >= DEFAULT.cooldown_s:
+            last, sev = i, rank
+            rows.append((i, i + 1, rank))
+    assert sorted((r.batch_seq, r.occurrences, r.sev_rank) for r in fired.collect()) == rows
+    calm = p.select("recording", "batch_seq", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("icao24"))
+    some = p.filter("batch_seq % 3 = 0 or batch_seq >= 99990")
+    hits = fired.join(some.select("batch_seq"), "batch_seq")
+    x, had = 1.0, {i: r for i, _, r in rows}
+    for i in range(n):
+        flagged = i % 3 == 0 or i >= 99_990
+        d = -(0.6, 0.35)[had[i]] * 0.2 if flagged and i in had else 0.0 if flagged else 0.02
+        x = min(1.0, max(0.0, x + d))
+    got = {r.icao24: (r.trust, r.hits) for r in folds.trust_scores(calm, some, hits).collect()}
+    assert abs(got["a"][0] - x) < 1e-9 and got["a"][1] == sum(1 for i in had if i % 3 == 0 or i >= 99_990) and got["b"] == (1.0, 0)
