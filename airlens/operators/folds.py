@@ -164,6 +164,7 @@ def trust_scores(states: DataFrame, candidates: DataFrame, accepted: DataFrame,
     trust = lambda start: F.least("_f.hi", F.greatest("_f.lo", start + F.col("_f.d")))
     if before is None:
         return f.select("recording", "icao24", trust(F.lit(1.0)).alias("trust"), F.col("_hits").alias("hits"))
-    j = f.join(before.select("recording", "icao24", F.col("trust").alias("_was"), F.col("hits").alias("_had")), ["recording", "icao24"], "full")
-    now = F.when(F.col("_f").isNull(), F.col("_was")).otherwise(trust(F.coalesce("_was", F.lit(1.0))))
-    return j.select("recording", "icao24", now.alias("trust"), (F.coalesce("_hits", F.lit(0)) + F.coalesce("_had", F.lit(0))).alias("hits"))
+    was = before.select("recording", "icao24", F.lit(None).cast(f.schema["_f"].dataType).alias("_f"), F.col("hits").alias("_hits"), F.col("trust").alias("_was"))
+    both = f.select("recording", "icao24", "_f", "_hits", F.lit(None).cast("double").alias("_was")).unionByName(was)
+    j = both.groupBy("recording", "icao24").agg(F.max("_f").alias("_f"), F.sum("_hits").alias("hits"), F.max("_was").alias("_was"))
+    return j.select("recording", "icao24", F.when(F.col("_f").isNull(), F.col("_was")).otherwise(trust(F.coalesce("_was", F.lit(1.0)))).alias("trust"), "hits")

@@ -319,27 +319,42 @@ def duplicate_address(states: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     )
 
 
-def poll_counts(states: DataFrame) -> DataFrame:
-    """One row per poll: size and number of addresses never seen before in the recording."""
+def poll_sizes(states: DataFrame, first_seen: DataFrame) -> DataFrame:
+    """One row per poll: size and number of addresses that first_seen (recording, icao24, batch_seq) puts into it."""
     per_poll = states.groupBy("recording", "batch_seq").agg(
         F.first("batch_ts").alias("batch_ts"), F.first("region").alias("region"), F.first("provider").alias("provider"), F.count(lit(1)).alias("n_states"))
-    first_seen = states.groupBy("recording", "icao24").agg(F.min("batch_seq").alias("batch_seq"))
     new = first_seen.groupBy("recording", "batch_seq").agg(F.count(lit(1)).alias("n_new"))
-    joined = per_poll.join(new, ["recording", "batch_seq"], "left").withColumn("n_new", F.coalesce("n_new", lit(0)))
+    return per_poll.join(new, ["recording", "batch_seq"], "left").withColumn("n_new", F.coalesce("n_new", lit(0)).cast("long"))
+
+
+def first_sightings(states: DataFrame) -> DataFrame:
+    return states.groupBy("recording", "icao24").agg(F.min("batch_seq").alias("batch_seq"))
+
+
+def with_history(polls: DataFrame) -> DataFrame:
+    """Polls with count and mean of up to eight polls before: of the recording for new addresses, of the region for sizes."""
     # windows over polls, not over rows
     whole = W.partitionBy("recording").orderBy("batch_seq").rowsBetween(-DEFAULT.history_batches, -1)
     region = W.partitionBy("recording", "region").orderBy("batch_seq").rowsBetween(-DEFAULT.history_batches, -1)
-    return joined.select(
+    return polls.select(
         "*", F.count(lit(1)).over(whole).alias("hist_new"), F.avg("n_new").over(whole).alias("mean_new"),
         F.count(lit(1)).over(region).alias("hist_size"), F.avg("n_states").over(region).alias("mean_size"))
 
 
+def poll_counts(states: DataFrame) -> DataFrame:
+    """One row per poll: size and number of addresses never seen before in the recording."""
+    return with_history(poll_sizes(states, first_sightings(states)))
+
+
 def stream_findings(states: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """New-address burst (whole recording) and coverage collapse (per region)."""
-    polls = poll_counts(states)
+    return census_findings(poll_counts(states), first_sightings(states), t)
+
+
+def census_findings(polls: DataFrame, first_seen: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """The same for polls with their history; first_seen names the addresses of a burst."""
     burst_when = (c("hist_new") >= t.history_min) & (c("n_new") >= t.burst_min_new) & (c("n_new") > t.burst_factor * F.greatest(c("mean_new"), lit(1.0)))
     collapse_when = (c("hist_size") >= t.history_min) & (c("mean_size") >= t.collapse_min_baseline) & (c("n_states") < t.collapse_fraction * c("mean_size"))
-    first_seen = states.groupBy("recording", "icao24").agg(F.min("batch_seq").alias("batch_seq"))
     sample = (
         first_seen.withColumn("_r", F.row_number().over(W.partitionBy("recording", "batch_seq").orderBy("icao24"))).filter("_r <= 10")
         .groupBy("recording", "batch_seq").agg(F.array_sort(F.collect_list("icao24")).alias("_sample"))

@@ -32,6 +32,10 @@ _WATCH = [
     "case when s_suppkey % 3 = 2 then concat('n', cast(100 + s_suppkey as varchar(8)), 'ab') else null end as registration",
     "case s_suppkey % 2 when 0 then 'high' else 'critical' end as severity", "case s_suppkey % 5 when 0 then 'protect' else 'detect' end as mode", "cast(s_suppkey as int) as ord",
 ]
+_VALID = [
+    "case when s_suppkey % 4 = 0 then null else 1.7e9 + (s_suppkey % 3) * 7200 + 150 end as valid_from",
+    "case when s_suppkey % 5 = 0 then 1.7e9 + (s_suppkey % 3) * 7200 + 900 else null end as valid_to",
+]
 NOW = 1.7e9 + 7200 + 400
 PREFIX_LENGTHS = [3, 4, 5, 6, 7, 8]
 
@@ -58,6 +62,18 @@ def watch_entries(spark: SparkSession, sf: str) -> DataFrame:
     return _supplier(spark, sf).selectExpr(*[x.replace("{hex}", "lpad(lower(hex(10485760 + s_suppkey * 37)), 6, '0')") for x in _WATCH])
 
 
+def watch_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Watchlist entries that hold from and up to a time."""
+    return _supplier(spark, sf).selectExpr(*[x.replace("{hex}", "lpad(lower(hex(10485760 + s_suppkey * 37)), 6, '0')") for x in [*_WATCH, *_VALID]])
+
+
+def volume_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Restricted volumes that were published and withdrawn at a time."""
+    spans = _supplier(spark, sf).selectExpr("concat('R', cast(s_suppkey as varchar(12))) as notam_id", *_VALID)
+    return volumes(spark, sf).join(spans, "notam_id")
+
+
+VALID_CTE = "valid AS (SELECT concat('W', cast(s_suppkey as varchar(12))) AS entry_id, concat('R', cast(s_suppkey as varchar(12))) AS notam_id, " + ", ".join(_VALID) + " FROM supplier)"
 VOL_CTE = ("vol AS (SELECT *, [[clat - half, clon - half], [clat - half, clon + half], [clat, clon + half], [clat, clon], [clat + half, clon], [clat + half, clon - half]] AS poly FROM (SELECT "
            + ", ".join(_VOL) + " FROM supplier) AS q)")
 LCH_CTE = "lch AS (SELECT * FROM (SELECT *, coalesce(window_start, net) AS w0, coalesce(window_end, net) + 1 AS w1 FROM (SELECT " + ", ".join(_LCH) + " FROM supplier) AS q) AS r WHERE pad_lat IS NOT NULL)"

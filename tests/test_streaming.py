@@ -1,13 +1,16 @@
-"""Streams give what the batch jobs give on input that arrives in order."""
+"""Streams give what the batch jobs give, wherever the input is cut."""
 
+import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from airlens.operators import airspace, rules, tracks
+from airlens.operators import airspace, audit, folds, rules, tracks, watchlist
 from airlens.plans import bridge, places
 from airlens.sources import sinks
 from airlens.streaming import pipeline as p
+from airlens.streaming.audit import StreamingAudit
 
 
 def run(df, name, mode="append"):
@@ -29,27 +32,97 @@ def landing(spark, sf, parts=3):
     return st, folder
 
 
-def test_tracks_trust_and_census(spark, sf):
-    st, folder = landing(spark, sf)
-    assert spark.read.parquet(folder).count() == st.count()
-    src = lambda: p.read_states(spark, folder, st.schema, 1)
-    run(p.track_stream(src()), "tracks")
-    key = ["recording", "icao24", "batch_seq", "pos"]
-    got = spark.table("tracks").filter("accepted").select(*key, "n_fixes", F.round("dt_s", 4).alias("dt_s"), F.round("dist_nm", 6).alias("d"), F.round("window_path_nm", 6).alias("p"))
-    want = tracks.track_fixes(st).select(*key, "n_fixes", F.round("dt_s", 4).alias("dt_s"), F.round("dist_nm", 6).alias("d"), F.round("window_path_nm", 6).alias("p"))
-    assert got.count() == want.count() and got.exceptAll(want).count() == 0
-    assert spark.table("tracks").count() == st.count()
-    t = spark.table("tracks").agg(F.min("trust"), F.max("trust"), F.max("trail_points")).first()
-    assert 0 <= t[0] <= t[1] <= 1 and t[2] <= 24
-
-    census = tempfile.mkdtemp(prefix="census-")
-    run_each(src(), p.census_sink(census))
-    got = {(r.recording, r.batch_seq, r.rule_id) for r in p.census_checks(spark, census).collect()}
-    assert got == {(r.recording, r.batch_seq, r.rule_id) for r in rules.stream_findings(st).collect()}
-
-    pairs = tempfile.mkdtemp(prefix="polls-")
-    run_each(src(), p.poll_sink(pairs, lambda b: rules.duplicate_address(b.drop("event_time"))))
-    assert spark.read.parquet(pairs).count() == rules.duplicate_address(st).count()
+def every_rule(spark):
+    """Two short recordings in which every state rule, both poll rules, a burst and a collapse fire."""
+    r, rows = random.Random(2), []
+    for rec, polls in (("r1", 26), ("r2", 14)):
+        for b in range(polls):
+            ts = 1.7e9 + 15.0 * b + (900 if b >= 20 else 0)
+            prev = None if b == 0 else 1.7e9 + 15.0 * (b - 1) + (900 if b - 1 >= 20 else 0)
+            names = [f"a{i:02d}" for i in range(24 if not 17 <= b < 19 else 6)] + ([f"n{i:02d}" for i in range(30)] if b == 9 else [])
+            names += ["a01"] if b % 4 == 1 else []
+            for pos, icao in enumerate(names):
+                i = int(icao[1:])
+                turn = float((b * 45) % 360) if i in (3, 4) else 90.0
+                far = 1.5 if i == 5 and b % 3 == 0 else 0.0 if pos < 24 else 0.4
+                step = b * (0.02 if i not in (3, 4) else 0.0)
+                alt = None if i == 8 and b % 5 == 0 else 12_000.0 + 500 * i + (9000 if i == 6 and b % 2 else 0) + (1000 if i == 9 and b > 4 else 0)
+                rows.append((rec, b, pos, ts, prev, "dfw" if b % 2 else "iah", "x", icao, None if i == 7 else f"ABC{i}", f"N{i}", "B738", ts - (200.0 if i == 10 and b > 2 else i % 3), 32.0 + i * 0.3 + far + (0.01 * (b % 4) if i in (3, 4) else 0), -97.0 + step + (0.01 * (b % 3) if i in (3, 4) else 0) if not (i == 11 and b % 4 == 0) else None,
+                             alt if i != 4 else 2000.0, None, {12: 600.0, 4: 90.0}.get(i, 280.0), turn, 7000.0 if i == 13 and b % 3 == 0 else 0.0, {14: "7700", 15: "1200", 16: "7500" if b > 6 else "2000"}.get(i, "2000"), i == 17 and b < 3,
+                             "medical" if i == 18 and b % 6 == 2 else None, 12_000.0 + 500 * i if i == 9 else None, 4 if i == 19 else 8, 9, 3, r.choice(["adsb", "mlat"]) if i == 20 else "adsb", "x"))
+    # a second aircraft close to a22
+    rows += [(*x[:2], 90, *x[3:7], "z22", *x[8:12], x[12] + 0.01, x[13], x[14] + 200, *x[15:]) for x in rows if x[7] == "a22" and x[1] % 2]
+    return spark.createDataFrame(rows, "recording string, batch_seq int, pos int, batch_ts double, prev_batch_ts double, region string, provider string, icao24 string, callsign string, registration string, aircraft_type string, ts double, lat double, lon double, baro_alt_ft double, geo_alt_ft double, gs_kt double, track_deg double, vrate_fpm double, squawk string, "
+                                 "on_ground boolean, emergency string, selected_alt_ft double, nic int, nac_p int, sil int, position_source string, source string").checkpoint()
+
+
+def test_audit_in_a_stream(spark):
+    """Features, findings of every rule, occurrences, trust, polls, trails and flags, for cuts inside polls, with a late row."""
+    from airlens.session import cut_lineage
+
+    cut_lineage(spark.range(1))  # sets the checkpoint folder
+    st = every_rule(spark)
+    entries = spark.createDataFrame([("W1", "a02", None, None, "high", "detect", 1), ("W2", None, "ABC2", None, "critical", "protect", 2)], "entry_id string, icao24 string, callsign_prefix string, registration string, severity string, mode string, ord int")
+    listed = lambda rows: watchlist.findings(rows, entries, [4])
+    candidates = cut_lineage(audit.candidates(st, extra=[listed(st)]))
+    accepted = cut_lineage(folds.cooldown(candidates))
+    fired = {r.rule_id for r in accepted.select("rule_id").distinct().collect()}
+    assert fired >= {"SEC-001", "SEC-003", "SEC-004", "SEC-010", "SEC-011", "SEC-012", "SEC-013", "SEC-014", "SEC-016", "SEC-017", "SEC-018", "SEC-020", "OPS-001", "OPS-003", "OPS-004", "OPS-005", "SAF-003", "SAF-004"}, fired
+
+    folder = tempfile.mkdtemp(prefix="audit-")
+    a = StreamingAudit(f"{folder}/audit", st.schema, extra=[listed], flagged=lambda rows: rows.filter("squawk = '7700'"), keep_features=True)
+    at = F.struct("batch_seq", "pos")
+    ends = [(0, 3), (4, 11), (12, 200), (19, 0), (99, 0)]
+    low = F.struct(F.lit(-1), F.lit(-1))
+    for b, pos in ends:
+        top = F.struct(F.lit(b), F.lit(pos))
+        part = st.filter((at > low) & (at <= top))
+        if b == 19:  # a row of a poll that is closed
+            part = part.unionByName(st.filter("recording = 'r1' and batch_seq = 2 and pos = 0"))
+        part.write.mode("append").parquet(f"{folder}/land")
+        q = p.read_states(spark, f"{folder}/land", st.schema, 1000).writeStream.foreachBatch(a).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+        low = top
+    before = a.results(spark, "findings").count()
+    a.step(part, a.last_batch(spark))  # a retry repeats nothing
+    assert a.results(spark, "findings").count() == before
+    a.finish(spark)
+    same = lambda x, y: (x.count(), x.exceptAll(y).count(), y.exceptAll(x).count())
+    n = accepted.count()
+    cols = ["recording", "batch_seq", "phase", "pos", "rule_ord", "rule_id", "severity", "icao24", "occurrences", "measure", "evidence", F.round("risk_score", 9)]
+    assert same(a.results(spark, "findings").select(*cols), accepted.select(*cols)) == (n, 0, 0)
+    trust = ["recording", "icao24", F.round("trust", 9), "hits"]
+    want = folds.trust_scores(st, candidates, accepted).select(*trust)
+    assert same(a.now(spark, "trust").select(*trust), want) == (want.count(), 0, 0)
+    feats = ["recording", "batch_seq", "pos", "accepted", *[F.round(f, 6) for f in tracks.FEATURES], F.size("track")]
+    assert same(a.results(spark, "work/featured").select(*feats), tracks.with_features(st).select(*feats)) == (st.count(), 0, 0)
+    polls = ["recording", "batch_seq", "n_states", "n_new", "hist_new", F.round("mean_new", 9), "hist_size", F.round("mean_size", 9)]
+    want = rules.poll_counts(st).select(*polls)
+    assert same(a.results(spark, "polls").select(*polls), want) == (want.count(), 0, 0)
+    assert [(r.recording, r.batch_seq, r.pos) for r in a.results(spark, "late").collect()] == [("r1", 2, 0)]
+    trail = a.now(spark, "trail").groupBy("recording", "icao24").count().agg(F.max("count")).first()[0]
+    assert trail == 24 and a.results(spark, "flags").count() > 5
+    # the state does not grow with the stream
+    assert a.now(spark, "fixes").groupBy("recording", "icao24").count().agg(F.max("count")).first()[0] <= 12
+    assert a.now(spark, "polls").groupBy("recording").count().agg(F.max("count")).first()[0] <= 16
+
+
+def test_versions_added_while_the_stream_runs(spark, sf):
+    st = bridge.states(spark, sf).filter("batch_seq < 20").cache()
+    folder = tempfile.mkdtemp(prefix="versions-")
+    base = "entry_id string, icao24 string, callsign_prefix string, registration string, severity string, mode string, valid_from double, valid_to double"
+    someone = st.groupBy("icao24").count().orderBy(F.desc("count"), "icao24").first().icao24
+    cut = st.filter("batch_seq = 10").first().batch_ts
+    first = [("W1", someone, None, None, "high", "detect", None, cut)]
+    later = [("W2", someone, None, None, "low", "detect", cut, None)]
+    sink = p.versioned_sink(f"{folder}/out", lambda: spark.read.parquet(f"{folder}/versions"), lambda rows, e: watchlist.matches(rows.drop("event_time"), e, [3]).select("entry_id", "batch_ts"))
+    for rows, entries in ((st.filter(F.col("batch_ts") < cut), first), (st.filter(F.col("batch_ts") >= cut), later)):
+        spark.createDataFrame(entries, base).write.mode("append").parquet(f"{folder}/versions")
+        rows.write.mode("append").parquet(f"{folder}/land")
+        p.read_states(spark, f"{folder}/land", st.schema, 1000).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{folder}/out")
+    assert got.filter(F.col("entry_id") == "W1").agg(F.max("batch_ts")).first()[0] < cut <= got.filter(F.col("entry_id") == "W2").agg(F.min("batch_ts")).first()[0]
+    assert got.count() == st.filter(F.col("icao24") == someone).count()
 
 
 def test_stateless_and_joins(spark, sf):
