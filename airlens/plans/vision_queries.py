@@ -47,13 +47,29 @@ def box_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return vi.overlaps(dets(spark, sf)).filter("iou > 0.01").select("image", "a", "b", F.round("iou", 5).alias("iou"))
 
 
-@query("suppressed_detections")
+_KIOU = "greatest(0, least(k.cx + k.w / 2, o.cx + o.w / 2) - greatest(k.cx - k.w / 2, o.cx - o.w / 2)) * greatest(0, least(k.cy + k.h / 2, o.cy + o.h / 2) - greatest(k.cy - k.h / 2, o.cy - o.h / 2))"
+
+
+# one box a step, by falling confidence: it stays if no box that stayed overlaps it by half
+@query("suppressed_detections", f"""WITH RECURSIVE {_DS}, rk AS (SELECT image, {{'det_id': det_id, 'conf': conf, 'cx': cx, 'cy': cy, 'w': w, 'h': h}} AS o, row_number() OVER (PARTITION BY image ORDER BY conf DESC, det_id) AS n FROM dd),
+  g(image, n, kept) AS (SELECT image, n, [o] FROM rk WHERE n = 1 UNION ALL
+    SELECT rk.image, rk.n, CASE WHEN len(list_filter(g.kept, lambda k: {_KIOU.replace('o.', 'rk.o.')} / (k.w * k.h + rk.o.w * rk.o.h - {_KIOU.replace('o.', 'rk.o.')}) >= 0.5)) = 0 THEN list_append(g.kept, rk.o) ELSE g.kept END FROM g JOIN rk ON rk.image = g.image AND rk.n = g.n + 1)
+  SELECT image, k.det_id AS det_id, k.conf AS conf FROM (SELECT image, unnest(arg_max(kept, n)) AS k FROM g GROUP BY image) AS q""")
 def suppressed_detections(spark: SparkSession, sf: str) -> DataFrame:
     """FLD-04."""
     return vi.suppress(dets(spark, sf)).select("image", "det_id", "conf")
 
 
-@query("detection_matching")
+_DIST = "sqrt(pow(k.cx - rk.cx, 2) + pow(k.cy - rk.cy, 2))"
+
+
+# one detection a step, by falling confidence: it takes the nearest box of truth that is left, if that is near enough
+@query("detection_matching", f"""WITH RECURSIVE {_DS}, tr AS (SELECT image, list({{'det_id': det_id, 'cx': cx + CASE WHEN odd THEN 0.01 ELSE 0.4 END, 'cy': cy}} ORDER BY det_id) AS t FROM dd GROUP BY image),
+  rk AS (SELECT image, cx, cy, row_number() OVER (PARTITION BY image ORDER BY conf DESC, det_id) AS n FROM dd),
+  g(image, n, rest, tp) AS (SELECT image, CAST(0 AS BIGINT), t, 0 FROM tr UNION ALL
+    SELECT image, n, CASE WHEN near.m <= 0.03 THEN list_filter(rest, lambda k: k.det_id <> near.id) ELSE rest END, tp + CASE WHEN near.m <= 0.03 THEN 1 ELSE 0 END
+    FROM (SELECT rk.image, rk.n, g.rest, g.tp, list_sort(list_transform(g.rest, lambda k: {{'m': {_DIST}, 'id': k.det_id}}))[1] AS near FROM g JOIN rk ON rk.image = g.image AND rk.n = g.n + 1) AS q)
+  SELECT image, CAST(arg_max(tp, n) AS BIGINT) AS tp, max(n) - CAST(arg_max(tp, n) AS BIGINT) AS fp, CAST(len(arg_max(rest, n)) AS BIGINT) AS fn FROM g GROUP BY image""")
 def detection_matching(spark: SparkSession, sf: str) -> DataFrame:
     """FLD-05: truth is the same boxes, half of them moved too far to match."""
     d = dets(spark, sf)
