@@ -46,7 +46,8 @@ _NOTAM = ["s_suppkey as k", "30 + (s_suppkey % 13) * 0.5e0 as lat", "80 + (s_sup
 @query("restriction_notices", f"""WITH n AS (SELECT {', '.join(_NOTAM)} FROM supplier)
   SELECT '5/' || k AS notam_id, CASE WHEN space THEN 'SPACE OPERATIONS' ELSE '91.137' END AS type, CASE WHEN space THEN '91.143' ELSE '91.137' END AS regulation, 'F' || k AS facility, CAST(1704103200 + CASE zone WHEN 1 THEN 18000 WHEN 2 THEN -36000 ELSE 0 END AS DOUBLE) AS effective_ts,
    CAST(1704110400 + CASE zone WHEN 1 THEN 18000 WHEN 2 THEN 14400 ELSE 0 END AS DOUBLE) AS expire_ts, zone = 3 AS time_zone_assumed_utc, CAST(CASE WHEN k % 5 = 0 THEN NULL ELSE k % 5 * 1000 END AS DOUBLE) AS lower_ft, CASE WHEN k % 7 = 0 THEN NULL ELSE 18000.0 END AS upper_ft,
-   CASE WHEN ring THEN 4 ELSE 0 END AS vertices, CASE WHEN ring AND k % 3 <> 0 THEN NULL ELSE 5.5 END AS radius_nm, round(CASE WHEN ring THEN lat + 0.5 ELSE lat END, 4) AS centroid_lat, round(CASE WHEN ring THEN -lon + 0.5 ELSE -lon END, 4) AS centroid_lon FROM n""")
+   CASE WHEN ring THEN 4 ELSE 0 END AS vertices, CASE WHEN ring AND k % 3 <> 0 THEN NULL ELSE 5.5 END AS radius_nm, round(CASE WHEN ring THEN lat + 0.5 ELSE lat END, 4) AS centroid_lat, round(CASE WHEN ring THEN -lon + 0.5 ELSE -lon END, 4) AS centroid_lon,
+   CASE k % 3 WHEN 0 THEN 'Cape & <Bay> ' || k WHEN 1 THEN 'Café "' || k || '" &co' ELSE 'a<b>]] & &amp; ' || k END AS place, CASE WHEN k % 2 = 0 THEN 'it''s <on> & off' END AS purpose FROM n""")
 def restriction_notices(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-04: notices with zones, nested shape kinds, outlines and circles."""
     n = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr(*_NOTAM)
@@ -56,19 +57,22 @@ def restriction_notices(spark: SparkSession, sf: str) -> DataFrame:
     area = F.concat(F.when(c("ring"), corners).otherwise(""), F.when(~c("ring") | (c("k") % 3 == 0), circle).otherwise(""))
     zone = F.when(c("zone") == 1, "<codeTimeZone>EST</codeTimeZone>").when(c("zone") == 2, "<codeTimeZone>ChST</codeTimeZone><codeExpirationTimeZone>AST</codeExpirationTimeZone>").when(c("zone") == 3, "<codeTimeZone>XST</codeTimeZone>").otherwise("")
     limits = F.concat(F.when(c("k") % 5 != 0, F.concat(_t("valDistVerLower", c("k") % 5 * 1000), F.lit("<uomDistVerLower>FT</uomDistVerLower>"))).otherwise(""), F.when(c("k") % 7 != 0, "<valDistVerUpper>180</valDistVerUpper><uomDistVerUpper>FL</uomDistVerUpper>").otherwise("<valDistVerUpper>UNL</valDistVerUpper>"))
-    xml = F.concat(F.lit("<Group><Add><Not>"), _t("codeFacility", F.concat(F.lit("F"), _text(c("k")))), _t("txtLocalName", F.concat(F.lit("5/"), _text(c("k")))), F.lit("<dateEffective>2024-01-01T10:00:00</dateEffective><dateExpire>2024-01-01T12:00:00</dateExpire>"), zone,
+    # named, numbered and broken entities, sections of plain text, a comment
+    place = _t("txtNameCity", F.when(c("k") % 3 == 0, F.concat(F.lit("Cape &amp; &lt;Bay&gt; "), _text(c("k")))).when(c("k") % 3 == 1, F.concat(F.lit("Caf&#233; &quot;"), _text(c("k")), F.lit("&quot; &amp;co"))).otherwise(F.concat(F.lit("<![CDATA[a<b>]] & &amp; ]]>"), _text(c("k")))))
+    purpose = F.when(c("k") % 2 == 0, "<!-- <txtDescrPurpose>no</txtDescrPurpose> --><txtDescrPurpose>it&apos;s <![CDATA[<on>]]> &amp; off</txtDescrPurpose>").otherwise("")
+    xml = F.concat(F.lit("<Group><Add><Not>"), _t("codeFacility", F.concat(F.lit("F"), _text(c("k")))), _t("txtLocalName", F.concat(F.lit("5/"), _text(c("k")))), place, purpose, F.lit("<dateEffective>2024-01-01T10:00:00</dateEffective><dateExpire>2024-01-01T12:00:00</dateExpire>"), zone,
                    F.lit("<TfrNot><TFRAreaGroup><aseTFRArea><codeType>AREA</codeType></aseTFRArea><abdMergedArea>"), area, F.lit("</abdMergedArea>"), limits, F.lit("</TFRAreaGroup>"), _t("codeType", F.when(c("space"), "91.143").otherwise("91.137")), F.lit("</TfrNot></Not></Add></Group>"))
     r = rd.restrictions_xml(n.select(xml.alias("xml")))
-    return r.select("notam_id", "type", "regulation", "facility", "effective_ts", "expire_ts", "time_zone_assumed_utc", "lower_ft", "upper_ft", "vertices", c("circle.radius_nm").alias("radius_nm"), F.round("centroid_lat", 4).alias("centroid_lat"), F.round("centroid_lon", 4).alias("centroid_lon"))
+    return r.select("notam_id", "type", "regulation", "facility", "effective_ts", "expire_ts", "time_zone_assumed_utc", "lower_ft", "upper_ft", "vertices", c("circle.radius_nm").alias("radius_nm"), F.round("centroid_lat", 4).alias("centroid_lat"), F.round("centroid_lon", 4).alias("centroid_lon"), "place", "purpose")
 
 
 # ---- SRC-05
-@query("airport_programmes", """SELECT 'A' || s_suppkey AS airport, CASE s_suppkey % 4 WHEN 0 THEN 'ground stop' WHEN 1 THEN 'ground delay program' WHEN 2 THEN 'arrival/departure delay' ELSE 'closure' END AS kind, CASE WHEN s_suppkey % 4 = 2 THEN 'arrival' END AS direction, 'r' || s_suppkey AS reason,
+@query("airport_programmes", """SELECT 'A' || s_suppkey AS airport, CASE s_suppkey % 4 WHEN 0 THEN 'ground stop' WHEN 1 THEN 'ground delay program' WHEN 2 THEN 'arrival/departure delay' ELSE 'closure' END AS kind, CASE WHEN s_suppkey % 4 = 2 THEN 'arrival' END AS direction, CASE s_suppkey % 3 WHEN 0 THEN 'wind & <rain> ' || s_suppkey WHEN 1 THEN 'snow & ice' ELSE 'r' || s_suppkey END AS reason,
    CASE WHEN s_suppkey % 4 = 1 THEN s_suppkey || ' minutes' END AS avg, CASE WHEN s_suppkey % 4 = 2 THEN '15 minutes' END AS min, CASE WHEN s_suppkey % 4 IN (1, 2) THEN '1 hour' END AS max, CASE WHEN s_suppkey % 4 = 2 THEN 'Increasing' END AS trend, CASE WHEN s_suppkey % 4 = 0 THEN '5:00 pm' END AS end_time FROM supplier""")
 def airport_programmes(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-05: status pages of ten airports each."""
     k = c("s_suppkey")
-    head = F.concat(_t("ARPT", F.concat(F.lit("a"), _text(k))), _t("Reason", F.concat(F.lit("r"), _text(k))))
+    head = F.concat(_t("ARPT", F.concat(F.lit("a"), _text(k))), _t("Reason", F.when(k % 3 == 0, F.concat(F.lit("wind &amp; &lt;rain&gt; "), _text(k))).when(k % 3 == 1, "<![CDATA[snow & ice]]>").otherwise(F.concat(F.lit("r"), _text(k)))))
     entry = F.when(k % 4 == 0, F.concat(F.lit("<Program>"), head, F.lit("<End_Time>5:00 pm</End_Time></Program>"))).when(k % 4 == 1, F.concat(F.lit("<Ground_Delay>"), head, _t("Avg", F.concat(_text(k), F.lit(" minutes"))), F.lit("<Max>1 hour</Max></Ground_Delay>"))) \
         .when(k % 4 == 2, F.concat(F.lit("<Delay>"), head, F.lit('<Arrival_Departure Type="Arrival"><Min>15 minutes</Min><Max>1 hour</Max><Trend>Increasing</Trend></Arrival_Departure></Delay>'))).otherwise(F.concat(F.lit("<Airport>"), head, F.lit("</Airport>")))
     pages = spark.read.parquet(f"{sf}/supplier.parquet").groupBy((k - k % 10).alias("page")).agg(F.concat(F.lit("<AIRPORT_STATUS_INFORMATION>"), F.array_join(F.collect_list(entry), ""), F.lit("</AIRPORT_STATUS_INFORMATION>")).alias("xml"))
@@ -103,7 +107,7 @@ def catalogue_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- SRC-10
-@query("message_xml", "SELECT 'M' || c_custkey AS message_id, round(100 + c_custkey % 1000 * 0.5, 3) AS stated_miss_m, 'A' || c_custkey AS object1, 'B' || c_custkey AS object2, round(7000 + c_custkey % 100 * 0.25, 3) AS o1_x FROM customer")
+@query("message_xml", "SELECT 'M' || c_custkey AS message_id, round(100 + c_custkey % 1000 * 0.5, 3) AS stated_miss_m, 'A&' || c_custkey AS object1, 'B<' || c_custkey AS object2, round(7000 + c_custkey % 100 * 0.25, 3) AS o1_x FROM customer")
 def message_xml(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-10: conjunction messages as XML."""
     from airlens.operators import conjunctions as cj
@@ -111,7 +115,7 @@ def message_xml(spark: SparkSession, sf: str) -> DataFrame:
     k = c("c_custkey")
     unit = lambda n, u, x: F.concat(F.lit(f'<{n} units="{u}">'), F.format_string("%.3f", x.cast("double")), F.lit(f"</{n}>"))
     obj = lambda i, p: F.concat(_t("OBJECT", F.lit(f"OBJECT{i}")), _t("OBJECT_DESIGNATOR", F.concat(F.lit(p), _text(k))), unit("X", "km", 7000 + k % 100 * 0.25))
-    xml = F.concat(F.lit("<cdm><header>"), _t("MESSAGE_ID", F.concat(F.lit("M"), _text(k))), F.lit("</header><body>"), unit("MISS_DISTANCE", "m", 100 + k % 1000 * 0.5), obj(1, "A"), obj(2, "B"), F.lit("</body></cdm>"))
+    xml = F.concat(F.lit("<cdm><header>"), _t("MESSAGE_ID", F.concat(F.lit("M"), _text(k))), F.lit("</header><body>"), unit("MISS_DISTANCE", "m", 100 + k % 1000 * 0.5), obj(1, "A&amp;"), obj(2, "<![CDATA[B<]]>"), F.lit("</body></cdm>"))
     m = rd.message_xml_to_kvn(spark.read.parquet(f"{sf}/customer.parquet").select(_text(k).alias("file"), xml.alias("text")))
     return cj.parse_kvn(m).select("message_id", F.round("stated_miss_m", 3).alias("stated_miss_m"), "object1", "object2", F.round("o1_x", 3).alias("o1_x"))
 

@@ -101,9 +101,31 @@ def _coordinate(text: Column) -> Column:
     return F.when(F.regexp_extract(text, form, 2).isin("S", "W"), -v).otherwise(v)
 
 
+def _plain(xml: Column) -> Column:
+    """A document without CDATA sections, whose text is escaped instead, and without comments."""
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def section(p: Column) -> Column:
+        end = F.locate("]]>", p)
+        return F.when(end == 0, escaped(p)).otherwise(F.concat(escaped(F.substring(p, F.lit(1), end - 1)), F.substring(p, end + 3, F.length(p))))
+
+    parts = F.split(xml, r"<!\[CDATA\[")
+    return F.regexp_replace(F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(section(p))), ""), r"(?s)<!--.*?-->", "")
+
+
+def _decoded(text: Column) -> Column:
+    """Text of an element with its entities resolved; anything that is no entity stays as it is."""
+    numbers = F.when(text.contains("&#") & ~F.regexp_like(text, F.lit("&(?!(amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)")), F.expr("1"))
+    named = text
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        named = F.replace(named, F.lit(f"&{name};"), F.lit(sign))
+    # numbered characters are left to the XML parser, and only where every entity is well formed
+    return F.when(numbers.isNotNull(), F.xpath_string(F.concat(F.lit("<t>"), text, F.lit("</t>")), F.lit("t"))).otherwise(named)
+
+
 def _tag(text: Column, name: str) -> Column:
-    """Text of the first such element, trimmed; null where there is none or it is empty."""
-    return F.nullif(F.trim(F.regexp_extract(text, f"<{name}(?: [^>]*)?>([^<]*)</{name}>", 1)), F.lit(""))
+    """Text of the first such element, decoded and trimmed; null where there is none or it is empty."""
+    return F.nullif(F.trim(_decoded(F.regexp_extract(text, f"<{name}(?: [^>]*)?>([^<]*)</{name}>", 1))), F.lit(""))
 
 
 def _part(text: Column, name: str) -> Column:
@@ -117,6 +139,7 @@ def restrictions_xml(docs: DataFrame) -> DataFrame:
     are none. A vertex of kind CIR is the centre of the circle, the last one if there are several. The regulation is
     the kind that stands directly under the notice's body, not a shape's.
     """
+    docs = docs.withColumn("xml", _plain(c("xml")))
     x = c("xml")
     head, body = _part(x, "Not"), _part(x, "TfrNot")
     start_zone = F.coalesce(_tag(head, "codeTimeZone"), F.lit("UTC"))
@@ -155,11 +178,12 @@ def airport_programmes_xml(docs: DataFrame) -> DataFrame:
 
     def entry(kind: str):
         def row(x: Column) -> Column:
-            direction = F.nullif(F.lower(F.regexp_extract(x, '<Arrival_Departure[^>]* Type="([^"]*)"', 1)), F.lit(""))
+            direction = F.nullif(F.lower(_decoded(F.regexp_extract(x, '<Arrival_Departure[^>]* Type="([^"]*)"', 1))), F.lit(""))
             return F.struct(F.upper(_tag(x, "ARPT")).alias("airport"), F.lit(kind).alias("kind"), direction.alias("direction"), *[_tag(x, n).alias(n.lower()) for n in fields])
 
         return row
 
+    docs = docs.withColumn("xml", _plain(c("xml")))
     items = {t: F.filter(F.regexp_extract_all("xml", F.lit(f"(?s)<{t}>(.*?)</{t}>"), 1), lambda x: _tag(x, "ARPT").isNotNull()) for t in PROGRAMME_KINDS}
     found = [F.transform(items[t], entry(kind)) for t, kind in PROGRAMME_KINDS.items()]
     return docs.select(F.inline(F.concat(*found)))
@@ -205,9 +229,10 @@ def message_files(spark: SparkSession, path: str) -> DataFrame:
 
 def message_xml_to_kvn(messages: DataFrame) -> DataFrame:
     """XML conjunction messages rewritten as key-value text, so both forms meet in one parser."""
+    messages = messages.withColumn("text", _plain(c("text")))
     leaf = F.regexp_extract_all("text", F.lit(r"<([A-Z][A-Z0-9_]*)(?: [^>]*)?>[^<]*</"), 1)
     value = F.regexp_extract_all("text", F.lit(r"<[A-Z][A-Z0-9_]*(?: [^>]*)?>([^<]*)</"), 1)
-    lines = F.transform(F.arrays_zip(leaf.alias("k"), value.alias("v")), lambda z: F.concat_ws(" = ", z["k"], z["v"]))
+    lines = F.transform(F.arrays_zip(leaf.alias("k"), value.alias("v")), lambda z: F.concat_ws(" = ", z["k"], _decoded(z["v"])))
     return messages.withColumn("text", F.array_join(lines, "\n"))
 
 

@@ -223,3 +223,12 @@ def test_close_approaches_of_a_day(spark, sf):
 
     tca = [r.tca for r in registry.QUERIES["rule_close_approach"](spark, sf).collect()]
     assert min(tca) < orbit_queries.START + 6 * 3600 < orbit_queries.START + 18 * 3600 < max(tca) <= orbit_queries.START + 24 * 3600
+
+
+def test_xml_text(spark):
+    """Entities, sections of plain text, comments, and text that is none of these."""
+    cases = {"wind &amp; rain": "wind & rain", "<![CDATA[snow]]>": "snow", "a<![CDATA[<b> & &lt;]]>c": "a<b> & &lt;c", "&#233;t&#xE9; &lt;": "été <", "&amp;lt;": "&lt;", "R&D &amp; x": "R&D & x", "&#233; &nbsp; &amp;": "&#233; &nbsp; &", "x<!-- <Reason>y</Reason> -->": "x", "  ": None, "<![CDATA[open": "open"}
+    for raw, want in cases.items():
+        end = "" if raw.endswith("open") else "</Reason></Program>"
+        rows = rd.airport_programmes_xml(one(spark, xml=f"<Program><ARPT>e</ARPT><Reason>{raw}{end}")).collect()
+        assert [r.reason for r in rows] == ([want] if end else [])
