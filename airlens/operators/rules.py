@@ -351,9 +351,18 @@ def stream_findings(states: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return census_findings(poll_counts(states), first_sightings(states), t)
 
 
+def _burst(t: Thresholds) -> Column:
+    return (c("hist_new") >= t.history_min) & (c("n_new") >= t.burst_min_new) & (c("n_new") > t.burst_factor * F.greatest(c("mean_new"), lit(1.0)))
+
+
+def burst_addresses(polls: DataFrame, first_seen: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """All addresses that came with a burst."""
+    return first_seen.join(polls.filter(_burst(t)).select("recording", "batch_seq"), ["recording", "batch_seq"]).select("recording", "batch_seq", "icao24")
+
+
 def census_findings(polls: DataFrame, first_seen: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """The same for polls with their history; first_seen names the addresses of a burst."""
-    burst_when = (c("hist_new") >= t.history_min) & (c("n_new") >= t.burst_min_new) & (c("n_new") > t.burst_factor * F.greatest(c("mean_new"), lit(1.0)))
+    burst_when = _burst(t)
     collapse_when = (c("hist_size") >= t.history_min) & (c("mean_size") >= t.collapse_min_baseline) & (c("n_states") < t.collapse_fraction * c("mean_size"))
     sample = (
         first_seen.withColumn("_r", F.row_number().over(W.partitionBy("recording", "batch_seq").orderBy("icao24"))).filter("_r <= 10")

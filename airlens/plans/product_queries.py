@@ -179,15 +179,15 @@ def alert_feed_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- SRC-18
-@query("scale_payloads", """SELECT CAST(n_nationkey % 6 AS INTEGER) AS r, CAST(n_nationkey % 5 AS INTEGER) AS s, CAST(0 AS INTEGER) AS g, CAST(n_nationkey % 4 AS INTEGER) AS g_24h, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey / 4.0 ELSE 5.5 END AS kp, CAST(1704067200 + n_nationkey AS DOUBLE) AS fetched_ts FROM nation""")
+@query("scale_payloads", """SELECT CAST(s_suppkey % 6 AS INTEGER) AS r, CAST(s_suppkey % 5 AS INTEGER) AS s, CAST(0 AS INTEGER) AS g, CAST(s_suppkey % 4 AS INTEGER) AS g_24h, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey / 4.0 ELSE 5.5 END AS kp, CAST(1704067200 + s_suppkey AS DOUBLE) AS fetched_ts FROM supplier""")
 def scale_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-18: scales now and over the last day, newest known index."""
-    k = c("n_nationkey")
+    k = c("s_suppkey")
     lvl = lambda x: F.concat(F.lit('{"Scale":'), x, F.lit("}"))
     quoted = lambda x: F.concat(F.lit('"'), _text(x), F.lit('"'))
     js = F.concat(F.lit('{"scales":{"0":{"R":'), lvl(quoted(k % 6)), F.lit(',"S":'), lvl(quoted(k % 5)), F.lit(',"G":'), lvl(F.lit("null")), F.lit('},"-1":{"G":'), lvl(quoted(k % 4)), F.lit('}},"kp":[{"kp_index":1},'), F.when(k % 2 == 0, F.concat(F.lit('{"kp_index":'), _text(k / 4), F.lit("}"))).otherwise('{"estimated_kp":5.5}'),
                   F.lit(',{}],"fetched_at":"'), F.date_format(F.timestamp_seconds(F.lit(1704067200) + k), "yyyyMMdd'T'HHmmss'Z'"), F.lit('"}'))
-    return rd.scales_json(spark.read.parquet(f"{sf}/nation.parquet").select(js.alias("json"))).select("r", "s", "g", "g_24h", "kp", "fetched_ts")
+    return rd.scales_json(spark.read.parquet(f"{sf}/supplier.parquet").select(js.alias("json"))).select("r", "s", "g", "g_24h", "kp", "fetched_ts")
 
 
 # ---- SRC-19 to SRC-21

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["traffic", "audit_queries", "encounter_queries", "airspace_queries", "picture_queries", "space_queries", "orbit_queries", "risk_queries", "source_queries", "model_queries", "text_queries", "vision_queries", "product_queries", "stream_queries"]
+MODULES = ["traffic", "audit_queries", "encounter_queries", "airspace_queries", "picture_queries", "space_queries", "orbit_queries", "risk_queries", "source_queries", "model_queries", "text_queries", "vision_queries", "product_queries", "stream_queries", "board_queries"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

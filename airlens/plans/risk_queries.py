@@ -50,7 +50,7 @@ def register_by_domain(spark: SparkSession, sf: str) -> DataFrame:
     return _register(spark, sf).groupBy("domain", "residual_rating").agg(F.count(F.lit(1)).alias("risks"))
 
 
-_DOM = "SELECT 'S' || s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'space-launch' WHEN 1 THEN 'uas-utm' ELSE 'earth-crisis' END AS domain, CAST(1 + s_suppkey % 5 AS INT) AS l, CAST(1 + s_suppkey % 4 AS INT) AS i, CAST(s_suppkey % 3 AS INT) AS k FROM supplier WHERE s_suppkey <= 40"
+_DOM = "SELECT 'S' || s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'space-launch' WHEN 1 THEN 'uas-utm' ELSE 'earth-crisis' END AS domain, CAST(1 + s_suppkey % 5 AS INT) AS l, CAST(1 + s_suppkey % 4 AS INT) AS i, CAST(s_suppkey % 3 AS INT) AS k FROM supplier"
 
 
 @query("unified_register", f"""{_RB}, dm AS (SELECT id, domain, l * i AS score, greatest(1, CAST(round_even(l * i * (1 - least(0.8, 0.2 * k)), 0) AS INT)) AS residual FROM ({_DOM}) AS q), un AS (SELECT id, domain, score, residual FROM rg3 UNION ALL SELECT * FROM dm)
@@ -58,7 +58,7 @@ _DOM = "SELECT 'S' || s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'space-lau
 def unified_register(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-31 and SRT-07: the evidence-weighted register and the risks of other domains on one scale, in order of residual risk."""
     own = _register(spark, sf).select("id", "domain", "score", "rating", "residual", "residual_rating")
-    rows = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_suppkey <= 40").selectExpr("concat('S', cast(s_suppkey as string)) as id", "case s_suppkey % 3 when 0 then 'space-launch' when 1 then 'uas-utm' else 'earth-crisis' end as domain", "cast(1 + s_suppkey % 5 as int) as likelihood", "cast(1 + s_suppkey % 4 as int) as impact", "cast(s_suppkey % 3 as int) as controls")
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("concat('S', cast(s_suppkey as string)) as id", "case s_suppkey % 3 when 0 then 'space-launch' when 1 then 'uas-utm' else 'earth-crisis' end as domain", "cast(1 + s_suppkey % 5 as int) as likelihood", "cast(1 + s_suppkey % 4 as int) as impact", "cast(s_suppkey % 3 as int) as controls")
     return risk.unified(own, risk.domain_risks(rows))
 
 
@@ -121,7 +121,7 @@ def report_digest(spark: SparkSession, sf: str) -> DataFrame:
 @query("digest_worst", f"""{S.accepted()}, {_DIG} SELECT stem, rule_id, severity, icao24, ts FROM (SELECT rk.stem, accf.*, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, rule_id, stem, batch_seq, phase, pos, rule_ord) AS r FROM accf JOIN rk USING (recording)) AS q WHERE r <= 20""")
 def digest_worst(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-25: the twenty worst findings of all reports."""
-    a = audit.audit(bridge.states(spark, sf)).join(F.broadcast(_reports(spark, sf)), "recording")
+    a = audit.audit(bridge.states(spark, sf)).join(_reports(spark, sf), "recording")
     return a.orderBy("sev_rank", "rule_id", "stem", "batch_seq", "phase", "pos", "rule_ord").limit(20).select("stem", "rule_id", "severity", "icao24", "ts")
 
 

@@ -219,7 +219,7 @@ def element_files(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.text(path).select(c("_metadata.file_path").alias("_file"), c("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.rtrim("value").alias("text"))
     # a block's lines are numbered in one task: the block's first byte keeps later blocks behind
     first = t.groupBy("_file", "_block").agg(F.min("_line").alias("_first"))
-    return t.join(F.broadcast(first), ["_file", "_block"]).select(F.element_at(F.split("_file", "/"), -1).alias("file"), (c("_block") + c("_line") - c("_first")).alias("line_no"), "text")
+    return t.join(first, ["_file", "_block"]).select(F.element_at(F.split("_file", "/"), -1).alias("file"), (c("_block") + c("_line") - c("_first")).alias("line_no"), "text")
 
 
 def message_files(spark: SparkSession, path: str) -> DataFrame:
@@ -369,3 +369,14 @@ def weather_reports(payloads: DataFrame) -> DataFrame:
     fields = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in WEATHER.split(", "))
     p = payloads.select(F.explode(F.from_json("json", f"array<struct<{fields}>>")).alias("r"))
     return p.select(c("r.icaoId").alias("station"), weather_line(c("r")).alias("line"))
+
+
+LEVELS = ["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"]
+
+
+def log_lines(spark: SparkSession, path: str, least: str = "DEBUG", event: str | None = None) -> DataFrame:
+    """Lines of JSON logs from a level on, and of one event: ts, level, event, and all other fields as JSON. Lines that
+    are no JSON object, or of an unknown level, are left out."""
+    t = spark.read.text(path).select(F.from_json("value", "ts double, level string, event string, fields string").alias("l")).select("l.*")
+    t = t.withColumn("level", F.upper("level")).filter(c("level").isin(LEVELS[LEVELS.index(least.upper()):]))
+    return t if event is None else t.filter(c("event") == event)
