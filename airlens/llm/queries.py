@@ -63,6 +63,8 @@ def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = [c("pair_id"), c("prompt_turns"), c("prompt")]
     for s in ("chosen", "rejected"):
         out += [F.array_join(c(s)["text"], "").alias(s), F.array_join(F.transform(c(s)["loss"], lambda x: F.when(x, "1").otherwise("0")), "").alias(f"{s}_loss")]
+        spans = F.transform(F.filter(c(s), lambda x: x["loss"]), lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+        out.append(F.array_join(spans, ",").alias(f"{s}_spans"))
     return p.select(*out)
 
 
@@ -82,14 +84,18 @@ p AS (SELECT conv_id, pos, count(*) FILTER (side = 'chosen') AS a, count(*) FILT
     count(DISTINCT coalesce(role, '\x01') || chr(2) || coalesce(text, '\x01')) AS kinds FROM n GROUP BY conv_id, pos),
 l AS (SELECT conv_id, coalesce(min(CASE WHEN a = 0 OR b = 0 OR kinds > 1 THEN pos END) - 1, max(pos)) AS k FROM p GROUP BY conv_id),
 r AS (SELECT n.*, l.k, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS shown,
-    CASE WHEN role = 'assistant' THEN '1' ELSE '0' END AS loss FROM n JOIN l USING (conv_id))
+    CASE WHEN role = 'assistant' THEN '1' ELSE '0' END AS loss, length('<|' || coalesce(role, '') || '|>' || chr(10)) AS head FROM n JOIN l USING (conv_id)),
+q AS (SELECT *, sum(length(shown)) OVER (PARTITION BY conv_id, side, pos > k ORDER BY pos) AS upto FROM r),
+w AS (SELECT *, CASE WHEN loss = '1' THEN (upto - length(shown) + head) || ':' || upto END AS span FROM q)
 SELECT conv_id AS pair_id, CAST(any_value(k) AS INTEGER) AS prompt_turns,
   coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 'chosen' AND pos <= k), '') AS prompt,
   coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 'chosen' AND pos > k), '') AS chosen,
   coalesce(string_agg(loss, '' ORDER BY pos) FILTER (side = 'chosen' AND pos > k), '') AS chosen_loss,
   coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 'rejected' AND pos > k), '') AS rejected,
-  coalesce(string_agg(loss, '' ORDER BY pos) FILTER (side = 'rejected' AND pos > k), '') AS rejected_loss
-FROM r GROUP BY conv_id"""
+  coalesce(string_agg(loss, '' ORDER BY pos) FILTER (side = 'rejected' AND pos > k), '') AS rejected_loss,
+  coalesce(string_agg(span, ',' ORDER BY pos) FILTER (side = 'chosen' AND pos > k), '') AS chosen_spans,
+  coalesce(string_agg(span, ',' ORDER BY pos) FILTER (side = 'rejected' AND pos > k), '') AS rejected_spans
+FROM w GROUP BY conv_id"""
 
 # op3 ------------------------------------------------------------------------------------------------------------------
 

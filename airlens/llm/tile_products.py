@@ -47,16 +47,16 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, least: float) -> Iterator[tu
     qb, sb, eb = (qa, sa, ea) if b is None else quantised(other)
     exact = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64  # products of codes are whole numbers
     qa, qb = qa.astype(exact), np.ascontiguousarray(qb.astype(exact).T)
-    scale = sb.astype(np.float32)
+    scale, wide = sb.astype(np.float32), (1 + eb).astype(np.float32)
     for k in range(0, len(a), STRIP):
         rows = slice(k, min(k + STRIP, len(a)))
         skip = k if b is None else 0
         m = qa[rows] @ qb[:, skip:]
         m *= sa[rows, None].astype(np.float32)
         m *= scale[skip:]
-        # |x.y - codes| <= |x|*ey + ex*|y| + ex*ey, with the largest errors of the strip; 1e-5 covers float32 rounding
-        ex, ey = ea[rows].max(), eb[skip:].max()
-        i, j = np.nonzero(m >= least - (ex + ey + ex * ey) - 1e-5)
+        # |x.y - codes| <= ex*|y| + |x|*ey + ex*ey = (1 + ex)(1 + ey) - 1 for unit vectors; 1e-5 covers float32 rounding
+        m += np.outer((1 + ea[rows]).astype(np.float32), wide[skip:])
+        i, j = np.nonzero(m >= least + 1 - 1e-5)
         i, j = i + k, j + skip
         if b is None:
             i, j = i[i < j], j[i < j]

@@ -63,5 +63,6 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", default: str =
     met = met.filter(c("digest") == c("r_digest"))
     better = F.struct(F.length(F.concat("r_host", "r_path")).alias("l"), F.length("r_host").alias("h"), (c("r_verdict") == "block").alias("b"), F.concat("r_host", "r_path").alias("rule"), c("r_verdict").alias("v"))
     best = met.groupBy("url", "salt").agg(F.max(better).alias("best"))
-    out = p.join(best, ["url", "salt"], "left").select("row", "host", "path", c("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
+    best = best.select(c("url").alias("b_url"), c("salt").alias("b_salt"), "best")
+    out = p.join(best, c("url").eqNullSafe(c("b_url")) & (c("salt") == c("b_salt")), "left").select("row", "host", "path", c("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
     return out.select(*unpacked(out, names, "host", "path", "rule", "verdict"))

@@ -57,6 +57,8 @@ def test_preferences(spark):
     assert out[2].prompt_turns == 2 and out[2].chosen == [] == out[2].rejected
     assert out[3].prompt == "" and [x.loss for x in out[3].chosen] == [False] and out[3].rejected == []
     assert out[5].chosen == [] and [x.loss for x in out[5].rejected] == [True, True, False]
+    whole = "".join(x.text for x in out[5].rejected)
+    assert [whole[x.start : x.end] for x in out[5].rejected] == ["more<|end|>\n", "more<|end|>\n", "<|end|>\n"]
     assert preferences.preference_pairs(df.limit(0)).count() == 0
 
 
@@ -80,6 +82,8 @@ def test_url_rules(spark, monkeypatch, bound):
     assert sorted(map(str, [(r.page_id, r.url, r.host, r.path, r.rule, r.verdict) for r in out.collect()])) == sorted(map(str, [(i % 20, u, *judged(u, rules)) for i, u in enumerate(urls)]))
     assert url_rules.judged(df.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
     assert {r.verdict for r in url_rules.judged(df, spark.createDataFrame([], "host string, path string, verdict string")).collect()} == {"allow"}
+    nameless = url_rules.judged(df, spark.createDataFrame([("", "", "block")], "host string, path string, verdict string"))
+    assert {(r.url, r.rule, r.verdict) for r in nameless.filter("host = ''").collect()} == {(u, "", "block") for u in (None, "", "no", "://", "http://")}
 
 
 def spans(text, reach=256):
@@ -91,8 +95,12 @@ def spans(text, reach=256):
     for k, (kind, role, pattern, group, least) in enumerate(credentials.WEAK, len(credentials.STRONG)):
         weak += [(m.start(), k, m.end(), role) for m in re.finditer(pattern, text, re.A) if not any(b[0] < m.end() and m.start() < b[2] for b in base)]
     kept = []
+    blanks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+    block = lambda p: sum(b < p[0] for b in blanks)
     for w in weak:
-        near = {p[3] for p in base + weak if p[0] <= w[2] + reach and p[2] >= w[0] - reach}
+        near = {p[3] for p in base + weak if p[0] <= w[2] + reach and p[2] >= w[0] - reach or block(p) == block(w)}
+        if sum(p[3] == "id" for p in base + weak) == 1:
+            near |= {p[3] for p in base + weak}
         if all(near & set(some) for some in credentials.NEEDS[credentials.ORDER[w[1]]]):
             kept.append(w)
     show = lambda l: ",".join(f"{credentials.ORDER[k]}:{a}:{b}" for a, k, b, _ in sorted(l))
@@ -107,6 +115,7 @@ def test_secrets(spark, sf):
         None, "", "password=short token: abcdefgh", "token: token: abcdefghij", 'API_KEY" : "a.b=c/d+e-f_" x', "AKIA AKIAABCDEFGH1234 " + "0af" * 11, "é😀 secret = été12345678",
         f"key {KEY} alone", f"{KEY} AKIAABCDEFGH1234", f"AKIAABCDEFGH1234 {'x ' * 126}{KEY}", f"AKIAABCDEFGH1234 {'x ' * 200}{KEY}", f"ASIAABCDEFGHIJKL\nhttps://db.example.com/x {KEY}", "https://clean.example.com AKIAABCDEFGH12", "token=https://u.example.org/abc/defgh AKIAABCDEFGH1234",
         ("x" * 90 + " token = " + "ab1" * 12 + " ") * 3000, "PASSWORD='12345678'" * 50, "İpassword:12345678 secret:ſecret78",
+        f"AKIAABCDEFGH1234 {'x ' * 200}{KEY}\n\nAKIAABCDEFGH9999", f"AKIAABCDEFGH1234 {'x ' * 200}\n \t\n{KEY}\n\nAKIAABCDEFGH9999 {'y ' * 300}\n\n\n{KEY}", f"AKIAABCDEFGH1234 {'x ' * 200}\n{KEY} {'z ' * 300} AIDAABCDEFGHIJKL",
     ]
     df = spark.createDataFrame([(i if i else None, t, "clash") for i, t in enumerate(texts + texts[-3:])], "doc_id long, text string, secrets string")
     out = credentials.secret_spans(df)
