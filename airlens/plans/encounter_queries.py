@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airlens.operators import density as dens
 from airlens.operators import encounters as enc
+from airlens.operators.quantiles import quantiles
 from airlens.plans import bridge
 from airlens.plans.registry import query
 
@@ -162,11 +163,13 @@ def encounter_model_marginals(spark: SparkSession, sf: str) -> DataFrame:
     """ML-12: marginals of the first sample of every pair, from five pairs on; converging: the modified tau is known."""
     s = enc.samples(bridge.states(spark, sf))
     first = s.groupBy("recording", "a", "b").agg(F.min_by(F.struct("range_ft", "dz_ft", "closure_ftps", "tau_mod_s"), F.struct("batch_seq", "pos_a", "pos_b")).alias("f")).select("f.*")
-    q = lambda col, p, d: F.round(F.percentile(col, F.lit(p)), d)
-    return first.agg(
-        F.count(F.lit(1)).alias("encounters"), q(c("range_ft"), 0.1, 2).alias("range_p10"), q(c("range_ft"), 0.5, 2).alias("range_p50"), q(c("range_ft"), 0.9, 2).alias("range_p90"),
-        *[q(F.abs("dz_ft"), p, 2).alias(f"dz_p{p * 100:.0f}") for p in (0.1, 0.5, 0.9)], q(F.abs(F.coalesce("closure_ftps", F.lit(0.0))), 0.5, 3).alias("speed_p50"), F.round(F.avg(c("tau_mod_s").isNotNull().cast("int")), 4).alias("converging_share"),
-    ).filter("encounters >= 5")
+    sides = {"range": c("range_ft"), "dz": F.abs("dz_ft"), "speed": F.abs(F.coalesce("closure_ftps", F.lit(0.0)))}
+    long = first.select(F.inline(F.array(*[F.struct(F.lit(n).alias("side"), x.cast("double").alias("x")) for n, x in sides.items()])))
+    at = quantiles(long, ["side"], "x", [0.1, 0.5, 0.9])
+    asked = [("range", 0, "range_p10", 2), ("range", 1, "range_p50", 2), ("range", 2, "range_p90", 2), ("dz", 0, "dz_p10", 2), ("dz", 1, "dz_p50", 2), ("dz", 2, "dz_p90", 2), ("speed", 1, "speed_p50", 3)]
+    marks = at.agg(*[F.round(F.max(F.when(c("side") == n, F.get("quantiles", F.lit(i)))), d).alias(name) for n, i, name, d in asked])
+    counts = first.agg(F.count(F.lit(1)).alias("encounters"), F.round(F.avg(c("tau_mod_s").isNotNull().cast("int")), 4).alias("converging_share")).filter("encounters >= 5")
+    return counts.join(F.broadcast(marks))  # a row each
 
 
 _PROP = f"list_min(list_filter(range(0, 301), lambda t: {_viol('t', 450)}))"

@@ -146,7 +146,7 @@ def target_revisit(spark: SparkSession, sf: str) -> DataFrame:
     st = bridge.states(spark, sf)
     s = st.filter("lat is not null and lon is not null").join(model.select_targets(st, model.onsets(st)), ["recording", "icao24"])
     s = with_previous(s, ["recording", "icao24"], F.floor(c("batch_ts") / 3600), ["batch_seq", "pos"], ["ts"], "_p").withColumn("d", c("ts") - c("_p.ts")).filter("d > 0.5")
-    return s.groupBy("recording").agg(F.round(F.percentile("d", F.lit(0.5)), 3).alias("median_revisit_s"))
+    return quantiles(s, ["recording"], "d", [0.5]).select("recording", F.round(F.get("quantiles", F.lit(0)), 3).alias("median_revisit_s"))
 
 
 def _evaluation(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -184,6 +184,6 @@ def detection_study(spark: SparkSession, sf: str) -> DataFrame:
     st = bridge.states(spark, sf)
     s = st.filter("lat is not null and lon is not null").join(model.select_targets(st, model.onsets(st)), ["recording", "icao24"])
     gaps = with_previous(s, ["recording", "icao24"], F.floor(c("batch_ts") / 3600), ["batch_seq", "pos"], ["ts"], "_p").withColumn("d", c("ts") - c("_p.ts")).filter("d > 0.5")
-    revisit = gaps.agg(F.round(F.median("d"), 3).alias("median_revisit_s")).withColumn("_k", F.lit(1))
+    revisit = quantiles(gaps.withColumn("_k", F.lit(1)), ["_k"], "d", [0.5]).select("_k", F.round(F.get("quantiles", F.lit(0)), 3).alias("median_revisit_s"))
     a = recall.withColumn("_k", F.lit(1)).join(F.broadcast(revisit), "_k").select(F.lit("scenario").alias("kind"), c("scenario").alias("name"), c("recall").alias("value"), "median_ttd_s", "median_revisit_s", "known_gap")
     return a.unionByName(precision.select(F.lit("precision").alias("kind"), c("rule_id").alias("name"), c("precision").alias("value")), allowMissingColumns=True)

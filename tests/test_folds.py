@@ -140,3 +140,16 @@ def test_one_address_in_a_hundred_thousand_polls(spark):
         x = min(1.0, max(0.0, x + d))
     got = {r.icao24: (r.trust, r.hits) for r in folds.trust_scores(calm, some, hits).collect()}
     assert abs(got["a"][0] - x) < 1e-9 and got["a"][1] == sum(1 for i in had if i % 3 == 0 or i >= 99_990) and got["b"] == (1.0, 0)
+
+
+def test_quantiles_with_an_outlier(spark):
+    """One value far out among a million leaves the others spread over the buckets, and the result exact."""
+    import numpy as np
+
+    from airlens.operators import quantiles as q
+
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), F.when(F.col("id") == 7, 1e30).when(F.col("id") % 1000 == 1, -1e12 * F.col("id")).otherwise(F.col("id") % 65536 / 7.0).alias("v"))
+    values = np.sort([r.v for r in df.select("v").collect()])
+    points = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    got = q.quantiles(df, ["k"], "v", points).first()
+    assert got.n == len(values) and np.allclose(got.quantiles, np.quantile(values, points))
