@@ -104,10 +104,21 @@ def displacement(states: DataFrame, hits: DataFrame) -> DataFrame:
     per = hits.groupBy("recording", "notam_id", "effective_ts", "expire_ts").agg(
         F.countDistinct(F.when(c("is_active"), c("icao24"))).alias("inside_during"), F.countDistinct(F.when(~c("is_active"), c("icao24"))).alias("inside_outside"))
     minutes = flying(states).groupBy("recording", F.floor(c("ts") / 60).alias("minute")).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    during = (c("effective_ts").isNull() | (c("t1") >= c("effective_ts"))) & (c("expire_ts").isNull() | (c("t0") <= c("expire_ts")))
-    outside = F.coalesce(c("t0") < c("effective_ts"), F.lit(False)) | F.coalesce(c("t1") > c("expire_ts"), F.lit(False))
-    j = per.join(minutes, "recording").groupBy("recording", "notam_id", "inside_during", "inside_outside").agg(
-        F.count_if(during).alias("minutes_during"), F.count_if(outside).alias("minutes_outside"))
+    # first and last fixes of a recording's minutes and the ends of its volumes' times are put in one order: a running
+    # count says how many minutes lie before each end, so minutes and volumes are added, not multiplied
+    keys = ["recording", "notam_id", "effective_ts", "expire_ts"]
+    none = [F.lit(None).cast(per.schema[k].dataType).alias(k) for k in keys[1:]]
+    mark = lambda side, at, order, name: F.struct(F.lit(side).alias("side"), c(at).alias("at"), F.lit(order).alias("o"), F.lit(name).alias("name"))
+    seen = minutes.select("recording", *none, F.inline(F.array(mark("t0", "t0", 1, None), mark("t1", "t1", 1, None))))
+    ends = per.select(*keys, F.inline(F.array(mark("t1", "effective_ts", 0, "ended"), mark("t0", "expire_ts", 2, "begun"), mark("t0", "effective_ts", 0, "early"), mark("t1", "expire_ts", 2, "over")))).filter("at is not null")
+    w = W.partitionBy("recording", "side").orderBy("at", "o").rowsBetween(W.unboundedPreceding, 0)
+    counted = seen.unionByName(ends).withColumn("n", F.count(F.when(c("o") == 1, 1)).over(w)).filter("o <> 1")
+    counted = counted.groupBy(*[F.struct("recording", *keys[1:]).alias("k")]).agg(*[F.max(F.when(c("name") == n, c("n"))).alias(n) for n in ("ended", "begun", "early", "over")])
+    total = minutes.groupBy("recording").agg(F.count(F.lit(1)).alias("total"))
+    j = per.join(total, "recording").withColumn("k", F.struct("recording", *keys[1:]))
+    j = j.join(counted.withColumnRenamed("k", "_k"), c("k").eqNullSafe(c("_k")), "left")
+    ended, begun, early, over = F.coalesce("ended", F.lit(0)), F.coalesce("begun", c("total")), F.coalesce("early", F.lit(0)), F.coalesce("over", c("total"))
+    j = j.withColumn("minutes_during", F.greatest(F.lit(0), begun - ended)).withColumn("minutes_outside", early + c("total") - over - F.greatest(F.lit(0), early - over))
     rd, ro = F.try_divide("inside_during", "minutes_during"), F.try_divide("inside_outside", "minutes_outside")
     return j.select("recording", "notam_id", "minutes_during", "minutes_outside", "inside_during", "inside_outside",
                     F.round(rd, 3).alias("rate_during"), F.round(ro, 3).alias("rate_outside"), F.round(F.try_divide(rd, ro), 3).alias("displacement_ratio"))

@@ -123,10 +123,10 @@ def flights_by_worst_severity(spark: SparkSession, sf: str) -> DataFrame:
     return pic.flights(found.withColumn("baro_alt_ft", F.lit(None).cast("double")), severity="high").select("recording", "icao24", "findings", F.concat_ws(",", "rules").alias("rules"), "worst")
 
 
-@query("operator_board_by_category", f"SELECT * FROM ({SQL['operator_board']}) AS q WHERE category = 'major'")
+@query("operator_board_by_category", f"SELECT * FROM ({SQL['operator_board']}) AS q WHERE category = 'regional'")
 def operator_board_by_category(spark: SparkSession, sf: str) -> DataFrame:
     """PRJ-16: the operators' board of one category."""
-    return eco.operator_board(eco.enrich(bridge.states(spark, sf))).filter("category = 'major'")
+    return eco.operator_board(eco.enrich(bridge.states(spark, sf))).filter("category = 'regional'")
 
 
 @query("log_tail", """WITH l AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARNING' ELSE 'ERROR' END AS level, 'turn.' || role AS event, CAST(1.7e9 + conv_id * 60 + turn AS DOUBLE) AS ts FROM conversations)
