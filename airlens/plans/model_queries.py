@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,7 +13,7 @@ from airlens.operators.quantiles import quantiles
 from airlens.plans import bridge
 from airlens.plans import sqlbase as S
 from airlens.plans.registry import query
-from airlens.session import cut_lineage
+from airlens.session import cut_lineage, shared_folder
 
 c = F.col
 _FR = ("fr AS (SELECT *, CASE WHEN baro_alt_ft < 10000 THEN 'terminal' ELSE 'enroute' END AS band, CAST('0x' || substr(sha256(icao24), 1, 4) AS INTEGER) / 65536.0 < 0.2 AS is_holdout FROM fx WHERE NOT on_ground AND baro_alt_ft >= 1000 AND dt_s <= 120)")
@@ -48,13 +50,18 @@ def _altitudes(frame: DataFrame) -> DataFrame:
     return q.select("band", *[F.round(F.get("quantiles", F.lit(i)), 2).alias(n) for i, n in enumerate(("alt_p05", "alt_p50", "alt_p95"))])
 
 
+def _fitted(spark: SparkSession, train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes, scale and limits of a model that was stored and came back through the registry's gate."""
+    scale = cut_lineage(model.scaling(train))
+    registry = model.Registry(f"{shared_folder(spark)}/models-{uuid.uuid4().hex}")
+    registry.save("kinematic", model.fit(train, scale), scale, lambda s, n: model.thresholds(model.score(train, s, n)))
+    return registry.load(spark, "kinematic")
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     f = cut_lineage(model.holdout(_frame(spark, sf)))
-    train = f.filter("not is_holdout")
-    scale = cut_lineage(model.scaling(train))
-    nodes = model.fit(train, scale)
-    scored = cut_lineage(model.score(f, scale, nodes))
-    return model.flag(scored, model.thresholds(scored.filter("not is_holdout")))
+    nodes, scale, limits = _fitted(spark, f.filter("not is_holdout"))
+    return model.flag(cut_lineage(model.score(f, scale, nodes)), limits)
 
 
 @query("model_anomalies")
@@ -157,10 +164,7 @@ def _evaluation(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     replayed = tg.filter("scenario = 'replay'")
     rows = cut_lineage(model.perturb(st, tg, on).select(*st.columns).unionByName(model.replay(st, replayed, on).select(*st.columns)))
     frame = cut_lineage(model.holdout(_frame(spark, sf)))
-    train = frame.filter("not is_holdout")
-    scale = cut_lineage(model.scaling(train))
-    nodes = cut_lineage(model.fit(train, scale))
-    limits = cut_lineage(model.thresholds(model.score(train, scale, nodes)))
+    nodes, scale, limits = _fitted(spark, frame.filter("not is_holdout"))
 
     def found(states: DataFrame, scored_frame: DataFrame) -> DataFrame:
         flags = model.persistent(model.flag(model.score(scored_frame, scale, nodes), limits).filter("flag"))
@@ -187,3 +191,12 @@ def detection_study(spark: SparkSession, sf: str) -> DataFrame:
     revisit = quantiles(gaps.withColumn("_k", F.lit(1)), ["_k"], "d", [0.5]).select("_k", F.round(F.get("quantiles", F.lit(0)), 3).alias("median_revisit_s"))
     a = recall.withColumn("_k", F.lit(1)).join(F.broadcast(revisit), "_k").select(F.lit("scenario").alias("kind"), c("scenario").alias("name"), c("recall").alias("value"), "median_ttd_s", "median_revisit_s", "known_gap")
     return a.unionByName(precision.select(F.lit("precision").alias("kind"), c("rule_id").alias("name"), c("precision").alias("value")), allowMissingColumns=True)
+
+
+@query("audit_findings_with_model")
+def audit_findings_with_model(spark: SparkSession, sf: str) -> DataFrame:
+    """RUL-19 and ML-06: the audit with the persistent findings of a registered model, past the same cool-down and score."""
+    st = bridge.states(spark, sf)
+    flags = model.persistent(_scored(spark, sf).filter("flag"))
+    found = audit.audit(st, extra=[model.findings(flags, st)])
+    return found.select("recording", "batch_seq", "phase", "pos", "rule_id", "severity", "category", "icao24", "occurrences", F.round("risk_score", 4).alias("risk_score"))

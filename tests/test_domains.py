@@ -232,3 +232,21 @@ def test_xml_text(spark):
         end = "" if raw.endswith("open") else "</Reason></Program>"
         rows = rd.airport_programmes_xml(one(spark, xml=f"<Program><ARPT>e</ARPT><Reason>{raw}{end}")).collect()
         assert [r.reason for r in rows] == ([want] if end else [])
+
+
+def test_model_registry_refuses_altered_nodes(spark):
+    """A stored model comes back as it was; with one cut moved, a node missing or no registration it does not score."""
+    nodes = spark.createDataFrame([("all", 0, 0, 2, 0.5, 1, 2, 0.0), ("all", 0, 1, -1, 0.0, -1, -1, 1.0), ("all", 0, 2, -1, 0.0, -1, -1, 2.0)], model.NODE)
+    scale = spark.createDataFrame([("all", 1)], "model_band string, rows int")
+    folder = tempfile.mkdtemp(prefix="models-")
+    registry = model.Registry(folder)
+    registry.save("m", nodes, scale, lambda s, n: s.crossJoin(n.select("cut").limit(1)))
+    back, _, limits = registry.load(spark, "m")
+    assert sorted(back.collect()) == sorted(nodes.collect()) and limits.count() == 1
+    for altered in (nodes.withColumn("cut", F.col("cut") + 1e-9), nodes.limit(2)):
+        altered.coalesce(1).write.mode("overwrite").parquet(f"{folder}/m/nodes")
+        with pytest.raises(ValueError, match="hash"):
+            registry.load(spark, "m")
+    spark.createDataFrame([], "name string, model_hash string").write.mode("overwrite").parquet(f"{folder}/m/registered")
+    with pytest.raises(ValueError, match="no model"):
+        registry.load(spark, "m")
