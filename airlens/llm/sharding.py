@@ -11,7 +11,8 @@ rank is the rows of earlier buckets plus its place in its own. A cell that holds
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,24 +21,40 @@ from pyspark.sql.window import Window as W
 from airlens.llm.shared import packed, unpacked
 
 c = F.col
+#: bytes of a category's text that its step is read from
+PLACES = 6
 
 
 @dataclass(frozen=True)
 class Dimension:
-    """One axis: a column, or an expression over the struct `row` of all columns. kind: `hash` spreads the values of a
-    category, `log` takes the binary logarithm of a number (`per_octave` steps an octave, up to `origin` is step 0).
-    Null is step 0."""
+    """One axis: a column, or an expression over the struct `row` of all columns. kind: `ordinal` places a category's
+    text between the smallest and the largest one, so that steps are in the order of the values and the minimum and
+    maximum of a file tell which values it can hold; `hash` spreads the values; `log` takes the binary logarithm of a
+    number (`per_octave` steps an octave, up to `origin` is step 0). Null is step 0."""
 
     column: str
-    kind: str = "hash"
+    kind: str = "ordinal"
     per_octave: int = 2
     origin: float = 1.0
     expression: str | None = None
+    least: str | None = None
+    most: str | None = None
+
+    def value(self) -> Column:
+        return F.expr(self.expression) if self.expression else c(f"row.`{self.column}`")
 
     def step(self, bits: int) -> Column:
-        v = F.expr(self.expression) if self.expression else c(f"row.`{self.column}`")
+        v = self.value()
         top = (1 << bits) - 1
-        if self.kind == "hash":
+        if self.kind == "ordinal":
+            low, high = ((x or "").encode() for x in (self.least, self.most))
+            same = len(os.path.commonprefix([low, high]))
+            # the bytes behind what all values share, as a number; text sorts by its bytes
+            a, b = (int.from_bytes(x[same : same + PLACES].ljust(PLACES, b"\0"), "big") for x in (low, high))
+            bytes_ = F.substring(v.cast("string").cast("binary"), same + 1, PLACES)
+            at = F.conv(F.rpad(F.hex(bytes_), 2 * PLACES, "0"), 16, 10).cast("long")
+            code = F.floor((at - a) * float(top + 1) / (b - a + 1))
+        elif self.kind == "hash":
             code = F.pmod(F.xxhash64(v), F.lit(1 << bits))
         elif self.kind == "log":
             code = F.greatest(F.lit(0), F.least(F.lit(top), F.floor(F.log2(F.greatest(v.cast("double"), F.lit(self.origin)) / self.origin) * self.per_octave)))
@@ -87,6 +104,16 @@ def hilbert_index(steps: list[Column], bits: int) -> Column:
     return F.get(F.transform(F.transform(F.array(x), gray), index), F.lit(0))
 
 
+def _fitted(docs: DataFrame, dimensions: list[Dimension]) -> list[Dimension]:
+    """The dimensions with the smallest and largest value of the ordinal ones: one row."""
+    asked = [d for d in dimensions if d.kind == "ordinal" and d.least is None]
+    if not asked:
+        return dimensions
+    ends = packed(docs).agg(*[f(d.value().cast("string")).alias(f"{n}{i}") for i, d in enumerate(asked) for n, f in (("a", F.min), ("b", F.max))]).first()
+    known = {id(d): replace(d, least=ends[f"a{i}"] or "", most=ends[f"b{i}"] or "") for i, d in enumerate(asked)}
+    return [known.get(id(d), d) for d in dimensions]
+
+
 def hilbert_shards(docs: DataFrame, dimensions: list[Dimension], shards: int = 8, bits: int = 5, split_bits: int = 6, tie: list[str] | None = None) -> DataFrame:
     """All rows with `curve` (long), `shard` (int, 0 to shards-1) and `slot` (long, gapless from 0 in its shard).
 
@@ -95,6 +122,7 @@ def hilbert_shards(docs: DataFrame, dimensions: list[Dimension], shards: int = 8
     own; an empty table gives an empty result; input columns named curve, shard or slot are replaced.
     """
     names = docs.columns
+    dimensions = _fitted(docs, dimensions)
     hashed = F.xxhash64(*[c(f"row.`{n}`") for n in (tie or names)])
     rows = packed(docs).select("row", hilbert_index([d.step(bits) for d in dimensions], bits).alias("curve"), hashed.alias("h"))
     rows = rows.withColumn("part", F.shiftrightunsigned("h", 64 - split_bits) if split_bits else F.lit(0).cast("long"))

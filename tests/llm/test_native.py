@@ -135,3 +135,57 @@ def test_secret_borders(spark):
     out = credentials.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == "weak_key"] for r in out.collect()}
     assert got == {i: [(t.index(KEY), t.index(KEY) + 40)] if i < 4 else [] for i, t in enumerate(texts)}
+
+
+def hilbert(point, bits):
+    """Index of a point by the curve's own rule, with plain numbers."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_op1_by_brute_force(spark, sf):
+    """Size, checksum, curve cell, run and slot of every document, and files that statistics leave out."""
+    import math
+    import zlib
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+    def place(v, values):
+        values = [x.encode() for x in values if x is not None]
+        low, high = min(values), max(values)
+        same = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+        number = lambda x: int.from_bytes(x[same : same + 6].ljust(6, b"\0"), "big")
+        return 0 if v is None else int((number(v.encode()) - number(low)) * 32.0 / (number(high) - number(low) + 1))
+
+    sources, langs = {r.source for r in docs.values()}, {r.lang for r in docs.values()}
+    rows = queries.QUERIES["op1_hilbert_shards"](spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        raw = (docs[r.doc_id].text or "").encode()
+        steps = [place(docs[r.doc_id].source, sources), place(docs[r.doc_id].lang, langs), max(0, min(31, math.floor(math.log2(max(len(raw) + 1, 64) / 64) * 2)))]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None) and r.curve == hilbert(steps, 5)
+    order = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in order] == sorted(r.curve for r in order)
+    runs = {k: list(g) for k, g in itertools.groupby(order, key=lambda r: r.shard)}
+    assert sorted(runs) == list(range(8)) and all([r.slot for r in g] == list(range(len(g))) for g in runs.values()) and max(map(len, runs.values())) - min(map(len, runs.values())) <= 1
+    # files that a reader of one source and language opens, by the smallest and largest values of each
+    ends = [[(min(v), max(v)) for v in zip(*[(docs[r.doc_id].source, docs[r.doc_id].lang) for r in g])] for g in runs.values()]
+    opened = [sum(all(a <= v <= b for v, (a, b) in zip(pair, e)) for e in ends) for pair in itertools.product(sources, langs)]
+    assert sum(opened) / len(opened) < 6 and min(opened) <= 3, opened
