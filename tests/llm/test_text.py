@@ -116,3 +116,32 @@ def test_quality_of_odd_tables(spark):
     one = compression_quality.fit(docs, labels.filter("quality = 1"))
     assert {r.score for r in compression_quality.scored(docs, one).collect()} == {1.0}
     assert {r.score for r in compression_quality.scored(docs, compression_quality.fit(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_op3_by_brute_force(spark, sf):
+    """Scores of the query, recomputed text by text from the fitted dictionaries and weights with the compressor alone."""
+    import math
+    import zlib
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = queries.quality_model(spark, sf, docs)
+
+    def size(body, raw, data):
+        kind = zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_AUTO
+        extra = {"dict_data": zstandard.ZstdCompressionDict(data, dict_type=kind)} if data else {}
+        z = zstandard.ZstdCompressor(level=compression_quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **extra)
+        step = compression_quality.BLOCK_BYTES
+        return sum(len(z.compress(body[k : k + step])) for k in range(0, len(body), step)) if data is not None else len(z.compress(body))
+
+    got = {r.doc_id: r for r in queries.QUERIES["op3_compression_quality"](spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and model.weights
+    for doc_id, text in rows[::7]:
+        body = (text or "").encode()
+        good, bad, alone = size(body, model.raw[0], model.good), size(body, model.raw[1], model.bad), size(body, True, None)
+        d, r, n = (bad - good) / (bad + good + compression_quality.SHRINK), alone / (len(body) + compression_quality.SHRINK), math.log1p(len(body))
+        z = sum(w * x for w, x in zip(model.weights, (10 * d, 5 * r, 20 * d * r, 5 * r * r, n / 5, n * r, 1)))
+        want = 1 / (1 + math.exp(-max(-500, min(500, z))))
+        assert abs(got[doc_id].score - want) < 1e-9 and got[doc_id].predicted == (got[doc_id].score >= 0.7) and got[doc_id].held_out == (zlib.crc32(str(doc_id).encode()) % 4 == 2)
