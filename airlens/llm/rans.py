@@ -16,7 +16,6 @@ the symbols and their frequencies (32 bits each), crc32.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import struct
@@ -27,13 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlens.llm.shared import kept_by_worker, small_batches, stored
+from airlens.llm.words import hashed_runs, text_buffers
 
 c = F.col
 #: ids of a block at least (a document is never divided), lanes at most and ids of a lane at least, steps of a stretch
@@ -44,8 +43,10 @@ CHECKPOINT = 256
 #: ids of a file, and of the smaller files that make several tasks of a small input
 FILE_IDS = 64 << 20
 LEAST_FILE_IDS = 4 << 20
-#: bytes of pieces of words whose ids a worker remembers, bytes of ids in a batch that a reader returns
-REMEMBERED = 128 << 20
+#: words whose ids a worker remembers (about 50 bytes each), bytes of texts that are encoded at once
+REMEMBERED = 1_200_000
+BLOCK_BYTES = 2 << 20
+#: bytes of ids in a batch that a reader returns
 BATCH_BYTES = 4 << 20
 LOW = np.uint64(1 << 32)
 
@@ -182,15 +183,48 @@ class Coder:
 #: how the tokenizer of words cuts lower-cased ASCII text
 ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 PRINTABLE = re.compile(rb"[!-~]+")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_INSIDE = ~np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each of some stretches, one stretch after the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+class Known:
+    """Words and their ids in flat arrays, in the order of the words' hashes."""
+
+    def __init__(self, kind: type):
+        self.hash = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # bytes of a word
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # ids of a word
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, kind)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted hashes, and which of them are there."""
+        if not len(self.hash):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return at, self.hash[at] == h
+
+    def add(self, h: np.ndarray, words: list[bytes], ids: list[bytes]) -> None:
+        size, count = np.array([len(w) for w in words]), np.array([len(i) // self.ids.itemsize for i in ids])
+        at, first = np.cumsum(size) - size + len(self.bytes), np.cumsum(count) - count + len(self.ids)
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.ids.dtype)])
+        order = np.argsort(np.concatenate([self.hash, h]), kind="stable")  # two sorted runs
+        self.hash, self.at, self.size, self.first, self.count = (np.concatenate(x)[order] for x in ((self.hash, h), (self.at, at), (self.size, size), (self.first, first), (self.count, count)))
 
 
 class Encoder:
     """Texts -> their ids, each followed by `end`. tokenizer: JSON as the tokenizers library reads it.
 
     by_words: only for tokenizers that lower-case, drop white space, never join across it and cut ASCII text as
-    ASCII_PIECES says. Texts are then cut at ASCII white space, and the ids of words and pieces are remembered, up to
-    REMEMBERED bytes of pieces and half as many of words; marks of special tokens are told by their case, so nothing with `<|` is cut or lower-cased. Else
-    whole texts are encoded.
+    ASCII_PIECES says. Texts are then cut at ASCII white space, and each distinct word of a block is looked up once, by
+    hash and then byte by byte; the ids of REMEMBERED words are kept. Marks of special tokens are told by their case, so
+    nothing with `<|` is cut or lower-cased. Else whole texts are encoded.
     """
 
     def __init__(self, tokenizer: str, end: int, by_words: bool):
@@ -199,51 +233,90 @@ class Encoder:
 
         self.tokenizer, self.end, self.by_words = Tokenizer.from_str(tokenizer), end, by_words
         self.kind = np.uint16 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else np.uint32
-        self.words: dict[bytes, bytes] = {}  # between white space, and pieces of them
+        self.known = Known(self.kind)
         self.pieces: dict[bytes, bytes] = {}
-        self.held = [0, 0]
 
-    def pieces_of(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that are not remembered, from those of their pieces."""
-        parts = {w: ASCII_PIECES.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in words}
-        new = {x for p in parts.values() for x in p if x not in self.pieces}
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words from those of their pieces."""
+        parts = [ASCII_PIECES.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in words]
+        new = {x for p in parts for x in p if x not in self.pieces}
         # a printable, lower-cased ASCII piece is as the tokenizer's model sees it; everything else takes the whole way
-        plain = [x for x in new if PRINTABLE.fullmatch(x) and ASCII_PIECES.fullmatch(x) and x == x.lower()]
-        ids = {x: np.array([y.id for y in self.tokenizer.model.tokenize(x.decode())], self.kind).tobytes() for x in plain}
+        ids = {x: np.array([y.id for y in self.tokenizer.model.tokenize(x.decode())], self.kind).tobytes() for x in new if PRINTABLE.fullmatch(x) and ASCII_PIECES.fullmatch(x) and x == x.lower()}
         rest = [x for x in new if x not in ids]
         for x, e in zip(rest, self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)):
             ids[x] = np.array(e.ids, self.kind).tobytes()
-        if sum(map(len, ids)) + sum(map(len, ids.values())) + 150 * len(ids) + self.held[1] < REMEMBERED:
-            self.held[1] += self.keep(self.pieces, ids)
-            ids = self.pieces
-        else:
-            ids = ids | {x: self.pieces[x] for p in parts.values() for x in p if x in self.pieces}
-        return {w: b"".join([ids[x] for x in p]) for w, p in parts.items()}
-
-    @staticmethod
-    def keep(memory: dict[bytes, bytes], found: dict[bytes, bytes]) -> int:
-        memory.update(found)
-        return sum(150 + len(w) + len(i) for w, i in found.items())
+        both = {x: self.pieces[x] for p in parts for x in p if x in self.pieces} | ids
+        if len(self.pieces) < REMEMBERED // 8:
+            self.pieces.update(ids)
+        return [b"".join([both[x] for x in p]) if len(p) != 1 else both[p[0]] for p in parts]
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts whose bytes lie between the offsets, and the bounds of each text's ids."""
+        n = len(offsets) - 1
+        inside = _INSIDE[data]
+        edge = np.zeros(len(data) + 1, bool)
+        if len(data):
+            edge[0], edge[-1] = inside[0], inside[-1]
+            np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
+        at = np.flatnonzero(edge)
+        cut = np.unique(offsets[1:-1])  # a border of texts inside a run ends one word and begins the next
+        cut = cut[(cut > 0) & (cut < len(data))]
+        cut = cut[inside[cut] & inside[cut - 1]]
+        if len(cut):
+            at = np.sort(np.concatenate([at, cut, cut]))
+        start, stop = at[0::2], at[1::2]
+        key = data
+        if b"<|" not in data.tobytes():
+            high = np.concatenate([[0], np.cumsum(data >= 128, dtype=np.int32)])
+            odd = high[stop] != high[start]
+            key = _LOWER[data]
+            if odd.any():  # words with other than ASCII characters stay as they are
+                keep = _spread(start[odd], (stop - start)[odd])
+                key[keep] = data[keep]
+        h, order, inverse = np.unique(hashed_runs(key, start, stop), return_index=True, return_inverse=True)
+        begin, size = start[order], (stop - start)[order]
+        place, there = self.known.find(h)
+        new = np.flatnonzero(~there)
+        if len(new):
+            words = [key[a : a + k].tobytes() for a, k in zip(begin[new].tolist(), size[new].tolist())]
+            if len(self.known.hash) + len(new) > REMEMBERED:
+                self.known, new = Known(self.kind), np.arange(len(h))
+                words = [key[a : a + k].tobytes() for a, k in zip(begin.tolist(), size.tolist())]
+            self.known.add(h[new], words, self.ids_of(words))
+            place, _ = self.known.find(h)
+        k = self.known
+        # equal hashes are no proof: every word is compared with the one its ids were made from
+        own = place[inverse]
+        same = (k.size[own] == stop - start).all() and (key[_spread(start, stop - start)] == k.bytes[_spread(k.at[own], k.size[own])]).all()
+        if not same:
+            raise ValueError("two words have one hash: draw other numbers")
+        count = k.count[own]
+        ids = k.ids[_spread(k.first[own], count)]
+        bounds = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, offsets, "left")]
+        # the end id goes behind every text
+        out = np.empty(len(ids) + n, self.kind)
+        ends = bounds + np.arange(n + 1)
+        out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(bounds))] = ids
+        out[ends[1:] - 1] = self.end
+        return out, ends
+
+    def blocks(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids, bounds) of blocks of about BLOCK_BYTES or one text."""
+        if not self.by_words:
+            for i, x in enumerate(column.to_pylist()):
+                ids = self.tokenizer.encode(x or "", add_special_tokens=False).ids
+                yield i, i + 1, np.array([*ids, self.end], self.kind), np.array([0, len(ids) + 1])
+            return
+        data, offsets = text_buffers(column)
+        row = 0
+        while row < len(column):
+            end = min(max(int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1, row + 1), len(column))
+            lo, hi = int(offsets[row]), int(offsets[end])
+            yield row, end, *self.block(data[lo:hi], offsets[row : end + 1] - lo)
+            row = end
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_words:
-            return [np.array(e.ids + [self.end], self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        tail, get, missing = np.array([self.end], self.kind).tobytes(), self.words.get, set()
-        cut, out = [], []
-        for text in texts:
-            raw = text.encode()
-            words = (raw.lower() if raw.isascii() and b"<|" not in raw else raw).split()
-            ids = list(map(get, words))
-            if None in ids:
-                missing.update(w for w, i in zip(words, ids) if i is None)
-            cut.append(words)
-            out.append(ids)
-        if missing:
-            found = self.pieces_of(missing)
-            out = [[found[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids for words, ids in zip(cut, out)]
-            if self.held[0] < REMEMBERED // 2:
-                self.held[0] += self.keep(self.words, found)
-        return [np.frombuffer(b"".join([*ids, tail]), self.kind) for ids in out]
+        return [ids[a:b] for _, _, ids, bounds in self.blocks(pa.array(texts, pa.string())) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def tokens(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", by_words: bool = False) -> DataFrame:
@@ -253,17 +326,11 @@ def tokens(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept_by_worker(name, lambda: Encoder(tokenizer, end, by_words))
-        gc.disable()  # millions of small objects without a cycle: looking for cycles takes a fifth of the time
         for b in batches:
-            lo = 0
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            while lo < b.num_rows:  # so many texts at once that their pieces are bounded by a block or the longest text
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + BATCH_BYTES, "right")))
-                ids = encode([x or "" for x in b.column(2).slice(lo, hi - lo).to_pylist()])
-                n = pa.array([len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), n, pa.array([x.itemsize for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())], ["key", "row", "n", "width", "ids"])
-                lo = hi
-        gc.enable()
+            for lo, hi, ids, bounds in encode.blocks(b.column(2)):
+                raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((bounds * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                width = pa.array(np.full(hi - lo, ids.itemsize, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds)), width, raw], ["key", "row", "n", "width", "ids"])
 
     rows = docs.select(c(f"`{key}`").cast("long").alias("key"), F.monotonically_increasing_id().alias("row"), c(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, "key long, row long, n long, width int, ids binary")

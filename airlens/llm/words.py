@@ -75,6 +75,19 @@ def _block(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray
     return mix((run[end] - run[start]) * down[start]), np.searchsorted(start, offsets, "left")
 
 
+_BYTES = _table(lambda b: True)
+_BYTES[65:91] = np.random.Generator(np.random.PCG64(20250301)).integers(1, 1 << 63, 26, dtype=np.uint64)
+
+
+def hashed_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes, every byte with its case."""
+    up, down = _power(len(data) + 1)
+    run = np.empty(len(data) + 1, dtype=np.uint64)
+    run[0] = 0
+    np.cumsum(_BYTES[data] * up[: len(data)], out=run[1:])
+    return mix((run[end] - run[start]) * down[start])
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes and the n+1 offsets of a string column; null is empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column

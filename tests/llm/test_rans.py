@@ -94,7 +94,7 @@ def test_pieces_encode_as_whole_texts():
 
 
 def test_files(spark, monkeypatch, tmp_path):
-    for name, value in {"BLOCK_IDS": 500, "LANES": 8, "CHECKPOINT": 4, "LEAST_FILE_IDS": 3000, "BATCH_BYTES": 400, "REMEMBERED": 5000}.items():
+    for name, value in {"BLOCK_IDS": 500, "LANES": 8, "CHECKPOINT": 4, "LEAST_FILE_IDS": 3000, "BATCH_BYTES": 400, "REMEMBERED": 40, "BLOCK_BYTES": 700}.items():
         monkeypatch.setattr(rans, name, value)
     r = random.Random(4)
     rows = [(k, r.choice(TEXTS[3:]) * r.randint(1, 3)) for k in random.Random(1).sample(range(-200, 1000), 300)] + [(None, "a b"), (None, None), (5, ""), (5, "w " * 4000), (5, "x")]
