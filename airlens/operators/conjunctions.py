@@ -104,21 +104,26 @@ def encounter_plane(messages: DataFrame) -> DataFrame:
     return d.select(*messages.columns, "miss_m", "plane_miss_m", "rel_speed_ms", "s11", "s12", "s22", "mx", "my", "error")
 
 
+#: messages whose grids (115 KB each) are held at once
+GRID_ROWS = 64
+
+
 @F.pandas_udf(T.DoubleType())
 def _disc_integral(s11: pd.Series, s12: pd.Series, s22: pd.Series, mx: pd.Series, my: pd.Series, hbr: pd.Series) -> pd.Series:
-    """Gaussian over a disc on an 80 x 180 polar grid, one vector operation per message."""
+    """Gaussian over a disc on an 80 x 180 polar grid, GRID_ROWS messages at a time."""
     th = (np.arange(180) + 0.5) * (2 * np.pi / 180)
     unit = (np.arange(80) + 0.5) / 80
-    ux, uy = np.outer(unit, np.cos(th)), np.outer(unit, np.sin(th))
-    out = np.full(len(s11), np.nan)
-    for i, (a, b, d, x0, y0, r) in enumerate(zip(s11, s12, s22, mx, my, hbr, strict=True)):
-        det = a * d - b * b
-        if not det > 0:
-            continue
-        x, y = ux * r - x0, uy * r - y0
-        q = (d * x * x - 2 * b * x * y + a * y * y) / det
-        w = unit[:, None] * r * (r / 80) * (2 * np.pi / 180)
-        out[i] = min(1.0, float((np.exp(-0.5 * q) * w).sum() / (2 * np.pi * np.sqrt(det))))
+    ux, uy = np.outer(unit, np.cos(th))[None], np.outer(unit, np.sin(th))[None]
+    a, b, d, x0, y0, r = (x.to_numpy(float) for x in (s11, s12, s22, mx, my, hbr))
+    det = a * d - b * b
+    out = np.full(len(a), np.nan)
+    sound = np.flatnonzero(det > 0)
+    for i in np.split(sound, range(GRID_ROWS, len(sound), GRID_ROWS)):
+        n = lambda v: v[i][:, None, None]  # noqa: B023, E731
+        x, y = ux * n(r) - n(x0), uy * n(r) - n(y0)
+        q = (n(d) * x * x - 2 * n(b) * x * y + n(a) * y * y) / n(det)
+        w = unit[None, :, None] * n(r) * (n(r) / 80) * (2 * np.pi / 180)
+        out[i] = np.minimum(1.0, (np.exp(-0.5 * q) * w).sum(axis=(1, 2)) / (2 * np.pi * np.sqrt(det[i])))
     return pd.Series(out)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airlens.operators.bandjoin import salted_join
 from airlens.operators.ordered import with_previous
 from airlens.operators.tracks import SLAB_S
 
@@ -43,4 +44,4 @@ def density(states: DataFrame) -> DataFrame:
     ).agg((F.sum("presence_s") / 3600.0).alias("aircraft_hours"))
     area = (CELL_DEG * 60.0) * (CELL_DEG * 60.0 * F.greatest(F.cos(F.radians((F.col("cell_lat") + 0.5) * CELL_DEG)), F.lit(0.05)))
     per = F.col("aircraft_hours") / F.col("span_h") / (area / 100.0)
-    return cells.join(span, "recording").withColumn("per_100nm2_h", per).withColumn("class", density_class(F.col("per_100nm2_h")))
+    return salted_join(cells, span, ["recording"], F.hash("cell_lat", "cell_lon")).withColumn("per_100nm2_h", per).withColumn("class", density_class(F.col("per_100nm2_h")))
