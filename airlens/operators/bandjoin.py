@@ -48,8 +48,16 @@ def cover_cells(df: DataFrame, lamin: Column, lomin: Column, lamax: Column, loma
     return df.withColumn("cell_x", F.explode(F.sequence(floor_cell(lomin, edge), floor_cell(lomax, edge))))
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt: Column, buckets: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join whose hot keys are split over `buckets` tasks: the small side is copied once per bucket."""
+#: rows of the larger side for each bucket, and buckets at least
+BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 16
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt: Column, buckets: int | None = None, how: str = "inner") -> DataFrame:
+    """Equi-join whose hot keys are split over `buckets` tasks: the small side is copied once per bucket. Without a
+    number the rows of the larger side are counted, so that a key with all of them is no large task either; a stream
+    is split by its micro-batches already."""
+    if buckets is None:
+        buckets = LEAST_BUCKETS if big.isStreaming else max(LEAST_BUCKETS, -(-big.count() // BUCKET_ROWS))
     lhs = big.withColumn("_salt", F.pmod(salt, F.lit(buckets)).cast("int"))
     rhs = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")

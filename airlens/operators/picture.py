@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from airlens.functions.scoring import sev_name
+from airlens.operators.bandjoin import LEAST_BUCKETS, salted_join
 
 c = F.col
 
@@ -37,10 +38,13 @@ def latest_states(states: DataFrame) -> DataFrame:
 def recent_findings(picture: DataFrame, accepted: DataFrame, window_s: float = 600.0) -> DataFrame:
     """Per aircraft of the picture: rules and worst severity of the findings up to window_s before its report."""
     f = accepted.filter("icao24 is not null").select("recording", "icao24", c("batch_ts").alias("_fts"), "rule_id", "sev_rank")
-    # findings past the cool-down are few per aircraft; rules and severities are a closed set, so the set stays small
-    j = picture.join(f, ["recording", "icao24"], "left").withColumn("_in", c("_fts").between(c("batch_ts") - window_s, c("batch_ts")))
-    return j.groupBy("recording", "icao24").agg(
-        F.count_if("_in").alias("findings"), F.array_sort(F.collect_set(F.when(c("_in"), c("rule_id")))).alias("rules"), sev_name(F.min(F.when(c("_in"), c("sev_rank")))).alias("worst"))
+    key = ["recording", "icao24"]
+    # an aircraft's findings are dealt to several tasks, its one row is copied to each
+    j = salted_join(f, picture.select(*key, c("batch_ts").alias("_now")), key, F.hash("rule_id", "_fts"), LEAST_BUCKETS).filter(c("_fts").between(c("_now") - window_s, c("_now")))
+    # rules and severities are a closed set, so the set stays small
+    found = j.groupBy(*key).agg(F.count(F.lit(1)).alias("findings"), F.array_sort(F.collect_set("rule_id")).alias("rules"), sev_name(F.min("sev_rank")).alias("worst"))
+    none = F.array().cast("array<string>")
+    return picture.select(*key).join(found, key, "left").select(*key, F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("rules", none).alias("rules"), "worst")
 
 
 def flights(enriched: DataFrame, sort: str = "-baro_alt_ft", limit: int | None = None, *, operator: str | None = None, category: str | None = None, type_code: str | None = None,
