@@ -16,6 +16,7 @@ the symbols and their frequencies (32 bits each), crc32.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -182,7 +183,13 @@ class Coder:
 
 #: how the tokenizer of words cuts lower-cased ASCII text
 ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
-PRINTABLE = re.compile(rb"[!-~]+")
+#: words of printable ASCII and Latin letters, whose lower-casing and cutting follow the same rule; and how bytes are
+#: written for the tokenizer's model: printable Latin-1 as it is, the others as the characters from 256 on
+LATIN = re.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+LATIN_LOWER = {x: x + 32 for x in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]}
+WRITTEN = {b: b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+WRITTEN |= {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in WRITTEN)}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INSIDE = ~np.isin(np.arange(256), [32, *range(9, 14)])
@@ -238,12 +245,20 @@ class Encoder:
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """The ids of words from those of their pieces."""
-        parts = [ASCII_PIECES.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in words]
-        new = {x for p in parts for x in p if x not in self.pieces}
-        # a printable, lower-cased ASCII piece is as the tokenizer's model sees it; everything else takes the whole way
-        ids = {x: np.array([y.id for y in self.tokenizer.model.tokenize(x.decode())], self.kind).tobytes() for x in new if PRINTABLE.fullmatch(x) and ASCII_PIECES.fullmatch(x) and x == x.lower()}
-        rest = [x for x in new if x not in ids]
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)):
+        parts, whole = [], set()
+        for w in words:
+            if w.isascii() and b"<|" not in w:
+                parts.append(ASCII_PIECES.findall(w.lower()))
+            elif b"<|" not in w and LATIN.fullmatch(text := w.decode()):
+                parts.append([x.encode() for x in LATIN_PIECES.findall(text.translate(LATIN_LOWER))])
+            else:  # kept apart from pieces of the same bytes
+                parts.append([b" " + w])
+                whole.add(b" " + w)
+        new = {x for p in parts for x in p if x not in self.pieces} - whole
+        shown = [(x, t if (t := x.decode("latin-1")).isascii() and t.isprintable() else t.translate(WRITTEN)) for x in new]
+        ids = {x: np.array([y.id for y in self.tokenizer.model.tokenize(t)], self.kind).tobytes() for x, t in shown}
+        rest = [x for x in whole if x not in self.pieces]
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast([x[1:].decode() for x in rest], add_special_tokens=False)):
             ids[x] = np.array(e.ids, self.kind).tobytes()
         both = {x: self.pieces[x] for p in parts for x in p if x in self.pieces} | ids
         if len(self.pieces) < REMEMBERED // 8:
@@ -326,11 +341,13 @@ def tokens(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept_by_worker(name, lambda: Encoder(tokenizer, end, by_words))
+        gc.disable()  # many small objects and no cycle among them
         for b in batches:
             for lo, hi, ids, bounds in encode.blocks(b.column(2)):
                 raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((bounds * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
                 width = pa.array(np.full(hi - lo, ids.itemsize, np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds)), width, raw], ["key", "row", "n", "width", "ids"])
+        gc.enable()
 
     rows = docs.select(c(f"`{key}`").cast("long").alias("key"), F.monotonically_increasing_id().alias("row"), c(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, "key long, row long, n long, width int, ids binary")
@@ -340,14 +357,12 @@ def _counts(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for width, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.frombuffer(raw.as_buffer(), np.uint16 if width == 2 else np.uint32)
-                if len(ids) and ids.max() >= len(total):
-                    total = np.concatenate([total, np.zeros(int(ids.max()) + 1 - len(total), np.int64)])
-                if len(ids) * 8 > len(total):
-                    total += np.bincount(ids, minlength=len(total))
-                else:
-                    np.add.at(total, ids, 1)
+            # all ids of a batch lie one after the other; their width is the vocabulary's
+            raw, width = b.column(1), b.column(0)[0].as_py() if b.num_rows else 4
+            ends = np.frombuffer(raw.buffers()[1], np.int32, raw.offset + len(raw) + 1)[raw.offset :] if len(raw) else [0, 0]
+            found = np.bincount(np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint16 if width == 2 else np.uint32)) if ends[-1] > ends[0] else total[:0]
+            size = max(len(found), len(total))
+            total = np.pad(found, (0, size - len(found))) + np.pad(total, (0, size - len(total)))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
 
