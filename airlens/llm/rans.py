@@ -45,7 +45,7 @@ CHECKPOINT = 256
 FILE_IDS = 64 << 20
 LEAST_FILE_IDS = 4 << 20
 #: words whose ids a worker remembers (about 50 bytes each), bytes of texts that are encoded at once
-REMEMBERED = 1_200_000
+REMEMBERED = 1_800_000
 BLOCK_BYTES = 2 << 20
 #: bytes of ids in a batch that a reader returns
 BATCH_BYTES = 4 << 20
@@ -301,12 +301,11 @@ class Encoder:
             place, _ = self.known.find(h)
         k = self.known
         # equal hashes are no proof: every word is compared with the one its ids were made from
-        own = place[inverse]
-        same = (k.size[own] == stop - start).all() and (key[_spread(start, stop - start)] == k.bytes[_spread(k.at[own], k.size[own])]).all()
+        at, size, first, count = (x[place][inverse] for x in (k.at, k.size, k.first, k.count))
+        same = (size == stop - start).all() and (key[inside] == k.bytes[_spread(at, size)]).all()
         if not same:
             raise ValueError("two words have one hash: draw other numbers")
-        count = k.count[own]
-        ids = k.ids[_spread(k.first[own], count)]
+        ids = k.ids[_spread(first, count)]
         bounds = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, offsets, "left")]
         # the end id goes behind every text
         out = np.empty(len(ids) + n, self.kind)
