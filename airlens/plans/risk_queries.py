@@ -161,8 +161,8 @@ def mission_dossier(spark: SparkSession, sf: str) -> DataFrame:
     from airlens.operators import airspace as asp
 
     l, v = places.launches(spark, sf), places.volumes(spark, sf)
-    near = asp.traffic_near_pads(bridge.states(spark, sf), l).filter("in_window").groupBy("launch_id").agg(F.countDistinct("recording", "icao24").alias("aircraft"))
-    cov = asp.covering(l, v).groupBy("launch_id").agg(F.count(F.lit(1)).alias("volumes"))
+    near = asp.traffic_in_windows(bridge.states(spark, sf), l).groupBy("launch_id").agg(F.countDistinct("recording", "icao24").alias("aircraft"))
+    cov = asp.covering_counts(l, v)
     d = asp.launch_windows(l).join(near, "launch_id", "left").join(cov, "launch_id", "left").fillna(0, ["aircraft", "volumes"])
     return d.select("launch_id", "name", "status", "aircraft", "volumes", (c("aircraft") > 0).cast("int").alias("lch_001"))
 
