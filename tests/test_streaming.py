@@ -164,3 +164,33 @@ def test_recording_round_trip_and_batch_stream(spark, sf):
     sinks.to_batches(st).drop("recording").coalesce(1).write.json(folder)
     run(p.explode_batches(p.read_batches(spark, folder)).select("batch_ts", "icao24"), "polls")
     assert spark.table("polls").count() == st.count()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_traffic_is_not_sent_through_the_driver(spark):
+    """Tables that grow with the traffic are merged, even where a planner finds them small."""
+    from airlens.operators import proximity
+    from airlens.streaming import audit as s
+
+    st = every_rule(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2**30))
+    try:
+        key = st.select("recording", "icao24", "batch_seq")
+        hits = st.select("recording", "icao24", "batch_seq", F.lit("low").alias("severity"), F.lit("security").alias("category"))
+        for df in (tracks.with_features(st), proximity.close_pairs(st), folds.trust_scores(st, key, hits), s._same(st, key, s.AIRCRAFT, "left_semi")):
+            plan = plan_of(df)
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_features_with_a_stored_step(spark):
+    st = every_rule(spark)
+    kept = []
+    cols = ["recording", "batch_seq", "pos", "accepted", *[F.round(f, 6) for f in tracks.FEATURES], F.size("track")]
+    got = tracks.with_features(st, keep=lambda df: kept.append(df.checkpoint()) or kept[0]).select(*cols)
+    want = tracks.with_features(st).select(*cols)
+    assert len(kept) == 1 and got.count() == want.count() and got.exceptAll(want).count() == 0
