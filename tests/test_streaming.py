@@ -194,3 +194,16 @@ def test_features_with_a_stored_step(spark):
     got = tracks.with_features(st, keep=lambda df: kept.append(df.checkpoint()) or kept[0]).select(*cols)
     want = tracks.with_features(st).select(*cols)
     assert len(kept) == 1 and got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_feeds_meet_in_spans(spark):
+    """The pairs are those of addresses and times alone, at the ends of spans too, and the join has the span as a key."""
+    ts = [1.7e9 + x for x in (0, 0, 1, 89, 90, 91, 180, 180.5, 270, 271, 5000)]
+    ts += [1_699_999_920.0, 1_700_000_010.0, 1_700_000_010.000001]  # ends of spans
+    row = lambda i, t, icao: (icao, t, 32.0 + i / 100, -97.0, 200.0, 90.0, False)
+    rows = [row(i, t, icao) for icao in ("a", "b") for i, t in enumerate(ts)] + [row(0, 1.7e9, None), ("a", None, 32.0, -97.0, 200.0, 90.0, False)]
+    feed = spark.createDataFrame(rows, "icao24 string, ts double, lat double, lon double, gs_kt double, track_deg double, on_ground boolean").withColumn("event_time", F.timestamp_seconds("ts"))
+    got = p.corroborate_streams(feed, feed)
+    want = sorted((icao, x, y) for icao in ("a", "b") for x in ts for y in ts if abs(x - y) <= 90)
+    assert sorted((r.icao24, r.ts, r.other_ts) for r in got.select("icao24", "ts", "other_ts").collect()) == want
+    assert "_span" in next(x for x in plan_of(got).splitlines() if "Join" in x)
