@@ -250,3 +250,12 @@ def test_model_registry_refuses_altered_nodes(spark):
     spark.createDataFrame([], "name string, model_hash string").write.mode("overwrite").parquet(f"{folder}/m/registered")
     with pytest.raises(ValueError, match="no model"):
         registry.load(spark, "m")
+
+
+def test_study_reads_stored_findings(spark, sf):
+    """Both audits and the revisit times are stored before the study's last plan, which holds no cool-down of its own."""
+    from airlens.plans import registry
+
+    study = registry.QUERIES["detection_study"](spark, sf)
+    assert "MapInArrow" not in study._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.kind for r in study.collect()} == {"scenario", "precision"}
