@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airlens.session import spread
+
 c = F.col
 # fixed values
 MU, RE_KM, GEO_ALT_KM = 398600.4418, 6378.137, 35786.0
@@ -21,32 +23,43 @@ ATMOSPHERE = [  # altitude km, density kg/m3, scale height km
 LIMIT_US_YEARS, LIMIT_YEARS, CASUALTY_LIMIT, MAX_YEARS, STEP_S = 5.0, 25.0, 1e-4, 200.0, 432000.0
 
 
+#: missions of a task: up to two hundred years of steps each
+MISSIONS_PER_TASK = 5_000
+
+
 def lifetimes(missions: DataFrame) -> DataFrame:
-    """Add lifetime_years: a decay integration that advances all missions of an Arrow batch together."""
+    """Add lifetime_years: a decay integration that advances all missions of an Arrow batch together. Missions are dealt
+    evenly to tasks before, as their file is small beside the work."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h0, rho0, scale = (np.array(col, dtype=float) for col in zip(*ATMOSPHERE, strict=True))
+        above = np.append(h0[1:], np.inf)
         year = 365.25 * 86400
         for pdf in batches:
             a = RE_KM + (pdf.perigee_km.to_numpy(float) + pdf.apogee_km.to_numpy(float)) / 2
             drag = pdf.cd.to_numpy(float) * pdf.area_m2.to_numpy(float) / np.maximum(pdf.mass_kg.to_numpy(float), 1e-6)
-            t = np.zeros(len(a))
             high = pdf.perigee_km.to_numpy(float) > 2000
-            live = ~high & (a - RE_KM > 150)
-            while live.any():
-                alt = a[live] - RE_KM
-                k = np.clip(np.searchsorted(h0, alt, side="right") - 1, 0, len(h0) - 1)
-                rho = np.where(alt < 150, rho0[0], rho0[k] * np.exp(-(alt - h0[k]) / scale[k]))
-                step = -drag[live] * rho * np.sqrt(MU / a[live]) * 1000.0 * a[live] * STEP_S
-                a[live] += step
-                t[live] += STEP_S
-                never = np.zeros(len(a), bool)
-                never[live] = (alt > 1500) & (step > -1e-6)
-                high |= never
-                live = live & ~never & (a - RE_KM > 150) & (t < MAX_YEARS * year)
-            yield pdf.assign(lifetime_years=np.where(high, MAX_YEARS, np.minimum(t / year, MAX_YEARS)))
-
-    return missions.mapInPandas(run, T.StructType([*missions.schema.fields, T.StructField("lifetime_years", T.DoubleType())]))
+            years = np.where(high, MAX_YEARS, 0.0)
+            at = np.flatnonzero(~high & (a - RE_KM > 150))  # those still up, which all have the same age
+            a, drag, t = a[at], -drag[at], 0.0
+            k = np.searchsorted(h0, a - RE_KM, side="right") - 1
+            h, top, rho, sc = h0[k], above[k], rho0[k], scale[k]
+            while len(at):
+                alt = a - RE_KM
+                if len(out := np.flatnonzero((alt < h) | (alt >= top))):  # these have left their layer
+                    k = np.searchsorted(h0, alt[out], side="right") - 1
+                    h[out], top[out], rho[out], sc[out] = h0[k], above[k], rho0[k], scale[k]
+                step = drag * (rho * np.exp(-(alt - h) / sc)) * np.sqrt(MU / a) * 1000.0 * a * STEP_S
+                a = a + step
+                t += STEP_S
+                never = (alt > 1500) & (step > -1e-6)
+                live = ~never & (a - RE_KM > 150) & (t < MAX_YEARS * year)
+                if not live.all():
+                    years[at[~live]] = np.where(never[~live], MAX_YEARS, np.minimum(t / year, MAX_YEARS))
+                    at, a, drag, h, top, rho, sc = (x[live] for x in (at, a, drag, h, top, rho, sc))
+            yield pdf.assign(lifetime_years=years)
+
+    return spread(missions, MISSIONS_PER_TASK).mapInPandas(run, T.StructType([*missions.schema.fields, T.StructField("lifetime_years", T.DoubleType())]))
 
 
 def regime() -> Column:

@@ -51,6 +51,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Rows dealt to tasks of about `rows` each, for work that is long beside the bytes it reads: a small file is one task."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that the library has written itself, wherever the cluster keeps it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

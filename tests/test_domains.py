@@ -259,3 +259,23 @@ def test_study_reads_stored_findings(spark, sf):
     study = registry.QUERIES["detection_study"](spark, sf)
     assert "MapInArrow" not in study._jdf.queryExecution().optimizedPlan().toString()
     assert {r.kind for r in study.collect()} == {"scenario", "precision"}
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lifetimes_by_single_steps_and_dealt_to_tasks(spark):
+    """A file of missions is one partition; the integration gives what one mission alone does, rising ones included."""
+    rows = spark.range(12_000).coalesce(1).selectExpr("id", "300.0D + (id % 12) * 60 as perigee_km", "320.0D + (id % 12) * 60 as apogee_km", "10.0D + id % 5 as mass_kg", "20.0D as area_m2", "if(id = 7, -2.2D, 2.2D) as cd")
+    out = debris.lifetimes(rows)
+    assert out.rdd.getNumPartitions() >= 3
+    layers = sorted(debris.ATMOSPHERE)
+    for r in out.filter("id in (0, 3, 7, 13, 20)").collect():
+        a, t = debris.RE_KM + (r.perigee_km + r.apogee_km) / 2, 0.0
+        while a - debris.RE_KM > 150 and t < 200 * 365.25 * 86400:
+            h, rho, scale = [x for x in layers if x[0] <= a - debris.RE_KM][-1]
+            step = -r.cd * r.area_m2 / r.mass_kg * (rho * math.exp(-(a - debris.RE_KM - h) / scale)) * math.sqrt(debris.MU / a) * 1000.0 * a * debris.STEP_S
+            gone, a, t = a - debris.RE_KM > 1500 and step > -1e-6, a + step, t + debris.STEP_S
+            if gone:
+                t = math.inf
+        assert math.isclose(r.lifetime_years, min(t / (365.25 * 86400), 200.0), rel_tol=1e-9), r
