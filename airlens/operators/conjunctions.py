@@ -18,7 +18,7 @@ NUMERIC = ["X", "Y", "Z", "X_DOT", "Y_DOT", "Z_DOT", "CR_R", "CT_R", "CT_T", "CN
 
 
 def parse_kvn(messages: DataFrame) -> DataFrame:
-    """Whole-text messages (file, text) -> header columns and one map of fields per object.
+    """Whole-text messages (file, text) -> header columns and the fields of both objects.
 
     Each message is small and is parsed where it lies; nothing is shuffled.
     """
@@ -30,19 +30,19 @@ def parse_kvn(messages: DataFrame) -> DataFrame:
     second = F.array_position(F.transform(F.slice("_kv", c("_first").cast("int") + 1, F.greatest(F.size("_kv") - c("_first").cast("int"), F.lit(0))), lambda p: p["k"]), F.lit("OBJECT"))
     m = m.withColumn("_n1", F.when(c("_first") > 0, F.coalesce(second, F.lit(0))).otherwise(0))
 
-    def as_map(arr: Column) -> Column:  # a repeated key keeps its last value
-        return F.aggregate(arr, F.create_map().cast("map<string,string>"), lambda s, p: F.map_concat(F.map_filter(s, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
-
     size = F.size("_kv")
     head = F.when(c("_first") > 0, F.slice("_kv", F.lit(1), F.greatest(c("_first").cast("int") - 1, F.lit(0)))).otherwise(c("_kv"))
     one = F.when(c("_first") > 0, F.slice("_kv", c("_first").cast("int"), F.when(c("_n1") > 0, c("_n1").cast("int")).otherwise(size)))
     two = F.when(c("_n1") > 0, F.slice("_kv", (c("_first") + c("_n1")).cast("int"), size))
-    m = m.select("file", as_map(head).alias("header"), as_map(one).alias("o1"), as_map(two).alias("o2"))
-    num = lambda mp, k: F.split(c(mp)[k], " ")[0].try_cast("double")
-    return m.select(
-        "file", c("header")["MESSAGE_ID"].alias("message_id"), c("header")["ORIGINATOR"].alias("originator"), c("header")["CREATION_DATE"].alias("creation_date"), c("header")["TCA"].alias("tca"),
+    parts = m.select("file", *[F.reverse(x).alias(n) for n, x in (("header", head), ("o1", one), ("o2", two))])
+    parts = parts.select("file", *[c(f"{n}.{f}").alias(f"{n}_{f}") for n in ("header", "o1", "o2") for f in "kv"])
+    # a repeated key keeps its last value, the first from the end
+    text = lambda part, k: F.get(c(f"{part}_v"), (F.array_position(f"{part}_k", F.lit(k)) - 1).cast("int"))
+    num = lambda part, k: F.split(text(part, k), " ")[0].try_cast("double")
+    return parts.select(
+        "file", text("header", "MESSAGE_ID").alias("message_id"), text("header", "ORIGINATOR").alias("originator"), text("header", "CREATION_DATE").alias("creation_date"), text("header", "TCA").alias("tca"),
         num("header", "MISS_DISTANCE").alias("stated_miss_m"), num("header", "COLLISION_PROBABILITY").alias("stated_pc"),
-        c("o1")["OBJECT_DESIGNATOR"].alias("object1"), c("o2")["OBJECT_DESIGNATOR"].alias("object2"),
+        text("o1", "OBJECT_DESIGNATOR").alias("object1"), text("o2", "OBJECT_DESIGNATOR").alias("object2"),
         *[num(o, k).alias(f"{o}_{k.lower()}") for o in ("o1", "o2") for k in NUMERIC])
 
 

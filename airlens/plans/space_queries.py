@@ -12,6 +12,7 @@ from airlens.operators import spaceweather as swx
 from airlens.operators import telemetry as tel
 from airlens.plans.orbit_queries import EL, START, sets
 from airlens.plans.registry import query
+from airlens.session import spread
 
 c = F.col
 NOW = 1.7e9
@@ -96,13 +97,15 @@ def packet_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- conjunction messages: one per customer, as text
+#: messages of a task: reading, parsing and integrating one takes some hundred microseconds
+MESSAGES_PER_TASK = 5_000
 _CD = ["c_custkey as k", "7000.0e0 + c_custkey % 50 as x", "(c_custkey % 7) * 0.01e0 as dx", "0.02e0 + (c_custkey % 11) * 0.03e0 as dy", "(c_custkey % 5) * 0.02e0 as dz",
        "case when c_custkey % 23 = 0 then -100.0e0 else 400.0e0 + (c_custkey % 9) * 900 end as crr", "2500.0e0 + (c_custkey % 4) * 1000 as ctt", "900.0e0 as cnn", "(c_custkey % 3) * 50.0e0 as ctr"]
 
 
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
     """Key-value text built from numbers, to be parsed again."""
-    m = spark.read.parquet(f"{sf}/customer.parquet").selectExpr(*_CD)
+    m = spread(spark.read.parquet(f"{sf}/customer.parquet").selectExpr(*_CD), MESSAGES_PER_TASK)
     kv = lambda k, v: F.concat(F.lit(f"{k} = "), v.cast("string"))
     n = lambda v: F.format_string("%.6f", v)
     miss = F.sqrt(c("dx") * c("dx") + c("dy") * c("dy") + c("dz") * c("dz")) * 1000

@@ -279,3 +279,16 @@ def test_lifetimes_by_single_steps_and_dealt_to_tasks(spark):
             if gone:
                 t = math.inf
         assert math.isclose(r.lifetime_years, min(t / (365.25 * 86400), 200.0), rel_tol=1e-9), r
+
+
+def test_messages_are_dealt_to_tasks_and_read_by_key(spark):
+    from airlens.plans import space_queries
+
+    d = tempfile.mkdtemp(prefix="customers-")
+    spark.range(12_000).coalesce(1).withColumnRenamed("id", "c_custkey").write.parquet(f"{d}/customer.parquet")
+    assert space_queries._messages(spark, d).rdd.getNumPartitions() >= 3
+    text = "MESSAGE_ID = M1\nMESSAGE_ID = M2\nOBJECT = OBJECT1\nX = 1 [km]\nX = 2 [km]\nOBJECT = OBJECT2\nY = bad [km]"
+    parsed = cj.parse_kvn(one(spark, file="f", text=text))
+    r = parsed.first()
+    assert (r.message_id, r.o1_x, r.o2_x, r.o2_y, r.tca) == ("M2", 2.0, None, None, None)
+    assert "map_concat" not in plan_of(parsed)
