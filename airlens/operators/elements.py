@@ -133,6 +133,7 @@ def reentry_findings(decaying_sets: DataFrame, aircraft: DataFrame, airports: Da
 # ---- positions -----------------------------------------------------------------------------------------------
 J2 = 1.08262668e-3
 GRADIENT = 4.5e-6  # 1/s2: three times the gravity parameter over the cube of the smallest radius
+SLACK_KM, MIN_VV = 0.01, 1e-8  # beside bounds on curved paths, for rounding; slower pairs (km/s, squared) are looked at all along
 WGS84_A = 6378.137
 WGS84_F = 1 / 298.257223563
 E2 = WGS84_F * (2 - WGS84_F)
@@ -233,15 +234,18 @@ def close_positions(sets: DataFrame, start: float, steps: int, step_s: float, re
         d = F.sqrt(sum(((p[f"{x}_km"] - q[f"{x}_km"]) * (p[f"{x}_km"] - q[f"{x}_km"]) for x in "xyz"), F.lit(0.0)))
         return F.struct(F.least(p["norad"], q["norad"]).alias("a"), F.greatest(p["norad"], q["norad"]).alias("b"), d.alias("d"))
 
-    pairs = F.transform("m", lambda p, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda q: near(p, q)), lambda q: pair(p, q)))
-    return met.select("ts", F.inline(F.flatten(pairs))).select("a", "b", "ts", "d").filter(c("d") <= reach_km)
+    # the pairs of a group are formed by two generators, so that their test is compiled
+    met = met.select("ts", "xc", "yc", "zc", "m", F.posexplode("m").alias("i", "p"))
+    met = met.select("ts", "xc", "yc", "zc", "i", "p", F.posexplode("m").alias("j", "q")).filter((c("i") < c("j")) & near(c("p"), c("q")))
+    return met.select("ts", pair(c("p"), c("q")).alias("_p")).select("_p.a", "_p.b", "ts", "_p.d").filter(c("d") <= reach_km)
 
 
 def screen(sets: DataFrame, start: float, steps: int, step_s: float, threshold_km: float, min_rel_kms: float = 0.05, fine_step_s: float = 1.0) -> DataFrame:
     """Closest approach of every pair that comes within five thresholds on the coarse grid; co-moving pairs are listed
     without a rule and a severity.
 
-    Coarse pass: `close_positions`. Fine pass: only the candidate pairs, one second apart around their coarse minimum.
+    Coarse pass: `close_positions`. Fine pass: only the candidate pairs, one second apart around their coarse minimum, at
+    the times that may be the closest or come within the threshold.
     """
     sets = cut_lineage(sets.select(*_ELEMENTS))
     p = close_positions(sets, start, steps, step_s, 5 * threshold_km)
@@ -266,9 +270,20 @@ def screen(sets: DataFrame, start: float, steps: int, step_s: float, threshold_k
     t = F.greatest(F.lit(-step_s), F.least(F.lit(step_s), F.when(vv > 0, -dot(c("r"), c("v")) / vv).otherwise(0.0)))
     nearest = F.sqrt(sum((F.pow(F.get("r", i) + F.get("v", i) * t, 2) for i in range(3)), F.lit(0.0)))
     bend = 0.5 * GRADIENT * (c("coarse_km") + F.sqrt(vv) * step_s) * step_s**2
-    best = best.filter(nearest - bend <= threshold_km).drop("r", "v")
-    span = F.sequence(F.lit(0), F.lit(int(2 * step_s / fine_step_s)))
-    grid = best.withColumn("_i", F.explode(span)).withColumn("ts", c("t0") - step_s + c("_i") * fine_step_s).filter((c("ts") >= start) & (c("ts") <= start + steps * step_s))
+    best = best.withColumn("bend", bend).filter(nearest - c("bend") <= threshold_km)
+    # only times whose straight distance is no longer than this can be the closest: the least one is near a time of the
+    # fine grid, and bends are taken twice
+    early, late = F.greatest(F.lit(-step_s), start - c("t0")), F.least(F.lit(step_s), start + steps * step_s - c("t0"))
+    slack, speed = 2 * c("bend") + SLACK_KM, F.sqrt(vv)
+    straight = lambda at: F.sqrt(sum((F.pow(F.get("r", i) + F.get("v", i) * at, 2) for i in range(3)), F.lit(0.0)))
+    best = best.withColumn("_t", F.when(vv > MIN_VV, -dot(c("r"), c("v")) / vv))
+    best = best.withColumn("_most", F.least(straight(F.greatest(early, F.least(late, "_t"))) + 2 * fine_step_s * speed + 2 * slack, threshold_km + slack))
+    best = best.withColumn("_w", F.sqrt(F.greatest(F.lit(0.0), (c("_most") * c("_most") - F.pow(straight(c("_t")), 2)) / vv)))
+    last = int(2 * step_s / fine_step_s)
+    index = lambda at: F.greatest(F.lit(0.0), F.least(F.lit(float(last)), (at + step_s) / fine_step_s)).cast("int")
+    span = F.when(c("_t").isNotNull(), F.sequence(index(c("_t") - c("_w")) - 1, index(c("_t") + c("_w")) + 1)).otherwise(F.sequence(F.lit(0), F.lit(last)))
+    grid = best.select("a", "b", "t0", "coarse_km", "ea", "eb", F.explode(span).alias("_i")).filter(c("_i").between(0, last))
+    grid = grid.withColumn("ts", c("t0") - step_s + c("_i") * fine_step_s).filter((c("ts") >= start) & (c("ts") <= start + steps * step_s))
     both = both_at(grid, ["a", "b", "t0", "coarse_km"])
     dist = F.sqrt(sum((F.pow(c(f"pa.{x}_km") - c(f"pb.{x}_km"), 2) for x in "xyz"), F.lit(0.0)))
     rel = F.sqrt(sum((F.pow(c(f"pa.v{x}_kms") - c(f"pb.v{x}_kms"), 2) for x in "xyz"), F.lit(0.0)))

@@ -292,3 +292,25 @@ def test_messages_are_dealt_to_tasks_and_read_by_key(spark):
     r = parsed.first()
     assert (r.message_id, r.o1_x, r.o2_x, r.o2_y, r.tca) == ("M2", 2.0, None, None, None)
     assert "map_concat" not in plan_of(parsed)
+
+
+def test_close_approaches_against_all_seconds(spark):
+    """Crossing, slow and motionless pairs against positions of every second; the test of a pair is compiled."""
+    orbit = lambda k, a, inc, raan, m: (k, 0.0, 86400 / (2 * math.pi) * math.sqrt(398600.4418 / a**3), a, 0.001, inc, raan, 0.0, (m + 356.0) % 360)
+    rows = [orbit(1, 7000.0, 50.0, 20.0, 0.0), orbit(2, 7003.0, 80.0, 20.0, 0.02), orbit(3, 7000.0, 50.0, 20.0, 0.1), orbit(4, 7000.0, 50.0, 20.0, 0.0), orbit(5, 7001.0, 51.0, 20.5, 359.9), orbit(6, 7100.0, 50.0, 20.0, 0.0)]
+    sets = spark.createDataFrame(rows, "norad long, epoch double, n_rev_day double, a_km double, e double, inc_deg double, raan_deg double, argp_deg double, m_deg double")
+    assert "lambdafunction" not in plan_of(elements.close_positions(sets, 0.0, 5, 60.0, 100.0))
+    got = {(r.a, r.b): (r.tca, r.min_km) for r in elements.screen(sets, 0.0, 5, 60.0, 20.0).collect()}
+    at = {}
+    for r in elements.ephemeris(sets, 0.0, 301, 1.0).collect():
+        at.setdefault(r.norad, {})[r.ts] = (r.x_km, r.y_km, r.z_km)
+    want = {}
+    for a in range(1, 7):
+        for b in range(a + 1, 7):
+            coarse = min((math.dist(at[a][t], at[b][t]), t) for t in range(0, 300, 60))
+            best = min((math.dist(at[a][t], at[b][t]), t) for t in range(max(0, coarse[1] - 60), coarse[1] + 61))
+            if best[0] <= 20:
+                want[a, b] = best[1], best[0]
+    assert got.keys() == want.keys() and len(want) >= 5
+    for k, (_, d) in want.items():
+        assert math.isclose(got[k][1], d, abs_tol=1e-9) and math.isclose(math.dist(at[k[0]][got[k][0]], at[k[1]][got[k][0]]), d, abs_tol=1e-9)
