@@ -309,15 +309,20 @@ def corridor_airports(track: DataFrame, width_nm: float = 50.0) -> DataFrame:
 
 
 def corridor_aircraft(track: DataFrame, states: DataFrame, start: float, step_s: float, width_nm: float = 50.0) -> DataFrame:
-    """Aircraft under a track at the nearest time sample: equi-join on (sample index, cell), closest per aircraft."""
+    """Aircraft under a track at the nearest time sample: equi-join on (sample index, cell), closest per aircraft.
+
+    Cells are as high as the corridor is wide to one side, so a sample of the track is copied to some ten of them at any
+    width. Samples whose cells hold no aircraft at their time go no further.
+    """
     from airlens.functions.geo import wrapped_nm
     from airlens.operators.bandjoin import cover_cells, floor_cell
 
     s = states.filter("lat is not null and lon is not null and not on_ground").select("recording", "icao24", "ts", c("lat").alias("s_lat"), c("lon").alias("s_lon"), "baro_alt_ft")
     s = s.withColumn("t_idx", F.ceil((c("ts") - start) / step_s - 0.5).cast("int"))  # a tie goes to the earlier sample
-    dlat = F.lit(width_nm / 60.0)
+    dlat, edge = F.lit(width_nm / 60.0), max(1.0, width_nm / 60.0)
     t = track.withColumn("_w", width_nm / (60.0 * F.greatest(F.cos(F.radians(F.least(F.abs("lat") + width_nm / 60.0, F.lit(84.0)))), F.lit(0.1))))
-    t = cover_cells(t, c("lat") - dlat, c("lon") - c("_w"), c("lat") + dlat, c("lon") + c("_w")).select("norad", "t_idx", "lat", "lon", "cell_y", "cell_x")
-    s = s.withColumn("cell_y", floor_cell(c("s_lat"), 1.0)).withColumn("cell_x", floor_cell(c("s_lon"), 1.0))
+    t = cover_cells(t, c("lat") - dlat, c("lon") - c("_w"), c("lat") + dlat, c("lon") + c("_w"), edge).select("norad", "t_idx", "lat", "lon", "cell_y", "cell_x")
+    s = s.withColumn("cell_y", floor_cell(c("s_lat"), edge)).withColumn("cell_x", floor_cell(c("s_lon"), edge))
+    t = t.join(s.select("t_idx", "cell_y", "cell_x").distinct(), ["t_idx", "cell_y", "cell_x"], "left_semi")
     j = s.join(t, ["t_idx", "cell_y", "cell_x"]).withColumn("nm", wrapped_nm(c("s_lat"), c("s_lon"), c("lat"), c("lon"))).filter(c("nm") <= width_nm)
     return j.groupBy("norad", "recording", "icao24").agg(F.min_by(F.struct("nm", "baro_alt_ft", "ts"), F.struct("nm", "ts")).alias("m")).select("norad", "recording", "icao24", c("m.nm").alias("min_nm"), c("m.ts").alias("ts"))

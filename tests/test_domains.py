@@ -314,3 +314,17 @@ def test_close_approaches_against_all_seconds(spark):
     assert got.keys() == want.keys() and len(want) >= 5
     for k, (_, d) in want.items():
         assert math.isclose(got[k][1], d, abs_tol=1e-9) and math.isclose(math.dist(at[k[0]][got[k][0]], at[k[1]][got[k][0]]), d, abs_tol=1e-9)
+
+
+def test_wide_corridor_by_brute_force(spark):
+    """A corridor of 400 nm finds what all pairs do; samples of the track with no aircraft near are dropped before."""
+    from airlens.functions.geo import wrapped_nm
+
+    track = spark.range(600).selectExpr("id % 3 as norad", "cast(id div 3 as int) as t_idx", "cast(-60 + id % 120 as double) as lat", "cast(-170 + (id * 7) % 340 as double) as lon", "200.0D as height_km", "30.0D * (id div 3) as ts")
+    states = spark.range(900).selectExpr("'r' as recording", "concat('a', id % 40) as icao24", "id / 3.0D * 20 as ts", "cast(-50 + (id * 11) % 100 as double) as lat", "cast(-160 + (id * 13) % 320 as double) as lon", "1000.0D as baro_alt_ft", "false as on_ground")
+    got = elements.corridor_aircraft(track, states, 0.0, 30.0, 400.0)
+    s = states.selectExpr("icao24", "cast(ceil(ts / 30 - 0.5) as int) as t_idx", "lat as s_lat", "lon as s_lon")
+    want = s.join(track, "t_idx").withColumn("nm", wrapped_nm(F.col("s_lat"), F.col("s_lon"), F.col("lat"), F.col("lon"))).filter("nm <= 400").groupBy("norad", "icao24").agg(F.min("nm").alias("nm"))
+    want = {(r.norad, r.icao24): round(r.nm, 6) for r in want.collect()}
+    assert want and {(r.norad, r.icao24): round(r.min_nm, 6) for r in got.collect()} == want
+    assert "LeftSemi" in plan_of(got)
