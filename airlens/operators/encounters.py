@@ -76,22 +76,35 @@ def nearest_rank(key: list[str], df: DataFrame, value: str, index, alias: str) -
 
     Equal values are counted first, so a group is as long as its distinct values, and only running counts are kept.
     """
+    counts = df.filter(c(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("_n"))
+    return nearest_rank_of_counts(counts, key, value, index).filter("_wanted").select(*key, c(value).alias(alias))
+
+
+def nearest_rank_of_counts(counts: DataFrame, key: list[str], value: str, index) -> DataFrame:
+    """Rows of distinct values with their number `_n` in a group, and whether a value is the one of rank `index(n)`."""
     from pyspark.sql.window import Window as W
 
-    counts = df.filter(c(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(*key).orderBy(value)
     total = F.sum("_n").over(W.partitionBy(*key))
     upto = F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return counts.withColumn("_total", total).withColumn("_upto", upto).filter(
-        (c("_upto") > index(c("_total"))) & (c("_upto") - c("_n") <= index(c("_total")))).select(*key, c(value).alias(alias))
+    out = counts.withColumn("_total", total).withColumn("_upto", upto)
+    return out.withColumn("_wanted", (c("_upto") > index(c("_total"))) & (c("_upto") - c("_n") <= index(c("_total")))).drop("_total", "_upto")
 
 
 def recording_summary(states: DataFrame, pairs: DataFrame) -> DataFrame:
-    totals = pairs.groupBy("recording").agg(
-        F.count(F.lit(1)).alias("encounter_pairs"), F.count_if(c("max_alert") > 0).alias("pairs_with_alert"), F.count_if("violation").alias("violations"), F.count_if("nmac_proximate").alias("nmac_proximate"))
-    lead = nearest_rank(["recording"], pairs.filter("violation"), "lead_time_s", lambda n: F.floor(n / 2), "median_lead_time_s")
-    out = flight_hours(states).join(totals, "recording", "left").fillna(0, ["encounter_pairs", "pairs_with_alert", "violations", "nmac_proximate"]).join(lead, "recording", "left")
-    return out.withColumn("violations_per_flight_hour", F.round(F.try_divide("violations", "flight_hours"), 4)).withColumn("nmac_per_flight_hour", F.round(F.try_divide("nmac_proximate", "flight_hours"), 4))
+    """Rates of every recording with airborne traffic, and the time of its first pair.
+
+    The pairs are read once: counted by recording and warning time, from which the totals and the median follow.
+    """
+    lead = F.when(c("violation"), c("lead_time_s"))
+    n = pairs.groupBy("recording", lead.alias("_lead")).agg(
+        F.count(F.lit(1)).alias("encounter_pairs"), F.count_if(c("max_alert") > 0).alias("pairs_with_alert"), F.count_if("violation").alias("violations"), F.count_if("nmac_proximate").alias("nmac_proximate"),
+        F.count(lead).alias("_n"), F.min("first_ts").alias("first_pair_ts"))
+    totals = nearest_rank_of_counts(n, ["recording"], "_lead", lambda k: F.floor(k / 2)).groupBy("recording").agg(
+        *[F.sum(x).alias(x) for x in ("encounter_pairs", "pairs_with_alert", "violations", "nmac_proximate")], F.min("first_pair_ts").alias("first_pair_ts"), F.max(F.when(c("_wanted"), c("_lead"))).alias("median_lead_time_s"))
+    out = flight_hours(states).join(totals, "recording", "left").fillna(0, ["encounter_pairs", "pairs_with_alert", "violations", "nmac_proximate"])
+    rates = [F.round(F.try_divide(x, "flight_hours"), 4).alias(f"{y}_per_flight_hour") for x, y in (("violations", "violations"), ("nmac_proximate", "nmac"))]
+    return out.select("recording", "aircraft_airborne", "flight_hours", "encounter_pairs", "pairs_with_alert", "violations", "nmac_proximate", "median_lead_time_s", *rates, "first_pair_ts")
 
 
 def findings(pairs: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def encounter_pairs_ranked(spark: SparkSession, sf: str) -> DataFrame:
 def encounter_rates(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-10."""
     st = bridge.states(spark, sf)
-    return enc.recording_summary(st, enc.pair_summary(enc.samples(st)))
+    return enc.recording_summary(st, enc.pair_summary(enc.samples(st))).drop("first_pair_ts")
 
 
 @query("rule_well_clear", f"""{_E} SELECT recording, a AS icao24, a || ':' || b AS pair, violation_ts AS ts, 'DAA-001' AS rule_id, CASE WHEN nmac_proximate THEN 'high' ELSE 'medium' END AS severity, min_range_ft AS measure, 'safety' AS category
@@ -112,9 +112,8 @@ def observed_risk_ratio(spark: SparkSession, sf: str) -> DataFrame:
 def encounter_trend(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-12 and RUL-30."""
     st = bridge.states(spark, sf)
-    pairs = enc.pair_summary(enc.samples(st))
-    starts = st.groupBy("recording").agg(F.min("batch_ts").alias("_b")).join(pairs.groupBy("recording").agg(F.min("first_ts").alias("_f")), "recording", "left")
-    rows = enc.recording_summary(st, pairs).join(starts.select("recording", F.coalesce("_f", "_b").alias("first_ts")), "recording")
+    starts = st.groupBy("recording").agg(F.min("batch_ts").alias("_b"))
+    rows = enc.recording_summary(st, enc.pair_summary(enc.samples(st))).join(starts, "recording").withColumn("first_ts", F.coalesce("first_pair_ts", "_b"))
     return enc.trend(rows).select("recordings", F.round("slope", 4).alias("slope"), F.round("first_rate", 4).alias("first_rate"), F.round("last_rate", 4).alias("last_rate"), "rising")
 
 

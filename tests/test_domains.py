@@ -328,3 +328,9 @@ def test_wide_corridor_by_brute_force(spark):
     want = {(r.norad, r.icao24): round(r.nm, 6) for r in want.collect()}
     assert want and {(r.norad, r.icao24): round(r.min_nm, 6) for r in got.collect()} == want
     assert "LeftSemi" in plan_of(got)
+
+
+def test_trend_reads_pairs_once(spark, sf):
+    from airlens.plans import registry
+
+    assert plan_of(registry.QUERIES["encounter_trend"](spark, sf)).count("Generate explode") == 3
