@@ -77,3 +77,36 @@ def test_traffic_inside_against_pairs(spark):
     assert rows(asp.traffic_inside(st, v, only_active=True).select(*cols)) == rows(want.filter("is_active").select(*cols))
     a, b = F.when(F.col("is_active"), F.col("icao24")), F.when(~F.col("is_active"), F.col("icao24"))
     assert rows(asp.volume_summary(hits)) == rows(want.groupBy("recording", "notam_id").agg(F.countDistinct(a), F.countDistinct(b)))
+
+
+def test_aircraft_inside_against_pairs(spark):
+    st = states(spark, 1200).unionByName(states(spark, 40).withColumn("lat", F.lit(float("nan"))))
+    v = volumes(spark).unionByName(volumes(spark, 6).withColumn("notam_id", F.lit(None).cast("string")))
+    wide = v.filter("notam_id = 'R7'").withColumns({"notam_id": F.lit("wide"), "polygon": F.array(*[F.array(F.lit(y), F.lit(x)) for y, x in ((20.0, -110.0), (50.0, -110.0), (50.0, -96.1), (20.0, -96.1))])})
+    v = v.unionByName(wide)
+    hits = asp.flying(st).crossJoin(v).filter(asp.inside(F.col("lat"), F.col("lon"), F.col("baro_alt_ft"))).filter("lat <= 90").withColumn("is_active", asp.active(F.col("ts")))
+    plain = asp.with_bbox(v).select("notam_id", "lamin", "lomin")
+    assert plain.count() == v.count()
+    for keys in (["recording", "notam_id"], ["recording", "notam_id", "effective_ts", "expire_ts"]):
+        for nulls in (False, True):
+            who = F.coalesce("icao24", F.lit("none")) if nulls else F.col("icao24")
+            want = rows(hits.groupBy(*keys).agg(F.countDistinct(F.when(F.col("is_active"), who)), F.countDistinct(F.when(~F.col("is_active"), who))))
+            assert rows(asp.aircraft_inside(st, v, keys, nulls)) == want and len(want) > 100
+            assert rows(asp.aircraft_inside(st, v, keys, nulls, most=300)) == want
+
+
+def test_volumes_reach_no_row_for_every_report(spark, tmp_path):
+    """The queries that count aircraft inside volumes join groups, not pairs of report and volume."""
+    st, v = states(spark), volumes(spark).dropDuplicates(["notam_id"])
+    for df in (asp.aircraft_inside(st, v, ["recording", "notam_id"]), asp.displacement(st, v)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" in plan and "_salt" not in plan
+
+
+def test_displacement_against_pairs(spark):
+    st, v = states(spark), volumes(spark)
+    keys = ["recording", "notam_id", "effective_ts", "expire_ts"]
+    hits = asp.flying(st).crossJoin(v).filter(asp.inside(F.col("lat"), F.col("lon"), F.col("baro_alt_ft"))).withColumn("is_active", asp.active(F.col("ts")))
+    per = hits.groupBy(*keys).agg(F.countDistinct(F.when(F.col("is_active"), F.col("icao24"))), F.countDistinct(F.when(~F.col("is_active"), F.col("icao24")))).filter("recording is not null")
+    got = asp.displacement(st, v).select("recording", "notam_id", "inside_during", "inside_outside")
+    assert rows(got) == rows(per.drop("effective_ts", "expire_ts")) != []
