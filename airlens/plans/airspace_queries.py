@@ -42,7 +42,8 @@ def restricted_dwell(spark: SparkSession, sf: str) -> DataFrame:
   CASE WHEN count(DISTINCT icao24) FILTER (is_active) > 0 THEN 'TFR-001' END AS rule_id FROM hit GROUP BY ALL""")
 def rule_restricted_volume(spark: SparkSession, sf: str) -> DataFrame:
     """RUL-34 (entries) with the baseline outside the times."""
-    return asp.volume_summary(_hits(spark, sf)).withColumn("rule_id", F.when(c("aircraft_active") > 0, "TFR-001"))
+    per = asp.aircraft_inside(bridge.states(spark, sf), places.volumes(spark, sf), ["recording", "notam_id"])
+    return per.withColumnsRenamed({"during": "aircraft_active", "outside": "aircraft_outside"}).withColumn("rule_id", F.when(c("aircraft_active") > 0, "TFR-001"))
 
 
 @query("space_restrictions", f"""{_BASE} SELECT v.notam_id, v.type, v.effective_ts, v.expire_ts, count(DISTINCT h.recording) AS recordings, count(DISTINCT CASE WHEN is_active THEN (h.recording, h.icao24) END) AS aircraft_active, count(DISTINCT CASE WHEN NOT is_active THEN (h.recording, h.icao24) END) AS aircraft_outside
