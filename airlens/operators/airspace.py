@@ -64,10 +64,10 @@ def of_types(features: DataFrame, types: tuple[str, ...] | None = SPACE_TYPES) -
     return features if types is None else features.filter(c("type").isin(*types))
 
 
-def volume_rows(features: DataFrame, hits: DataFrame) -> DataFrame:
+def volume_rows(features: DataFrame, states: DataFrame) -> DataFrame:
     """One row per volume with a shape, entered or not: recordings with traffic in it, aircraft inside while it was in
     effect and outside its times."""
-    per = _sides(hits, ["notam_id", "recording"], nulls=True).groupBy("notam_id")
+    per = aircraft_inside(states, features, ["notam_id", "recording"], nulls=True).groupBy("notam_id")
     seen = per.agg(F.count("recording").alias("recordings"), F.sum("during").alias("aircraft_active"), F.sum("outside").alias("aircraft_outside"))
     rows = with_bbox(features).select("notam_id", "type", "effective_ts", "expire_ts")
     return rows.join(seen, "notam_id", "left").fillna(0, ["recordings", "aircraft_active", "aircraft_outside"])

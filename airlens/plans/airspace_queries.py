@@ -50,8 +50,7 @@ def rule_restricted_volume(spark: SparkSession, sf: str) -> DataFrame:
   FROM vol AS v LEFT JOIN hit AS h ON h.notam_id = v.notam_id WHERE v.type = 'SPACE OPERATIONS' GROUP BY ALL""")
 def space_restrictions(spark: SparkSession, sf: str) -> DataFrame:
     """JON-04: the volumes of space operations, those that nobody entered too."""
-    v = asp.of_types(places.volumes(spark, sf))
-    return asp.volume_rows(v, asp.traffic_inside(bridge.states(spark, sf), v))
+    return asp.volume_rows(asp.of_types(places.volumes(spark, sf)), bridge.states(spark, sf))
 
 
 @query("space_covered_windows", f"""WITH {places.LCH_CTE}, {places.VOL_CTE} SELECT l.launch_id, count(v.notam_id) AS volumes FROM lch AS l LEFT JOIN vol AS v ON v.type = 'SPACE OPERATIONS' AND (v.effective_ts IS NULL OR v.effective_ts <= l.w1) AND (v.expire_ts IS NULL OR v.expire_ts >= l.w0)

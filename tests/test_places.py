@@ -98,7 +98,7 @@ def test_aircraft_inside_against_pairs(spark):
 def test_volumes_reach_no_row_for_every_report(spark, tmp_path):
     """The queries that count aircraft inside volumes join groups, not pairs of report and volume."""
     st, v = states(spark), volumes(spark).dropDuplicates(["notam_id"])
-    for df in (asp.aircraft_inside(st, v, ["recording", "notam_id"]), asp.displacement(st, v)):
+    for df in (asp.aircraft_inside(st, v, ["recording", "notam_id"]), asp.volume_rows(v, st), asp.displacement(st, v)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "CoGroup" in plan and "_salt" not in plan
 
