@@ -207,3 +207,12 @@ def test_feeds_meet_in_spans(spark):
     want = sorted((icao, x, y) for icao in ("a", "b") for x in ts for y in ts if abs(x - y) <= 90)
     assert sorted((r.icao24, r.ts, r.other_ts) for r in got.select("icao24", "ts", "other_ts").collect()) == want
     assert "_span" in next(x for x in plan_of(got).splitlines() if "Join" in x)
+
+
+def test_candidates_are_written_part_by_part(spark, tmp_path):
+    """No plan unites the rules: each is written alone, with nulls for what the others have."""
+    a = StreamingAudit(f"{tmp_path}/audit", spark.range(0).schema)
+    got = a.put_each([spark.sql("select 1 as x, 'p' as y"), spark.sql("select 2 as x, 3.0D as z"), spark.sql("select 4 as x").filter("false")], "work/candidates", 0)
+    assert sorted(map(tuple, got.collect())) == [(1, "p", None), (2, None, 3.0)] and "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    again = a.put_each([spark.sql("select 1 as x, 'q' as y"), spark.sql("select 2 as x, 3.0D as z")], "work/candidates", 1)
+    assert again.count() == 2 and got.count() == 2
