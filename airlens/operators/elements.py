@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from airlens.operators.ordered import sealed, with_lags, with_previous
 from airlens.session import cut_lineage
@@ -149,8 +155,8 @@ def ephemeris(sets: DataFrame, start: float, steps: int, step_s: float) -> DataF
     return propagate(s)
 
 
-def propagate(s: DataFrame, outside: tuple[str, ...] = ()) -> DataFrame:
-    """Add x_km .. vz_kms for rows that carry elements and the time `ts`; a partitioning by columns `outside` is kept."""
+def propagate(s: DataFrame) -> DataFrame:
+    """Add x_km .. vz_kms for rows that carry elements and the time `ts`."""
     n0 = c("n_rev_day") * (2 * math.pi / 86400.0)
     s = s.withColumn("_dt", c("ts") - c("epoch")).withColumn("_n", n0).withColumn("_p", c("a_km") * (1 - c("e") * c("e")))
     s = s.withColumn("_k", 1.5 * J2 * F.pow(F.lit(RE_KM) / c("_p"), 2) * c("_n")).withColumn("_ci", F.cos(F.radians("inc_deg")))
@@ -170,7 +176,7 @@ def propagate(s: DataFrame, outside: tuple[str, ...] = ()) -> DataFrame:
          [c("_sw") * c("_si"), c("_cw") * c("_si")]]
     keep = [x for x in s.columns if not x.startswith("_")]
     return sealed(s.select(*keep, *[(q[i][0] * c("_xp") + q[i][1] * c("_yp")).alias(f"{ax}_km") for i, ax in enumerate("xyz")],
-                    *[(q[i][0] * c("_vxp") + q[i][1] * c("_vyp")).alias(f"v{ax}_kms") for i, ax in enumerate("xyz")]), outside)
+                    *[(q[i][0] * c("_vxp") + q[i][1] * c("_vyp")).alias(f"v{ax}_kms") for i, ax in enumerate("xyz")]))
 
 
 def geodetic(eph: DataFrame) -> DataFrame:
@@ -201,43 +207,174 @@ def touching_shells(sets: DataFrame, reach_km: float) -> DataFrame:
 #: positions of a time slab, about 100 bytes each; slabs at least, so that a small catalogue makes several tasks too
 SLAB_POSITIONS = 2_000_000
 LEAST_SLABS = 32
+#: pairs of positions that are looked at together
+CANDIDATES = 2_000_000
 _ELEMENTS = ["norad", "epoch", "n_rev_day", "a_km", "e", "inc_deg", "raan_deg", "argp_deg", "m_deg"]
 
 
-def close_positions(sets: DataFrame, start: float, steps: int, step_s: float, reach_km: float, cells: int = 5) -> DataFrame:
-    """Pairs a < b of objects within reach at a time of the grid: a, b, ts, d.
-
-    Only elements are shuffled, a copy for each slab of time; positions are computed and meet inside their slab, in
-    groups by (time index, cell), cells some reaches wide. A position is copied to the cells that its box of one
-    reach touches, 1.7 on average, and a pair is kept in the first cell that both boxes touch.
+def _reduced(code: np.ndarray, n: int, t: np.ndarray, d: np.ndarray, ok: np.ndarray, names: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """The closest time of each pair; `code` is n times the number of the one object plus the number of the other."""
+    order = np.lexsort((t, d, code))
+    order = order[np.append(True, code[order][1:] != code[order][:-1])]
+    a, b = names[code[order] // n], names[code[order] % n]
+    return pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip((a, b, t[order], d[order], ok[order]), schema)], schema=schema)
+
+
+def _positions(s: dict[str, np.ndarray], ts: float) -> tuple[np.ndarray, np.ndarray]:
+    """`propagate` of numbers at one time: x, y, z and their speeds as rows of two arrays."""
+    dt, n = ts - s["epoch"], s["n_rev_day"] * (2 * math.pi / 86400.0)
+    a, e, inc = s["a_km"], s["e"], np.radians(s["inc_deg"])
+    ci, si = np.cos(inc), np.sin(inc)
+    k = 1.5 * J2 * np.power(RE_KM / (a * (1 - e * e)), 2) * n
+    raan, w = np.radians(s["raan_deg"]) - k * ci * dt, np.radians(s["argp_deg"]) + k * (2 - 2.5 * np.power(si, 2)) * dt
+    m = np.radians(s["m_deg"]) + n * dt
+    m = m - np.floor(m / (2 * math.pi)) * (2 * math.pi)
+    ea = m
+    for _ in range(6):
+        ea = ea - (ea - e * np.sin(ea) - m) / (1 - e * np.cos(ea))
+    cos, sin, side = np.cos(ea), np.sin(ea), a * np.sqrt(1 - e * e)
+    xp, yp, ed = a * (cos - e), side * sin, n / (1 - e * cos)
+    vxp, vyp = -a * sin * ed, side * cos * ed
+    co, so, cw, sw = np.cos(raan), np.sin(raan), np.cos(w), np.sin(w)
+    q = [(co * cw - so * sw * ci, -co * sw - so * cw * ci), (so * cw + co * sw * ci, -so * sw + co * cw * ci), (sw * si, cw * si)]
+    return np.array([p * xp + r * yp for p, r in q]), np.array([p * vxp + r * vyp for p, r in q])
+
+
+def _met(batches: Iterator[pa.RecordBatch], start: float, steps: int, step_s: float, per: int, reach: float, most: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Pairs within reach at the times of a slab, from (slab, elements). `near`: they may come within `most` about then.
+
+    Positions of a time are sorted by cells one reach wide; cells above each other are neighbours in this order, so the
+    partners of a position are five runs of it.
+    """
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    table = pa.Table.from_batches(rows)
+    table = table.filter(pc.is_valid(table.column("norad")))
+    slabs = table.column("slab").to_numpy()
+    for slab in np.unique(slabs):
+        part = table.filter(pa.array(slabs == slab))
+        sets = {n: part.column(n).cast(pa.float64()).to_numpy().astype(np.float64) for n in _ELEMENTS[1:]}
+        names, who = np.unique(part.column("norad").to_numpy(), return_inverse=True)
+        yield from _met_at(sets, names, who, range(slab * per, min((slab + 1) * per, steps)), start, step_s, reach, most, schema)
+
+
+def _met_at(sets: dict[str, np.ndarray], names: np.ndarray, who: np.ndarray, times: range, start: float, step_s: float, reach: float, most: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    found: list[tuple[np.ndarray, ...]] = []
+    for t in times:
+        with np.errstate(all="ignore"):
+            at, speed = _positions(sets, start + t * step_s)
+        own = np.flatnonzero(np.isfinite(at).all(0))
+        if len(own) < 2:
+            continue
+        low, high = at[:, own].min(1), at[:, own].max(1)
+        # three numbers of 20 bits make one key
+        edge = max(reach, float((high - low).max()) / 2**20) * (1 + 1e-9)
+        x, y, z = np.floor((at[:, own] - low[:, None]) / edge).astype(np.int64) + 1
+        key = (x << 42) + (y << 21) + z
+        by = np.argsort(key, kind="stable")
+        own, key = own[by], key[by]
+        place, pace, whose = at[:, own], speed[:, own], who[own]
+        whole = len(np.unique(whose)) == len(own)
+        for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
+            beside = key + (dx << 42) + (dy << 21)
+            first = np.arange(1, len(own) + 1) if not (dx or dy) else np.searchsorted(key, beside - 1, "left")
+            n = np.maximum(0, np.searchsorted(key, beside + 1, "right") - first)
+            total = np.cumsum(n)
+            begin = 0
+            while begin < len(own):
+                done = total[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(total, done + CANDIDATES, "right")))
+                k = n[begin:end]
+                i = np.repeat(np.arange(begin, end), k)
+                j = np.arange(len(i)) - np.repeat(total[begin:end] - k - done, k) + np.repeat(first[begin:end], k)
+                begin = end
+                r = [x[i] - x[j] for x in place]
+                d = 0.0 + r[0] * r[0] + r[1] * r[1] + r[2] * r[2]
+                hit = np.flatnonzero(d <= reach * reach * (1 + 1e-9))
+                i, j, r, d = i[hit], j[hit], np.array([x[hit] for x in r]), np.sqrt(d[hit])
+                hit = (np.abs(r) <= reach).all(0) & (d <= reach) & (whose[i] != whose[j])
+                i, j, r, d = i[hit], j[hit], r[:, hit], d[hit]
+                if not len(i):
+                    continue
+                v = np.array([x[i] - x[j] for x in pace])
+                vv = (v * v).sum(0)
+                with np.errstate(all="ignore"):
+                    when = np.where(vv > 0, np.clip(-(r * v).sum(0) / vv, -step_s, step_s), 0.0)
+                    bend = 0.5 * GRADIENT * (d + np.sqrt(vv) * step_s) * step_s**2
+                    # what is not known, and rounding, leave the pair in; so does an object listed twice
+                    near = ~(np.sqrt(((r + v * when) ** 2).sum(0)) - bend > most + SLACK_KM) if whole else np.ones(len(d), bool)
+                a, b = np.minimum(whose[i], whose[j]), np.maximum(whose[i], whose[j])
+                found.append((a.astype(np.int64) * len(names) + b, np.full(len(d), t), d, near))
+                if sum(len(f[0]) for f in found) > CANDIDATES:
+                    code, *rest = [np.concatenate(f) for f in zip(*found)]
+                    found = []
+                    yield _reduced(code, len(names), *rest, names, schema)
+    if found:
+        code, *rest = [np.concatenate(f) for f in zip(*found)]
+        yield _reduced(code, len(names), *rest, names, schema)
+
+
+def close_positions(sets: DataFrame, start: float, steps: int, step_s: float, reach_km: float, most_km: float | None = None) -> DataFrame:
+    """Pairs a < b of objects within reach at times of the grid, a row at least for the closest time of a pair in a slab:
+    a, b, ts, d, and `near`, whether straight on from there the pair may come within `most_km` in one step.
+
+    Only elements are shuffled, a copy for each slab of time; positions are computed and meet inside their slab, one time
+    after the other.
     """
-    width = cells * reach_km
+    most = reach_km if most_km is None else most_km
     e = touching_shells(sets.select(*_ELEMENTS), reach_km)
     slabs = min(steps, max(LEAST_SLABS, -(-sets.count() * steps // SLAB_POSITIONS)))
     per = -(-steps // slabs)
     e = e.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(-(-steps // per) - 1)))).repartitionByRange(-(-steps // per), "slab")
-    e = e.withColumn("t_idx", F.explode(F.sequence(c("slab") * per, F.least((c("slab") + 1) * per, F.lit(steps)) - 1))).withColumn("ts", start + c("t_idx") * step_s)
-    e = propagate(e, ("slab", "t_idx"))
-    for x in "xyz":
-        e = e.withColumn(f"{x}0", F.floor((c(f"{x}_km") - reach_km / 2) / width)).withColumn(f"{x}c", F.explode(F.sequence(f"{x}0", F.floor((c(f"{x}_km") + reach_km / 2) / width))))
-    at = F.struct("norad", *[f"{x}_km" for x in "xyz"], *[f"{x}0" for x in "xyz"])
-    # the hash comes first: rows are then sorted by one number
-    met = e.groupBy(F.xxhash64("t_idx", "xc", "yc", "zc").alias("h"), "slab", "t_idx", "ts", "xc", "yc", "zc").agg(F.collect_list(at).alias("m")).filter(F.size("m") > 1)
-
-    def near(p: Column, q: Column) -> Column:
-        out = p["norad"] != q["norad"]
-        for x in "xyz":
-            out = out & (F.abs(p[f"{x}_km"] - q[f"{x}_km"]) <= reach_km) & (c(f"{x}c") == F.greatest(p[f"{x}0"], q[f"{x}0"]))
-        return out
-
-    def pair(p: Column, q: Column) -> Column:
-        d = F.sqrt(sum(((p[f"{x}_km"] - q[f"{x}_km"]) * (p[f"{x}_km"] - q[f"{x}_km"]) for x in "xyz"), F.lit(0.0)))
-        return F.struct(F.least(p["norad"], q["norad"]).alias("a"), F.greatest(p["norad"], q["norad"]).alias("b"), d.alias("d"))
-
-    # the pairs of a group are formed by two generators, so that their test is compiled
-    met = met.select("ts", "xc", "yc", "zc", "m", F.posexplode("m").alias("i", "p"))
-    met = met.select("ts", "xc", "yc", "zc", "i", "p", F.posexplode("m").alias("j", "q")).filter((c("i") < c("j")) & near(c("p"), c("q")))
-    return met.select("ts", pair(c("p"), c("q")).alias("_p")).select("_p.a", "_p.b", "ts", "_p.d").filter(c("d") <= reach_km)
+    kind = sets.schema["norad"].dataType
+    fields = [("a", kind), ("b", kind), ("t_idx", T.IntegerType()), ("d", T.DoubleType()), ("near", T.BooleanType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+    arrow = to_arrow_schema(schema)
+    met = e.mapInArrow(lambda batches: _met(batches, start, steps, step_s, per, reach_km, most, arrow), schema)
+    return met.select("a", "b", (start + c("t_idx") * step_s).alias("ts"), "d", "near")
+
+
+def _closest(batches: Iterator[pa.RecordBatch], start: float, steps: int, step_s: float, threshold: float, fine_s: float, schema: pa.Schema, pairs: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The closest time of each pair among those `fine_s` apart around its coarse minimum; a row has a pair and its elements.
+
+    Straight on from the coarse minimum, and what the difference of gravity can bend it within a step, decide who is looked
+    at; the gradient of gravity is below GRADIENT above 100 km.
+    """
+    last, end = int(2 * step_s / fine_s), start + steps * step_s
+    for b in (x.slice(i, pairs) for x in batches for i in range(0, x.num_rows, pairs)):
+        number = lambda name: b.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+        one, two = [{n: number(f"{k}_{n}") for n in _ELEMENTS[1:]} for k in ("a", "b")]
+        t0, coarse = number("t0"), number("coarse_km")
+        with np.errstate(all="ignore"):
+            (ra, va), (rb, vb) = _positions(one, t0), _positions(two, t0)
+            r, v = ra - rb, va - vb
+            vv, speed = (v * v).sum(0), np.sqrt((v * v).sum(0))
+            straight = lambda at: np.sqrt(((r + v * at) ** 2).sum(0))  # noqa: E731, B023
+            bend = 0.5 * GRADIENT * (coarse + speed * step_s) * step_s**2
+            go = straight(np.clip(np.where(vv > 0, -(r * v).sum(0) / vv, 0.0), -step_s, step_s)) - bend <= threshold
+            # only times whose straight distance is no longer than this can be the closest: the least one is near a time of
+            # the fine grid, and bends are taken twice
+            early, late = np.maximum(-step_s, start - t0), np.minimum(step_s, end - t0)
+            slack, t = 2 * bend + SLACK_KM, -(r * v).sum(0) / vv
+            most = np.minimum(straight(np.maximum(early, np.minimum(late, t))) + 2 * fine_s * speed + 2 * slack, threshold + slack)
+            w = np.sqrt(np.maximum(0.0, (most * most - straight(t) ** 2) / vv))
+            index = lambda at: np.clip((at + step_s) / fine_s, 0.0, float(last))
+            first = np.where(vv > MIN_VV, np.floor(index(t - w)) - 1, 0)
+            until = np.where(vv > MIN_VV, np.floor(index(t + w)) + 1, last)
+        row = np.flatnonzero(go)
+        first, until = np.maximum(first[row], 0).astype(np.int64), np.minimum(until[row], last).astype(np.int64)
+        n = until - first + 1
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        row = np.repeat(row, n)
+        ts = t0[row] - step_s + at * fine_s
+        row, ts = row[(ts >= start) & (ts <= end)], ts[(ts >= start) & (ts <= end)]
+        (ra, va), (rb, vb) = [_positions({n: x[row] for n, x in s.items()}, ts) for s in (one, two)]
+        d, rel = [np.sqrt(((x - y) ** 2).sum(0)) for x, y in ((ra, rb), (va, vb))]
+        order = np.lexsort((ts, d, row))
+        order = order[np.diff(row[order], prepend=-1) > 0]
+        keep = pa.array(row[order])
+        yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep), *[pa.array(x) for x in (coarse[row[order]], ts[order], d[order], rel[order])]], schema=schema)
 
 
 def screen(sets: DataFrame, start: float, steps: int, step_s: float, threshold_km: float, min_rel_kms: float = 0.05, fine_step_s: float = 1.0) -> DataFrame:
@@ -245,50 +382,21 @@ def screen(sets: DataFrame, start: float, steps: int, step_s: float, threshold_k
     without a rule and a severity.
 
     Coarse pass: `close_positions`. Fine pass: only the candidate pairs, one second apart around their coarse minimum, at
-    the times that may be the closest or come within the threshold.
+    the times that may be the closest or come within the threshold; a pair is one row and is not shuffled again for it.
     """
     sets = cut_lineage(sets.select(*_ELEMENTS))
-    p = close_positions(sets, start, steps, step_s, 5 * threshold_km)
-    best = p.groupBy("a", "b").agg(F.min_by(F.struct("ts", "d"), F.struct("d", "ts")).alias("m")).select("a", "b", c("m.ts").alias("t0"), c("m.d").alias("coarse_km"))
+    # dealt by pair before they are sorted: nearly every pair of a slab is a row of its own
+    p = close_positions(sets, start, steps, step_s, 5 * threshold_km, threshold_km).repartition("a", "b")
+    best = p.groupBy("a", "b").agg(F.min_by(F.struct("ts", "d", "near"), F.struct("d", "ts")).alias("m")).filter("m.near").select("a", "b", c("m.ts").alias("t0"), c("m.d").alias("coarse_km"))
     # elements are joined while there is one row a pair
     for k in ("a", "b"):
-        best = best.join(sets.select(c("norad").alias(k), F.struct(*_ELEMENTS[1:]).alias(f"e{k}")), k)
-
-    def both_at(rows: DataFrame, kept: list[str]) -> DataFrame:
-        """Positions pa and pb of the two objects of a row at its time."""
-        fixed, pos = [*kept, "ea", "eb"], ["x_km", "y_km", "z_km", "vx_kms", "vy_kms", "vz_kms"]
-        one = propagate(rows.select(*fixed, "ts", "ea.*")).select(*fixed, "ts", F.struct(*pos).alias("pa"))
-        return propagate(one.select(*fixed, "ts", "pa", "eb.*")).select(*fixed, "ts", "pa", F.struct(*pos).alias("pb"))
-
-    best = both_at(best.withColumn("ts", c("t0")), ["a", "b", "t0", "coarse_km"])
-    rel = [F.array(*[c(f"pa.{n.format(x)}") - c(f"pb.{n.format(x)}") for x in "xyz"]).alias(k) for k, n in (("r", "{}_km"), ("v", "v{}_kms"))]
-    best = best.select("a", "b", "t0", "coarse_km", "ea", "eb", *rel)
-    # straight on from the coarse minimum, and what the difference of gravity can bend it within a step, decide who needs
-    # the fine pass; the gradient of gravity is below GRADIENT above 100 km
-    dot = lambda x, y: sum((F.get(x, i) * F.get(y, i) for i in range(3)), F.lit(0.0))
-    vv = dot(c("v"), c("v"))
-    t = F.greatest(F.lit(-step_s), F.least(F.lit(step_s), F.when(vv > 0, -dot(c("r"), c("v")) / vv).otherwise(0.0)))
-    nearest = F.sqrt(sum((F.pow(F.get("r", i) + F.get("v", i) * t, 2) for i in range(3)), F.lit(0.0)))
-    bend = 0.5 * GRADIENT * (c("coarse_km") + F.sqrt(vv) * step_s) * step_s**2
-    best = best.withColumn("bend", bend).filter(nearest - c("bend") <= threshold_km)
-    # only times whose straight distance is no longer than this can be the closest: the least one is near a time of the
-    # fine grid, and bends are taken twice
-    early, late = F.greatest(F.lit(-step_s), start - c("t0")), F.least(F.lit(step_s), start + steps * step_s - c("t0"))
-    slack, speed = 2 * c("bend") + SLACK_KM, F.sqrt(vv)
-    straight = lambda at: F.sqrt(sum((F.pow(F.get("r", i) + F.get("v", i) * at, 2) for i in range(3)), F.lit(0.0)))
-    best = best.withColumn("_t", F.when(vv > MIN_VV, -dot(c("r"), c("v")) / vv))
-    best = best.withColumn("_most", F.least(straight(F.greatest(early, F.least(late, "_t"))) + 2 * fine_step_s * speed + 2 * slack, threshold_km + slack))
-    best = best.withColumn("_w", F.sqrt(F.greatest(F.lit(0.0), (c("_most") * c("_most") - F.pow(straight(c("_t")), 2)) / vv)))
-    last = int(2 * step_s / fine_step_s)
-    index = lambda at: F.greatest(F.lit(0.0), F.least(F.lit(float(last)), (at + step_s) / fine_step_s)).cast("int")
-    span = F.when(c("_t").isNotNull(), F.sequence(index(c("_t") - c("_w")) - 1, index(c("_t") + c("_w")) + 1)).otherwise(F.sequence(F.lit(0), F.lit(last)))
-    grid = best.select("a", "b", "t0", "coarse_km", "ea", "eb", F.explode(span).alias("_i")).filter(c("_i").between(0, last))
-    grid = grid.withColumn("ts", c("t0") - step_s + c("_i") * fine_step_s).filter((c("ts") >= start) & (c("ts") <= start + steps * step_s))
-    both = both_at(grid, ["a", "b", "t0", "coarse_km"])
-    dist = F.sqrt(sum((F.pow(c(f"pa.{x}_km") - c(f"pb.{x}_km"), 2) for x in "xyz"), F.lit(0.0)))
-    rel = F.sqrt(sum((F.pow(c(f"pa.v{x}_kms") - c(f"pb.v{x}_kms"), 2) for x in "xyz"), F.lit(0.0)))
-    fine = both.select("a", "b", "coarse_km", "ts", dist.alias("d"), rel.alias("v")).groupBy("a", "b").agg(F.first("coarse_km").alias("coarse_km"), F.min_by(F.struct("ts", "d", "v"), F.struct("d", "ts")).alias("m"))
-    out = fine.select("a", "b", "coarse_km", c("m.ts").alias("tca"), c("m.d").alias("min_km"), c("m.v").alias("rel_speed_kms")).filter(c("min_km") <= threshold_km)
+        best = best.join(sets.select(c("norad").alias(k), *[c(n).cast("double").alias(f"{k}_{n}") for n in _ELEMENTS[1:]]), k)
+    schema = T.StructType([*[T.StructField(k, sets.schema["norad"].dataType) for k in ("a", "b")], *[T.StructField(n, T.DoubleType()) for n in ("coarse_km", "tca", "min_km", "rel_speed_kms")]])
+    arrow = to_arrow_schema(schema)
+    fine = best.mapInArrow(lambda batches: _closest(batches, start, steps, step_s, threshold_km, fine_step_s, arrow), schema)
+    # an object that is listed twice has its pairs more than once
+    fine = fine.groupBy("a", "b").agg(F.min_by(F.struct("coarse_km", "tca", "min_km", "rel_speed_kms"), F.struct("min_km", "tca")).alias("m"))
+    out = fine.select("a", "b", "m.*").filter(c("min_km") <= threshold_km)
     out = out.withColumn("co_moving", c("rel_speed_kms") < min_rel_kms)
     return out.withColumn("severity", F.when(~c("co_moving"), F.when(c("min_km") < threshold_km / 2, "high").otherwise("medium"))).withColumn("rule_id", F.when(~c("co_moving"), "ORB-002"))
 

@@ -316,6 +316,27 @@ def test_close_approaches_against_all_seconds(spark):
         assert math.isclose(got[k][1], d, abs_tol=1e-9) and math.isclose(math.dist(at[k[0]][got[k][0]], at[k[1]][got[k][0]]), d, abs_tol=1e-9)
 
 
+def test_near_positions_by_brute_force(spark):
+    """Every pair within reach is met at its closest time, also across cells, and pairs that cannot come near are told apart."""
+    orbit = lambda k: (k, 0.0, 15.0 + k % 3 * 0.01, 6900.0 + k * 7 % 31, 0.001, 50.0 + k % 5, float(k * 13 % 40), 0.0, float(k * 29 % 50))
+    sets = spark.createDataFrame([orbit(k) for k in range(1, 61)], "norad long, epoch double, n_rev_day double, a_km double, e double, inc_deg double, raan_deg double, argp_deg double, m_deg double")
+    at = {}
+    for r in elements.ephemeris(sets, 0.0, 4, 60.0).collect():
+        at.setdefault(r.ts, {})[r.norad] = (r.x_km, r.y_km, r.z_km)
+    want = {}
+    for t, p in at.items():
+        for a in p:
+            for b in p:
+                if a < b and math.dist(p[a], p[b]) <= 300:
+                    want[a, b] = min(want.get((a, b), (math.inf, 0)), (math.dist(p[a], p[b]), t))
+    got, near = {}, 0
+    for r in elements.close_positions(sets, 0.0, 4, 60.0, 300.0, 20.0).collect():
+        got[r.a, r.b] = min(got.get((r.a, r.b), (math.inf, 0)), (r.d, r.ts))
+        near += r.near
+    assert got.keys() == want.keys() and len(want) > 15 and all(math.isclose(got[k][0], want[k][0], abs_tol=1e-6) for k in want)
+    assert 0 < near < len(got)
+
+
 def test_wide_corridor_by_brute_force(spark):
     """A corridor of 400 nm finds what all pairs do; samples of the track with no aircraft near are dropped before."""
     from airlens.functions.geo import wrapped_nm
