@@ -316,10 +316,23 @@ def test_close_approaches_against_all_seconds(spark):
         assert math.isclose(got[k][1], d, abs_tol=1e-9) and math.isclose(math.dist(at[k[0]][got[k][0]], at[k[1]][got[k][0]]), d, abs_tol=1e-9)
 
 
+def test_objects_counted_by_site(spark):
+    """Counts by date and site joined with launches are those of the objects listed; null sites match any."""
+    from airlens.operators import catalogue
+
+    known = spark.createDataFrame([(k, f"d{k % 3}", [None, "A", "B"][k % 7 % 3]) for k in range(40)], "norad int, launch_date string, launch_site string")
+    launches = spark.createDataFrame([("L1", "d0", "A"), ("L2", "d1", None), ("L3", "d2", "B"), ("L3", "d0", "C"), ("L4", None, "A")], "launch_id string, launch_date string, site string")
+    listed = catalogue.objects_of_launch(launches, known).groupBy("launch_id").count().collect()
+    counted = catalogue.objects_of_launch(launches, catalogue.by_site(known)).groupBy("launch_id").agg({"n": "sum"}).collect()
+    assert sorted(map(tuple, listed)) == sorted(map(tuple, counted)) and len(listed) == 3
+
+
 def test_near_positions_by_brute_force(spark):
     """Every pair within reach is met at its closest time, also across cells, and pairs that cannot come near are told apart."""
     orbit = lambda k: (k, 0.0, 15.0 + k % 3 * 0.01, 6900.0 + k * 7 % 31, 0.001, 50.0 + k % 5, float(k * 13 % 40), 0.0, float(k * 29 % 50))
-    sets = spark.createDataFrame([orbit(k) for k in range(1, 61)], "norad long, epoch double, n_rev_day double, a_km double, e double, inc_deg double, raan_deg double, argp_deg double, m_deg double")
+    rows = [orbit(k) for k in range(1, 61)]
+    rows.append((61, *rows[-1][1:-1], rows[-1][-1] + 0.05))  # six km behind the one before
+    sets = spark.createDataFrame(rows, "norad long, epoch double, n_rev_day double, a_km double, e double, inc_deg double, raan_deg double, argp_deg double, m_deg double")
     at = {}
     for r in elements.ephemeris(sets, 0.0, 4, 60.0).collect():
         at.setdefault(r.ts, {})[r.norad] = (r.x_km, r.y_km, r.z_km)
